@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskgrid.llm import common, simhash, token_store
+from duskgrid.llm import common, language_id, packing, simhash, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, 64 bits, radius 4."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -28,6 +35,19 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.ids_crc32(token_store.read_token_store(spark, path))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit_on(docs))
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token piece of all documents and its place in a sequence of 4096."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.place(common.ids_crc32(cut), *packing.make_plan(cut, 4096))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
