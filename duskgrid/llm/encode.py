@@ -20,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
-#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 120 MB.
-CACHE_SEGMENTS = 600_000
+#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 100 MB.
+CACHE_SEGMENTS = 500_000
 #: Sentence marks that may end a word.
 _MARKS = ".,;:!?"
+#: Words that the model can take as they are: letters up to U+024F whose lower case is one letter too.
+_PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{1bf}]+[.,;:!?]*$"
 #: A byte's character in byte-level vocabularies: itself where printable, else one from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
@@ -69,23 +71,39 @@ class Encoder:
         self.index = {words[k]: i for i, k in enumerate(kept.tolist())}
         self.start, self.size, self.hits, self.flat, self.used = ends - size, size.astype(np.int32), np.ones(len(kept), np.int32), flat, len(flat)
 
-    def _plain(self, segment: str) -> list[int] | None:
-        """Ids straight from the model, for a word of Latin letters with sentence marks behind; None for all else."""
-        core = segment.rstrip(_MARKS)
-        word = core[1:] if core[:1] == " " else core
-        if not word.isalpha() or max(word) > "\u024f":
-            return None
+    def _plain(self, segments: list[str]) -> list[list[int] | None]:
+        """Ids straight from the model, for words of Latin letters with sentence marks behind; None for all else."""
+        both = pa.array(segments, pa.large_string())
+        plain = np.flatnonzero(pc.match_substring_regex(both, _PLAIN).to_numpy(zero_copy_only=False))
+        both = both.take(pa.array(plain))
+        cores = pc.utf8_rtrim(both, _MARKS)
+        marks = pc.utf8_slice_codeunits(both, 0) if not len(plain) else pa.array([x[n:] for x, n in zip(both.to_pylist(), pc.utf8_length(cores).to_pylist(), strict=True)], pa.large_string())
         if self.mode == "drop":
-            core = word.lower()
-            if len(core) != len(word) or not core.isalpha():
-                return None
-        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTES))]
-        return ids + [t.id for t in self.model.tokenize(marks)] if (marks := segment[len(core) + (self.mode == "drop" and segment[:1] == " ") :]) else ids
+            cores = pc.utf8_lower(cores)
+        out: list[list[int] | None] = [None] * len(segments)
+        coded, tokenize, index = cores.dictionary_encode(), self.model.tokenize, self.index
+        known = []
+        for w in coded.dictionary.to_pylist():
+            k = index.get(w, -1)
+            if k >= 0:
+                known.append(self.flat[self.start[k] : self.start[k] + self.size[k]].tolist())
+            elif w.isascii():
+                known.append([t.id for t in tokenize(w.replace(" ", "\u0120"))])
+            else:
+                known.append([t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))])
+        ends = {"": []}
+        for i, k, m in zip(plain.tolist(), coded.indices.to_pylist(), marks.to_pylist(), strict=True):
+            if m not in ends:
+                ends[m] = [t.id for t in tokenize(m)]
+            out[i] = known[k] + ends[m]
+        return out
 
     def _direct_holds(self) -> bool:
         """Whether the model alone gives the library's ids for such words."""
         probes = ["the", " the", "Straße.", " Übung,", "élève!?", "x", " niño...", "DON", "ß;", " ﬁ", "İx", "ŉa"]
-        found = [self._plain(p) for p in probes] if self.mode != "whole" else [[]]
+        if self.mode == "drop":  # where no segment begins with a space
+            probes = [p.strip() for p in probes]
+        found = self._plain(probes) if self.mode != "whole" else [[]]
         return all(f is None or f == w for f, w in zip(found, self._whole(probes)))
 
     def _holds(self, mode: str) -> bool:
@@ -147,7 +165,7 @@ class Encoder:
         size = self.size[which].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.int32)
+        ids = self.flat[np.repeat((self.start[which] - (ends - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)] if total else np.zeros(0, np.int32)
         upto = np.concatenate([[0], ends])
         return np.diff(upto[off]), ids
 
@@ -159,7 +177,7 @@ class Encoder:
         found = [index.get(s, -1) for s in segments]
         fresh = [s for s, x in zip(segments, found, strict=True) if x < 0]
         if fresh:
-            lists = [self._plain(s) for s in fresh] if self.direct else [None] * len(fresh)
+            lists = self._plain(fresh) if self.direct else [None] * len(fresh)
             rest = [i for i, x in enumerate(lists) if x is None]
             for i, ids in zip(rest, self._whole([fresh[i] for i in rest]), strict=True):
                 lists[i] = ids

@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def task(batches):
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in slices(batches, "text", 12 << 20):
+        for b in slices(batches, "text", 6 << 20):
             off, ids = enc.encode(texts_of(b, "text"))
             n = np.diff(off) + 1
             ends = np.cumsum(n)
@@ -221,7 +221,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), part, np.int64)), pa.array(rank), b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), lists], names=["part", "rank", "doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(map_arrow(rows, task, PIECES, rows=4000), "pieces")
+    return stored(map_arrow(rows, task, PIECES, rows=2500), "pieces")
 
 
 def make_plan(cut: DataFrame, capacity: int) -> tuple[Plan, DataFrame]:

@@ -29,7 +29,7 @@ from duskgrid.llm.encode import encoder
 
 SCHEMA = "part long, row_start long, doc_id long, n_tokens int, ids array<int>"
 #: Bytes of text encoded at a time.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def encode_sorted(batches, tokenizer_path: str, end_id: int):
@@ -55,7 +55,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.withColumn("_t", F.xxhash64("text")).repartitionByRange("doc_id", "_t").sortWithinPartitions("doc_id", "_t", "text").select("doc_id", "text")
     (
-        map_arrow(ordered, lambda it: encode_sorted(it, tokenizer_path, end_id), SCHEMA, rows=4000)
+        map_arrow(ordered, lambda it: encode_sorted(it, tokenizer_path, end_id), SCHEMA, rows=2500)
         .write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", encoding == "dictionary")

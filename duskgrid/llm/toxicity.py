@@ -200,9 +200,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def task(batches):
         cache: dict = {}
-        for b in slices(batches, "text", 12 << 20):
+        for b in slices(batches, "text", 8 << 20):
             s = scores(shared.value, texts_of(b, "text"), cache)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), task, f"{fields}, score double, predicted int", rows=4000)
+    return map_arrow(docs.select(*kept), task, f"{fields}, score double, predicted int", rows=2500)
