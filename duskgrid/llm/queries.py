@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskgrid.llm import chat, common, decontaminate, language_id, nearest, packing, simhash, token_store, toxicity
+from duskgrid.llm import chat, common, decontaminate, language_id, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,65 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document states."""
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_matches"))
+
+
+def _md5_number(name: Column, first: int) -> Column:
+    return F.conv(F.substring(F.md5(name), first, 5), 16, 10).cast("long")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against dated lists, as of the page's fetch time.
+
+    The lists follow from the pages' own hosts: a third of all hosts, by hash, went on `spam` on a day of 2024 and half
+    of these came off it 60 days later; hosts named adult-* have been on `adult` since March; .org came on `trial` for May.
+    Pages were fetched on days of 2024 that follow from page_id.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    captures = pages.withColumn("fetched", day(F.pmod(F.col("page_id") * 7919, F.lit(366))))
+    hosts = pages.select(url_filter.host(F.col("url")).alias("domain")).where("domain is not null").distinct()
+    spam = hosts.where(_md5_number(F.col("domain"), 1) % 3 == 0).withColumn("d", _md5_number(F.col("domain"), 6) % 300)
+    entries = (
+        spam.select(F.lit("spam").alias("list"), "domain", F.lit("add").alias("action"), day(F.col("d")).alias("ts"))
+        .union(spam.where(_md5_number(F.col("domain"), 11) % 2 == 0).select(F.lit("spam"), "domain", F.lit("remove"), day(F.col("d") + 60)))
+        .union(hosts.where("domain like 'adult-%'").select(F.lit("adult"), "domain", F.lit("add"), day(F.lit(60))))
+        .union(spark.createDataFrame([("trial", "example.org", "add", 121), ("trial", "example.org", "remove", 152)], "list string, domain string, action string, d long").select("list", "domain", "action", day(F.col("d"))))
+    )
+    found = url_filter.evaluate(captures, entries)
+    return found.select("page_id", "host", F.concat_ws(",", "lists").alias("lists"), F.col("blocked").cast("int").alias("blocked"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    TIMESTAMP '2024-01-01' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched
+  FROM pages),
+h AS (SELECT DISTINCT host AS domain, md5(host) AS m FROM p WHERE host IS NOT NULL),
+s AS (SELECT domain, CAST(CAST('0x' || substr(m, 6, 5) AS BIGINT) % 300 AS INTEGER) AS d, CAST('0x' || substr(m, 11, 5) AS BIGINT) % 2 = 0 AS off
+  FROM h WHERE CAST('0x' || substr(m, 1, 5) AS BIGINT) % 3 = 0),
+e AS (
+  SELECT 'spam' AS list, domain, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(d) AS ts FROM s
+  UNION ALL SELECT 'spam', domain, 'remove', TIMESTAMP '2024-01-01' + to_days(d + 60) FROM s WHERE off
+  UNION ALL SELECT 'adult', domain, 'add', TIMESTAMP '2024-01-01' + to_days(60) FROM h WHERE domain LIKE 'adult-%'
+  UNION ALL SELECT 'trial', 'example.org', 'add', TIMESTAMP '2024-01-01' + to_days(121)
+  UNION ALL SELECT 'trial', 'example.org', 'remove', TIMESTAMP '2024-01-01' + to_days(152)),
+latest AS (
+  SELECT p.page_id, e.list, max_by(e.action, e.ts) AS action
+  FROM p JOIN e ON (p.host = e.domain OR p.host LIKE '%.' || e.domain) AND e.ts <= p.fetched
+  GROUP BY p.page_id, e.list, e.domain),
+b AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM latest WHERE action = 'add' GROUP BY page_id)
+SELECT p.page_id, p.host, coalesce(b.lists, '') AS lists, CAST(b.lists IS NOT NULL AS INTEGER) AS blocked
+FROM p LEFT JOIN b ON p.page_id = b.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
