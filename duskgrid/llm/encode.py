@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
-#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 100 MB.
-CACHE_SEGMENTS = 500_000
+#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 70 MB.
+CACHE_SEGMENTS = 350_000
 #: Sentence marks that may end a word.
 _MARKS = ".,;:!?"
 #: Words that the model can take as they are: letters up to U+024F whose lower case is one letter too.

@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def task(batches):
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in slices(batches, "text", 6 << 20):
+        for b in slices(batches, "text", 4 << 20):
             off, ids = enc.encode(texts_of(b, "text"))
             n = np.diff(off) + 1
             ends = np.cumsum(n)

@@ -29,7 +29,7 @@ from duskgrid.llm.encode import encoder
 
 SCHEMA = "part long, row_start long, doc_id long, n_tokens int, ids array<int>"
 #: Bytes of text encoded at a time.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 
 
 def encode_sorted(batches, tokenizer_path: str, end_id: int):

@@ -12,11 +12,11 @@ def test_stages(spark, tmp_path):
     words = lambda lang, n: ["".join(rng.choice(syl[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
     bench = {i: " ".join(words("en", 25)) for i in range(5)}
     docs, labels, want = [], [], set()
-    for d in range(300):
+    for d in range(600):
         lang = "de" if d % 4 == 0 else "en"
-        w, toxic = words(lang, rng.randint(60, 200)), d % 9 == 0
+        w, toxic = words(lang, rng.randint(30, 90)), d % 5 == 0
         if toxic:
-            w.insert(rng.randrange(len(w)), "moron")
+            w[3:3] = ["moron", "idiotic", "scumbag"]
         docs.append((d, " ".join(w), lang, "s", 0))
         labels.append((d, 1, int(toxic)))
         if not toxic:
@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
         kept[name] = {r.doc_id for r in now.select("doc_id").distinct().collect()}
     everything = {d[0] for d in docs}
     assert everything - kept["language"] == {3000, 3001}
-    assert {d for d in range(300) if d not in want} & kept["toxicity"] == set() and len(want & kept["toxicity"]) >= 0.98 * len(want)
+    assert {d for d in range(600) if d not in want} & kept["toxicity"] == set() and len(want & kept["toxicity"]) >= 0.98 * len(want)
     assert not any(1000 + k in kept["near-copies"] for k in range(40))
     assert len(want & kept["near-copies"]) >= len(want & kept["toxicity"]) - 1
     assert not any(d >= 2000 for d in kept["decontamination"]) and len(kept["decontamination"]) >= 0.97 * len(want)
