@@ -1 +1 @@
-"""To be filled."""
+"""DataFrame-to-DataFrame operators of the reliability library."""

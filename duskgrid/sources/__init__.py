@@ -1 +1 @@
-"""To be filled."""
+"""Readers, writers and the driver tables seen as night-light tables."""
