@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskgrid.plans import panels
+from duskgrid.plans import panels, pixels
 from duskgrid.sources.views import expand, rounded, view, with_views
 
-MODULES = [panels]
+MODULES = [panels, pixels]
 
 
 @functools.cache
