@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskgrid.llm.common import held_out, map_arrow, slices, texts_of
-from duskgrid.llm.words import ragged, word_ngrams, words_of
+from duskgrid.llm.words import CHUNK, ragged, word_ngrams, words_of
 
 SIZES = (3, 4, 5, 6)
 WINDOW, STRIDE = 8, 4
 #: Labelled rows that training sees at most, of each kind, and the longest text among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 3000, 4500, 20_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2500, 4000, 12_000
 #: Logit of a text in which there is nothing to read.
 WORDLESS = -40.0
 #: Words whose numbers a worker remembers.
@@ -61,6 +61,7 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, buckets_log2: int = 1
         return Model(np.zeros(1 << buckets_log2), -30.0, buckets_log2)
     rng = np.random.default_rng(seed)
     off, code, words = words_of(pa.array(texts, pa.large_string()))
+    del texts
     goff, grams = word_ngrams(words, SIZES, buckets_log2)
     doc, first, end = windows(off)
     label = toxic[doc]
@@ -133,8 +134,11 @@ def calibrated(model: Model, z: np.ndarray, toxic: np.ndarray) -> Model:
 
 def word_numbers(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each word the sum of its n-grams' numbers, and how many they are."""
-    off, grams = word_ngrams(words, SIZES, model.buckets_log2)
-    return (np.add.reduceat(model.ngram[grams], off[:-1]) if len(words) else np.zeros(0)), np.diff(off)
+    total, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
+    for i in range(0, len(words), CHUNK):
+        off, grams = word_ngrams(words[i : i + CHUNK], SIZES, model.buckets_log2)
+        total[i : i + CHUNK], count[i : i + CHUNK] = np.add.reduceat(model.ngram[grams], off[:-1], dtype=float), np.diff(off)
+    return total, count
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -190,7 +194,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: dict[int, int],
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     sample = training_rows(docs, labels, {1: TOXIC_ROWS, 0: CLEAN_ROWS}, TRAIN_CHARS).toArrow()
     rows = sorted(zip(sample["text"].to_pylist(), sample["toxic"].to_pylist(), strict=True))  # the order of arrival must not matter
-    return fit([t for t, _ in rows], np.array([y for _, y in rows], int))
+    del sample
+    texts, toxic = [t for t, _ in rows], np.array([y for _, y in rows], int)
+    del rows
+    return fit(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

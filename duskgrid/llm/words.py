@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Everything that isn't a letter or a digit parts words.
 _BETWEEN = r"[^\p{L}\p{N}]+"
+#: Words whose n-grams are made at a time.
+CHUNK = 40_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -33,10 +35,13 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def word_ngrams(words: list[str], sizes: tuple[int, ...], buckets_log2: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and hashed buckets of the n-grams of each word between boundary marks; whole words count as one too."""
+    if len(words) > CHUNK:  # bounds the character matrices
+        parts = [word_ngrams(words[i : i + CHUNK], sizes, buckets_log2) for i in range(0, len(words), CHUNK)]
+        return np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for o, _ in parts]))]), np.concatenate([g for _, g in parts])
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
     counts = sum(np.maximum(lens - n + 1, 0) for n in sizes) + 1
     off = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(off[-1], np.int64)
+    out = np.empty(off[-1], np.int32)
     shift = np.uint64(64 - buckets_log2)
     room = 1 << np.maximum(3, np.ceil(np.log2(np.maximum(lens, 1))).astype(int))
     for width in np.unique(room):
