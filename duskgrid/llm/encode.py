@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
-#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 70 MB.
-CACHE_SEGMENTS = 350_000
+#: Segments that a worker remembers at most before it forgets those seen in one batch only; about 120 MB.
+CACHE_SEGMENTS = 600_000
 #: Sentence marks that may end a word.
 _MARKS = ".,;:!?"
 #: Words that the model can take as they are: letters up to U+024F whose lower case is one letter too.
@@ -32,10 +32,14 @@ _BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE fo
 _loaded: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """The worker's own encoder for a tokenizer file; it outlives a task where Spark keeps the worker."""
+def encoder(path: str, segments: int | None = None) -> "Encoder":
+    """The worker's own encoder for a tokenizer file; it outlives a task where Spark keeps the worker.
+
+    segments: how many it may remember, CACHE_SEGMENTS if not given; fewer cost time, more cost memory.
+    """
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].most = segments or CACHE_SEGMENTS
     return _loaded[path]
 
 
@@ -48,7 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.direct = self.tokenizer.model, False
+        self.model, self.direct, self.most = self.tokenizer.model, False, CACHE_SEGMENTS
         self.mode = next((m for m in ("drop", "keep") if self._holds(m)), "whole")
         self.direct = self._direct_holds()
         self._forget()
@@ -171,7 +175,7 @@ class Encoder:
 
     def _entries(self, segments: list[str]) -> np.ndarray:
         """The cache's entry of each segment; what it lacks is encoded and added."""
-        if len(self.index) > CACHE_SEGMENTS:
+        if len(self.index) > self.most:
             self._keep_frequent()
         index = self.index
         found = [index.get(s, -1) for s in segments]

@@ -33,6 +33,8 @@ from duskgrid.llm.encode import encoder
 from duskgrid.llm.words import ragged
 
 PIECES = "part long, rank long, doc_id long, piece int, start long, length long, ids array<int>"
+#: Segments that the encoder may remember here.
+SEGMENTS = 400_000
 #: Number of groups, and the shares of the capacity beyond which a length is large; the best plan among them is taken.
 GROUPS, LARGE = 80, (1 / 3, 1 / 8)
 
@@ -197,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     """
 
     def task(batches):
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
+        part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path, SEGMENTS)
         seen = np.zeros(capacity + 1, np.int64)
         for b in slices(batches, "text", 4 << 20):
             off, ids = enc.encode(texts_of(b, "text"))
