@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from duskgrid.functions import flag, sample_sd
 
-BY_DATE = Window.partitionBy("entity").orderBy("date")
+def by_date():
+    return Window.partitionBy("entity").orderBy("date")
 
 
 def lit_dark(df: DataFrame, lit_at: float, dark_below: float) -> DataFrame:
@@ -20,7 +21,7 @@ def rolling_forward(df: DataFrame, n: int, least_obs: int, least_lit: int) -> Da
 
     df must be dense: rows are days.
     """
-    ahead = BY_DATE.rowsBetween(0, n - 1)
+    ahead = by_date().rowsBetween(0, n - 1)
     full = F.count(F.lit(1)).over(ahead) == n
     df = df.withColumns({"n_lit": F.when(full, F.sum(F.coalesce("lit_day", F.lit(0))).over(ahead)), "n_obs": F.when(full, F.sum("observed").over(ahead))})
     return df.withColumn("electrified", F.when(F.col("n_obs") >= least_obs, flag(F.col("n_lit") >= least_lit)))
@@ -45,8 +46,8 @@ def switches(df: DataFrame, period: str) -> DataFrame:
 def longest_run(df: DataFrame, condition) -> DataFrame:
     """Of each entity the longest run of rows, in order of date, for which condition holds, and its share of all rows."""
     on = F.coalesce(condition, F.lit(False))
-    change = df.withColumn("_on", on).withColumn("_c", F.coalesce((F.col("_on") != F.lag("_on").over(BY_DATE)).cast("int"), F.lit(0)))
-    runs = change.withColumn("_run", F.sum("_c").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    change = df.withColumn("_on", on).withColumn("_c", F.coalesce((F.col("_on") != F.lag("_on").over(by_date())).cast("int"), F.lit(0)))
+    runs = change.withColumn("_run", F.sum("_c").over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
     each = runs.groupBy("entity", "_run").agg(F.count("*").alias("_n"), F.sum(F.col("_on").cast("int")).alias("_d"))
     return each.groupBy("entity").agg(F.max("_d").alias("longest_run"), F.sum("_n").alias("n_days")).withColumn("run_share", F.col("longest_run") / F.col("n_days"))
 

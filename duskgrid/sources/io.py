@@ -42,7 +42,7 @@ def hourly_exposure(raw: DataFrame, ts: str) -> DataFrame:
 
     A text that doesn't begin with yyyy-MM-dd HH gives null; check_hourly refuses such a table.
     """
-    return raw.withColumns({"date": F.to_date(F.substring(ts, 1, 10), "yyyy-MM-dd"), "hour": F.substring(ts, 12, 2).try_cast("int")}).drop(ts)
+    return raw.withColumns({"date": F.try_to_timestamp(F.substring(ts, 1, 10), F.lit("yyyy-MM-dd")).cast("date"), "hour": F.substring(ts, 12, 2).try_cast("int")}).drop(ts)
 
 
 def check_hourly(hourly: DataFrame) -> DataFrame:
