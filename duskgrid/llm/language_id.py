@@ -60,6 +60,14 @@ def presence(texts: pa.Array):
         yield a, rows, cols, b - a
 
 
+def _dense(texts: pa.Array):
+    """Presence rows of a few texts at a time, with the root of how many n-grams each holds."""
+    for _, rows, cols, n in presence(texts):
+        x = np.zeros((n, 1 << BITS), np.float32)
+        x[rows, cols] = 1
+        yield x, np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
 def fit(texts: list[str], langs: list[str], ridge: float = 1e-3, seed: int = 3) -> Model:
     names = sorted(set(langs))
     if not names:
@@ -67,12 +75,9 @@ def fit(texts: list[str], langs: list[str], ridge: float = 1e-3, seed: int = 3)
     own = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     marks = np.concatenate([rng.permutation(np.flatnonzero(own == k))[:LANDMARKS] for k in range(len(names))])
-    x = np.zeros((len(texts), 1 << BITS), np.uint8)
-    for a, rows, cols, _ in presence(pa.array(texts, pa.large_string())):
-        x[a + rows, cols] = 1
-    norm = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))
-    z = (x[marks] / norm[marks, None]).astype(np.float32)
-    k = np.concatenate([(x[i : i + 128].astype(np.float32) @ z.T) / norm[i : i + 128, None] for i in range(0, len(x), 128)]).astype(float)
+    chosen = _dense(pa.array([texts[i] for i in marks], pa.large_string()))
+    z = np.concatenate([x / norm for x, norm in chosen])
+    k = np.concatenate([(x @ z.T) / norm for x, norm in _dense(pa.array(texts, pa.large_string()))]).astype(float)
     weight = (1 / np.bincount(own)[own])[:, None] * len(own) / len(names)  # languages count alike
     left = k.T @ (k * weight) + ridge * len(own) * k[marks] + 1e-8 * np.eye(len(marks))
     coef = np.linalg.solve(left, k.T @ ((own[:, None] == np.arange(len(names))) * weight))
