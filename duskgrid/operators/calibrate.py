@@ -15,7 +15,7 @@ def threshold_sweep(entities: DataFrame, cuts: list[float], target: float, value
     pop = F.col("population")
     one = entities.agg(F.sum(pop).alias("_all"), *[F.struct(count_if(F.col(value) >= t).alias("n"), F.coalesce(F.sum(F.when(F.col(value) >= t, pop)), F.lit(0.0)).alias("w")).alias(f"_{i}") for i, t in enumerate(cuts)])
     rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}.n").alias("n"), F.col(f"_{i}.w").alias("w")) for i, t in enumerate(cuts)])).alias("s")
-    out = one.select("_all", rows).select("s.threshold", "s.n", (F.col("s.w") / F.col("_all")).alias("share"))
+    out = one.select("_all", rows).select("s.threshold", "s.n", F.try_divide("s.w", "_all").alias("share"))
     return out.withColumn("abs_error", F.abs(F.col("share") - target))
 
 
@@ -52,7 +52,7 @@ def doe_sweep(states: DataFrame, grid_: list[tuple[int, int]], areas: DataFrame
         firsts = firsts.withColumn("population", F.lit(1.0))
     rows = F.explode(F.array(*[F.struct(F.lit(o).alias("least_obs"), F.lit(lit).alias("least_lit"), F.col(f"_{i}").alias("doe")) for i, (o, lit) in enumerate(combos)])).alias("s")
     long = firsts.select("entity", "population", rows).select("population", "s.*")
-    return long.groupBy("least_obs", "least_lit").agg(F.count("doe").alias("n_entities"), F.min("doe").alias("first_doe"), F.max("doe").alias("last_doe"), (F.coalesce(F.sum(F.when(F.col("doe").isNotNull(), F.col("population"))), F.lit(0.0)) / F.sum("population")).alias("share"))
+    return long.groupBy("least_obs", "least_lit").agg(F.count("doe").alias("n_entities"), F.min("doe").alias("first_doe"), F.max("doe").alias("last_doe"), F.try_divide(F.coalesce(F.sum(F.when(F.col("doe").isNotNull(), F.col("population"))), F.lit(0.0)), F.sum("population")).alias("share"))
 
 
 def doe_scenarios(named: dict[str, DataFrame], areas: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def area_deltas(entities: DataFrame, targets: DataFrame, taus: list[float], delt
     cuts = sorted({round(t + d, 10) for t in taus for d in deltas})
     wide = entities.groupBy("area").agg(F.sum("population").alias("_all"), F.array(*[F.coalesce(F.sum(F.when(F.col(value) >= c, F.col("population"))), F.lit(0.0)) for c in cuts]).alias("_w")).join(targets, "area")
     arms = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.lit(float(d)).alias("delta"), F.lit(cuts.index(round(t + d, 10))).alias("k")) for t in taus for d in deltas])).alias("s")
-    rows = wide.select("area", "target", "weight", "_all", "_w", arms).select("area", "target", "weight", "s.tau", "s.delta", (F.element_at("_w", F.col("s.k") + 1) / F.col("_all")).alias("share"))
+    rows = wide.select("area", "target", "weight", "_all", "_w", arms).select("area", "target", "weight", "s.tau", "s.delta", F.try_divide(F.element_at("_w", F.col("s.k") + 1), F.col("_all")).alias("share"))
     rows = rows.withColumn("loss", F.col("weight") * (F.col("share") - F.col("target")) ** 2 + lam * F.col("delta") ** 2)
     pick = F.min_by(F.struct("delta", "share", "loss"), F.struct(F.round("loss", 12), F.abs("delta"), F.col("delta"))).alias("b")
     return rows.groupBy("tau", "area").agg(pick).select("tau", "area", "b.*")
@@ -77,7 +77,7 @@ def area_deltas(entities: DataFrame, targets: DataFrame, taus: list[float], delt
 
 def best_tau(chosen: DataFrame, weights: DataFrame, target: float, penalty: float) -> DataFrame:
     """The tau with the least summed loss plus penalty on the national share; weights (area, population)."""
-    j = chosen.join(weights, "area").groupBy("tau").agg(F.sum("loss").alias("area_loss"), (F.sum(F.col("share") * F.col("population")) / F.sum("population")).alias("national"))
+    j = chosen.join(weights, "area").groupBy("tau").agg(F.sum("loss").alias("area_loss"), F.try_divide(F.sum(F.col("share") * F.col("population")), F.sum("population")).alias("national"))
     return j.withColumn("loss", F.col("area_loss") + penalty * (F.col("national") - target) ** 2).orderBy("loss", "tau").limit(1)
 
 

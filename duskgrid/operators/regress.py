@@ -30,7 +30,7 @@ def ols(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame
     ok = (F.col("n") >= LEAST_ROWS) & (F.col("_sxx") > 1e-14)
     s = s.withColumn("slope", F.when(ok, F.col("_sxy") / F.col("_sxx")))
     rss = F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope") * F.col("_sxy"))
-    s = s.withColumns({"intercept": F.col("_my") - F.col("slope") * F.col("_mx"), "se": F.sqrt(rss / (F.col("n") - 2) / F.col("_sxx")), "r2": F.when(F.col("_syy") > 0, F.col("slope") * F.col("_sxy") / F.col("_syy")), "df": F.when(ok, F.col("n") - 2)})
+    s = s.withColumns({"intercept": F.col("_my") - F.col("slope") * F.col("_mx"), "se": F.when(ok, F.sqrt(F.try_divide(rss, (F.col("n") - 2) * F.col("_sxx")))), "r2": F.when(F.col("_syy") > 0, F.col("slope") * F.col("_sxy") / F.col("_syy")), "df": F.when(ok, F.col("n") - 2)})
     return s.withColumn("t", F.when(F.col("se") > 0, F.col("slope") / F.col("se"))).select(*(by or []), "n", "slope", "intercept", "se", "t", "df", "r2")
 
 
@@ -93,7 +93,7 @@ def residuals(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> Dat
     w = Window.partitionBy(*(by or [F.lit(1)]))
     rows = rows.withColumns({"_dx": F.col(x) - F.avg(x).over(w), "_dy": F.col(y) - F.avg(y).over(w)})
     rows = rows.withColumns({"_sxx": F.sum(F.col("_dx") ** 2).over(w), "_sxy": F.sum(F.col("_dx") * F.col("_dy")).over(w)})
-    return rows.withColumn("_e", F.col("_dy") - F.col("_sxy") / F.col("_sxx") * F.col("_dx")).withColumn("_s", F.col("_dx") * F.col("_e") / F.col("_sxx"))
+    return rows.withColumn("_e", F.col("_dy") - F.try_divide("_sxy", "_sxx") * F.col("_dx")).withColumn("_s", F.try_divide(F.col("_dx") * F.col("_e"), "_sxx"))
 
 
 def newey_west(df: DataFrame, y: str, x: str, order: str, lags: int, by: list[str] | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def newey_west(df: DataFrame, y: str, x: str, order: str, lags: int, by: list[st
     for j in range(1, lags + 1):
         var = var + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(F.col("_s") * F.col(f"_l{j}")), F.lit(0.0))
     n = F.count("*")
-    out = rows.groupBy(*by).agg(n.alias("n"), F.max(F.col("_sxy") / F.col("_sxx")).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), var) * n / (n - 2)).alias("se_hac"), (n - 2).alias("df"))
+    out = rows.groupBy(*by).agg(n.alias("n"), F.max(F.try_divide("_sxy", "_sxx")).alias("slope"), F.sqrt(F.try_divide(F.greatest(F.lit(0.0), var) * n, n - 2)).alias("se_hac"), (n - 2).alias("df"))
     return out.where(F.col("n") >= LEAST_ROWS).withColumn("t", F.when(F.col("se_hac") > 0, F.col("slope") / F.col("se_hac")))
 
 
@@ -131,12 +131,12 @@ def fixed_effects(df: DataFrame, y: str, x: str, entity: str, cluster: str, weig
     rows = rows.withColumns({"_dx": F.col(x) - mean(x), "_dy": F.col(y) - mean(y)})
     tot = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(entity).alias("_k"), F.sum(F.col("_w") * F.col("_dx") ** 2).alias("_sxx"), F.sum(F.col("_w") * F.col("_dx") * F.col("_dy")).alias("_sxy"), F.sum(F.col("_w") * F.col("_dy") ** 2).alias("_syy"))
     at = rows.join(F.broadcast(tot), by) if by else rows.crossJoin(F.broadcast(tot))
-    score = at.groupBy(*by, cluster).agg(F.sum(F.col("_w") * F.col("_dx") * (F.col("_dy") - F.col("_sxy") / F.col("_sxx") * F.col("_dx"))).alias("_u"))
+    score = at.groupBy(*by, cluster).agg(F.sum(F.col("_w") * F.col("_dx") * (F.col("_dy") - F.try_divide("_sxy", "_sxx") * F.col("_dx"))).alias("_u"))
     meat = score.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.sum(F.col("_u") ** 2).alias("_m"))
     out = tot.join(meat, by) if by else tot.crossJoin(meat)
     g = F.col("n_clusters")
-    scale = g / (g - 1) * (F.col("n") - 1) / (F.col("n") - F.col("_k") - 1)
-    out = out.withColumns({"slope": F.col("_sxy") / F.col("_sxx"), "se_cluster": F.sqrt(F.col("_m") * scale) / F.col("_sxx"), "r2_within": F.col("_sxy") ** 2 / F.col("_sxx") / F.col("_syy"), "df": g - 1})
+    scale = F.try_divide(g * (F.col("n") - 1), (g - 1) * (F.col("n") - F.col("_k") - 1))
+    out = out.withColumns({"slope": F.try_divide("_sxy", "_sxx"), "se_cluster": F.try_divide(F.sqrt(F.col("_m") * scale), "_sxx"), "r2_within": F.try_divide(F.col("_sxy") ** 2, F.col("_sxx") * F.col("_syy")), "df": g - 1})
     return out.withColumn("t", F.when(F.col("se_cluster") > 0, F.col("slope") / F.col("se_cluster"))).select(*by, "n", "n_clusters", "slope", "se_cluster", "t", "df", "r2_within")
 
 
@@ -158,7 +158,7 @@ def two_way(df: DataFrame, y: str, x: str, large: str, small: str, levels: list)
     n = rows.agg(F.count_distinct(large).alias("k")).first()["k"]
     fit = solve(normal_equations(rows, y, [x, *names]), [x, *names]).where(F.col("term") == x)
     left = F.col("df") - n + 1  # the absorbed effects
-    return fit.select("n", F.col("estimate").alias("slope"), (F.col("se") * F.sqrt(F.col("df") / left)).alias("se"), left.alias("df"))
+    return fit.select("n", F.col("estimate").alias("slope"), (F.col("se") * F.sqrt(F.try_divide("df", left))).alias("se"), left.alias("df"))
 
 
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: list[float], by: list[str] | None = None, step: bool = False) -> DataFrame:
@@ -204,7 +204,7 @@ def fit_metrics(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> D
     """OLS with adjusted r2, rmse, mae, ranges of y and x, pearson and spearman."""
     by = by or []
     r = residuals(df, y, x, by).groupBy(*by).agg(F.sqrt(F.avg(F.col("_e") ** 2)).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), (F.max(y) - F.min(y)).alias("range_y"), (F.max(x) - F.min(x)).alias("range_x"))
-    fit, c = ols(df, y, x, by).withColumn("adj_r2", 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2)), correlations(df, x, y, by).drop("n")
+    fit, c = ols(df, y, x, by).withColumn("adj_r2", 1 - F.try_divide((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - 2)), correlations(df, x, y, by).drop("n")
     return fit.join(r, by).join(c, by) if by else fit.crossJoin(r).crossJoin(c)
 
 

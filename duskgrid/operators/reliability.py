@@ -59,7 +59,7 @@ def area_metrics(metrics: DataFrame, areas: DataFrame, least_share: float = 0.0)
     out = kept.groupBy("area", "period_start").agg(
         F.count_distinct("entity").alias("n_entities"), F.sum("population").alias("kept_population"), *[weighted_mean(m, "population", positive=False).alias(m) for m in METRICS], weighted_sd("uptime", "population").alias("uptime_sd")
     )
-    out = out.join(total, "area", "right").withColumn("coverage_share", F.coalesce(F.col("kept_population"), F.lit(0.0)) / F.col("area_population"))
+    out = out.join(total, "area", "right").withColumn("coverage_share", F.try_divide(F.coalesce(F.col("kept_population"), F.lit(0.0)), F.col("area_population")))
     return out.where(F.col("coverage_share") >= least_share)
 
 
@@ -117,7 +117,7 @@ def area_daily_coverage(panel: DataFrame, areas: DataFrame) -> DataFrame:
     known = areas.where(F.col("population").isNotNull())
     total = known.groupBy("area").agg(F.sum("population").alias("area_population"))
     seen = panel.where(F.col("p").isNotNull()).join(known, "entity").groupBy("area", "date").agg(F.sum("population").alias("seen"))
-    return completion_grid(seen, "area", "date").join(total, "area").select("area", "date", (F.coalesce("seen", F.lit(0.0)) / F.col("area_population")).alias("coverage_share"))
+    return completion_grid(seen, "area", "date").join(total, "area").select("area", "date", F.try_divide(F.coalesce("seen", F.lit(0.0)), F.col("area_population")).alias("coverage_share"))
 
 
 def coverage_summary(daily: DataFrame, levels: list[float]) -> DataFrame:

@@ -88,10 +88,10 @@ def ar1_grid(df: DataFrame, y: str, x: str, date: str = "date", phis: list[float
     rows = rows.select("phi", F.log(s).alias("ls"), ((F.col("y") - r * F.coalesce("py", F.lit(0.0))) / s).alias("y"), ((F.col("x") - r * F.coalesce("px", F.lit(0.0))) / s).alias("x"), ((1 - r) / s).alias("c"))
     a = rows.groupBy("phi").agg(F.count("*").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("c", "c"), ("c", "x"), ("x", "x"), ("c", "y"), ("x", "y"), ("y", "y"))], F.sum("ls").alias("ls"))
     det = F.col("cc") * F.col("xx") - F.col("cx") ** 2
-    a = a.withColumns({"slope": (F.col("cc") * F.col("xy") - F.col("cx") * F.col("cy")) / det, "intercept": (F.col("xx") * F.col("cy") - F.col("cx") * F.col("xy")) / det})
+    a = a.withColumns({"slope": F.try_divide(F.col("cc") * F.col("xy") - F.col("cx") * F.col("cy"), det), "intercept": F.try_divide(F.col("xx") * F.col("cy") - F.col("cx") * F.col("xy"), det)})
     rss = F.col("yy") - F.col("slope") * F.col("xy") - F.col("intercept") * F.col("cy")
     a = a.withColumn("_s2", rss / F.col("n"))
-    return a.select("phi", "n", "slope", "intercept", F.sqrt(F.col("_s2") * F.col("n") / (F.col("n") - 2) * F.col("cc") / det).alias("se"), (-F.col("n") / 2 * (F.log(2 * F.lit(3.141592653589793) * F.col("_s2")) + 1) - F.col("ls")).alias("loglik"))
+    return a.select("phi", "n", "slope", "intercept", F.sqrt(F.try_divide(F.col("_s2") * F.col("n") * F.col("cc"), (F.col("n") - 2) * det)).alias("se"), (-F.col("n") / 2 * (F.log(2 * F.lit(3.141592653589793) * F.col("_s2")) + 1) - F.col("ls")).alias("loglik"))
 
 
 def ar1_fit(df: DataFrame, y: str, x: str, date: str = "date") -> DataFrame:

@@ -145,7 +145,7 @@ def observed_demand(panel: DataFrame, least_coverage: float, total_demand: DataF
     seen = (F.col("coverage") >= least_coverage) & F.col("p").isNotNull()
     rows = panel.where(seen)
     day = rows.groupBy("date").agg(F.count("*").alias("n_observed"), F.sum("demand").alias("observed_demand"), *[weighted_share(F.col("p") < t, w).alias(f"{n}_{k}") for n, t in (("strict", STRICT), ("mostly", MOSTLY)) for k, w in (("pop", "population"), ("demand", "demand"))], weighted_mean("z", "demand").alias("z_demand"))
-    return day.crossJoin(F.broadcast(total_demand.select(F.col("demand_in").alias("_all")))).withColumn("observed_share", F.col("observed_demand") / F.col("_all")).drop("_all")
+    return day.crossJoin(F.broadcast(total_demand.select(F.col("demand_in").alias("_all")))).withColumn("observed_share", F.try_divide("observed_demand", "_all")).drop("_all")
 
 
 def gate_tier(day: DataFrame, gate: float, floor: float, column: str = "observed_share") -> DataFrame:
@@ -306,7 +306,7 @@ def flag_methods(df: DataFrame, metrics: list[str], cut: float) -> DataFrame:
     for scope, by in (("monthly", ["metric", "month"]), ("annual", ["metric"])):
         z = robust_z(long, "value", by)
         w = Window.partitionBy(*by)
-        mean_z = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+        mean_z = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
         q = long.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
         fence = F.col("_q")[1] + 1.5 * (F.col("_q")[1] - F.col("_q")[0])
         parts = {"median_mad": z.where(F.abs("z_value") > cut), "mean_sd": long.withColumn("_z", mean_z).where(F.abs("_z") > cut), "tukey": long.join(q, by).where(F.col("value") > fence)}
@@ -330,7 +330,7 @@ def area_availability(panel: DataFrame, areas: DataFrame, cuts: list[float], lea
     total = areas.groupBy("area").agg(F.sum("demand").alias("area_demand"))
     rows = panel.where((F.col("coverage") >= least_coverage) & F.col("p").isNotNull()).join(areas, "entity")
     day = rows.groupBy("area", "date").agg(F.count("*").alias("n"), F.sum("demand").alias("observed_demand"), *[weighted_share(F.col("p") >= t, "demand").alias(f"avail_{round(100 * t):02d}") for t in cuts])
-    out = day.join(total, "area").withColumn("observed_share", F.col("observed_demand") / F.col("area_demand"))
+    out = day.join(total, "area").withColumn("observed_share", F.try_divide("observed_demand", "area_demand"))
     return out.withColumn("gate_ok", (F.col("observed_share") >= gate).cast("int"))
 
 

@@ -98,7 +98,7 @@ def autocorrelation(df: DataFrame, value: str, order: str, lags: int, by: list[s
     x = df.where(F.col(value).isNotNull()).withColumn("_d", F.col(value) - F.avg(value).over(w))
     pairs = x.withColumn("_s", F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("_d", k).over(w.orderBy(order)).alias("b")) for k in range(1, lags + 1)]))
     prods = pairs.select(*by, "_d", F.explode("_s").alias("s"))
-    return prods.groupBy(*by, "s.lag").agg((F.sum(F.col("_d") * F.col("s.b")) / F.sum(F.col("_d") * F.col("_d"))).alias("acf"))
+    return prods.groupBy(*by, "s.lag").agg(F.try_divide(F.sum(F.col("_d") * F.col("s.b")), F.sum(F.col("_d") * F.col("_d"))).alias("acf"))
 
 
 def scaled(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
