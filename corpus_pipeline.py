@@ -16,6 +16,8 @@ TOXIC = 0.5
 #: Near duplicates: 5-word shingles in 512-bit fingerprints. Texts with a Jaccard similarity of 0.8 differ in 15 % of
 #: bits on average (cosine 2 * 0.8 / 1.8); 84 bits are 16 %. The first 64 bits of such texts hardly ever differ in over 20.
 SHINGLE, WORDS, RADIUS, NEAR = 5, 8, 84, 20
+#: Fingerprints of a tile: wide ones travel with every tile pair, and larger tiles make fewer pairs.
+TILE = 32_768
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 
 
@@ -33,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies keeps the document with the smallest doc_id."""
-    classes = simhash.near_duplicates(docs, SHINGLE, RADIUS, WORDS, NEAR)
+    classes = simhash.near_duplicates(docs, SHINGLE, RADIUS, WORDS, NEAR, TILE)
     copies = common.stored(classes.where("doc_id <> component_id").select("doc_id"), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -148,7 +148,7 @@ def near_links(fps: DataFrame, near: int, radius: int | None = None, tile: int =
     return map_arrow(left.join(right, ["a", "b"]).select("na", "fa", "nb", "fb"), task, "u long, v long", rows=16)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, near: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, near: int | None = None, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, itself included) of docs (doc_id, text).
 
     radius counts differing bits of the whole fingerprint (64 bits a word). With several words, near is how far the
@@ -156,6 +156,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     """
     fps = stored(fingerprints(docs, shingle, words), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    roots = components(near_links(nodes, radius if words == 1 or near is None else near, radius))
+    roots = components(near_links(nodes, radius if words == 1 or near is None else near, radius, tile))
     named = stored(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
