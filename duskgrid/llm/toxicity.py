@@ -29,7 +29,7 @@ from duskgrid.llm.words import CHUNK, ragged, word_ngrams, words_of
 SIZES = (3, 4, 5, 6)
 WINDOW, STRIDE = 8, 4
 #: Labelled rows that training sees at most, of each kind, and the longest text among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2500, 4000, 12_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 3200, 10_000
 #: Logit of a text in which there is nothing to read.
 WORDLESS = -40.0
 #: Words whose numbers a worker remembers.
