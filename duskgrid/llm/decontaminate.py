@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds lead passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds lead passages to test items, Smith-Waterman alignment scores them.
 
-1. Every n-gram of every item is a possible seed; all documents are counted to see how many hold it.
-2. Of each item the rarer half of its n-grams (ties included) are its seeds. Rarity is relative to the item, so an item
-   whose every n-gram is everywhere, as when a third of the corpus repeats it, keeps its seeds.
+1. All documents are counted to see how many hold each n-gram and word of the items.
+2. Every n-gram of an item that some document holds is a seed. None is left out for being common: n-grams that an edit
+   broke are rarer than those that survive it wherever whole copies exist too, so no ranking by count is safe.
 3. A document's seed hits give passages: the words around hits of an item that lie near each other.
 4. Each passage is aligned with its item, word by word, by Smith-Waterman local alignment; words weigh what they tell
    (log of the share of documents without them, from the same count), so agreeing on `the` means little. The score is
    the share of the item's own weight that the best alignment keeps; edited and partly paraphrased copies keep most.
+   Passages whose words, in any order, weigh too little for the threshold can't reach it and aren't aligned.
 
 Items are looked up in memory where there are few enough n-grams (SEEDS_IN_MEMORY, counted first); beyond it the same
 steps run as joins on the n-gram, at every size.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskgrid.llm.common import map_arrow, slices, splitmix, stored, texts_of
@@ -190,6 +191,12 @@ def align(item: list[str], weight: np.ndarray, passage: list[str]) -> tuple[floa
     return best[0] / total, best[1], best[2]
 
 
+def most(item: list[str], weight: np.ndarray, passage: list[str]) -> float:
+    """What align can score at most: the share of the item's weight whose words the passage holds, in any order."""
+    held, total = set(passage), float(weight.sum())
+    return float(weight[[w in held for w in item]].sum()) / total if total else 0.0
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, in_memory: int = SEEDS_IN_MEMORY) -> DataFrame:
     """doc_id, item_id, score, first, last, passage: the best passage of each document for each item it leaks.
 
@@ -205,10 +212,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, in_me
     total = docs.count()
     known = marks.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sizes = marks.where("kind = 1").groupBy("item_id").agg(F.count("*").alias("size"))
-    grams = known.where("kind = 0").select("item_id", "h", "n").distinct()
-    own = Window.partitionBy("item_id")
-    ranked = grams.withColumn("r", F.rank().over(own.orderBy("n"))).withColumn("k", F.count("*").over(own))
-    seeds = stored(ranked.where(F.col("r") <= F.ceil(F.col("k") / 2)).join(sizes, "item_id").select("h", "item_id", "size"), "seeds")
+    grams = known.where("kind = 0 and n > 0").select("item_id", "h").distinct()
+    seeds = stored(grams.join(sizes, "item_id").select("h", "item_id", "size"), "seeds")
     told = F.log((F.lit(float(total)) + 1) / (F.col("n") + 0.5)) + 0.1  # also a word that all documents hold tells a little
     weights = known.where("kind = 1").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", told.alias("w")))), lambda x: x["w"]).alias("weights"))
     texts = _item_words(items).join(weights, "item_id")
@@ -219,7 +224,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, in_me
             ids, items_, firsts, words, item, weight = (c.to_pylist() for c in b.columns)
             out = []
             for k in range(b.num_rows):
-                s, x, y = align(item[k], np.array(weight[k]), words[k])
+                w = np.array(weight[k])
+                if most(item[k], w, words[k]) < threshold - 1e-9:
+                    continue
+                s, x, y = align(item[k], w, words[k])
                 if s >= threshold:
                     out.append((ids[k], items_[k], s, firsts[k] + x, firsts[k] + y, " ".join(words[k][x:y])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "item_id", "score", "first", "last", "passage"])

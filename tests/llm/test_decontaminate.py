@@ -68,6 +68,31 @@ def test_finds_planted_and_nothing_else(spark):
     assert sorted(map(str, joined)) == sorted(map(str, got))
 
 
+def test_no_score_above_its_bound():
+    rng = random.Random(6)
+    for _ in range(150):
+        item = [rng.choice("abcdef") for _ in range(rng.randint(1, 12))]
+        passage = [rng.choice("abcdefg") for _ in range(rng.randint(0, 9))]
+        of = {w: rng.random() + 0.1 for w in "abcdef"}
+        weight = np.array([of[w] for w in item])
+        assert D.align(item, weight, passage)[0] <= D.most(item, weight, passage) + 1e-9
+
+
+def test_finds_edited_copies_alone_and_beside_others(spark):
+    item = [f"w{i}" for i in range(42)]
+    fill = lambda d: [f"f{d}x{i}" for i in range(30)]
+    edit = lambda d, step: [f"e{d}x{i}" if i % step == step - 1 else w for i, w in enumerate(item)]
+    doc = lambda d, x: (d, " ".join(fill(d) + x + fill(-d)))
+    clean = [doc(d, random.Random(d).sample(item, len(item))) for d in range(100, 400)]  # its words are everyday ones
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    whole = [doc(d, item) for d in range(400, 430)]
+    group = [doc(d, edit(0, 5)) for d in range(500, 560)]
+    for more in ([], whole, group, whole + group, whole[:1] + group):
+        df = spark.createDataFrame([*clean, *more, doc(5, edit(5, 5)), doc(4, edit(4, 4))], "doc_id long, text string")
+        for in_memory in (D.SEEDS_IN_MEMORY, 0) if more == whole else (D.SEEDS_IN_MEMORY,):
+            assert {r.doc_id for r in D.leaks(df, bench, in_memory=in_memory).collect()} == {4, 5} | {d for d, _ in more}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
