@@ -94,6 +94,7 @@ def catalog():
     ds = f", {STATES}, k(o, l) AS (VALUES {ck}), d AS (SELECT o, l, s.entity, MIN(date) FILTER (WHERE n_obs >= o AND n_lit >= l) AS doe FROM states s, k GROUP BY 1, 2, 3)"
     c["cal5_doe_sweep"] = (["v_panel"], lambda v: C.doe_sweep(states(v), combos), f"{ds} SELECT I(o) AS least_obs, I(l) AS least_lit, N(COUNT(doe)) AS n_entities, MIN(doe) AS first_doe, MAX(doe) AS last_doe, R(COUNT(doe) / COUNT(*)) AS share FROM d GROUP BY 1, 2")
     c["cal6_doe_population"] = (ve, lambda v: C.doe_sweep(states(v).where("date < '1995-04-01'"), combos, v("v_entities")).select("least_obs", "least_lit", "share", F.abs(F.col("share") - 0.9).alias("abs_error")), f"{ds.replace('FROM states s, k', 'FROM states s, k WHERE date < DATE ' + chr(39) + '1995-04-01' + chr(39))} SELECT I(o) AS least_obs, I(l) AS least_lit, R(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population)) AS share, R(ABS(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population) - 0.9)) AS abs_error FROM d JOIN v_entities e ON e.entity = d.entity GROUP BY 1, 2")
+    c["cal6_doe_population_all_dates"] = (ve, lambda v: C.doe_sweep(states(v), combos, v("v_entities")).select("least_obs", "least_lit", "share", F.abs(F.col("share") - 0.9).alias("abs_error")), f"{ds} SELECT I(o) AS least_obs, I(l) AS least_lit, R(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population)) AS share, R(ABS(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population) - 0.9)) AS abs_error FROM d JOIN v_entities e ON e.entity = d.entity GROUP BY 1, 2")
     c["cal7_doe_scenarios"] = (ve, lambda v: C.doe_scenarios({"all": states(v), "late": states(v).withColumn("doe", F.when(F.col("doe") > "1995-02-01", F.col("doe")))}, v("v_entities")), f", {STATES}, u AS (SELECT DISTINCT 'all' AS scenario, entity, doe FROM states UNION SELECT 'late', entity, CASE WHEN doe > DATE '1995-02-01' THEN doe END FROM states) SELECT scenario, area, N(COUNT(*)) AS n, N(COUNT(doe)) AS n_doe, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE doe IS NOT NULL)) AS doe_population FROM u JOIN v_entities e ON e.entity = u.entity GROUP BY 1, 2")
     taus, deltas = [0.55, 0.56, 0.57], [-0.02, -0.01, 0.0, 0.01, 0.02]
     tgt = lambda v: v("v_entities").groupBy("area").agg(F.sum("population").alias("population")).select("area", F.lit(0.6).alias("target"), F.lit(1.0).alias("weight"), "population")
@@ -101,6 +102,7 @@ def catalog():
     c["cal8_area_deltas"] = (ve, lambda v: C.area_deltas(years(v), tgt(v).drop("population"), taus, deltas, 0.5), f", {AD} SELECT R(tau) AS tau, area, R(delta) AS delta, R(share) AS share, R(loss) AS loss FROM ad")
     c["cal8_best_tau"] = (ve, lambda v: C.best_tau(C.area_deltas(years(v), tgt(v).drop("population"), taus, deltas, 0.5), tgt(v).select("area", "population"), 0.6, 10.0), f", {AD}, b AS (SELECT tau, SUM(loss) AS al, SUM(share * w) / SUM(w) AS nat FROM ad JOIN (SELECT area AS a, SUM(population) AS w FROM v_entities GROUP BY 1) q ON q.a = ad.area GROUP BY 1) SELECT R(tau) AS tau, R(al) AS area_loss, R(nat) AS national, R(al + 10 * POWER(nat - 0.6, 2)) AS loss FROM b ORDER BY al + 10 * POWER(nat - 0.6, 2), b.tau LIMIT 1")
     c["cal9_compare_keeps"] = (ve, lambda v: C.compare_keeps(years(v).withColumn("electrified_best", (F.col("p_year") > 0.56).cast("int")), years(v).where("entity % 7 <> 0").withColumn("p_year", F.col("c_year")).withColumn("electrified_best", (F.col("p_year") > 0.55).cast("int")), v("v_entities").select("entity", "area")).groupBy("area", "status").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")), f", {YR} SELECT area, CASE WHEN p_year > 0.56 AND c_year > 0.55 AND entity % 7 <> 0 THEN 'both' WHEN p_year > 0.56 THEN 'a_only' WHEN c_year > 0.55 AND entity % 7 <> 0 THEN 'b_only' ELSE 'neither' END AS status, N(COUNT(*)) AS n, R(AVG(CASE WHEN entity % 7 <> 0 THEN p_year - c_year END)) AS mean_diff FROM ye GROUP BY 1, 2")
+    c["cal9_compare_keeps_all_entities"] = (ve, lambda v: C.compare_keeps(years(v).withColumn("electrified_best", (F.col("p_year") > 0.56).cast("int")), years(v).withColumn("p_year", F.col("c_year")).withColumn("electrified_best", (F.col("p_year") > 0.55).cast("int")), v("v_entities").select("entity", "area")).groupBy("area", "status").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")), f", {YR} SELECT area, CASE WHEN p_year > 0.56 AND c_year > 0.55 THEN 'both' WHEN p_year > 0.56 THEN 'a_only' WHEN c_year > 0.55 THEN 'b_only' ELSE 'neither' END AS status, N(COUNT(*)) AS n, R(AVG(p_year - c_year)) AS mean_diff FROM ye GROUP BY 1, 2")
     vx = ["v_panel", "v_exposure"]
     c["reg1_ols"] = (PEX, lambda v: G.ols(national(v), "strict_dark", "shed_share").drop("t", "df"), f", {PX}, {NA}, {fit_sql('na', 'strict_dark', 'shed_share')} SELECT {FIT} FROM fs")
     c["reg1_ols_by_entity"] = (vx, lambda v: G.ols(exposed(v), "p", "x", ["entity"]).drop("t", "df"), f", {PD}, {fit_sql('pd', 'p', 'x', 'entity')} SELECT entity, {FIT} FROM fs")
@@ -152,6 +154,7 @@ def catalog():
     c["res1_bootstrap"] = (PEX, lambda v: Z.bootstrap_summary(Z.block_bootstrap(nat(v), "strict_dark", "shed_share", "date", 400, 14)), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn), dr AS (SELECT d, (((d * 7919 + b * 104729 + 17) * 48271 % 2147483647) % n + o) % n AS i FROM z, (SELECT UNNEST(GENERATE_SERIES(0, 399)) AS d) q, (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS b) r, (SELECT UNNEST(GENERATE_SERIES(0, 13)) AS o) s WHERE b * 14 + o < n), sl AS (SELECT d, REGR_SLOPE(y, x) AS slope FROM dr JOIN nn ON nn.i = dr.i GROUP BY 1) SELECT N(COUNT(*)) AS n, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS se, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R(LEAST(1, 2 * LEAST(AVG(CAST(slope <= 0 AS INTEGER)), AVG(CAST(slope >= 0 AS INTEGER))))) AS p_value FROM sl")
     c["res2_permutation"] = (PEX, lambda v: Z.block_permutation(nat(v), "strict_dark", "shed_share", "date"), None)
     c["res3_circular_shifts"] = (PEX, lambda v: Z.circular_shifts(nat(v).where("date < '1996-01-01'"), "strict_dark", "shed_share", "date"), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL AND date < DATE '1996-01-01'), z AS (SELECT COUNT(*) AS n FROM nn) SELECT I(s) AS shift, R(REGR_SLOPE(a.y, b.x)) AS slope FROM nn a, z, (SELECT UNNEST(GENERATE_SERIES(1, (SELECT n - 1 FROM z))) AS s) k JOIN nn b ON b.i = (a.i + s) % n GROUP BY 1")
+    c["res3_circular_shifts_all_dates"] = (PEX, lambda v: Z.circular_shifts(nat(v), "strict_dark", "shed_share", "date"), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn) SELECT I(s) AS shift, R(REGR_SLOPE(a.y, b.x)) AS slope FROM nn a, z, (SELECT UNNEST(GENERATE_SERIES(1, (SELECT n - 1 FROM z))) AS s) k JOIN nn b ON b.i = (a.i + s) % n GROUP BY 1")
     c["res4_ar1"] = (PEX, lambda v: Z.ar1_fit(nat(v), "strict_dark", "shed_share"), None)
     c["res5_first_difference"] = (PEX, lambda v: Z.first_difference(nat(v), "strict_dark", "shed_share").drop("t", "df"), f", {PX}, {NA}, dd AS (SELECT a.strict_dark - b.strict_dark AS y, a.shed_share - b.shed_share AS x FROM na a JOIN na b ON b.date = a.date - 1), {fit_sql('dd', 'y', 'x')} SELECT {FIT} FROM fs")
     c["res5_lagged_outcome"] = (PEX, lambda v: G.multiple(S.day_lag(nat(v), "strict_dark"), "strict_dark", ["shed_share", "lag_strict_dark"]).where("term = 'shed_share'").select("n", F.col("estimate").alias("slope")), f", {PX}, {NA}, q AS (SELECT a.strict_dark AS y, a.shed_share AS x, b.strict_dark AS l FROM na a JOIN na b ON b.date = a.date - 1 WHERE a.strict_dark IS NOT NULL AND b.strict_dark IS NOT NULL) SELECT N(COUNT(*)) AS n, R((COVAR_POP(y, x) * VAR_POP(l) - COVAR_POP(y, l) * COVAR_POP(x, l)) / (VAR_POP(x) * VAR_POP(l) - POWER(COVAR_POP(x, l), 2))) AS slope FROM q")

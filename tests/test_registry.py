@@ -2,12 +2,15 @@
 
 import datetime
 import decimal
+import functools
 import math
 
 import duckdb
 import pytest
 
 from duskgrid.plans import registry
+from duskgrid.plans.series import national
+from duskgrid.sources.views import view
 
 SF = "/root/testdata/sf0.001"
 ORACLES = registry.oracle_sql()
@@ -64,3 +67,14 @@ def test_iterative_fits(spark):
     assert q.dispersion > 0 and q.se > 0
     ci = run("res6_mean_bootstrap").toPandas()
     assert (ci.low <= ci["mean"]).mean() > 0.95 and (ci.high >= ci["mean"]).mean() > 0.95
+
+
+def test_whole_tables(spark):
+    run = lambda n: registry.queries()[n](spark, SF)
+    n = national(functools.partial(view, spark, SF)).where("strict_dark is not null and shed_share is not null").count()
+    assert sorted(r.shift for r in run("res3_circular_shifts_all_dates").collect()) == list(range(1, n)) and n > 366
+    whole = {(r.least_obs, r.least_lit): r.share for r in run("cal6_doe_population_all_dates").collect()}
+    prefix = {(r.least_obs, r.least_lit): r.share for r in run("cal6_doe_population").collect()}
+    assert whole.keys() == prefix.keys() and all(whole[k] >= prefix[k] for k in whole) and whole != prefix
+    kept = run("cal9_compare_keeps_all_entities").agg({"n": "sum"}).first()[0]
+    assert kept == view(spark, SF, "v_panel").join(view(spark, SF, "v_entities"), "entity").select("entity").distinct().count()
