@@ -13,20 +13,25 @@ def numbered(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
     return _clean(df, y, x).select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).alias("i"), F.col(order).alias("at"), F.col(y).alias("y"), F.col(x).alias("x"))
 
 
-def drawn_blocks(spark, n: int, draws: int, block: int, seed: int = 17) -> DataFrame:
-    """draw, i: n positions of each draw, in circular blocks whose starts follow from an arithmetic sequence."""
+def drawn_blocks(spark, n: int, draws: int, block: int, seed: int = 17, mixed: bool = True) -> DataFrame:
+    """draw, i: n positions of each draw, in circular blocks whose starts are a hash of draw, block and seed modulo n.
+
+    Unmixed, the starts follow from an arithmetic sequence: they step evenly, and the draws are shifts of one another.
+    """
     blocks = -(-n // block)
     grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     start = F.pmod((F.col("draw") * 7919 + F.col("b") * 104729 + seed) * 48271 % 2147483647, F.lit(n))
+    if mixed:
+        start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(",", "draw", "b", F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(n))
     rows = grid.withColumn("s", start).select("draw", "b", "s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
     return rows.where(F.col("b") * block + F.col("o") < n).select("draw", F.pmod(F.col("s") + F.col("o"), F.lit(n)).alias("i"))
 
 
-def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14) -> DataFrame:
-    """draw, slope of moving-block draws of a daily series; block 1 is the iid bootstrap."""
+def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, mixed: bool = True) -> DataFrame:
+    """draw, slope of moving-block draws of a daily series; block 1 is the iid bootstrap. Unmixed starts are not random."""
     rows = numbered(df, y, x, order)
     n = rows.count()
-    picks = drawn_blocks(df.sparkSession, n, draws, block)
+    picks = drawn_blocks(df.sparkSession, n, draws, block, mixed=mixed)
     return picks.join(F.broadcast(rows), "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("slope"))
 
 

@@ -151,14 +151,15 @@ def catalog():
     c["reg24_threshold_slopes"] = (vx, lambda v: G.threshold_slopes(exposed(v), "x", [0.05, 0.5, 0.95], 60), f", {PD}, q AS (SELECT entity, t AS cut, CAST(p < t AS INTEGER) AS y, x FROM pd, (SELECT UNNEST([0.05, 0.5, 0.95]) AS t) k) SELECT entity, R(cut) AS cut, N(COUNT(*)) AS n, R(CASE WHEN STDDEV_POP(y) <= 1e-12 THEN 0 ELSE REGR_SLOPE(y, x) END) AS slope FROM q GROUP BY 1, 2 HAVING COUNT(*) >= 60")
     c["reg25_step_quantiles"] = (PEX, lambda v: G.weighted_quantiles(slopes(v), "slope", "demand", [0.1, 0.25, 0.5, 0.9], step=True), f", {SL}, {WQ} SELECT R(prob) AS prob, R(MIN(slope)) AS value FROM wq, k WHERE c >= prob - 1e-12 GROUP BY 1")
     nat = lambda v: national(v).select("date", "strict_dark", "shed_share")
-    c["res1_bootstrap"] = (PEX, lambda v: Z.bootstrap_summary(Z.block_bootstrap(nat(v), "strict_dark", "shed_share", "date", 400, 14)), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn), dr AS (SELECT d, (((d * 7919 + b * 104729 + 17) * 48271 % 2147483647) % n + o) % n AS i FROM z, (SELECT UNNEST(GENERATE_SERIES(0, 399)) AS d) q, (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS b) r, (SELECT UNNEST(GENERATE_SERIES(0, 13)) AS o) s WHERE b * 14 + o < n), sl AS (SELECT d, REGR_SLOPE(y, x) AS slope FROM dr JOIN nn ON nn.i = dr.i GROUP BY 1) SELECT N(COUNT(*)) AS n, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS se, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R(LEAST(1, 2 * LEAST(AVG(CAST(slope <= 0 AS INTEGER)), AVG(CAST(slope >= 0 AS INTEGER))))) AS p_value FROM sl")
+    c["res1_bootstrap"] = (PEX, lambda v: Z.bootstrap_summary(Z.block_bootstrap(nat(v), "strict_dark", "shed_share", "date", 400, 14, mixed=False)), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn), dr AS (SELECT d, (((d * 7919 + b * 104729 + 17) * 48271 % 2147483647) % n + o) % n AS i FROM z, (SELECT UNNEST(GENERATE_SERIES(0, 399)) AS d) q, (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS b) r, (SELECT UNNEST(GENERATE_SERIES(0, 13)) AS o) s WHERE b * 14 + o < n), sl AS (SELECT d, REGR_SLOPE(y, x) AS slope FROM dr JOIN nn ON nn.i = dr.i GROUP BY 1) SELECT N(COUNT(*)) AS n, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS se, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R(LEAST(1, 2 * LEAST(AVG(CAST(slope <= 0 AS INTEGER)), AVG(CAST(slope >= 0 AS INTEGER))))) AS p_value FROM sl")
+    c["res1_bootstrap_mixed"] = (PEX, lambda v: Z.bootstrap_summary(Z.block_bootstrap(nat(v), "strict_dark", "shed_share", "date", 2000, 14)), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn), dr AS (SELECT d, ((CAST('0x' || SUBSTR(MD5(d || ',' || b || ',17'), 1, 8) AS BIGINT)) % n + o) % n AS i FROM z, (SELECT UNNEST(GENERATE_SERIES(0, 1999)) AS d) q, (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS b) r, (SELECT UNNEST(GENERATE_SERIES(0, 13)) AS o) s WHERE b * 14 + o < n), sl AS (SELECT d, REGR_SLOPE(y, x) AS slope FROM dr JOIN nn ON nn.i = dr.i GROUP BY 1) SELECT N(COUNT(*)) AS n, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS se, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R(LEAST(1, 2 * LEAST(AVG(CAST(slope <= 0 AS INTEGER)), AVG(CAST(slope >= 0 AS INTEGER))))) AS p_value FROM sl")
     c["res2_permutation"] = (PEX, lambda v: Z.block_permutation(nat(v), "strict_dark", "shed_share", "date"), None)
     c["res3_circular_shifts"] = (PEX, lambda v: Z.circular_shifts(nat(v).where("date < '1996-01-01'"), "strict_dark", "shed_share", "date"), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL AND date < DATE '1996-01-01'), z AS (SELECT COUNT(*) AS n FROM nn) SELECT I(s) AS shift, R(REGR_SLOPE(a.y, b.x)) AS slope FROM nn a, z, (SELECT UNNEST(GENERATE_SERIES(1, (SELECT n - 1 FROM z))) AS s) k JOIN nn b ON b.i = (a.i + s) % n GROUP BY 1")
     c["res3_circular_shifts_all_dates"] = (PEX, lambda v: Z.circular_shifts(nat(v), "strict_dark", "shed_share", "date"), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn) SELECT I(s) AS shift, R(REGR_SLOPE(a.y, b.x)) AS slope FROM nn a, z, (SELECT UNNEST(GENERATE_SERIES(1, (SELECT n - 1 FROM z))) AS s) k JOIN nn b ON b.i = (a.i + s) % n GROUP BY 1")
     c["res4_ar1"] = (PEX, lambda v: Z.ar1_fit(nat(v), "strict_dark", "shed_share"), None)
     c["res5_first_difference"] = (PEX, lambda v: Z.first_difference(nat(v), "strict_dark", "shed_share").drop("t", "df"), f", {PX}, {NA}, dd AS (SELECT a.strict_dark - b.strict_dark AS y, a.shed_share - b.shed_share AS x FROM na a JOIN na b ON b.date = a.date - 1), {fit_sql('dd', 'y', 'x')} SELECT {FIT} FROM fs")
     c["res5_lagged_outcome"] = (PEX, lambda v: G.multiple(S.day_lag(nat(v), "strict_dark"), "strict_dark", ["shed_share", "lag_strict_dark"]).where("term = 'shed_share'").select("n", F.col("estimate").alias("slope")), f", {PX}, {NA}, q AS (SELECT a.strict_dark AS y, a.shed_share AS x, b.strict_dark AS l FROM na a JOIN na b ON b.date = a.date - 1 WHERE a.strict_dark IS NOT NULL AND b.strict_dark IS NOT NULL) SELECT N(COUNT(*)) AS n, R((COVAR_POP(y, x) * VAR_POP(l) - COVAR_POP(y, l) * COVAR_POP(x, l)) / (VAR_POP(x) * VAR_POP(l) - POWER(COVAR_POP(x, l), 2))) AS slope FROM q")
-    c["res6_mean_bootstrap"] = (["v_panel"], lambda v: Z.mean_bootstrap(v("v_panel"), "p", "entity", 100), None)
+    c["res6_mean_bootstrap"] = (["v_panel"], lambda v: Z.mean_bootstrap(v("v_panel"), "p", "entity"), None)
     pt = ["v_points"]
     c["spa1_assign_area"] = (pt, lambda v: A.assign_area(v("v_points"), boxes(v), 0.1), f"SELECT entity, R(x) AS x, R(y) AS y, {BOX} AS area FROM v_points")
     c["spa2_renamed"] = (pt, lambda v: A.renamed_areas(A.assign_area(v("v_points"), boxes(v), 0.1), {"Q00": "SOUTH WEST"}).select("entity", "area"), f"SELECT entity, CASE WHEN {BOX} = 'q00' THEN 'SOUTH WEST' ELSE UPPER({BOX}) END AS area FROM v_points")

@@ -181,3 +181,21 @@ def test_date_in_name(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select(io.date_in_name(F.col("n")).alias("d")).collect()
     assert [r.d for r in got] == [D(2023, 10, 4), D(2023, 10, 5), D(2023, 10, 6), None, None]
     assert math.isfinite(1.0)
+
+
+def test_block_bootstrap_agrees_with_random_starts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, block, draws = 1500, 14, 400
+    e, x = np.zeros((2, n))
+    for i in range(1, n):
+        e[i], x[i] = 0.7 * e[i - 1] + rng.normal(), 0.7 * x[i - 1] + rng.normal()
+    y = 0.3 * x + e
+    slopes = []
+    for _ in range(2000):
+        i = ((rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)) % n).ravel()[:n]
+        slopes.append(np.polyfit(x[i], y[i], 1)[0])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "day int, y double, x double")
+    se = resample.bootstrap_summary(resample.block_bootstrap(df, "y", "x", "day", draws, block)).first().se
+    assert abs(se / np.std(slopes, ddof=1) - 1) < 0.2
