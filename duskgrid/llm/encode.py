@@ -25,7 +25,7 @@ CACHE_SEGMENTS = 600_000
 #: Sentence marks that may end a word.
 _MARKS = ".,;:!?"
 #: Words that the model can take as they are: letters up to U+024F whose lower case is one letter too.
-_PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{1bf}]+[.,;:!?]*$"
+_PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{1bf}]+$"
 #: A byte's character in byte-level vocabularies: itself where printable, else one from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
@@ -54,77 +54,70 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.direct, self.most = self.tokenizer.model, False, CACHE_SEGMENTS
         self.mode = next((m for m in ("drop", "keep") if self._holds(m)), "whole")
-        self.direct = self._direct_holds()
+        self.direct = self.mode != "whole" and self._direct_holds()
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
+        self.index: dict[str, int] = {"": 0}  # the empty segment has no ids
+        self.start, self.size, self.flat = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
         self.hits, self.used = np.zeros(1 << 12, np.int32), 0
 
     def _keep_frequent(self) -> None:
         """Forgets all segments that one batch only has asked for."""
         words, n = list(self.index), len(self.index)
+        self.hits[0] = 0
         kept = np.flatnonzero(self.hits[:n] > 1)
         if len(kept) > n // 2:
             kept = kept[np.argsort(-self.hits[kept], kind="stable")[: n // 2]]
-        size = self.size[kept].astype(np.int64)
-        ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        kept = np.concatenate([[0], kept])
+        ends, flat = self._gathered(kept)
         self._forget()
         self.index = {words[k]: i for i, k in enumerate(kept.tolist())}
-        self.start, self.size, self.hits, self.flat, self.used = ends - size, size.astype(np.int32), np.ones(len(kept), np.int32), flat, len(flat)
+        self.size, self.hits, self.flat, self.used = np.diff(ends), np.ones(len(kept), np.int32), flat, len(flat)
+        self.start = ends[:-1]
 
-    def _plain(self, segments: list[str]) -> list[list[int] | None]:
-        """Ids straight from the model, for words of Latin letters with sentence marks behind; None for all else."""
+    def _gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of entries, one after the other."""
+        return _picked(self.start[entries], self.size[entries], self.flat)
+
+    def _direct_ids(self, segments: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
+        """Which segments are words that the model takes as they are; how many ids each of these has, and the ids."""
         both = pa.array(segments, pa.large_string())
-        plain = np.flatnonzero(pc.match_substring_regex(both, _PLAIN).to_numpy(zero_copy_only=False))
-        both = both.take(pa.array(plain))
-        cores = pc.utf8_rtrim(both, _MARKS)
-        marks = pc.utf8_slice_codeunits(both, 0) if not len(plain) else pa.array([x[n:] for x, n in zip(both.to_pylist(), pc.utf8_length(cores).to_pylist(), strict=True)], pa.large_string())
+        plain = pc.match_substring_regex(both, _PLAIN).to_numpy(zero_copy_only=False)
+        both = both.filter(pa.array(plain))
         if self.mode == "drop":
-            cores = pc.utf8_lower(cores)
-        out: list[list[int] | None] = [None] * len(segments)
-        coded, tokenize, index = cores.dictionary_encode(), self.model.tokenize, self.index
-        known = []
-        for w in coded.dictionary.to_pylist():
-            k = index.get(w, -1)
-            if k >= 0:
-                known.append(self.flat[self.start[k] : self.start[k] + self.size[k]].tolist())
-            elif w.isascii():
-                known.append([t.id for t in tokenize(w.replace(" ", "\u0120"))])
-            else:
-                known.append([t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))])
-        ends = {"": []}
-        for i, k, m in zip(plain.tolist(), coded.indices.to_pylist(), marks.to_pylist(), strict=True):
-            if m not in ends:
-                ends[m] = [t.id for t in tokenize(m)]
-            out[i] = known[k] + ends[m]
-        return out
+            both = pc.utf8_lower(both)
+        tokenize, sizes, ids = self.model.tokenize, [], []
+        for w in strings(both):
+            found = tokenize(w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return plain, sizes, ids
 
     def _direct_holds(self) -> bool:
         """Whether the model alone gives the library's ids for such words."""
-        probes = ["the", " the", "Straße.", " Übung,", "élève!?", "x", " niño...", "DON", "ß;", " ﬁ", "İx", "ŉa"]
+        probes = ["the", " the", "Straße", " Übung", "élève", "x", " niño", "DON", "ß", " ﬁ", "İx", "ŉa"]
         if self.mode == "drop":  # where no segment begins with a space
             probes = [p.strip() for p in probes]
-        found = self._plain(probes) if self.mode != "whole" else [[]]
-        return all(f is None or f == w for f, w in zip(found, self._whole(probes)))
+        plain, sizes, ids = self._direct_ids(probes)
+        whole = self._whole([p for p, ok in zip(probes, plain, strict=True) if ok])
+        return [len(x) for x in whole] == sizes and list(chain.from_iterable(whole)) == ids
 
     def _holds(self, mode: str) -> bool:
         """Whether probes with every kind of boundary encode alike whole and in segments."""
         self.mode = mode
         self._forget()
-        probes = ["a b", "Don't stop, it's  x", "ab\ncd", " ab", "ab ", "x.\n\ny", "1 234 5.6", "é ñ ü\tß", "they're 'll we", "a b 　c", "foo !bar ?\n(z)"]
+        probes = ["a b", "Don't stop, it's  x", "ab\ncd", " ab", "ab ", "x.\n\ny", "1 234 5.6", "é ñ ü\tß", "they're 'll we", "a b 　c", "foo !bar ?\n(z)", "x1, 2y?! 3... a.b; 'q': (r)."]
         off, ids = self.encode(pa.array(probes, pa.large_string()))
         return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         if self.mode == "whole":
-            return _joined(self._whole(texts.to_pylist()))
+            return _joined(self._whole(strings(texts)))
         odd = pc.match_substring_regex(texts, _SPACE + "{2}") if self.mode == "keep" else pa.array(np.zeros(n, bool))
         for s in self.specials:
             odd = pc.or_(odd, pc.match_substring(texts, s))
@@ -133,7 +126,7 @@ class Encoder:
         if not odd.any():
             return np.concatenate([[0], np.cumsum(counts)]), ids
         at = np.flatnonzero(odd)
-        own = self._whole(texts.take(pa.array(at)).to_pylist())
+        own = self._whole(strings(texts.take(pa.array(at))))
         counts[at] = [len(x) for x in own]
         off = np.concatenate([[0], np.cumsum(counts)])
         out, plain = np.empty(off[-1], np.int32), np.ones(off[-1], bool)
@@ -152,53 +145,87 @@ class Encoder:
         off = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values[off[0] : off[-1]].dictionary_encode()
         off = off - off[0]
-        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        if not len(code):
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+        words, mark, marks = self._without_marks(distinct)
         if self.mode == "keep":  # a word has a leading space unless it begins the text or a line
-            feed = np.fromiter((w == "\n" for w in words), bool, len(words))[code]
-            lead = ~feed
-            lead[1:] &= ~feed[:-1]
-            lead[off[:-1][np.diff(off) > 0]] = False
-            code = code * 2 + lead
-        seen = np.zeros(2 * len(words) + 2, bool)
-        seen[code] = True
-        keys = np.flatnonzero(seen)
-        place = np.zeros(len(seen), np.int64)
-        place[keys] = np.arange(len(keys))
-        entry = self._entries([" " * (k & 1) + words[k >> 1] for k in keys.tolist()] if self.mode == "keep" else [words[k] for k in keys.tolist()])
-        which = entry[place[code]] if len(code) else code
-        size = self.size[which].astype(np.int64)
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat((self.start[which] - (ends - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)] if total else np.zeros(0, np.int32)
-        upto = np.concatenate([[0], ends])
-        return np.diff(upto[off]), ids
+            feed = code == pc.index(distinct, "\n").as_py()
+            spaced = ~feed
+            spaced[1:] &= ~feed[:-1]
+            spaced[off[:-1][np.diff(off) > 0]] = False
+            code = code * 2 + spaced
+            seen = np.zeros(2 * len(words), bool)
+            seen[code] = True
+            keys = np.flatnonzero(seen)
+            place = np.zeros(len(seen), np.int32)
+            place[keys] = np.arange(len(keys), dtype=np.int32)
+            code, mark = place[code], mark[keys >> 1]
+            words = [f" {words[k >> 1]}" if k & 1 else words[k >> 1] for k in keys.tolist()]
+        entries = self._entries(words + marks)
+        own, behind = entries[: len(words)], entries[len(words) :][mark]
+        ends, flat = self._gathered(np.stack([own, behind], axis=1).ravel())  # a segment's ids are its word's and its marks'
+        ends, ids = _picked(ends[:-1:2][code], np.diff(ends[::2])[code], flat)
+        return np.diff(ends[off]).astype(np.int64), ids
+
+    def _without_marks(self, distinct: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+        """Segments without closing sentence marks; the number of each one's marks, and the distinct marks, none first.
+
+        No token crosses from a letter or digit to a mark, so the two encode on their own.
+        """
+        words, mark, marks = strings(distinct), np.zeros(len(distinct), np.int64), {"": 0}
+        cores = pc.utf8_rtrim(distinct, _MARKS)
+        at = np.flatnonzero(pc.binary_length(cores).to_numpy() != pc.binary_length(distinct).to_numpy())
+        cores = cores.take(pa.array(at))
+        ends = pc.match_substring_regex(cores, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)
+        for i, core in zip(at[ends].tolist(), strings(cores.filter(pa.array(ends))), strict=True):
+            mark[i] = marks.setdefault(words[i][len(core) :], len(marks))
+            words[i] = core
+        return words, mark, list(marks)
 
     def _entries(self, segments: list[str]) -> np.ndarray:
         """The cache's entry of each segment; what it lacks is encoded and added."""
         if len(self.index) > self.most:
             self._keep_frequent()
         index = self.index
-        found = [index.get(s, -1) for s in segments]
-        fresh = [s for s, x in zip(segments, found, strict=True) if x < 0]
-        if fresh:
-            lists = self._plain(fresh) if self.direct else [None] * len(fresh)
-            rest = [i for i, x in enumerate(lists) if x is None]
-            for i, ids in zip(rest, self._whole([fresh[i] for i in rest]), strict=True):
-                lists[i] = ids
-            off, ids = _joined(lists)
-            first, last = len(index), len(index) + len(fresh)
-            self.start, self.size, self.hits = _grown(self.start, last), _grown(self.size, last), _grown(self.hits, last)
-            self.flat = _grown(self.flat, self.used + len(ids))
-            self.start[first:last], self.size[first:last] = off[:-1] + self.used, np.diff(off)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            index.update(zip(fresh, range(first, last), strict=True))
-            found = [index[s] for s in segments]
-        entries = np.array(found, np.int64)
+        entries = np.array([index.get(s, -1) for s in segments], np.int32)
+        lacking = np.flatnonzero(entries < 0).tolist()
+        if lacking:
+            fresh = list(dict.fromkeys(segments[i] for i in lacking))
+            first = len(index)
+            if self.direct:
+                plain, sizes, ids = self._direct_ids(fresh)
+                fresh, rest = [s for s, ok in zip(fresh, plain.tolist(), strict=True) if ok], [s for s, ok in zip(fresh, plain.tolist(), strict=True) if not ok]
+            else:
+                sizes, ids, fresh, rest = [], [], [], fresh
+            own = self._whole(rest)
+            sizes = np.array(sizes + [len(x) for x in own], np.int32)
+            ids = np.fromiter(chain(ids, chain.from_iterable(own)), np.int32)
+            index.update(zip(chain(fresh, rest), range(first, first + len(sizes)), strict=True))
+            last, used = len(index), self.used + len(ids)
+            self.start, self.size, self.hits, self.flat = _grown(self.start, last), _grown(self.size, last), _grown(self.hits, last), _grown(self.flat, used)
+            self.start[first:last], self.size[first:last] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.flat[self.used : used] = ids
+            self.used = used
+            entries[lacking] = [index[segments[i]] for i in lacking]
         self.hits[entries] += 1
         return entries
 
 
+def strings(a: pa.Array) -> list[str]:
+    """The array's values, by way of an object array, which is many times faster than to_pylist()."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def _picked(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of flat[start[i] : start[i] + size[i]], one run after the other; a batch's ids fit 32-bit places."""
+    ends = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    places = np.repeat(start - ends[:-1], size)
+    places += np.arange(len(places), dtype=np.int32)
+    return ends, flat[places]
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
