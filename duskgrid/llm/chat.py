@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, slices, stored, texts_of
+from duskgrid.llm.common import batch_rows, slices, stored, texts_of
 from duskgrid.llm.encode import encoder
 
 #: Tokens of a window, of the history it repeats, and what a turn's marks cost.
@@ -79,7 +79,7 @@ def turn_positions(convs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     rows = convs.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.withColumn("_h", F.xxhash64("role", "text")).repartitionByRange("conv_id", "turn", "_h").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    local = stored(map_arrow(ordered, task, "conv_id long, part long, idx long, at long, role string, text string, n long"), "turns")
+    local = stored(ordered.mapInArrow(task, "conv_id long, part long, idx long, at long, role string, text string, n long"), "turns")
     sums = local.groupBy("conv_id", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     before = sums.select("conv_id", "part", F.sum("rows").over(earlier).alias("rows"), F.sum("tokens").over(earlier).alias("tokens")).where("rows > 0")
@@ -131,12 +131,14 @@ def format_windows(convs: DataFrame, tokenizer_path: str, budget: int = BUDGET,
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds, strict=True)], names=["conv_id", "window", "n_repeated", "n_tokens", "text", "loss_start", "loss_end"])
 
-    return map_arrow(grouped.join(system, "conv_id", "left").select("conv_id", "window", "turns", "system"), task, WINDOWS, rows=500)
+    return grouped.join(system, "conv_id", "left").select("conv_id", "window", "turns", "system").mapInArrow(task, WINDOWS)
 
 
 def write_windows(convs: DataFrame, path: str, tokenizer_path: str, budget: int = BUDGET, history: int = HISTORY) -> str:
     """Writes the windows of convs as Parquet to path, a folder that all executors reach."""
-    format_windows(convs, tokenizer_path, budget, history).write.option("compression", "zstd").parquet(path)
+    windows = format_windows(convs, tokenizer_path, budget, history)
+    with batch_rows(convs.sparkSession, 500):
+        windows.write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -183,4 +185,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             done()
             yield batch()
 
-    return map_arrow(rows.repartition("conv_id").sortWithinPartitions("conv_id", "window"), task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", rows=500)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

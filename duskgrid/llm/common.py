@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +20,16 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 4, 2
 
 
+#: Paths that each open scratch() has handed out, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, one of our own where all is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="duskgrid-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/duskgrid-{spark.sparkContext.applicationId}"
@@ -27,30 +37,68 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, so a lost executor costs no earlier work."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders, through Spark's own file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, path: str) -> Iterator[None]:
+    """Deletes what is stored inside, path excepted, when it ends well: for jobs whose result is written to path by then."""
+    _scratch.append([])
+    try:
+        yield
+        deleted(spark, (p for p in _scratch[-1] if p != path))
+    finally:
+        _scratch.pop()
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside use Arrow batches of at most so many rows; afterwards the session's setting is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, rows: int = 2000, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends there, so a lost executor costs no earlier work.
+
+    rows bounds the Arrow batches of Python steps on the way.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path = path or new_path(spark, name)
+    with batch_rows(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives the system back what training has freed: Arrow's pool and the C heap keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows that no training step may see."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == HELD_OUT
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """df.mapInArrow(fn), with at most so many rows a batch unless the session asks for fewer."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-    return df.mapInArrow(fn, schema)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that column holds about most_bytes in each (a single longer row stays whole)."""
     for batch in batches:
@@ -63,6 +111,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(a, b - a)
 
 
+def strings(a: pa.Array) -> list:
+    """The array's values, by way of an object array, which is many times faster than to_pylist()."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def fields(df: DataFrame, columns: Iterable[str]) -> str:
+    """The columns of df as a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def text_bytes(col: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -91,14 +149,13 @@ def crc_of_ids(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def ids_crc32(df: DataFrame, column: str = "ids", out: str = "ids_crc32") -> DataFrame:
     """df with the list of ids replaced by its checksum."""
     kept = [c for c in df.columns if c != column]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
 
     def digest(batches):
         for b in batches:
             col = b.column(b.schema.get_field_index(column))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(crc_of_ids(col.flatten().to_numpy(), list_offsets(col)))], names=[*kept, out])
 
-    return map_arrow(df, digest, f"{fields}, {out} long", rows=1000)
+    return df.mapInArrow(digest, f"{fields(df, kept)}, {out} long")
 
 
 def splitmix(x: np.ndarray, salt: int = 0) -> np.ndarray:

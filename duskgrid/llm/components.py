@@ -1,11 +1,15 @@
-"""Connected components of a link table by alternating stars, with no step that gathers a component in one place."""
+"""Connected components of a link table by alternating stars.
+
+Each turn is joins and aggregates on a node. The aggregates combine before they shuffle; in the joins a root of very many
+members is one key, whose rows adaptive execution splits over tasks (spark.sql.adaptive.skewJoin).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import stored
+from duskgrid.llm.common import deleted, new_path, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -26,9 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     stars around roots; the number of turns grows with the logarithm of the longest path.
     """
     now = stored(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = None
+    mark, path = None, None
     while True:
-        now = stored(_star(_star(now, True), False), "stars")
+        last, path = path, new_path(links.sparkSession, "stars")
+        now = stored(_star(_star(now, True), False), "stars", path=path)
+        deleted(links.sparkSession, [last] if last else [])
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,20 +1,21 @@
 """Benchmark decontamination: n-gram seeds lead passages to test items, Smith-Waterman alignment scores them.
 
-1. All documents are counted to see how many hold each n-gram and word of the items.
-2. Every n-gram of an item that some document holds is a seed. None is left out for being common: n-grams that an edit
-   broke are rarer than those that survive it wherever whole copies exist too, so no ranking by count is safe.
-3. A document's seed hits give passages: the words around hits of an item that lie near each other.
-4. Each passage is aligned with its item, word by word, by Smith-Waterman local alignment; words weigh what they tell
-   (log of the share of documents without them, from the same count), so agreeing on `the` means little. The score is
-   the share of the item's own weight that the best alignment keeps; edited and partly paraphrased copies keep most.
+1. Every n-gram of an item is a seed. None is left out for being common: n-grams that an edit broke are rarer than those
+   that survive it wherever whole copies exist too, so no ranking by count is safe.
+2. One pass over all documents finds their seeds, hence passages (the words around hits of an item that lie near each
+   other), and counts how many documents hold each word of the items.
+3. Each passage is aligned with its item, word by word, by Smith-Waterman local alignment; words weigh what they tell
+   (log of the share of documents without them, from that count), so agreeing on `the` means little. The score is the
+   share of the item's own weight that the best alignment keeps; edited and partly paraphrased copies keep most.
    Passages whose words, in any order, weigh too little for the threshold can't reach it and aren't aligned.
 
-Items are looked up in memory where there are few enough n-grams (SEEDS_IN_MEMORY, counted first); beyond it the same
-steps run as joins on the n-gram, at every size.
+Seeds are looked up in memory where there are few enough (SEEDS_IN_MEMORY, counted first). Beyond it the pass emits
+n-grams and words to be joined and counted instead; both ways give the same passages and counts for every row.
 
 Defined results: null, empty or wordless documents and items match nothing; items shorter than the n-gram are one
-shorter n-gram; null ids take no part; repeated rows are each reported; empty tables give an empty result; other
-columns are ignored.
+shorter n-gram; null ids take no part; rows that repeat a doc_id are looked at one by one, and of all their passages for
+an item the best is reported, once; rows that repeat an item_id with other texts are looked for one by one too, and the
+best is reported under that id; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, slices, splitmix, stored, texts_of
+from duskgrid.llm.common import slices, splitmix, stored, texts_of
 from duskgrid.llm.words import words_of
 
 #: Words of a seed, and the seeds that may be held in memory: 16 MB of hashes.
@@ -33,7 +34,8 @@ NGRAM, SEEDS_IN_MEMORY = 3, 2_000_000
 THRESHOLD, PENALTY = 0.5, 0.5
 #: Hits of an item further apart than this many item lengths belong to different passages.
 REACH = 1
-PASSAGES = "doc_id long, item_id long, first long, words array<string>"
+#: What the pass over the documents writes: passages (doc_id to words), and counts of word hashes (h, n) with a null item_id.
+FOUND = "doc_id long, item_id long, first long, words array<string>, h long, n long"
 #: Rows of one document's hits may meet many items; batches hold this many bytes of text.
 BATCH = 4 << 20
 
@@ -67,44 +69,81 @@ def ngram_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return gram[at].astype(np.int64), doc[at], at - off[doc[at]], off, code, words
 
 
-def _grams(df: DataFrame, key: str, extra_words: bool) -> DataFrame:
-    """key, kind (0 n-gram, 1 word), h, at: every n-gram, and every word too if asked, of df (key, text)."""
+def _grams(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind (0 n-gram, 1 word), h, at: every n-gram and every word of df (keys, all long, and text)."""
 
     def task(batches):
         for b in slices(batches, "text", BATCH):
             g, d, at, off, code, words = ngram_hashes(texts_of(b, "text"))
-            ids = b.column(key)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(np.zeros(len(g), np.int8)), pa.array(g), pa.array(at)], names=[key, "kind", "h", "at"])
-            if extra_words:
-                d = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(np.ones(len(d), np.int8)), pa.array(word_hash(words)[code].astype(np.int64)), pa.array(np.arange(len(d)) - off[d])], names=[key, "kind", "h", "at"])
+            w = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            for kind, row, h, place in ((0, d, g, at), (1, w, word_hash(words)[code].astype(np.int64), np.arange(len(w)) - off[w])):
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)).take(pa.array(row)) for k in keys), pa.array(np.full(len(row), kind, np.int8)), pa.array(h), pa.array(place)], names=[*keys, "kind", "h", "at"])
+
+    return df.select(*keys, "text").mapInArrow(task, ", ".join(f"{k} long" for k in keys) + ", kind byte, h long, at long")
+
+
+def word_counts(off: np.ndarray, code: np.ndarray, words: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the wanted (sorted) word hashes those that the texts hold, and how many texts hold each."""
+    h = word_hash(words).astype(np.int64)
+    place = np.searchsorted(wanted, h).clip(0, max(len(wanted) - 1, 0))
+    mine = np.where(wanted[place] == h, place, -1)[code] if len(wanted) and len(h) else np.full(len(code), -1)
+    held = mine >= 0
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[held]
+    once = np.unique(doc * max(len(wanted), 1) + mine[held])
+    n = np.bincount(once % max(len(wanted), 1), minlength=len(wanted))
+    some = np.flatnonzero(n)
+    return wanted[some], n[some]
+
+
+def _search_in_memory(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """FOUND of docs (doc_id, text) for marks (item_id, kind, h, size); marks are few."""
+    t = marks.toArrow()
+    kind, h, item, size = (t[c].to_numpy() for c in ("kind", "h", "item_id", "size"))
+    wanted = np.unique(h[kind == 1])
+    h, item, size = (x[kind == 0] for x in (h, item, size))
+    order = np.argsort(h, kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, h[order], item[order], size[order]))  # counted before: SEEDS_IN_MEMORY at most
 
-    return map_arrow(df, task, f"{key} long, kind byte, h long, at long", rows=1000)
+    def task(batches):
+        wanted, h, item, size = shared.value
+        for b in slices(batches, "text", BATCH):
+            g, d, at, off, code, words = ngram_hashes(texts_of(b, "text"))
+            lo, hi = np.searchsorted(h, g), np.searchsorted(h, g, "right")
+            hit = np.flatnonzero(hi > lo)
+            many = hi[hit] - lo[hit]
+            ends = np.cumsum(many)
+            k = np.repeat(lo[hit] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+            yield _windows(b.column("doc_id"), np.repeat(d[hit], many), item[k], np.repeat(at[hit], many), size[k], off, code, words)
+            yield _counted(*word_counts(off, code, words, wanted))
 
+    return docs.mapInArrow(task, FOUND)
 
-def _counts(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """h, n: how many documents hold each n-gram or word hash, of those wanted (all, if None)."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def task(batches):
-        keys = shared.value
+def _search_by_join(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """FOUND as _search_in_memory gives it, by joins on the hash; rows are told apart by doc_id and a hash of their text."""
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    grams = stored(_grams(keyed, ["doc_id", "key"]), "document-grams")
+    one = F.struct("item_id", "at", "size")
+    hits = grams.where("kind = 0").join(marks.where("kind = 0").select("h", "item_id", "size"), "h").groupBy("doc_id", "key").agg(F.collect_set(one).alias("hits"))  # a set: equal rows give each hit as often as they are there
+
+    def again(batches):
         for b in slices(batches, "text", BATCH):
-            g, d, _, off, code, words = ngram_hashes(texts_of(b, "text"))
-            wd = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            h = np.concatenate([g, word_hash(words)[code].astype(np.int64)])
-            d = np.concatenate([d, wd])
-            if keys is not None:
-                place = np.searchsorted(keys, h).clip(0, max(len(keys) - 1, 0))
-                held = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                h, d = h[held], d[held]
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            found, n = np.unique(h[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["h", "n"])
-
-    return map_arrow(docs, task, "h long, n long", rows=1000).groupBy("h").agg(F.sum("n").alias("n"))
+            _, _, _, off, code, words = ngram_hashes(texts_of(b, "text"))
+            lists = b.column("hits")
+            flat, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            item, at, size = (flat.field(i).to_numpy() for i in range(3))
+            yield _windows(b.column("doc_id"), np.repeat(np.arange(b.num_rows), n), item, at, size, off, code, words)
+
+    passages = keyed.join(hits, ["doc_id", "key"]).select("doc_id", "text", "hits").mapInArrow(again, FOUND)
+    times = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    held = grams.where("kind = 1").join(marks.where("kind = 1").select("h").distinct(), "h", "left_semi").select("doc_id", "key", "h").distinct()
+    counts = held.join(times, ["doc_id", "key"]).groupBy("h").agg(F.sum("times").alias("n"))
+    return passages.unionByName(counts, allowMissingColumns=True)
+
+
+def _counted(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(h), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(h), pa.list_(pa.string())), pa.array(h), pa.array(n)], names=["doc_id", "item_id", "first", "words", "h", "n"])
 
 
 def _cluster(doc: np.ndarray, item: np.ndarray, at: np.ndarray, reach: np.ndarray):
@@ -118,39 +157,6 @@ def _cluster(doc: np.ndarray, item: np.ndarray, at: np.ndarray, reach: np.ndarra
     return doc[starts], item[starts], at[starts], at[ends[: len(starts)]], reach[starts]
 
 
-def passages(docs: DataFrame, seeds: DataFrame, in_memory: bool) -> DataFrame:
-    """PASSAGES: the words of documents around hits of seeds (h, item_id, size), size being the item's words."""
-    if in_memory:
-        t = seeds.toArrow()
-        h, item, size = (t[c].to_numpy() for c in ("h", "item_id", "size"))
-        order = np.argsort(h, kind="stable")
-        shared = docs.sparkSession.sparkContext.broadcast((h[order], item[order], size[order]))  # counted before: SEEDS_IN_MEMORY at most
-
-        def task(batches):
-            h, item, size = shared.value
-            for b in slices(batches, "text", BATCH):
-                g, d, at, off, code, words = ngram_hashes(texts_of(b, "text"))
-                lo, hi = np.searchsorted(h, g), np.searchsorted(h, g, "right")
-                hit = np.flatnonzero(hi > lo)
-                many = hi[hit] - lo[hit]
-                ends = np.cumsum(many)
-                k = np.repeat(lo[hit] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-                yield _windows(b.column("doc_id"), np.repeat(d[hit], many), item[k], np.repeat(at[hit], many), size[k], off, code, words)
-
-        return map_arrow(docs, task, PASSAGES, rows=1000)
-    hits = _grams(docs, "doc_id", False).join(seeds, "h").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "at", "size")).alias("hits"))
-
-    def again(batches):
-        for b in slices(batches, "text", BATCH):
-            _, _, _, off, code, words = ngram_hashes(texts_of(b, "text"))
-            lists = b.column("hits")
-            flat, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            item, at, size = (flat.field(i).to_numpy() for i in range(3))
-            yield _windows(b.column("doc_id"), np.repeat(np.arange(b.num_rows), n), item, at, size, off, code, words)
-
-    return map_arrow(docs.join(hits, "doc_id").select("doc_id", "text", "hits"), again, PASSAGES, rows=1000)
-
-
 def _windows(ids, doc, item, at, size, off, code, words) -> pa.RecordBatch:
     d, i, a, z, reach = _cluster(doc, item, at, size * REACH)
     first = np.maximum(a - reach, 0)
@@ -160,7 +166,8 @@ def _windows(ids, doc, item, at, size, off, code, words) -> pa.RecordBatch:
     start = (off[d] + first) - cuts[:-1]
     picked = code[np.repeat(start, n) + np.arange(cuts[-1])] if len(d) else code[:0]
     text = pa.array(words, pa.string()).take(pa.array(picked))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(i.astype(np.int64)), pa.array(first.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), text)], names=["doc_id", "item_id", "first", "words"])
+    none = pa.nulls(len(d), pa.int64())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(i.astype(np.int64)), pa.array(first.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), text), none, none], names=["doc_id", "item_id", "first", "words", "h", "n"])
 
 
 def align(item: list[str], weight: np.ndarray, passage: list[str]) -> tuple[float, int, int]:
@@ -203,21 +210,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, in_me
     docs (doc_id, text), items (item_id, text). first and last number the document's words, from 0, last excluded.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    marks = stored(_grams(items, "item_id", True), "item-grams")
-    few = marks.count() <= in_memory
-    wanted = np.unique(marks.select("h").distinct().toArrow()["h"].to_numpy()) if few else None
-    counts = _counts(docs, wanted)
-    counts = stored(counts if few else counts.join(marks.select("h").distinct(), "h", "left_semi"), "gram-counts")
+    named = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("own"), F.col("text").cast("string").alias("text")).distinct()
+    named = stored(named.select(F.xxhash64("own", "text").alias("item_id"), "own", "text"), "items")  # from here on an item is an id with a text
+    items = named.select("item_id", "text")
+    grams = stored(_grams(items, ["item_id"]), "item-grams")
+    sizes = grams.where("kind = 1").groupBy("item_id").agg(F.count("*").alias("size"))
+    marks = stored(grams.select("item_id", "kind", "h").distinct().join(sizes, "item_id"), "marks")
+    search = _search_in_memory if marks.count() <= in_memory else _search_by_join
+    found = stored(search(docs, marks), "passages")
     total = docs.count()
-    known = marks.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sizes = marks.where("kind = 1").groupBy("item_id").agg(F.count("*").alias("size"))
-    grams = known.where("kind = 0 and n > 0").select("item_id", "h").distinct()
-    seeds = stored(grams.join(sizes, "item_id").select("h", "item_id", "size"), "seeds")
+    counts = found.where("item_id is null").groupBy("h").agg(F.sum("n").alias("n"))
+    known = grams.where("kind = 1").join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     told = F.log((F.lit(float(total)) + 1) / (F.col("n") + 0.5)) + 0.1  # also a word that all documents hold tells a little
-    weights = known.where("kind = 1").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", told.alias("w")))), lambda x: x["w"]).alias("weights"))
-    texts = _item_words(items).join(weights, "item_id")
-    found = stored(passages(docs, seeds, few), "passages").join(texts, "item_id").select("doc_id", "item_id", "first", "words", "item", "weights")
+    weights = known.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", told.alias("w")))), lambda x: x["w"]).alias("weights"))
+    texts = stored(_item_words(items).join(weights, "item_id"), "weighed")
+    met = found.where("item_id is not null").join(texts, "item_id").select("doc_id", "item_id", "first", "words", "item", "weights")
 
     def task(batches):
         for b in batches:
@@ -232,10 +239,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, in_me
                     out.append((ids[k], items_[k], s, firsts[k] + x, firsts[k] + y, " ".join(words[k][x:y])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "item_id", "score", "first", "last", "passage"])
 
-    spread = found.repartition(F.col("doc_id"), F.col("first"))
-    scored = map_arrow(spread, task, "doc_id long, item_id long, score double, first long, last long, passage string", rows=500)
-    best = F.max_by(F.struct("score", "first", "last", "passage"), F.struct("score", -F.col("first")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    spread = met.repartition(F.xxhash64("doc_id", "item_id", "first", "words"))
+    scored = stored(spread.mapInArrow(task, "doc_id long, item_id long, score double, first long, last long, passage string"), "scored", 500)
+    best = F.max_by(F.struct("score", "first", "last", "passage"), F.struct("score", -F.col("first"), "passage"))
+    return scored.join(named.select("item_id", "own"), "item_id").groupBy("doc_id", F.col("own").alias("item_id")).agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -245,4 +252,4 @@ def _item_words(items: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(words, pa.string()).take(pa.array(code)))
             yield pa.RecordBatch.from_arrays([b.column("item_id"), lists], names=["item_id", "item"])
 
-    return map_arrow(items, task, "item_id long, item array<string>", rows=1000)
+    return items.mapInArrow(task, "item_id long, item array<string>")

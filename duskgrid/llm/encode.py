@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from duskgrid.llm.common import strings
+
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Segments that a worker remembers at most before it forgets those seen in one batch only; about 120 MB.
 CACHE_SEGMENTS = 600_000
@@ -212,11 +214,6 @@ class Encoder:
         return entries
 
 
-def strings(a: pa.Array) -> list[str]:
-    """The array's values, by way of an object array, which is many times faster than to_pylist()."""
-    return a.to_numpy(zero_copy_only=False).tolist()
-
-
 def _picked(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of flat[start[i] : start[i] + size[i]], one run after the other; a batch's ids fit 32-bit places."""
     ends = np.zeros(len(size) + 1, np.int32)

@@ -7,7 +7,8 @@ its presence vector with (landmarks times coefficients), a matrix of n-grams by
 of texts are scored by that product.
 
 Defined results: lang_pred is `und` with score 0 if the text is null or has no letter, or if no labelled row exists;
-ties go to the language first in alphabetical order; rows are never dropped; null doc_id passes through; other columns
+ties go to the language first in alphabetical order; rows that
+repeat a doc_id and language are one training row (the least of their texts); rows are never dropped; null doc_id passes through; other columns
 pass through unless named like a result.
 """
 
@@ -21,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import held_out, map_arrow, slices, texts_of
+from duskgrid.llm.common import fields, held_out, release_memory, slices, strings, texts_of
 
 GRAMS, BITS = 4, 16
-#: Labelled rows of each language that training sees at most, the longest text among them, and landmarks of each.
-ROWS, TRAIN_CHARS, LANDMARKS = 400, 6000, 60
+#: Training sees, of each language, the first PER_SHARE rows by hash of each of SHARES shares of its labelled rows (448 at
+#: most, so no task needs all rows of a language), texts of at most TRAIN_CHARS, and takes LANDMARKS of them as landmarks.
+SHARES, PER_SHARE, TRAIN_CHARS, LANDMARKS = 64, 7, 6000, 60
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -37,14 +39,14 @@ class Model:
 
 
 def presence(texts: pa.Array):
-    """Yields, for a few texts at a time, (first text, rows, columns): which text holds which hashed n-gram."""
+    """Yields, for a few texts at a time, the first one's number and a 0/1 matrix: which text holds which hashed n-gram."""
     clean = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")
     lens = pc.utf8_length(clean).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lens)
     block = np.maximum(ends // 400_000, np.arange(len(lens)) // 64)  # bounds both characters and texts at a time
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(lens)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        c = np.frombuffer("".join(clean.slice(a, b - a).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        c = np.frombuffer("".join(strings(clean.slice(a, b - a))).encode("utf-32-le"), np.uint32).astype(np.uint64)
         doc = np.repeat(np.arange(b - a), lens[a:b])
         has = np.zeros((b - a, 1 << BITS), bool)
         h = np.zeros(len(c), np.uint64)
@@ -56,16 +58,12 @@ def presence(texts: pa.Array):
                 inside = doc[: len(h)] == doc[n - 1 :]
                 key = (h ^ (h >> np.uint64(32)) ^ np.uint64(n)) * _MIX >> np.uint64(64 - BITS)
                 has[doc[: len(h)][inside], key[inside].astype(np.int64)] = True
-        rows, cols = np.divmod(np.flatnonzero(has), 1 << BITS)
-        yield a, rows, cols, b - a
+        yield a, has
 
 
-def _dense(texts: pa.Array):
-    """Presence rows of a few texts at a time, with the root of how many n-grams each holds."""
-    for _, rows, cols, n in presence(texts):
-        x = np.zeros((n, 1 << BITS), np.float32)
-        x[rows, cols] = 1
-        yield x, np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+def norms(has: np.ndarray) -> np.ndarray:
+    """The root of how many n-grams each text holds."""
+    return np.sqrt(np.maximum(has.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str], ridge: float = 1e-3, seed: int = 3) -> Model:
@@ -75,13 +73,14 @@ def fit(texts: list[str], langs: list[str], ridge: float = 1e-3, seed: int = 3)
     own = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     marks = np.concatenate([rng.permutation(np.flatnonzero(own == k))[:LANDMARKS] for k in range(len(names))])
-    chosen = _dense(pa.array([texts[i] for i in marks], pa.large_string()))
-    z = np.concatenate([x / norm for x, norm in chosen])
-    k = np.concatenate([(x @ z.T) / norm for x, norm in _dense(pa.array(texts, pa.large_string()))]).astype(float)
+    z = np.concatenate([has for _, has in presence(pa.array([texts[i] for i in marks], pa.large_string()))])
+    size = norms(z)
+    blocks = [slice(c, c + (1 << BITS) // 16) for c in range(0, 1 << BITS, (1 << BITS) // 16)]  # floats of a sixteenth at a time
+    k = np.concatenate([sum(has[:, c].astype(np.float32) @ z[:, c].T.astype(np.float32) for c in blocks) / norms(has) / size.T for _, has in presence(pa.array(texts, pa.large_string()))]).astype(float)
     weight = (1 / np.bincount(own)[own])[:, None] * len(own) / len(names)  # languages count alike
     left = k.T @ (k * weight) + ridge * len(own) * k[marks] + 1e-8 * np.eye(len(marks))
     coef = np.linalg.solve(left, k.T @ ((own[:, None] == np.arange(len(names))) * weight))
-    return Model(names, (z.T.astype(float) @ coef).astype(np.float32))
+    return Model(names, np.concatenate([z[:, c].T.astype(float) @ (coef / size) for c in blocks]).astype(np.float32))
 
 
 def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,25 +89,27 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
     if not model.langs:
         return best, score
-    for a, rows, cols, n in presence(texts):
-        starts = np.searchsorted(rows, np.arange(n + 1))
-        full = np.flatnonzero(np.diff(starts))
-        if not len(full):
-            continue
-        f = np.add.reduceat(model.matrix[cols], starts[full], axis=0) / np.sqrt(np.diff(starts)[full, None])
-        best[a + full], score[a + full] = f.argmax(axis=1), np.clip(f.max(axis=1), 0, 1)
+    for a, has in presence(texts):
+        f = has.astype(np.float32) @ model.matrix / norms(has)
+        best[a : a + len(f)], score[a : a + len(f)] = f.argmax(axis=1), np.clip(f.max(axis=1), 0, 1)
     best[~lettered], score[~lettered] = -1, 0
     return best, score
 
 
 def fit_on(docs: DataFrame) -> Model:
-    """Trains on a bounded sample of docs (doc_id, text, lang) outside the held-out fold: ROWS of each language."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    few = labelled.withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_k") <= ROWS).select("_id", "_lang")
-    # ROWS ids a language: bounded by the number of languages, so it may be broadcast
-    rows = docs.join(F.broadcast(few), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).where(F.length("text") <= TRAIN_CHARS).select("text", "lang").toArrow()
-    pairs = sorted(zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True))
-    return fit([t for t, _ in pairs], [x for _, x in pairs])
+    """Trains on a bounded sample of docs (doc_id, text, lang) outside the held-out fold."""
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
+    first = Window.partitionBy("_lang", F.pmod("_h", F.lit(SHARES))).orderBy("_h", "_id")
+    few = labelled.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= PER_SHARE).select("_id", "_lang").distinct()
+    # SHARES * PER_SHARE ids a language: bounded by the number of languages, so it may be broadcast
+    met = docs.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(few), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    rows = met.groupBy("_id", "_lang").agg(F.min("text").alias("text")).toArrow()
+    pairs = sorted(zip(rows["text"].to_pylist(), rows["_lang"].to_pylist(), strict=True))
+    del rows
+    model = fit([t for t, _ in pairs], [x for _, x in pairs])
+    del pairs
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -122,5 +123,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             best, score = predict(shared.value, texts_of(b, "text"))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), task, f"{fields}, lang_pred string, score double")
+    return docs.select(*kept).mapInArrow(task, f"{fields(docs, kept)}, lang_pred string, score double")

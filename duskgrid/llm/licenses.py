@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, slices, texts_of
+from duskgrid.llm.common import slices, texts_of
 
 #: Unknown sentences allowed between two sentences of a rule (titles, copyright lines and the like).
 GAP = 3
@@ -149,4 +149,4 @@ def licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([",".join(sorted({m[0] for m in f})) for f in found], pa.string()), pa.array([[dict(zip(("license", "first", "last"), m, strict=True)) for m in f] for f in found], kind)], names=["doc_id", "licenses", "matches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, task, "doc_id long, licenses string, matches array<struct<license:string,first:int,last:int>>", rows=1000)
+    return rows.mapInArrow(task, "doc_id long, licenses string, matches array<struct<license:string,first:int,last:int>>")

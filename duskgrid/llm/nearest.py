@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, stored
+from duskgrid.llm.common import stored
 
 TABLES, PROBES, HASHES = 12, 16, 1
 #: Rows and queries of a bucket that meet in one block.
@@ -99,7 +99,7 @@ def hashed(rows: DataFrame, id_name: str, tables: int, hashes: int, probes: int)
                 at = pa.array(np.repeat(np.arange(len(x)), code.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(code.size, t, np.int32)), pa.array(code.ravel().astype(np.int64)), batch.column(id_name).take(at), batch.column("v").take(at)], names=["t", "b", "id", "v"])
 
-    return map_arrow(rows.select(id_name, "v"), task, "t int, b long, id long, v array<double>", rows=1000)
+    return rows.select(id_name, "v").mapInArrow(task, "t int, b long, id long, v array<double>")
 
 
 def best_of(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):

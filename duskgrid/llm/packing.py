@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, slices, stored, texts_of
+from duskgrid.llm.common import fields, slices, stored, texts_of
 from duskgrid.llm.encode import encoder
 from duskgrid.llm.words import ragged
 
@@ -223,7 +223,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), part, np.int64)), pa.array(rank), b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), lists], names=["part", "rank", "doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(map_arrow(rows, task, PIECES, rows=2500), "pieces")
+    return stored(rows.mapInArrow(task, PIECES), "pieces", 2500)
 
 
 def make_plan(cut: DataFrame, capacity: int) -> tuple[Plan, DataFrame]:
@@ -251,8 +251,7 @@ def place(cut: DataFrame, planned: Plan, before: DataFrame) -> DataFrame:
             nth = rank - p.rank[i]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(p.seq[i] + nth // p.each[i]), pa.array(p.offset[i] + nth % p.each[i] * length)], names=[*kept, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(ranked.select(*kept, "rank"), task, f"{fields}, sequence_id long, offset long", rows=10_000)
+    return ranked.select(*kept, "rank").mapInArrow(task, f"{fields(cut, kept)}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import map_arrow, slices, texts_of
+from duskgrid.llm.common import batch_rows, slices, texts_of
 from duskgrid.llm.encode import encoder
 
 SCHEMA = "part long, row_start long, doc_id long, n_tokens int, ids array<int>"
@@ -54,15 +54,16 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         raise ValueError("encoding is dictionary or delta")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.withColumn("_t", F.xxhash64("text")).repartitionByRange("doc_id", "_t").sortWithinPartitions("doc_id", "_t", "text").select("doc_id", "text")
-    (
-        map_arrow(ordered, lambda it: encode_sorted(it, tokenizer_path, end_id), SCHEMA, rows=2500)
+    writer = (
+        ordered.mapInArrow(lambda it: encode_sorted(it, tokenizer_path, end_id), SCHEMA)
         .write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", encoding == "dictionary")
         .option("parquet.writer.version", "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0")
         .option("compression", "zstd")
-        .parquet(path)
     )
+    with batch_rows(docs.sparkSession, 2500):
+        writer.parquet(path)
     return path
 
 

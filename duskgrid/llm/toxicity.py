@@ -10,8 +10,8 @@ Scoring needs no vectors: a window's logit is the mean of per-n-gram numbers (ve
 summed once for each distinct word.
 
 Defined results: null, empty or wordless text scores 0 (to 12 digits); rows are never dropped; null doc_id
-passes through; without labelled rows of both kinds every score is 0; other columns pass through unless named like a
-result.
+passes through; without labelled rows of both kinds every score is 0; a doc_id labelled both ways counts as toxic, and rows
+that repeat a doc_id are one training row (the least of their texts); other columns pass through unless named like a result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import held_out, map_arrow, slices, texts_of
+from duskgrid.llm.common import fields, held_out, release_memory, slices, texts_of
 from duskgrid.llm.words import CHUNK, ragged, word_ngrams, words_of
 
 SIZES = (3, 4, 5, 6)
@@ -60,9 +60,9 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, buckets_log2: int = 1
     if not (toxic == 1).any() or not (toxic == 0).any():
         return Model(np.zeros(1 << buckets_log2), -30.0, buckets_log2)
     rng = np.random.default_rng(seed)
-    off, code, words = words_of(pa.array(texts, pa.large_string()))
-    del texts
+    off, code, words = coded(texts)
     goff, grams = word_ngrams(words, SIZES, buckets_log2)
+    release_memory()
     doc, first, end = windows(off)
     label = toxic[doc]
     vectors = rng.uniform(-1, 1, (1 << buckets_log2, dim)).astype(np.float32) / dim
@@ -121,6 +121,18 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, buckets_log2: int = 1
     return calibrated(model, z[z > WORDLESS], toxic[z > WORDLESS])
 
 
+def coded(texts: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """words_of(texts), a few texts at a time."""
+    index: dict[str, int] = {}
+    sizes, codes = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for i in range(0, len(texts), step):
+        off, code, words = words_of(pa.array(texts[i : i + step], pa.large_string()))
+        own = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+        sizes.append(np.diff(off))
+        codes.append(own[code])
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(codes), list(index)
+
+
 def calibrated(model: Model, z: np.ndarray, toxic: np.ndarray) -> Model:
     """model with the slope and shift that make its document scores probabilities (logistic regression by Newton steps)."""
     a = np.zeros(2)
@@ -182,13 +194,14 @@ def _remembered(model: Model, words: list[str], cache: dict) -> tuple[np.ndarray
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: dict[int, int], max_chars: int) -> DataFrame:
     """text, toxic: a bounded sample, by hash of doc_id, of labelled rows outside the held-out fold."""
-    ids = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(*per_label)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+    ids = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(*per_label)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     parts = [ids.where(F.col("_toxic") == v).orderBy(F.xxhash64("_id"), "_id").limit(n) for v, n in per_label.items()]
     few = parts[0]
     for p in parts[1:]:
         few = few.union(p)
     # at most sum(per_label) rows of two numbers: bounded, so it may be broadcast
-    return docs.where(F.length("text") <= max_chars).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    met = docs.where(F.length("text") <= max_chars).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
@@ -197,7 +210,10 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     del sample
     texts, toxic = [t for t, _ in rows], np.array([y for _, y in rows], int)
     del rows
-    return fit(texts, toxic)
+    model = fit(texts, toxic)
+    del texts
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -211,5 +227,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = scores(shared.value, texts_of(b, "text"), cache)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), task, f"{fields}, score double, predicted int", rows=2500)
+    return docs.select(*kept).mapInArrow(task, f"{fields(docs, kept)}, score double, predicted int")

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from duskgrid.llm.common import strings
+
 #: Everything that isn't a letter or a digit parts words.
 _BETWEEN = r"[^\p{L}\p{N}]+"
 #: Words whose n-grams are made at a time.
@@ -18,7 +20,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     parts = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _BETWEEN, " ")))
     off = parts.offsets.to_numpy().astype(np.int64)
     coded = parts.values[off[0] : off[-1]].dictionary_encode()
-    code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    code, distinct = coded.indices.to_numpy(), strings(coded.dictionary)
     if "" in distinct:  # what a text without words leaves
         blank = distinct.index("")
         kept = code != blank

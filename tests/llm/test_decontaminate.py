@@ -99,3 +99,34 @@ def test_empty(spark):
     assert D.leaks(docs.limit(0), bench).count() == 0
     assert D.leaks(docs, bench.limit(0)).count() == 0
     assert D.leaks(docs.union(docs), bench).count() == 1
+
+
+def test_repeated_ids(spark):
+    item, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    fill = [(d, " ".join(f"f{d}x{i}" for i in range(40))) for d in range(100, 160)]
+    docs = spark.createDataFrame([*fill, (1, "long " * 50 + item), (1, "two words"), (1, item[:-4] + " x"), (2, None), (2, other), (3, ""), (3, "a")] * 2, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, item), (7, other), (7, item), (8, item)], "item_id long, text string")
+    both = [sorted((r.doc_id, r.item_id, round(r.score, 9), r.passage) for r in D.leaks(docs, bench, in_memory=n).collect()) for n in (D.SEEDS_IN_MEMORY, 0)]
+    assert both[0] == both[1]
+    assert [(d, i, s > 0.999) for d, i, s, _ in both[0]] == [(1, 7, True), (1, 8, True), (2, 7, True)]
+
+
+def test_same_as_aligning_all_pairs(spark):
+    docs, items, _ = corpus()
+    docs = {d: t for d, t in docs.items() if d % 4 == 0}
+    df, bench = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    import re
+
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    holds = {}
+    for t in docs.values():
+        for w in set(split(t)):
+            holds[w] = holds.get(w, 0) + 1
+    want = {}
+    for i, t in items.items():
+        words = split(t)
+        weight = np.array([np.log((len(docs) + 1) / (holds.get(w, 0) + 0.5)) + 0.1 for w in words])
+        for d, text in docs.items():
+            if (score := D.align(words, weight, split(text))[0]) >= D.THRESHOLD:
+                want[d, i] = round(score, 6)
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in D.leaks(df, bench).collect()} == want

@@ -50,3 +50,31 @@ def test_stages(spark, tmp_path):
     assert not any(d >= 2000 for d in kept["decontamination"]) and len(kept["decontamination"]) >= 0.97 * len(want)
     assert kept["packing"] == kept["decontamination"]
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids, equal rows, an extra column with a name the operators use, and empty tables."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice(["th", "in", "er", "on"]) for _ in range(3)) for _ in range(n))
+    item, first, second, third = (text(n) for n in (30, 60, 70, 80))
+    rows = [(1, first), (1, second), (1, first), (2, first), (None, first), (None, third), (None, third), (3, text(20) + " " + item), (None, text(25) + " " + item), (3, text(90)), (4, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], schema)
+    where = str(tmp_path)
+    docs.write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, where)
+        now.write.parquet(f"{where}/{name}")
+        now = spark.read.parquet(f"{where}/{name}")
+        assert now.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in now.collect()), key=key) == sorted([(1, first), (1, second), (None, third), (3, rows[9][1])], key=key)
+    assert corpus_pipeline.run(spark, where).select("doc_id").distinct().count() == 3
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{where}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
