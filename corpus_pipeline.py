@@ -2,49 +2,53 @@
 
 Each stage is a function (spark, docs, sf_dir) to a DataFrame; run() writes every stage's result as Parquet in the
 shared folder and reads it again for the next. All stages but the last return the columns of documents.
+
+Defined results: a stage judges rows, never all rows of a doc_id: rows with a null doc_id, and rows that repeat a doc_id
+with other texts, stay or go by their own text. Columns beyond those of documents pass through. Empty tables give empty
+results; without labelled rows no row is toxic, and without rows in a language no language can be told.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from duskgrid.llm import common, decontaminate, language_id, packing, simhash, toxicity
 
 #: A document goes if its toxicity is at least this.
 TOXIC = 0.5
-#: Near duplicates: 5-word shingles in 512-bit fingerprints. Texts with a Jaccard similarity of 0.8 differ in 15 % of
-#: bits on average (cosine 2 * 0.8 / 1.8); 84 bits are 16 %. The first 64 bits of such texts hardly ever differ in over 20.
-SHINGLE, WORDS, RADIUS, NEAR = 5, 8, 84, 20
-#: Fingerprints of a tile: wide ones travel with every tile pair, and larger tiles make fewer pairs.
-TILE = 32_768
+#: Near duplicates: distinct 5-word shingles in 512-bit fingerprints. Texts with a Jaccard similarity of 0.8 differ in 15 %
+#: of bits on average (cosine 2 * 0.8 / 1.8); 84 bits are 16 %. Nor can one have fewer than 0.8 of the other's shingles.
+SHINGLE, WORDS, RADIUS, SIMILARITY = 5, 8, 84, 0.8
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told (text without a letter can't)."""
+    """Keeps documents whose language can be told (null texts and texts without a letter can't be)."""
     model = language_id.fit_on(docs)
-    return language_id.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return found.where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the model, trained on labelled ones among them, holds toxic."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, TOXIC).where("predicted = 0").select(*docs.columns)
+    found = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, TOXIC)
+    return found.where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies keeps the document with the smallest doc_id."""
-    classes = simhash.near_duplicates(docs, SHINGLE, RADIUS, WORDS, NEAR, TILE)
-    copies = common.stored(classes.where("doc_id <> component_id").select("doc_id"), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of every group of near copies keeps one row: that with the smallest doc_id, null doc_ids coming last."""
+    return simhash.first_copies(docs, SHINGLE, RADIUS, WORDS, SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, whole or edited."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaking = common.stored(found.select("doc_id").distinct(), "leaking")
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, whole or edited. A row is looked for by a hash of doc_id and text."""
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaking = common.stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
+    return docs.join(leaking, row == F.col("_row"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage stores on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        path = common.new_path(spark, name)
+        with common.scratch(spark, path):
+            docs = common.stored(stage(spark, docs, sf_dir), name, path=path)
     return docs
