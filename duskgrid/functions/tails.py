@@ -73,6 +73,29 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
+def inferred(results: DataFrame, estimate: str = "slope", se: str = "se", df: str = "df", level: float = 0.95) -> DataFrame:
+    """A table of results (a row a fit) with p_value, two-sided, and ci_low, ci_high, by the t distribution.
+
+    All three are null without degrees of freedom or with a standard error that is null; the p value also of one of zero.
+    """
+
+    def task(batches):
+        for b in batches:
+            est, err, dfs = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (estimate, se, df))
+            out = []
+            for x, s, n in zip(est, err, dfs, strict=True):
+                if x is None or s is None or n is None or n <= 0 or x != x or s != s:
+                    out.append((None, None, None))
+                else:
+                    half = t_quantile((1 + level) / 2, n) * s
+                    out.append((t_two_sided(x / s, n) if s > 0 else None, x - half, x + half))
+            more = [pa.array([r[i] for r in out], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "p_value", "ci_low", "ci_high"])
+
+    fields = ", ".join(f"`{c}` {results.schema[c].dataType.simpleString()}" for c in results.columns)
+    return results.mapInArrow(task, f"{fields}, p_value double, ci_low double, ci_high double")
+
+
 def with_p_values(results: DataFrame, t: str = "t", df: str = "df") -> DataFrame:
     """A table of results (a row a fit) with p_value, two-sided, from columns of t and degrees of freedom."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import col, count_if, divide, finite, number, sample_sd
+from duskgrid.operators.order import quantiles
 
 # First bit and width of each field of the cloud-mask band.
 QA_BITS = {"day_night": (0, 1), "cloud": (6, 2), "shadow": (8, 1), "cirrus": (9, 1), "snow_ice": (10, 1), "aurora": (12, 1), "eclipse": (13, 1)}
@@ -103,7 +104,9 @@ def lit_by_threshold(pixels: DataFrame, thresholds: list[float], by: list[str])
 def product_difference(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """n and 99th percentile of the absolute difference of two products' radiance."""
     d = a.select(*keys, F.col("rad").alias("_a")).join(b.select(*keys, F.col("rad").alias("_b")), keys)
-    return d.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(F.abs(F.col("_a") - F.col("_b")), F.lit(0.99)).alias("p99"))
+    off = F.abs(F.col("_a") - F.col("_b"))
+    n = d.groupBy(*by).agg(F.count("*").alias("n"))
+    return n.join(quantiles(d, off, {"p99": 0.99}, by), by, "left")
 
 
 def downsample(grid: DataFrame, factor: int) -> DataFrame:

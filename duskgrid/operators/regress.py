@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import finite, weighted_mean
+from duskgrid.operators.order import running
 from duskgrid.operators.series import grid
 
 #: Rows that a fit needs.
@@ -96,8 +97,8 @@ def residuals(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> Dat
     return rows.withColumn("_e", F.col("_dy") - F.try_divide("_sxy", "_sxx") * F.col("_dx")).withColumn("_s", F.try_divide(F.col("_dx") * F.col("_e"), "_sxx"))
 
 
-def newey_west(df: DataFrame, y: str, x: str, order: str, lags: int, by: list[str] | None = None) -> DataFrame:
-    """n, slope, se_hac, t, df: Bartlett weights over row order, scaled by n / (n - 2)."""
+def newey_west(df: DataFrame, y: str, x: str, order: str, lags: int, by: list[str] | None = None, terms: int = 2) -> DataFrame:
+    """n, slope, se_hac, t, df: Bartlett weights over row order, scaled by n / (n - terms) for a model of so many terms."""
     by = by or []
     w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order)
     rows = residuals(df, y, x, by)
@@ -106,7 +107,7 @@ def newey_west(df: DataFrame, y: str, x: str, order: str, lags: int, by: list[st
     for j in range(1, lags + 1):
         var = var + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(F.col("_s") * F.col(f"_l{j}")), F.lit(0.0))
     n = F.count("*")
-    out = rows.groupBy(*by).agg(n.alias("n"), F.max(F.try_divide("_sxy", "_sxx")).alias("slope"), F.sqrt(F.try_divide(F.greatest(F.lit(0.0), var) * n, n - 2)).alias("se_hac"), (n - 2).alias("df"))
+    out = rows.groupBy(*by).agg(n.alias("n"), F.max(F.try_divide("_sxy", "_sxx")).alias("slope"), F.sqrt(F.try_divide(F.greatest(F.lit(0.0), var) * n, n - terms)).alias("se_hac"), (n - terms).alias("df"))
     return out.where(F.col("n") >= LEAST_ROWS).withColumn("t", F.when(F.col("se_hac") > 0, F.col("slope") / F.col("se_hac")))
 
 
@@ -120,24 +121,128 @@ def entity_slopes(df: DataFrame, y: str, x: str, lags: int, least: int, entity:
 
 
 def fixed_effects(df: DataFrame, y: str, x: str, entity: str, cluster: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """Within slope by entity, clustered by date: n, n_clusters, slope, se_cluster, t, df, r2_within.
+    """Within slope by entity, clustered by date: n, n_clusters, slope, se_cluster, t, df, r2_within, partial_r.
 
-    The scale is g/(g-1) * (n-1)/(n-k), k counting the entities and x.
+    The scale is g/(g-1) * (n-1)/(n-k), k counting the entities and x. A cluster's score is linear in the slope, so its
+    two sums are enough: the rows are aggregated once, by cluster, and the rest is arithmetic on a row a cluster.
     """
     by = by or []
     rows = _clean(df, y, x, *([weight] if weight else [])).withColumn("_w", F.col(weight) if weight else F.lit(1.0)).where("_w > 0")
     own = Window.partitionBy(*by, entity)
     mean = lambda c: F.sum(F.col("_w") * F.col(c)).over(own) / F.sum("_w").over(own)
     rows = rows.withColumns({"_dx": F.col(x) - mean(x), "_dy": F.col(y) - mean(y)})
-    tot = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(entity).alias("_k"), F.sum(F.col("_w") * F.col("_dx") ** 2).alias("_sxx"), F.sum(F.col("_w") * F.col("_dx") * F.col("_dy")).alias("_sxy"), F.sum(F.col("_w") * F.col("_dy") ** 2).alias("_syy"))
-    at = rows.join(F.broadcast(tot), by) if by else rows.crossJoin(F.broadcast(tot))
-    score = at.groupBy(*by, cluster).agg(F.sum(F.col("_w") * F.col("_dx") * (F.col("_dy") - F.try_divide("_sxy", "_sxx") * F.col("_dx"))).alias("_u"))
-    meat = score.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.sum(F.col("_u") ** 2).alias("_m"))
-    out = tot.join(meat, by) if by else tot.crossJoin(meat)
+    return _clustered(rows.withColumn("_lost", F.lit(0)), entity, cluster, by)
+
+
+def _clustered(rows: DataFrame, entity: str, cluster: str, by: list[str]) -> DataFrame:
+    """fixed_effects of rows (_w, _dx, _dy freed of all effects; _lost, the effects beyond the entities')."""
+    w, dx, dy = F.col("_w"), F.col("_dx"), F.col("_dy")
+    first = (F.row_number().over(Window.partitionBy(*by, entity).orderBy(cluster)) == 1).cast("long")  # one row an entity counts it
+    sums = rows.withColumn("_e", first).groupBy(*by, cluster).agg(F.count("*").alias("_n"), F.sum("_e").alias("_k"), F.max("_lost").alias("_lost"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dy * dy).alias("_yy"))
+    whole = Window.partitionBy(*(by or [F.lit(1)]))  # a row a cluster
+    at = sums.withColumns({"_sxx": F.sum("_xx").over(whole), "_sxy": F.sum("_xy").over(whole)}).withColumn("_u", F.col("_xy") - F.try_divide("_sxy", "_sxx") * F.col("_xx"))
+    out = at.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum("_k") + F.max("_lost")).alias("_k"), F.max("_sxx").alias("_sxx"), F.max("_sxy").alias("_sxy"), F.sum("_yy").alias("_syy"), F.count("*").alias("n_clusters"), F.sum(F.col("_u") ** 2).alias("_m"))
     g = F.col("n_clusters")
     scale = F.try_divide(g * (F.col("n") - 1), (g - 1) * (F.col("n") - F.col("_k") - 1))
-    out = out.withColumns({"slope": F.try_divide("_sxy", "_sxx"), "se_cluster": F.try_divide(F.sqrt(F.col("_m") * scale), "_sxx"), "r2_within": F.try_divide(F.col("_sxy") ** 2, F.col("_sxx") * F.col("_syy")), "df": g - 1})
-    return out.withColumn("t", F.when(F.col("se_cluster") > 0, F.col("slope") / F.col("se_cluster"))).select(*by, "n", "n_clusters", "slope", "se_cluster", "t", "df", "r2_within")
+    out = out.withColumns({"slope": F.try_divide("_sxy", "_sxx"), "se_cluster": F.try_divide(F.sqrt(F.col("_m") * scale), "_sxx"), "r2_within": F.try_divide(F.col("_sxy") ** 2, F.col("_sxx") * F.col("_syy")), "partial_r": F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))), "df": g - 1})
+    return out.withColumn("t", F.when(F.col("se_cluster") > 0, F.col("slope") / F.col("se_cluster"))).select(*by, "n", "n_clusters", "slope", "se_cluster", "t", "df", "r2_within", "partial_r")
+
+
+def fixed_effects_controlled(df: DataFrame, outcomes: list[str], x: str, entity: str, cluster: str, controls: dict[str, list], weight: str | None = None) -> DataFrame:
+    """outcome and fixed_effects of each outcome, with further factors (name: levels, few and known) as dummies.
+
+    Everything is freed of the entities' means, then outcome and x of the dummies by their normal equations, which are as
+    many numbers as there are pairs of dummies; slope, residuals and scores are those of the whole model.
+    """
+    rows = df.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
+    names: list[str] = []
+    for factor, levels in controls.items():
+        rows, more = with_dummies(rows, factor, levels)
+        names += more
+    rows = _clean(rows.unpivot([entity, cluster, x, "_w", *names], outcomes, "outcome", "_y"), "_y", x, "_w").where("_w > 0")
+    own = Window.partitionBy("outcome", entity)
+    w = F.col("_w")
+    rows = rows.withColumns({c: F.col(c) - F.sum(w * F.col(c)).over(own) / F.sum(w).over(own) for c in ("_y", x, *names)})
+    cols = [*names, x, "_y"]
+    k = len(names)
+    sums = [F.coalesce(F.sum(w * F.col(cols[i]) * F.col(cols[j])), F.lit(0.0)) for i in range(len(cols)) for j in range(i, len(cols))]
+    dx, dy, lost = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(0)
+    for r in rows.groupBy("outcome").agg(F.array(*sums).alias("sums")).collect():  # a row an outcome
+        m = np.zeros((len(cols), len(cols)))
+        m[np.triu_indices(len(cols))] = r["sums"]
+        m = m + m.T - np.diag(np.diag(m))
+        beta, _, rank, _ = np.linalg.lstsq(m[:k, :k], m[:k, k:], rcond=1e-10) if k else (np.zeros((0, 2)), None, 0, None)
+        at = F.col("outcome") == r["outcome"]
+        free = lambda c, b: F.col(c) - sum((F.lit(float(v)) * F.col(n) for n, v in zip(names, b, strict=True)), F.lit(0.0))
+        dx, dy, lost = F.when(at, free(x, beta[:, 0])).otherwise(dx), F.when(at, free("_y", beta[:, 1])).otherwise(dy), F.when(at, int(rank)).otherwise(lost)
+    rows = rows.select("outcome", entity, cluster, "_w", dx.alias("_dx"), dy.alias("_dy"), lost.alias("_lost"))
+    return _clustered(rows, entity, cluster, ["outcome"])
+
+
+def fe_control_grid(df: DataFrame, outcomes: list[str], x: str, weights: list[str | None], specs: dict[str, dict[str, list]], entity: str, cluster: str) -> DataFrame:
+    """fixed_effects_controlled for every outcome, weight and control specification, stacked."""
+    out = None
+    for w in weights:
+        for label, controls in specs.items():
+            one = fixed_effects_controlled(df, outcomes, x, entity, cluster, controls, w).withColumns({"weight": F.lit(w or "none"), "spec": F.lit(label)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def factor_grid(df: DataFrame, y: str, exposures: list[str], specs: dict[str, tuple[str | None, dict[str, list]]]) -> DataFrame:
+    """exposure, spec, n, slope, se, t, df, r2: classical OLS for each exposure and specification.
+
+    A specification is a factor that is absorbed by demeaning (the one with many levels, or None) and factors that enter
+    as dummies; together they are the effects of all of them. Dummies without variation left are let go.
+    """
+    out = None
+    for label, (absorbed, factors) in specs.items():
+        rows = df
+        names: list[str] = []
+        for factor, levels in factors.items():
+            rows, more = with_dummies(rows, factor, levels)
+            names += more
+        rows = _clean(rows.unpivot([y, *([absorbed] if absorbed else []), *names], exposures, "exposure", "_x"), y, "_x")
+        whole = rows.groupBy("exposure").agg((F.var_pop(y) * F.count(y)).alias("tss"), ((F.count_distinct(absorbed) - 1) if absorbed else F.lit(0)).cast("long").alias("lost"))
+        if absorbed:
+            own = Window.partitionBy("exposure", absorbed)
+            rows = rows.withColumns({c: F.col(c) - F.avg(c).over(own) for c in (y, "_x", *names)})
+        one = _few_terms(normal_equations(rows, y, ["_x", *names], ["exposure"]).join(whole, "exposure"), len(names) + 1).withColumn("spec", F.lit(label))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumns({"t": F.when(F.col("se") > 0, F.col("slope") / F.col("se")), "r2": 1 - F.try_divide("rss", "tss")}).select("exposure", "spec", "n", "slope", "se", "t", "df", "r2")
+
+
+def _few_terms(equations: DataFrame, k: int) -> DataFrame:
+    """exposure, n, slope (of the first regressor), se, df, rss, tss of normal_equations whose matrices may be singular."""
+
+    def task(batches):
+        for b in batches:
+            out = {"exposure": [], "n": [], "slope": [], "se": [], "df": [], "rss": [], "tss": []}
+            for row in b.to_pylist():
+                m = np.zeros((k + 2, k + 2))
+                m[np.triu_indices(k + 2)] = [np.nan if v is None else v for v in row["sums"]]
+                m = m + m.T - np.diag(np.diag(m))
+                if not row["n"] or np.isnan(m).any():
+                    continue
+                scale = np.sqrt(np.maximum(np.diag(m)[: k + 1], 1e-300))
+                unit = m[: k + 1, : k + 1] / np.outer(scale, scale)
+                kept = [0]
+                for c in [*range(2, k + 1), 1]:  # the exposure last: it must have variation of its own
+                    own = unit[np.ix_(kept, kept)]
+                    left = unit[c, c] - unit[c, kept] @ np.linalg.lstsq(own, unit[kept, c], rcond=None)[0]
+                    if np.diag(m)[c] > 1e-12 * row["n"] and left > 1e-9:
+                        kept.append(c)
+                df = row["n"] - len(kept) - row["lost"]
+                found = kept[-1] == 1 and df > 0
+                xx, xy = m[np.ix_(kept, kept)], m[kept, k + 1]
+                beta = np.linalg.solve(xx, xy) if np.diag(xx).all() else np.zeros(len(kept))
+                rss = max(0.0, m[k + 1, k + 1] - beta @ xy)
+                for c, v in (("exposure", row["exposure"]), ("tss", row["tss"]), ("n", row["n"]), ("slope", beta[-1] if found else None), ("se", np.sqrt(np.linalg.inv(xx)[-1, -1] * rss / df) if found else None), ("df", df if found else None), ("rss", rss)):
+                    out[c].append(v)
+            kinds = {"exposure": pa.string(), "n": pa.int64(), "df": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()], names=list(out))
+
+    return equations.mapInArrow(task, "exposure string, n long, slope double, se double, df long, rss double, tss double")
 
 
 def fe_grid(df: DataFrame, outcomes: list[str], x: str, weights: list[str | None], entity: str, cluster: str) -> DataFrame:
@@ -164,21 +269,19 @@ def two_way(df: DataFrame, y: str, x: str, large: str, small: str, levels: list)
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: list[float], by: list[str] | None = None, step: bool = False) -> DataFrame:
     """prob, value. Linear between points at cumulative weight shares, ends clamped; step: first x whose share reaches prob."""
     by = by or []
-    part = Window.partitionBy(*(by or [F.lit(1)]))
-    run = part.orderBy(x, w).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _clean(df, x, w).where(F.col(w) > 0).withColumn("_c", F.sum(w).over(run) / F.sum(w).over(part))
-    ahead = part.orderBy(x, w)
-    rows = rows.withColumns({"_pc": F.lag("_c").over(ahead), "_px": F.lag(x).over(ahead)}).select(*by, x, "_c", "_pc", "_px", grid([float(p) for p in probs], "prob"))
+    rows = running(_clean(df, x, w).where(F.col(w) > 0), [x, w], {"_c": F.col(w)}, by)
+    rows = rows.withColumns({"_c": F.col("_c") / F.col("_c_total"), "_pc": F.col("_c_before") / F.col("_c_total")})
+    rows = rows.select(*by, x, "_c", F.when(F.col("_last").isNotNull(), F.col("_pc")).alias("_pc"), F.col("_last").alias("_px"), grid([float(p) for p in probs], "prob"))
     if step:
         return rows.where(F.col("_c") >= F.col("prob") - 1e-12).groupBy(*by, "prob").agg(F.min(x).alias("value"))
-    hit = rows.where((F.col("_c") >= F.col("prob")) & (F.col("_pc").isNull() | (F.col("_pc") < F.col("prob"))))
+    hit = rows.where((F.col("_c") >= F.col("prob") - 1e-12) & (F.col("_pc").isNull() | (F.col("_pc") < F.col("prob"))))
     value = F.when(F.col("_pc").isNull(), F.col(x)).otherwise(F.col("_px") + (F.col(x) - F.col("_px")) * (F.col("prob") - F.col("_pc")) / (F.col("_c") - F.col("_pc")))
-    return hit.select(*by, "prob", value.alias("value"))
+    return hit.groupBy(*by, "prob").agg(F.min(value).alias("value"))
 
 
-def slope_summary(slopes: DataFrame, weight: str) -> DataFrame:
-    """n, weighted mean, quartiles by plain weight, shares positive and significant (|t| > 1.96)."""
-    return slopes.agg(F.count("*").alias("n"), weighted_mean("slope", weight).alias("weighted_mean"), F.avg("slope").alias("mean"), F.percentile("slope", F.lit(0.25)).alias("p25"), F.percentile("slope", F.lit(0.5)).alias("p50"), F.percentile("slope", F.lit(0.75)).alias("p75"), F.avg((F.col("slope") > 0).cast("int")).alias("share_positive"), F.avg(F.coalesce((F.abs("t") > 1.96).cast("int"), F.lit(0))).alias("share_significant"))
+def slope_summary(slopes: DataFrame, weight: str, by: list[str] | None = None) -> DataFrame:
+    """n, weighted mean, quartiles by plain weight, shares positive and significant (p_value < 0.05)."""
+    return slopes.groupBy(*(by or [])).agg(F.count("*").alias("n"), weighted_mean("slope", weight).alias("weighted_mean"), F.avg("slope").alias("mean"), F.percentile("slope", F.lit(0.25)).alias("p25"), F.percentile("slope", F.lit(0.5)).alias("p50"), F.percentile("slope", F.lit(0.75)).alias("p75"), F.avg((F.col("slope") > 0).cast("int")).alias("share_positive"), F.avg(F.coalesce((F.col("p_value") < 0.05).cast("int"), F.lit(0))).alias("share_significant"))
 
 
 def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -201,11 +304,12 @@ def auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -
 
 
 def fit_metrics(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame:
-    """OLS with adjusted r2, rmse, mae, ranges of y and x, pearson and spearman."""
+    """OLS with adjusted r2, rmse, mae, ranges of y and x, pearson and spearman, and of y the auc for x above zero."""
     by = by or []
     r = residuals(df, y, x, by).groupBy(*by).agg(F.sqrt(F.avg(F.col("_e") ** 2)).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), (F.max(y) - F.min(y)).alias("range_y"), (F.max(x) - F.min(x)).alias("range_x"))
+    sign = auc(_clean(df, y, x).withColumn("_any", (F.col(x) > 0).cast("int")), y, "_any", by).select(*by, "auc")
     fit, c = ols(df, y, x, by).withColumn("adj_r2", 1 - F.try_divide((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - 2)), correlations(df, x, y, by).drop("n")
-    return fit.join(r, by).join(c, by) if by else fit.crossJoin(r).crossJoin(c)
+    return fit.join(r, by).join(c, by).join(sign, by) if by else fit.crossJoin(r).crossJoin(c).crossJoin(sign)  # a row each
 
 
 def contrast(df: DataFrame, y: str, side: str, by: list[str] | None = None) -> DataFrame:
@@ -226,27 +330,41 @@ def shift_profile(series: DataFrame, exposure: DataFrame, y: str, x: str, shifts
 
 
 def scenario_fits(df: DataFrame, flags: DataFrame, y: str, x: str) -> DataFrame:
-    """OLS under each scenario of flags (scenario, date, remove) without the dates it removes."""
+    """OLS under each scenario of flags (scenario, date, remove) without the dates it removes; n_removed of them."""
+    return with_counts(ols(kept_rows(df, flags), y, x, ["scenario"]), flags)
+
+
+def kept_rows(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """df once for each scenario (a few), without the dates it removes."""
     scenarios = flags.select("scenario").distinct()
-    rows = df.crossJoin(F.broadcast(scenarios)).join(flags.where("remove").select("scenario", "date"), ["scenario", "date"], "left_anti")
-    return ols(rows, y, x, ["scenario"])
+    return df.crossJoin(F.broadcast(scenarios)).join(flags.where("remove").select("scenario", "date"), ["scenario", "date"], "left_anti")
+
+
+def with_counts(fits: DataFrame, flags: DataFrame) -> DataFrame:
+    """Fits by scenario, with the number of dates that each scenario removes."""
+    return fits.join(flags.groupBy("scenario").agg(F.sum(F.col("remove").cast("int")).cast("long").alias("n_removed")), "scenario")
 
 
 def threshold_slopes(df: DataFrame, x: str, cuts: list[float], least: int) -> DataFrame:
-    """entity, cut: slope of 1 (p < cut) on x; 0 where the outcome is constant."""
+    """entity, cut, n, slope of 1 (p < cut) on x (0 where the outcome is constant), se, df (null there)."""
     rows = _clean(df, "p", x).select("entity", "p", x, grid(cuts, "cut")).withColumn("_y", (F.col("p") < F.col("cut")).cast("double"))
-    out = rows.groupBy("entity", "cut").agg(F.count("*").alias("n"), F.regr_slope("_y", x).alias("_b"), F.stddev_pop("_y").alias("_sy"), F.stddev_pop(x).alias("_sx"))
-    return out.where((F.col("n") >= least) & (F.col("_sx") > 1e-12)).select("entity", "cut", "n", F.when(F.col("_sy") <= 1e-12, 0.0).otherwise(F.col("_b")).alias("slope"))
+    out = rows.groupBy("entity", "cut").agg(F.count("*").alias("n"), F.regr_slope("_y", x).alias("_b"), F.stddev_pop("_y").alias("_sy"), F.stddev_pop(x).alias("_sx"), F.regr_sxx("_y", x).alias("_xx"), F.regr_sxy("_y", x).alias("_xy"), F.regr_syy("_y", x).alias("_yy"))
+    varied = F.col("_sy") > 1e-12
+    se = F.sqrt(F.greatest(F.lit(0.0), F.col("_yy") - F.col("_b") * F.col("_xy")) / (F.col("n") - 2) / F.col("_xx"))
+    return out.where((F.col("n") >= least) & (F.col("_sx") > 1e-12)).select("entity", "cut", "n", F.when(varied, F.col("_b")).otherwise(0.0).alias("slope"), F.when(varied, se).alias("se"), F.when(varied, F.col("n") - 2).alias("df"))
+
 
+def effects(fits: DataFrame, unit: float = 0.1, mw: float = 1000.0, mean_mw: float | None = None, hours: float = 1.0) -> DataFrame:
+    """Slopes as percentage points per unit of exposure share, with the 95 % interval.
 
-def effects(fits: DataFrame, unit: float = 0.1, mw: float = 1000.0, mean_mw: float | None = None) -> DataFrame:
-    """Slopes as percentage points per unit of exposure share, with the 95 % interval, and per 1000 MW if a scale is given."""
+    With the mean contracted power in MW also per 1000 MW, and per GWh of an exposure that lasts so many hours.
+    """
     out = fits.withColumns({"pp": 100 * unit * F.col("slope"), "pp_low": 100 * unit * (F.col("slope") - 1.96 * F.col("se")), "pp_high": 100 * unit * (F.col("slope") + 1.96 * F.col("se"))})
-    return out if mean_mw is None else out.withColumn("pp_per_1000_mw", 100 * F.col("slope") * mw / mean_mw)
+    return out if mean_mw is None else out.withColumns({"pp_per_1000_mw": 100 * F.col("slope") * mw / mean_mw, "pp_per_gwh": 100 * F.col("slope") * 1000 / (mean_mw * hours)})
 
 
 def mean_interval(df: DataFrame, y: str, by: list[str]) -> DataFrame:
-    """n, mean, se and df of each group; functions.tails.t_quantile gives the interval's factor."""
+    """n, mean, se and df of each group, to which functions.tails.inferred adds the interval."""
     return _clean(df, y).groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("se"), (F.count("*") - 1).alias("df"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.functions import count_if, divide, sample_sd, weighted_mean, weighted_sd
+from duskgrid.functions import count_if, divide, flag, sample_sd, weighted_mean, weighted_sd
 from duskgrid.operators.panel import completion_grid
 from duskgrid.operators.states import switches
 
@@ -17,21 +17,29 @@ METRICS = ("uptime", "dark_share", "mean_p", "sd_p", "cv_p", "switch_rate")
 def entity_metrics(states: DataFrame, period: str, support: int | None = None) -> DataFrame:
     """entity, period_start and metrics of the observed days of states (lit_day, dark_day, p, coverage, date)."""
     rows = states.where(F.col("p").isNotNull()).withColumn("period_start", F.trunc("date", period))
-    rows = switches(rows, "period_start")
-    out = rows.groupBy("entity", "period_start").agg(
+    return _period_metrics(switches(rows, "period_start"), ["entity", "period_start"], F.lit(SUPPORT[period] if support is None else support))
+
+
+def _period_metrics(rows: DataFrame, by: list[str], support: Column) -> DataFrame:
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("obs_days"), F.sum("lit_day").alias("lit_days"), F.sum("dark_day").alias("dark_days"), F.avg("lit_day").alias("uptime"), F.avg("dark_day").alias("dark_share"),
         F.avg("p").alias("mean_p"), sample_sd("p").alias("sd_p"), F.avg("switch").alias("switch_rate"), F.avg("coverage").alias("mean_coverage"),
     )
-    return out.withColumn("cv_p", F.when(F.col("mean_p") > 0, F.col("sd_p") / F.col("mean_p"))).withColumn("support_ok", (F.col("obs_days") >= (SUPPORT[period] if support is None else support)).cast("int"))
+    return out.withColumn("cv_p", F.when(F.col("mean_p") > 0, F.col("sd_p") / F.col("mean_p"))).withColumn("support_ok", (F.col("obs_days") >= support).cast("int"))
 
 
 def all_periods(states: DataFrame) -> DataFrame:
-    """entity_metrics of months, quarters and years, stacked, with period."""
-    out = None
-    for period in SUPPORT:
-        one = entity_metrics(states, period).withColumn("period", F.lit(period))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """entity_metrics of months, quarters and years, stacked, with period, in one pass.
+
+    A day's switch against the observed day before is the same in every period that holds both days, so one window by
+    entity serves all; each day then counts in three groups, which are combined before they are shuffled.
+    """
+    order = Window.partitionBy("entity").orderBy("date")
+    rows = states.where(F.col("p").isNotNull()).select("entity", "date", "p", "lit_day", "dark_day", "coverage", F.lag("date").over(order).alias("_before"), flag(F.col("lit_day") != F.lag("lit_day").over(order)).alias("_switch"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.trunc("date", p).alias("period_start"), F.when(F.trunc("_before", p) == F.trunc("date", p), F.col("_switch")).alias("switch")) for p in SUPPORT]))
+    long = rows.select("entity", "p", "lit_day", "dark_day", "coverage", kinds.alias("_k")).select("*", "_k.*").drop("_k")
+    need = F.create_map(*[F.lit(x) for kv in SUPPORT.items() for x in kv])
+    return _period_metrics(long, ["entity", "period", "period_start"], need[F.col("period")])
 
 
 def state_day_counts(metrics: DataFrame, states: DataFrame, period: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.operators.regress import _clean, ols
+from duskgrid.operators.regress import _clean, newey_west
+from duskgrid.operators.states import day_lag
+
+
+def mixed(draw: str, item: str, seed: int) -> Column:
+    """A 32-bit number that follows from draw, item and seed as if by chance (the first digits of an MD5)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", draw, item, F.lit(seed))), 1, 8), 16, 10).cast("long")
 
 
 def numbered(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
@@ -13,39 +19,34 @@ def numbered(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
     return _clean(df, y, x).select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).alias("i"), F.col(order).alias("at"), F.col(y).alias("y"), F.col(x).alias("x"))
 
 
-def drawn_blocks(spark, n: int, draws: int, block: int, seed: int = 17, mixed: bool = True) -> DataFrame:
-    """draw, i: n positions of each draw, in circular blocks whose starts are a hash of draw, block and seed modulo n.
-
-    Unmixed, the starts follow from an arithmetic sequence: they step evenly, and the draws are shifts of one another.
-    """
+def drawn_blocks(spark, n: int, draws: int, block: int, seed: int = 17) -> DataFrame:
+    """draw, i: n positions of each draw, in circular blocks whose starts are a hash of draw, block and seed modulo n."""
     blocks = -(-n // block)
     grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    start = F.pmod((F.col("draw") * 7919 + F.col("b") * 104729 + seed) * 48271 % 2147483647, F.lit(n))
-    if mixed:
-        start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(",", "draw", "b", F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(n))
+    start = F.pmod(mixed("draw", "b", seed), F.lit(n))
     rows = grid.withColumn("s", start).select("draw", "b", "s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
     return rows.where(F.col("b") * block + F.col("o") < n).select("draw", F.pmod(F.col("s") + F.col("o"), F.lit(n)).alias("i"))
 
 
-def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, mixed: bool = True) -> DataFrame:
-    """draw, slope of moving-block draws of a daily series; block 1 is the iid bootstrap. Unmixed starts are not random."""
+def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14) -> DataFrame:
+    """draw, slope of moving-block draws of a daily series; block 1 is the iid bootstrap."""
     rows = numbered(df, y, x, order)
     n = rows.count()
-    picks = drawn_blocks(df.sparkSession, n, draws, block, mixed=mixed)
+    picks = drawn_blocks(df.sparkSession, n, draws, block)
     return picks.join(F.broadcast(rows), "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("slope"))
 
 
 def bootstrap_summary(draws: DataFrame) -> DataFrame:
-    """n, mean, se, percentile interval and two-sided p of bootstrap slopes."""
+    """n, mean, se, percentile interval and two-sided p of bootstrap slopes, (1 + count) / (n + 1) on either side."""
     q = F.percentile("slope", F.array(F.lit(0.025), F.lit(0.975)))
-    out = draws.agg(F.count("*").alias("n"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("se"), q.alias("_q"), F.avg((F.col("slope") <= 0).cast("int")).alias("_l"), F.avg((F.col("slope") >= 0).cast("int")).alias("_h"))
-    return out.select("n", "mean", "se", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("_l", "_h")).alias("p_value"))
+    out = draws.agg(F.count("*").alias("n"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("se"), q.alias("_q"), F.sum((F.col("slope") <= 0).cast("int")).alias("_l"), F.sum((F.col("slope") >= 0).cast("int")).alias("_h"))
+    return out.select("n", "mean", "se", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * (1 + F.least("_l", "_h")) / (F.col("n") + 1)).alias("p_value"))
 
 
-def mean_bootstrap(df: DataFrame, value: str, by: str, draws: int = 500) -> DataFrame:
-    """by, n, mean, low, high: percentile intervals of group means, by multinomial counts (Poisson draws by hash)."""
-    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.monotonically_increasing_id().alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (F.pmod(F.xxhash64("_id", "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003
+def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: int = 500) -> DataFrame:
+    """by, n, mean, low, high: percentile intervals of group means. How often a draw takes a row is Poisson, by hash of its key."""
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.concat_ws(",", *key).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = (mixed("draw", "_id", 23) + 0.5) / (1 << 32)
     k, cut, p = F.lit(0), 0.0, 0.36787944117144233
     for i in range(8):  # the Poisson(1) distribution function
         cut += p
@@ -57,18 +58,27 @@ def mean_bootstrap(df: DataFrame, value: str, by: str, draws: int = 500) -> Data
     return plain.join(each.groupBy(by).agg(q.alias("_q")), by).select(by, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
-def block_permutation(df: DataFrame, y: str, x: str, order: str, draws: int = 200, block: int = 14, seed: int = 5) -> DataFrame:
+def block_permutation(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, seed: int = 5) -> DataFrame:
     """draw, slope of y on x whose blocks are put in a random order: a placebo."""
     rows = numbered(df, y, x, order)
     n = rows.count()
     blocks = -(-n // block)
-    mixed = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    place = mixed.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", "b", F.lit(seed)))) - 1)
+    cards = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    place = cards.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(mixed("draw", "b", seed), "b")) - 1)
     xs = rows.select((F.col("i") / block).cast("int").alias("b"), F.col("i").alias("_i"), "x")
     moved = place.join(F.broadcast(xs), "b").withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("r", "_i")) - 1)
     return moved.select("draw", "i", "x").join(F.broadcast(rows.select("i", "y")), "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("slope"))
 
 
+def placebo_summary(df: DataFrame, y: str, x: str, draws: DataFrame) -> DataFrame:
+    """n, actual slope, mean, sd and percentile interval of placebo slopes, and the share at least as large, (1 + count) / (n + 1)."""
+    actual = _clean(df, y, x).agg(F.regr_slope(y, x).alias("actual"))
+    rows = draws.crossJoin(F.broadcast(actual))  # one row
+    q = F.percentile("slope", F.array(F.lit(0.025), F.lit(0.975)))
+    out = rows.agg(F.count("*").alias("n"), F.max("actual").alias("actual"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("sd"), q.alias("_q"), F.sum((F.abs("slope") >= F.abs("actual")).cast("int")).alias("_k"))
+    return out.select("n", "actual", "mean", "sd", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), ((1 + F.col("_k")) / (F.col("n") + 1)).alias("p_value"))
+
+
 def circular_shifts(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
     """shift, slope of y on x moved around the circle by each of the n - 1 shifts."""
     rows = numbered(df, y, x, order)
@@ -106,9 +116,18 @@ def ar1_fit(df: DataFrame, y: str, x: str, date: str = "date") -> DataFrame:
     return ar1_grid(df, y, x, date, fine).orderBy(F.desc("loglik"), "phi").limit(1)
 
 
-def first_difference(df: DataFrame, y: str, x: str) -> DataFrame:
-    """OLS of the change of y on the change of x between consecutive days."""
-    from duskgrid.operators.states import day_lag
+def first_difference(df: DataFrame, y: str, x: str, lags: int = 7) -> DataFrame:
+    """newey_west of the change of y on the change of x between consecutive days."""
+    return newey_west(day_lag(day_lag(df, y), x), f"diff_{y}", f"diff_{x}", "date", lags)
+
 
-    rows = day_lag(day_lag(df, y), x)
-    return ols(rows, f"diff_{y}", f"diff_{x}")
+def lagged_outcome(df: DataFrame, y: str, x: str, lags: int = 7) -> DataFrame:
+    """n, slope, se_hac, t, df of y on x and the y of the calendar day before, with HAC errors.
+
+    y and x are first freed of the lag (and the mean), which leaves slope, residuals and scores as they are.
+    """
+    rows = _clean(day_lag(df, y), y, x, f"lag_{y}")
+    w = Window.partitionBy(F.lit(1))
+    rows = rows.withColumns({f"_{k}": F.col(c) - F.avg(c).over(w) for k, c in (("y", y), ("x", x), ("l", f"lag_{y}"))})
+    free = lambda c: F.col(c) - F.try_divide(F.sum(F.col(c) * F.col("_l")).over(w), F.sum(F.col("_l") ** 2).over(w)) * F.col("_l")
+    return newey_west(rows.select("date", free("_y").alias("_fy"), free("_x").alias("_fx")), "_fy", "_fx", "date", lags, terms=3)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import MAD_SCALE, count_if, divide, median, safe_mean, weighted_mean, weighted_share
+from duskgrid.operators.order import quantiles
 
 STRICT, MOSTLY, RELAXED = 0.05, 0.20, 0.40
 
@@ -69,6 +70,12 @@ def event_windows(events: DataFrame, panel: DataFrame, days: int = 1) -> DataFra
     return at.join(panel.select("entity", "date", "p"), ["entity", "date"], "left").select("entity", "event_date", "offset", "p")
 
 
+def event_summary(windows: DataFrame) -> DataFrame:
+    """Of each entity with events: how many, mean p the day before, at and after, mean drop and recovery of whole windows."""
+    at = windows.groupBy("entity", "event_date").agg(*[F.max(F.when(F.col("offset") == o, F.col("p"))).alias(n) for o, n in ((-1, "before"), (0, "event"), (1, "after"))])
+    return at.groupBy("entity").agg(F.count("*").alias("n_events"), *[F.avg(n).alias(f"mean_{n}") for n in ("before", "event", "after")], F.avg(F.col("before") - F.col("event")).alias("mean_drop"), F.avg(F.col("after") - F.col("event")).alias("mean_recovery"), count_if(F.col("before").isNotNull() & F.col("after").isNotNull()).alias("n_whole"))
+
+
 def threshold_outcomes(panel: DataFrame, cuts: list[float], weight: str) -> DataFrame:
     """date and, for each cut, the weighted share of p below it, wide."""
     return panel.where(F.col("p").isNotNull()).groupBy("date").agg(*[weighted_share(F.col("p") < t, weight).alias(f"below_{round(100 * t):02d}") for t in cuts])
@@ -92,8 +99,9 @@ def priority(events: DataFrame, stratum: str, n: int) -> DataFrame:
 
 def edge_bins(df: DataFrame, x: str, y: str, probs: list[float]) -> DataFrame:
     """bin (1..), n, mean_x, mean_y between quantile edges of x, the lowest included."""
-    edges = df.where(F.col(x).isNotNull()).agg(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("_e"))
-    at = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(edges))
+    names = {f"_q{i}": p for i, p in enumerate(probs)}
+    edges = quantiles(df, F.col(x), names).select(F.array(*names).alias("_e"))
+    at = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(edges))  # one row
     number = F.lit(1)
     for i in range(1, len(probs) - 1):
         number = number + (F.col(x) > F.col("_e")[i]).cast("int")
@@ -252,9 +260,9 @@ def day_quality(pixels: DataFrame, annual: DataFrame, lit_at: float) -> DataFram
     common = F.col("rad").isNotNull() & F.col("_a").isNotNull()
     r = F.when(common, F.log1p("rad") - F.log1p("_a"))
     share = lambda c: divide(count_if(common & c).cast("double"), count_if(common))
-    q = F.percentile("_r", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.9, 0.95)]))
-    out = both.withColumn("_r", r).groupBy("date").agg(F.count("*").alias("n"), count_if(common).alias("n_common"), F.avg(F.col("rad").isNotNull().cast("int")).alias("valid_share"), share(F.col("rad") > lit_at).alias("lit_share"), share((F.col("rad") > lit_at) & (F.col("_a") <= lit_at)).alias("excess_lit"), share((F.col("rad") <= lit_at) & (F.col("_a") > lit_at)).alias("excess_dark"), F.avg("_r").alias("mean"), q.alias("_q"), F.sqrt(F.avg(F.col("_r") ** 2)).alias("rmse"), F.avg(F.abs("_r")).alias("mae"), share(F.abs("_r") > 1).alias("tail"))
-    return out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p90", "p95"))]).drop("_q")
+    rows = both.withColumn("_r", r)
+    out = rows.groupBy("date").agg(F.count("*").alias("n"), count_if(common).alias("n_common"), F.avg(F.col("rad").isNotNull().cast("int")).alias("valid_share"), share(F.col("rad") > lit_at).alias("lit_share"), share((F.col("rad") > lit_at) & (F.col("_a") <= lit_at)).alias("excess_lit"), share((F.col("rad") <= lit_at) & (F.col("_a") > lit_at)).alias("excess_dark"), F.avg("_r").alias("mean"), F.sqrt(F.avg(F.col("_r") ** 2)).alias("rmse"), F.avg(F.abs("_r")).alias("mae"), share(F.abs("_r") > 1).alias("tail"))
+    return out.join(quantiles(rows, F.col("_r"), {"p05": 0.05, "p50": 0.5, "p90": 0.9, "p95": 0.95}, ["date"]), "date", "left")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -384,6 +392,16 @@ def gate_uptime_wide(daily: DataFrame, gates: list[float], column: str) -> DataF
     return out.withColumn("delta", F.col(names[-1]) - F.col(names[0]))
 
 
+def gate_uptime_dates(daily: DataFrame, gates: list[float], column: str) -> DataFrame:
+    """area, gate: days that pass, days in all, and the mean availability over those that pass."""
+    return daily.select("area", "date", "observed_share", column, grid(gates, "gate")).groupBy("area", "gate").agg(count_if(F.col("observed_share") >= F.col("gate")).alias("n_pass"), F.count("*").alias("n_days"), F.avg(F.when(F.col("observed_share") >= F.col("gate"), F.col(column))).alias("availability"))
+
+
+def gate_uptime_national(by_area: DataFrame, weights: DataFrame) -> DataFrame:
+    """gate: areas with a value, passing days over all, and the availability by weight (area, weight), of gate_uptime_dates."""
+    return by_area.join(weights, "area").groupBy("gate").agg(F.count("availability").alias("n_areas"), F.sum("n_pass").alias("n_pass"), F.sum("n_days").alias("n_days"), weighted_mean("availability", "weight").alias("weighted"), F.min("availability").alias("lowest"), F.max("availability").alias("highest"))
+
+
 def export_audit(result: DataFrame, wanted: DataFrame, least_days: int) -> DataFrame:
     """Every name of either table: ready, or blocked and why."""
     j = wanted.select("area", F.lit(1).alias("_w")).distinct().join(result.select("area", "n_days", F.lit(1).alias("_r")), "area", "full")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.functions import flag, sample_sd
+from duskgrid.functions import finite, flag, sample_sd
+from duskgrid.operators.order import running
+
 
 def by_date():
     return Window.partitionBy("entity").orderBy("date")
@@ -65,10 +67,12 @@ def quantile_groups(df: DataFrame, value: str, tie: str, n: int, by: list[str] |
 
 
 def outer_quarters(df: DataFrame, value: str, tie: str, share: float = 0.25) -> DataFrame:
-    """side: `low` or `high` for the floor(n * share) rows at either end."""
-    n = F.floor(F.count("*").over(Window.partitionBy(F.lit(1))) * share)
-    ranked = extremes(df, value, tie, 0).drop("side")
-    return ranked.withColumn("side", F.when(F.col("low_rank") <= n, "low").when(F.col("high_rank") <= n, "high"))
+    """side: `low` or `high` for the floor(n * share) finite rows at either end; ties go to the smaller tie at both ends."""
+    rows = df.where(finite(value))
+    low = running(rows, [value, tie], {"low_rank": F.lit(1)}).withColumnRenamed("low_rank_total", "_all").drop("low_rank_before", "_last")
+    both = running(low.withColumn("_minus", -F.col(value)), ["_minus", tie], {"high_rank": F.lit(1)}).drop("high_rank_before", "high_rank_total", "_last", "_minus")
+    n = F.floor(F.col("_all") * share)
+    return both.withColumn("side", F.when(F.col("low_rank") <= n, "low").when(F.col("high_rank") <= n, "high")).drop("_all")
 
 
 def lowest_share(df: DataFrame, value: str, tie: str, share: float, by: str | None = "month") -> DataFrame:

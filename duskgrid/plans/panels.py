@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duskgrid.functions import median, quantile, safe_max, safe_mean, safe_sum, sample_sd, weighted_mean, weighted_sd
 from duskgrid.operators import panel as P
 from duskgrid.operators import reliability as R
 from duskgrid.operators import states as S
+from duskgrid.sources import io
 
 #: Dense states with a window of 10 days of which 4 must be seen and 3 lit.
 STATE = {"n": 10, "least_obs": 4, "least_lit": 3}
@@ -171,5 +173,40 @@ def catalog():
     PROFILE = ", f AS (SELECT entity, COUNT(*) AS n, AVG(p) AS mean_p, STDDEV_SAMP(p) AS sd_p, AVG(CAST(p > 0.9 AS INTEGER)) AS full_share, AVG(CAST(p < 0.05 AS INTEGER)) AS zero_share FROM v_panel GROUP BY 1)"
     c["rel18_illumination_profile"] = (st, lambda v: R.illumination_profile(pan(v)), f"{PROFILE} SELECT entity, N(n) AS n, R(mean_p) AS mean_p, R(sd_p) AS sd_p, R(full_share) AS full_share, R(zero_share) AS zero_share, R(CASE WHEN mean_p > 0 THEN sd_p / mean_p END) AS cv_p, CASE WHEN full_share >= 0.5 THEN 'mostly_full' WHEN zero_share >= 0.5 THEN 'mostly_dark' WHEN full_share + zero_share >= 0.8 THEN 'on_off' ELSE 'partial' END AS regime FROM f")
     c["rel19_mostly_lit"] = (st, lambda v: R.mostly_lit(pan(v), 0.4, 0.57).select("entity", "date"), "SELECT entity, date FROM v_panel WHERE entity IN (SELECT entity FROM v_panel GROUP BY 1 HAVING AVG(CAST(p > 0.4 AS INTEGER)) >= 0.57)")
-    c["src1_month_range"] = (st, lambda v: pan(v).withColumn("month", month_of("date")).where(F.col("month").between("1996-03", "1996-07")).select("entity", "date", "month"), "SELECT entity, date, STRFTIME(date, '%Y-%m') AS month FROM v_panel WHERE STRFTIME(date, '%Y-%m') BETWEEN '1996-03' AND '1996-07'")
+
+    def written(v):
+        panel = pan(v).select("entity", "date", F.col("p").cast("double").alias("p"))
+        return panel, io.write_panel(panel, io.shared_path(panel.sparkSession, "panel"))
+
+    def month_range(v):
+        panel, path = written(v)
+        return io.read_panel(panel.sparkSession, path, "1996-03", "1996-07", columns=["entity", "date", "month"])
+
+    def rewritten(v):
+        """The panel after one of its months was written anew with p halved."""
+        panel, path = written(v)
+        io.write_panel(panel.where("date between '1996-05-01' and '1996-05-31'").withColumn("p", F.col("p") / 2), path)
+        return panel.sparkSession.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+
+    def table(v):
+        rows = pan(v).groupBy("entity").agg(F.count("*").alias("n"), F.max("date").alias("last"), F.min(F.when(F.col("p") > 0, F.col("p")).cast("double")).alias("p"))
+        path = io.write_table(rows, io.shared_path(rows.sparkSession, "table"))
+        return rows.sparkSession.read.schema(rows.schema).csv(path, header=True)
+
+    def cached(v):
+        """Monthly metrics from states that are made once and then only read."""
+        spark = pan(v).sparkSession
+        folder = io.shared_path(spark, "cache")
+        io.state_cache(spark, folder, STATE, lambda: states(v))
+        return R.entity_metrics(io.state_cache(spark, folder, STATE, lambda: states(v), "metrics_only").where("after_doe = 1"), "month")
+
+    c["src1_month_range"] = (st, month_range, "SELECT entity, date, STRFTIME(date, '%Y-%m') AS month FROM v_panel WHERE STRFTIME(date, '%Y-%m') BETWEEN '1996-03' AND '1996-07'")
+    c["snk1_write_panel"] = (st, rewritten, "SELECT STRFTIME(date, '%Y-%m') AS month, N(COUNT(*)) AS n, R(SUM(p) / CASE WHEN STRFTIME(date, '%Y-%m') = '1996-05' THEN 2 ELSE 1 END) AS p FROM v_panel GROUP BY 1")
+    c["snk2_write_table"] = (st, table, "SELECT entity, N(COUNT(*)) AS n, MAX(date) AS last, R(MIN(CASE WHEN p > 0 THEN p END)) AS p FROM v_panel GROUP BY 1")
+    c["snk3_state_cache"] = (st, cached, f", {MONTH} SELECT {_M} FROM m")
+    c["rel6_summaries"] = (
+        both,
+        lambda v: pan(v).join(ent(v), "entity").groupBy("area").agg(weighted_mean("p", "population").alias("weighted_mean"), weighted_sd("p", "population").alias("weighted_sd"), safe_mean("p").alias("mean"), safe_sum("n_valid").alias("total"), median("p").alias("median"), safe_max("mean_rad").alias("top"), quantile("mean_rad", 0.9).alias("p90"), sample_sd("p").alias("sd")),
+        "SELECT area, R(SUM(p * population) FILTER (WHERE population > 0) / SUM(population) FILTER (WHERE population > 0)) AS weighted_mean, R(SQRT(GREATEST(SUM(population * p * p) FILTER (WHERE population > 0) / SUM(population) FILTER (WHERE population > 0) - POWER(SUM(p * population) FILTER (WHERE population > 0) / SUM(population) FILTER (WHERE population > 0), 2), 0))) AS weighted_sd, R(AVG(p)) AS mean, R(SUM(n_valid)) AS total, R(QUANTILE_CONT(p, 0.5)) AS median, R(MAX(mean_rad)) AS top, R(QUANTILE_CONT(mean_rad, 0.9)) AS p90, R(STDDEV_SAMP(p)) AS sd FROM v_panel JOIN v_entities USING (entity) GROUP BY 1",
+    )
     return c

@@ -122,6 +122,8 @@ def catalog():
     c["nat5_candidates"] = (["v_panel"], lambda v: cand(v).select("entity", "date", "type", "neighbour_drop", "score"), f", {CD} SELECT entity, date, type, R(neighbour_drop) AS neighbour_drop, R(score) AS score FROM cd")
     c["nat6_top_by_type"] = (["v_panel", "v_entities"], lambda v: N.top_by_type(cand(v), v("v_entities").where("population is null"), 5).select("type", "rank", "entity", "date"), f", {CD}, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY type, entity ORDER BY score DESC, date) AS r FROM cd WHERE entity NOT IN (SELECT entity FROM v_entities WHERE population IS NULL)), g AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY score DESC, entity) AS k FROM f WHERE r = 1) SELECT type, I(k) AS rank, entity, date FROM g WHERE k <= 5")
     c["nat7_event_windows"] = (PE, lambda v: N.event_windows(events(v), v("v_panel")), f", {PX}, {EV} SELECT ev.entity, ev.date AS event_date, I(o) AS offset, R(v.p) AS p FROM ev CROSS JOIN (SELECT UNNEST([-1, 0, 1]) AS o) k LEFT JOIN v_panel v ON v.entity = ev.entity AND v.date = ev.date + CAST(o AS INTEGER)")
+    WINDOWS = "ew AS (SELECT ev.entity, ev.date AS event_date, MAX(v.p) FILTER (WHERE o = -1) AS b, MAX(v.p) FILTER (WHERE o = 0) AS e, MAX(v.p) FILTER (WHERE o = 1) AS a FROM ev CROSS JOIN (SELECT UNNEST([-1, 0, 1]) AS o) k LEFT JOIN v_panel v ON v.entity = ev.entity AND v.date = ev.date + CAST(o AS INTEGER) GROUP BY 1, 2)"
+    c["nat7_event_summary"] = (PE, lambda v: N.event_summary(N.event_windows(events(v), v("v_panel"))), f", {PX}, {EV}, {WINDOWS} SELECT entity, N(COUNT(*)) AS n_events, R(AVG(b)) AS mean_before, R(AVG(e)) AS mean_event, R(AVG(a)) AS mean_after, R(AVG(b - e)) AS mean_drop, R(AVG(a - e)) AS mean_recovery, N(COUNT(*) FILTER (WHERE b IS NOT NULL AND a IS NOT NULL)) AS n_whole FROM ew GROUP BY 1")
     c["nat8_headline"] = (PEX, lambda v: N.daily_base(pe(v).where("population > 100")).join(shed(v), "date").select("date", "weighted_p", "strict_dark", "shed_share"), f", {PX}, {NA.replace('FROM pe', 'FROM pe WHERE population > 100')} SELECT date, R(weighted_p) AS weighted_p, R(strict_dark) AS strict_dark, R(shed_share) AS shed_share FROM na")
     c["nat9_top_days"] = (PE, lambda v: N.event_table(pe(v), [1000.0]).orderBy(F.desc("dark_population"), "date").limit(15).select("date", "n_dark", "dark_population"), f", {PX}, {ET} SELECT date, N(n_dark) AS n_dark, R(dark_population) AS dark_population FROM et WHERE size = 1000 ORDER BY et.dark_population DESC, date LIMIT 15")
     c["nat10_threshold_outcomes"] = (PE, lambda v: N.threshold_outcomes(pe(v), [0.05, 0.2, 0.6, 0.9], "demand"), f", {PX} SELECT date, " + ", ".join("R(" + SHARE.format(w="demand", c=f"p < {t}") + f") AS below_{round(100 * t):02d}" for t in (0.05, 0.2, 0.6, 0.9)) + " FROM pe GROUP BY 1")
@@ -180,6 +182,10 @@ def catalog():
         f"{av}, k AS (SELECT av.*, x.date IS NULL AS ok FROM av LEFT JOIN v_exposure x ON x.date = av.date AND mlr = 0) SELECT area, N(COUNT(*)) AS all_n, R(AVG(observed_share)) AS all_mean, R(QUANTILE_CONT(observed_share, 0.5)) AS all_p50, N(COUNT(*) FILTER (WHERE ok)) AS excluded_n, R(AVG(observed_share) FILTER (WHERE ok)) AS excluded_mean, R(QUANTILE_CONT(observed_share, 0.5) FILTER (WHERE ok)) AS excluded_p50 FROM k GROUP BY 1",
     )
     c["up9_gate_wide"] = (PE, lambda v: N.gate_uptime_wide(available(v), [0.0, 0.1, 0.3], "avail_40"), f"{av} SELECT area, R(AVG(avail_40)) AS g00, R(AVG(avail_40) FILTER (WHERE observed_share >= 0.1)) AS g10, R(AVG(avail_40) FILTER (WHERE observed_share >= 0.3)) AS g30, R(AVG(avail_40) FILTER (WHERE observed_share >= 0.3) - AVG(avail_40)) AS delta FROM av GROUP BY 1")
+    GATES = "ga AS (SELECT area, gate, COUNT(*) FILTER (WHERE observed_share >= gate) AS n_pass, COUNT(*) AS n_days, AVG(avail_40) FILTER (WHERE observed_share >= gate) AS availability FROM av, (SELECT UNNEST([0.0, 0.1, 0.3]) AS gate) k GROUP BY 1, 2)"
+    dates = lambda v: N.gate_uptime_dates(available(v), [0.0, 0.1, 0.3], "avail_40")
+    c["up9_gate_dates"] = (PE, dates, f"{av}, {GATES} SELECT area, R(gate) AS gate, N(n_pass) AS n_pass, N(n_days) AS n_days, R(availability) AS availability FROM ga")
+    c["up9_gate_national"] = (PE, lambda v: N.gate_uptime_national(dates(v), v("v_entities").groupBy("area").agg(F.sum("demand").alias("weight"))), f"{av}, {GATES}, aw AS (SELECT area, SUM(demand) AS w FROM v_entities GROUP BY 1) SELECT R(gate) AS gate, N(COUNT(availability)) AS n_areas, N(SUM(n_pass)) AS n_pass, N(SUM(n_days)) AS n_days, R(SUM(availability * w) FILTER (WHERE w > 0 AND availability IS NOT NULL) / SUM(w) FILTER (WHERE w > 0 AND availability IS NOT NULL)) AS weighted, R(MIN(availability)) AS lowest, R(MAX(availability)) AS highest FROM ga JOIN aw ON aw.area = ga.area GROUP BY 1")
     c["up10_export_audit"] = (PE, lambda v: N.export_audit(N.support_summary(available(v)).where("area <> 'CHINA'"), v("v_entities").where("population > 3000").select("area"), 1400), f"{av}, r AS (SELECT area, COUNT(*) AS n_days FROM av WHERE area <> 'CHINA' GROUP BY 1), w AS (SELECT DISTINCT area FROM v_entities WHERE population > 3000) SELECT COALESCE(r.area, w.area) AS area, N(n_days) AS n_days, CASE WHEN r.area IS NULL THEN 'blocked:missing' WHEN w.area IS NULL THEN 'blocked:unknown_name' WHEN n_days < 1400 THEN 'blocked:few_days' ELSE 'ready' END AS status FROM r FULL JOIN w ON r.area = w.area")
     c["up11_national"] = (PE, lambda v: N.national_summary(available(v).groupBy("area").agg(F.avg("avail_40").alias("a"), F.sum("observed_demand").alias("w")), "a", "w"), f"{av}, a AS (SELECT area, AVG(avail_40) AS a, SUM(observed_demand) AS w FROM av GROUP BY 1) SELECT N(COUNT(a)) AS n_areas, R(SUM(a * w) / SUM(w)) AS weighted, R(AVG(a)) AS mean, R(MIN(a)) AS lowest, R(MAX(a)) AS highest FROM a")
     return c

@@ -22,8 +22,8 @@ VIEWS = {
     "v_pixels": """SELECT cell_id, date, rad, CAST(ln % 2 + 64 * (ln % 4) + CASE WHEN ln % 3 = 0 THEN 256 ELSE 0 END + CASE WHEN ln % 5 = 0 THEN 512 ELSE 0 END
         + CASE WHEN ln % 7 = 0 THEN 1024 ELSE 0 END + CASE WHEN ln = 1 THEN 12288 ELSE 0 END AS INTEGER) AS qf_cloud,
         CAST(ln % 3 AS INTEGER) AS mandatory_qf, CAST(CASE WHEN ln = 4 THEN 1 ELSE 0 END AS INTEGER) AS snow
-        FROM (SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS date, AVG(l_extendedprice) / 10000 AS rad, MIN(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2) x""",
-    "v_annual": """SELECT l_partkey AS cell_id, AVG(l_extendedprice) / 10000 AS rad, CAST(l_partkey % 4 AS INTEGER) AS quality FROM lineitem GROUP BY 1, 3""",
+        FROM (SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS date, AVG(l_extendedprice) / 9973 AS rad, MIN(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2) x""",
+    "v_annual": """SELECT l_partkey AS cell_id, AVG(l_extendedprice) / 9973 AS rad, CAST(l_partkey % 4 AS INTEGER) AS quality FROM lineitem GROUP BY 1, 3""",
     "v_weights": """SELECT DISTINCT l_suppkey AS entity, l_partkey AS cell_id, (1 + (l_suppkey + l_partkey) % 10) / 10.0 AS coverage_fraction,
         CAST(200000 + l_partkey AS DOUBLE) AS cell_area_m2, (l_suppkey + l_partkey) % 10 >= 4 AS is_centre FROM lineitem""",
     "v_schedule": """SELECT event_id, event_type AS circuit, ts AS start, value AS minutes FROM events""",

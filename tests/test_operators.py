@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from duskgrid import functions as fn
 from duskgrid.functions import tails
-from duskgrid.operators import exposure, panel, pixels, regress, reliability, resample, series, spatial, states
+from duskgrid.operators import exposure, order, panel, pixels, regress, reliability, resample, series, spatial, states
 from duskgrid.sources import io
 
 D = dt.date
@@ -199,3 +200,70 @@ def test_block_bootstrap_agrees_with_random_starts(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "day int, y double, x double")
     se = resample.bootstrap_summary(resample.block_bootstrap(df, "y", "x", "day", draws, block)).first().se
     assert abs(se / np.std(slopes, ddof=1) - 1) < 0.2
+
+
+def test_factor_grids_equal_least_squares(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"b{rng.integers(4)}", int(rng.integers(30)), float(rng.normal()), float(rng.random() + 0.5)) for _ in range(400)]
+    table = [(b, d, d % 5, 0.3 * x + 0.2 * int(b[1]) + 0.1 * d + float(rng.normal()), x, w, 7.0) for b, d, x, w in rows]
+    df = spark.createDataFrame(table, "b string, d int, m int, y double, x double, w double, flat double")
+    y, x, w = (np.array([r[i] for r in table]) for i in (3, 4, 5))
+    hot = lambda i, drop=True: np.array([[r[i] == v for v in sorted({r[i] for r in table})[drop:]] for r in table], float)
+    one = np.ones((len(y), 1))
+    specs = {"none": (None, {}), "date": ("d", {}), "b_m": (None, {"b": ["b0", "b1", "b2", "b3"], "m": [0, 1, 2, 3, 4]}), "date_b": ("d", {"b": ["b0", "b1", "b2", "b3"]})}
+    designs = {"none": [], "date": [hot(1)], "b_m": [hot(0), hot(2)], "date_b": [hot(1), hot(0)]}
+    got = {(r.exposure, r.spec): r for r in regress.factor_grid(df, "y", ["x", "flat"], specs).collect()}
+    for name, more in designs.items():
+        z = np.hstack([x[:, None], one, *more])
+        beta, _, rank, _ = np.linalg.lstsq(z, y, rcond=None)
+        rss = ((y - z @ beta) ** 2).sum()
+        r = got["x", name]
+        assert r.df == len(y) - rank and abs(r.slope - beta[0]) < 1e-9
+        assert abs(r.se - np.sqrt(np.linalg.pinv(z.T @ z)[0, 0] * rss / r.df)) < 1e-9 and abs(r.r2 - (1 - rss / ((y - y.mean()) ** 2).sum())) < 1e-9
+        assert got["flat", name].slope is None
+    grid = {(r.outcome, r.weight, r.spec): r for r in regress.fe_control_grid(df.withColumn("z", F.col("y") * 2), ["y", "z"], "x", [None, "w"], {"none": {}, "m": {"m": [0, 1, 2, 3, 4]}}, "b", "d").collect()}
+    date = np.array([r[1] for r in table])
+    for weight in ("none", "w"):
+        for spec, more in (("none", []), ("m", [hot(2)])):
+            k = np.sqrt(w if weight == "w" else np.ones(len(y)))
+            z = np.hstack([x[:, None], hot(0, False), *more])
+            beta, _, rank, _ = np.linalg.lstsq(z * k[:, None], y * k, rcond=None)
+            bread = np.linalg.pinv((z * k[:, None]).T @ (z * k[:, None]))
+            score = np.array([(z * (k**2 * (y - z @ beta))[:, None])[date == d].sum(axis=0) for d in np.unique(date)])
+            g = len(score)
+            se = np.sqrt((bread @ score.T @ score @ bread)[0, 0] * g / (g - 1) * (len(y) - 1) / (len(y) - rank))
+            r = grid["y", weight, spec]
+            assert abs(r.slope - beta[0]) < 1e-9 and abs(r.se_cluster - se) < 1e-9 and abs(grid["z", weight, spec].slope - 2 * beta[0]) < 1e-9
+
+
+def test_order_in_two_levels(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 3, 400), np.zeros(80), np.repeat(2.5, 60), rng.normal(0, 1e6, 60)])
+    df = spark.createDataFrame([(int(i % 3), float(v), int(i), float(i % 7)) for i, v in enumerate(x)] + [(0, None, -1, 1.0), (1, float("nan"), -2, 1.0)], "g int, x double, i int, w double")
+    got = order.quantiles(df, F.col("x"), {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}, ["g"]).collect()
+    for r in got:
+        assert np.allclose([r.a, r.b, r.c, r.d], np.quantile(x[np.arange(len(x)) % 3 == r.g], [0, 0.31, 0.5, 1.0]))
+    rows = order.running(df.where("x is not null and not isnan(x)"), ["x", "i"], {"k": F.lit(1), "s": F.col("w")}).orderBy("k").collect()
+    want = sorted((float(v), i) for i, v in enumerate(x))
+    assert [(r.x, r.i) for r in rows] == want and [r.k for r in rows] == list(range(1, len(x) + 1))
+    assert np.allclose([r.s for r in rows], np.cumsum([i % 7 for _, i in want])) and [r["_last"] for r in rows[1:]] == [v for v, _ in want[:-1]] and rows[0]["_last"] is None
+    assert order.quantiles(df.limit(0), F.col("x"), {"a": 0.5}).first().a is None and order.quantiles(df.limit(0), F.col("x"), {"a": 0.5}, ["g"]).count() == 0
+
+
+def test_bootstrap_error_is_that_of_random_draws(spark):
+    rng = np.random.default_rng(1)
+    n = 700
+    x = rng.normal(size=n)
+    e = np.zeros(n)
+    for t in range(1, n):
+        e[t] = 0.6 * e[t - 1] + rng.normal()
+    y = 0.5 * x + e
+    import datetime
+
+    df = spark.createDataFrame([(datetime.date(2000, 1, 1) + datetime.timedelta(i), float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "date date, y double, x double")
+    s = resample.bootstrap_summary(resample.block_bootstrap(df, "y", "x", "date", 1000, 14)).first()
+    slopes = []
+    for _ in range(1000):
+        i = (rng.integers(n, size=n // 14)[:, None] + np.arange(14)).ravel() % n
+        slopes.append(np.polyfit(x[i], y[i], 1)[0])
+    assert 0.9 < s.se / np.std(slopes) < 1.1 and s.p_value == 2 / 1001

@@ -27,7 +27,7 @@ def con():
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         v = float(v)
-        return None if math.isnan(v) else round(v, 4) + 0.0
+        return None if math.isnan(v) else round(v, 6) + 0.0
     return str(v)[:10] if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, con, name):
     a, b = ordered([r.asDict() for r in mine.collect()], sorted(columns)), ordered(theirs, sorted(columns))
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
-        assert all(p == q or (isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) <= 2e-4 * max(1, abs(p))) for p, q in zip(x, y, strict=True)), (x, y)
+        assert all(p == q or (isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) <= 1e-9 * abs(p)) for p, q in zip(x, y, strict=True)), (x, y)
 
 
 def test_flagship(spark):
@@ -59,8 +59,8 @@ def test_iterative_fits(spark):
     assert 0 <= ar.phi < 1 and ar.se > 0
     boot, hac = run("res1_bootstrap").first(), run("reg4_newey_west").first()
     assert 0.5 < boot.se / hac.se_hac < 2 and abs(boot.mean - hac.slope) < 3 * hac.se_hac
-    placebo = run("res2_permutation").toPandas()
-    assert len(placebo) == 200 and abs(placebo.slope.mean()) < 3 * placebo.slope.std()
+    placebo = run("res2_permutation").first()
+    assert placebo.n == 2000 and abs(placebo["mean"]) < 3 * placebo.sd and 0 < placebo.p_value <= 1
     w = run("reg16_wald").first()
     assert w.df == 3 and 0 <= w.p_value <= 1
     q = run("reg3_quasi_poisson").first()
@@ -72,9 +72,6 @@ def test_iterative_fits(spark):
 def test_whole_tables(spark):
     run = lambda n: registry.queries()[n](spark, SF)
     n = national(functools.partial(view, spark, SF)).where("strict_dark is not null and shed_share is not null").count()
-    assert sorted(r.shift for r in run("res3_circular_shifts_all_dates").collect()) == list(range(1, n)) and n > 366
-    whole = {(r.least_obs, r.least_lit): r.share for r in run("cal6_doe_population_all_dates").collect()}
-    prefix = {(r.least_obs, r.least_lit): r.share for r in run("cal6_doe_population").collect()}
-    assert whole.keys() == prefix.keys() and all(whole[k] >= prefix[k] for k in whole) and whole != prefix
-    kept = run("cal9_compare_keeps_all_entities").agg({"n": "sum"}).first()[0]
+    assert sorted(r.shift for r in run("res3_circular_shifts").collect()) == list(range(1, n)) and n > 366
+    kept = run("cal9_compare_keeps").agg({"n": "sum"}).first()[0]
     assert kept == view(spark, SF, "v_panel").join(view(spark, SF, "v_entities"), "entity").select("entity").distinct().count()
