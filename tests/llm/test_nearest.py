@@ -36,11 +36,12 @@ def test_recall_and_scores(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (400, [None, 1.0]), (500, [1.0]), (3, [0.0, -2.0]), (3, [0.0, -2.0]), (4, [1.0, 0.0]), (None, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (400, [None, 1.0]), (500, [1.0]), (600, [3.0]), (500, [7.0]), (3, [0.0, -2.0]), (3, [0.0, -2.0]), (4, [1.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 4), (0, 2, 3)]
-    assert abs(got[1].score - 5**0.5) < 1e-12
+    got = [r for r in got if r.query_id != 600]
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 4), (0, 2, 3), (500, 1, 600)]  # of one length
+    assert abs(got[1].score - 5**0.5) < 1e-12 and got[2].score == 2
     assert nearest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
@@ -55,3 +56,27 @@ def test_pairs_of_axes(spark):
         d[q] = np.inf
         hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:5].tolist()))
     assert hit >= 0.9 * 40
+
+
+def test_recall_and_work_on_the_table(spark):
+    """Recall on the given vectors, and the share of all rows that a query is compared with."""
+    import pyarrow.parquet as pq
+
+    where = "/root/testdata/sf0.1/embeddings.parquet"
+    t = pq.read_table(where, columns=["vec_id", "embedding"])
+    ids, x = t["vec_id"].to_numpy(), nearest.matrix(t["embedding"].combine_chunks())
+    got = {}
+    for r in nearest.search(spark.read.parquet(where), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit, seen, queries = 0, [], np.flatnonzero(ids % 100 == 0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    met = np.zeros((len(queries), len(x)), int)
+    for table in range(nearest.TABLES):
+        own, asked = nearest.buckets(unit, table, nearest.HASHES, 1)[:, 0], nearest.buckets(unit[queries], table, nearest.HASHES, nearest.PROBES)
+        met += (own[None, :, None] == asked[:, None, :]).any(axis=2)
+    for i in queries:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        hit += len(got[ids[i]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= 0.95 * 10 * len(queries)
+    assert (met > 0).mean() < 0.25
