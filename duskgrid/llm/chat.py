@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows: prefix sums of turn tokens choose turn-aligned spans.
 
-A conversation's turns lie on a line by the prefix sums of their tokens. The line is cut into cells of half the room for
-new turns; a window holds the turns that start in one cell (a turn longer than a cell has a window to itself, so turns
-are never cut and only such a turn can exceed the budget). In front of its new turns a window repeats the
-conversation's system turn and, within a limit, the turns just before. Only new assistant turns are under the loss
-mask, so every target counts once however often it is repeated.
+A conversation's turns lie on a line by the prefix sums of their tokens, counted as they are written. The line is cut
+into cells of half of what history and the conversation's system turn leave of the budget; a window holds the turns that
+start in one cell (a turn longer than a cell has a window to itself, so turns are never cut). In front of its new turns a
+window repeats the system turn and, within a limit, the turns just before, as far as the budget allows; only a turn that is
+longer than the budget by itself exceeds it. A system turn that takes over half of what history leaves isn't repeated.
+Only new assistant turns are under the loss mask, so every target counts once however often it is repeated.
 
 A turn is written `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts `\\` becomes `\\\\` and `<|` becomes `<\\|`
 (in roles a line feed becomes `\\n` too), so no text can pass for a mark, and reading undoes it exactly.
@@ -28,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import batch_rows, slices, stored, texts_of
+from duskgrid.llm.common import batch_rows, slices, stored, strings
 from duskgrid.llm.encode import encoder
 
-#: Tokens of a window, of the history it repeats, and what a turn's marks cost.
-BUDGET, HISTORY, MARKS = 2048, 512, 8
+#: Tokens of a window, and of the history it repeats.
+BUDGET, HISTORY = 2048, 512
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 WINDOWS = "conv_id long, window long, n_repeated int, n_tokens long, text string, loss_start array<int>, loss_end array<int>"
 
@@ -53,6 +54,11 @@ def unescape_role(s: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], s, flags=re.S) if "\\" in s else s
 
 
+def parts_of(role: str, text: str) -> tuple[str, str, str]:
+    """A turn as it is written: what leads to the text, the text, and what closes it."""
+    return f"<|im_start|>{escape_role(role)}\n", escape(text), "<|im_end|>\n"
+
+
 def turn_positions(convs: DataFrame, tokenizer_path: str) -> DataFrame:
     """conv_id, idx, at, role, text, n: every turn with its number and its first token's place in the conversation."""
 
@@ -60,7 +66,8 @@ def turn_positions(convs: DataFrame, tokenizer_path: str) -> DataFrame:
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         conv, idx, at = None, 0, 0
         for b in slices(batches, "text"):
-            n = np.diff(enc.encode(texts_of(b, "text"))[0]) + MARKS
+            written = ["".join(parts_of(r, t)) for r, t in zip(strings(b.column("role")), strings(b.column("text")), strict=True)]
+            n = np.diff(enc.encode(pa.array(written, pa.large_string()))[0])
             ids = b.column("conv_id").to_numpy()
             new = np.ones(len(ids), bool)
             new[1:] = ids[1:] != ids[:-1]
@@ -88,18 +95,20 @@ def turn_positions(convs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def format_windows(convs: DataFrame, tokenizer_path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """WINDOWS of convs (conv_id, turn, role, text)."""
-    cell = (budget - history) // 2
-    if not 0 <= history <= cell:
-        raise ValueError("the history may take a third of the budget at most")
+    if not 0 <= history <= budget - 4:
+        raise ValueError("the history must leave some of the budget")
+    most = (budget - history) // 2
     turns = turn_positions(convs, tokenizer_path)
-    own = F.floor(F.col("at") / cell).cast("long")
-    alone = (F.col("n") > cell).cast("long")
+    first = turns.where("idx = 0 and role = 'system'").where(F.col("n") <= most)
+    turns = turns.join(first.select("conv_id", F.col("n").alias("head")), "conv_id", "left")
+    cell = F.floor((F.lit(budget - history) - F.coalesce("head", F.lit(0))) / 2)
+    turns = turns.withColumn("own", F.floor(F.col("at") / cell)).withColumn("last", F.floor((F.col("at") + history) / cell))
     # a window's number: twice its cell, and one more for a long turn, which starts last in its cell
-    places = turns.withColumn("window", own * 2 + alone).withColumn("new", F.lit(True))
-    behind = turns.where(F.col("n") <= history).withColumn("window", F.explode(F.array(own * 2 + 1, own * 2 + 2, own * 2 + 3))).withColumn("new", F.lit(False))
+    places = turns.withColumn("window", F.col("own") * 2 + (F.col("n") > cell).cast("long")).withColumn("new", F.lit(True))
+    behind = turns.where(F.col("n") <= history).withColumn("window", F.explode(F.sequence(F.col("own") * 2 + 1, F.col("last") * 2 + 1))).withColumn("new", F.lit(False))
     one = F.struct("idx", "at", "role", "text", "n", "new")
     grouped = places.unionByName(behind).groupBy("conv_id", "window").agg(F.collect_list(one).alias("turns"), F.max("new").alias("some")).where("some").drop("some")
-    system = turns.where("idx = 0 and role = 'system'").select("conv_id", F.struct("role", "text", "n").alias("system"))
+    system = first.select("conv_id", F.struct("role", "text", "n").alias("system"))
 
     def task(batches):
         for b in batches:
@@ -107,24 +116,23 @@ def format_windows(convs: DataFrame, tokenizer_path: str, budget: int = BUDGET,
             for conv, window, rows, head in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows.sort(key=lambda r: (r["idx"], r["new"]))
                 fresh = [r for r in rows if r["new"]]
-                first = fresh[0]
-                past = [r for r in rows if not r["new"] and r["idx"] < first["idx"] and r["at"] >= first["at"] - history]
+                first, room = fresh[0], budget - sum(r["n"] for r in fresh)
+                head = None if head is None or first["idx"] == 0 or head["n"] > room else head
+                room -= head["n"] if head else 0
                 unbroken = []
-                for r in reversed(past):  # only turns that follow each other without a hole
-                    if r["idx"] != first["idx"] - len(unbroken) - 1:
-                        break
+                for r in reversed([r for r in rows if not r["new"] and r["idx"] < first["idx"] and r["at"] >= first["at"] - history]):
+                    if r["idx"] != first["idx"] - len(unbroken) - 1 or r["n"] > room or r["idx"] == 0 and head:
+                        break  # only turns that follow each other without a hole
                     unbroken.append(r)
-                repeated = unbroken[::-1]
-                if head is not None and first["idx"] > 0 and not (repeated and repeated[0]["idx"] == 0):
-                    repeated = [head, *repeated]
-                text, starts, ends = "", [], []
-                parts, at = [], 0
+                    room -= r["n"]
+                repeated = [*([head] if head else []), *unbroken[::-1]]
+                starts, ends, parts, at = [], [], [], 0
                 for k, r in enumerate([*repeated, *fresh]):
-                    lead, body = f"<|im_start|>{escape_role(r['role'])}\n", escape(r["text"])
+                    lead, body, close = parts_of(r["role"], r["text"])
                     if k >= len(repeated) and r["role"] == "assistant":
                         starts.append(at + len(lead))
                         ends.append(at + len(lead) + len(body))
-                    parts.append(f"{lead}{body}<|im_end|>\n")
+                    parts.append(lead + body + close)
                     at += len(parts[-1])
                 text = "".join(parts)
                 out.append((conv, window, len(repeated), sum(r["n"] for r in [*repeated, *fresh]), text, starts, ends))
