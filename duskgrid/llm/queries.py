@@ -32,7 +32,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in the store, read back from it."""
     path = common.new_path(spark, "tokens")
     token_store.write_token_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return common.ids_crc32(token_store.read_token_store(spark, path))
+    return common.stored(common.ids_crc32(token_store.read_token_store(spark, path)), "op7", 1000)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token piece of all documents and its place in a sequence of 4096."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
-    return packing.place(common.ids_crc32(cut), *packing.make_plan(cut, 4096))
+    return packing.place(common.stored(common.ids_crc32(cut), "op9", 1000), *packing.make_plan(cut, 4096))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP6_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+  SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
     TIMESTAMP '2024-01-01' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched
   FROM pages),
 h AS (SELECT DISTINCT host AS domain, md5(host) AS m FROM p WHERE host IS NOT NULL),

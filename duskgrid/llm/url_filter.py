@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 
 def host(url: Column) -> Column:
-    """The lower-cased host of a URL, without user, port and final dot; null if there is none."""
-    raw = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The lower-cased host of a URL, without user (all up to the last @), port and final dot; null if there is none."""
+    raw = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)", 1))
     bare = F.regexp_replace(raw, r"\.+$", "")
     return F.when(bare != "", bare)
 

@@ -1,5 +1,7 @@
 """Licence rules and dated URL lists on hand-made cases."""
 
+import random
+import time
 from datetime import datetime
 
 from duskgrid.llm import licenses as L
@@ -31,6 +33,52 @@ def test_rules():
     assert L.scan("We talk about the MIT License at length.") == []
 
 
+def plain(ids):
+    """Every rule tried everywhere, longest first: what matched() must give."""
+    used, out = set(), []
+    for name, rule in sorted(L.RULES, key=lambda r: -len(r[1])):
+        for i, (n, k) in enumerate(ids):
+            if i in used or k != rule[0]:
+                continue
+            took, last = [i], n
+            for want in rule[1:]:
+                j = next((j for j in range(took[-1] + 1, len(ids)) if j not in used and ids[j][1] == want and ids[j][0] - last <= L.GAP + 1), None)
+                if j is None:
+                    break
+                took.append(j)
+                last = ids[j][0]
+            else:
+                used.update(took)
+                out.append((name, took))
+    return out
+
+
+def test_rules_against_brute_force():
+    rng = random.Random(2)
+    names = ["mit-title", "mit-grant", "mit-notice", "mit-warranty", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "gpl-free", "gpl-hope", "gpl-see", "agpl-free", "agpl-see", "lgpl-hope", "0bsd-grant", "isc-warranty"]
+    for _ in range(300):
+        at, ids = 0, []
+        for _ in range(rng.randint(0, 25)):
+            at += rng.choice([1, 1, 1, 2, 3, 5, 7])
+            ids.append((at, rng.choice(names)))
+        assert sorted(L.matched(ids)) == sorted(plain(ids))
+
+
+def test_every_sentence_is_known_and_time_is_linear():
+    alone = {k for _, r in L.RULES if len(r) == 1 for k in r}
+    for k, s in L.SENTENCES.items():
+        assert any(w in s.lower() for w in L.WORDS)
+        if k in alone:
+            assert L.scan(f"Some words here.\n{s}.\nAnd more."), k
+    took = []
+    for n in (2000, 16_000):
+        text = "\n".join([L.SENTENCES["mit-title"]] * n)
+        began = time.process_time()
+        assert len(L.scan(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.5
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, ""), (2, "", ""), (2, "", ""), (None, "SPDX-License-Identifier: MIT", ""), (3, "x " * 50000 + "\nReleased under the MIT License.", "")], "doc_id long, text string, licenses string")
     got = [(r.doc_id, r.licenses) for r in L.licenses(df).collect()]
@@ -44,8 +92,8 @@ def test_dated_lists(spark):
         [("a", "Bad.com", "add", day(5)), ("a", "bad.com", "remove", day(10)), ("a", "bad.com", "add", day(20)), ("b", "x.bad.com", "add", day(1)), ("c", "bad.com", "add", day(3)), ("c", "bad.com", "remove", day(3)), ("d", None, "add", day(1)), ("e", "good.com", "remove", day(1))],
         "list string, domain string, action string, ts timestamp",
     )
-    pages = [(1, "http://bad.com/", day(4)), (2, "http://bad.com:80/x", day(5)), (3, "https://u@W.BAD.com./", day(9)), (4, "http://bad.com?q", day(10)), (5, "http://x.bad.com", day(21)), (6, "http://notbad.com", day(21)), (7, None, day(21)), (8, "nonsense", day(21)), (9, "http://bad.com", None), (1, "http://bad.com/", day(4)), (None, "http://good.com", day(4))]
+    pages = [(1, "http://bad.com/", day(4)), (2, "http://bad.com:80/x", day(5)), (3, "https://u@W.BAD.com./", day(9)), (4, "http://bad.com?q", day(10)), (5, "http://x.bad.com", day(21)), (6, "http://notbad.com", day(21)), (7, None, day(21)), (8, "nonsense", day(21)), (9, "http://bad.com", None), (1, "http://bad.com/", day(4)), (None, "http://good.com", day(4)), (10, "http://good.com@b@bad.com/", day(6)), (11, "http://bad.com@good.com/x@bad.com", day(6))]
     df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, fetched timestamp, list string, until int")
     got = {r.page_id: r.lists for r in U.evaluate(df, entries).collect()}
-    assert got == {1: [], 2: ["a"], 3: ["a"], 4: [], 5: ["a", "b"], 6: [], 7: [], 8: [], 9: [], None: []}
+    assert got == {1: [], 2: ["a"], 3: ["a"], 4: [], 5: ["a", "b"], 6: [], 7: [], 8: [], 9: [], 10: ["a"], 11: [], None: []}
     assert U.evaluate(df.limit(0), entries).count() == 0 and U.evaluate(df, entries.limit(0)).where("blocked").count() == 0
