@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import fields, slices, stored, texts_of
+from duskgrid.llm.common import slices, stored, texts_of
 from duskgrid.llm.encode import encoder
 from duskgrid.llm.words import ragged
 
@@ -239,19 +239,15 @@ def make_plan(cut: DataFrame, capacity: int) -> tuple[Plan, DataFrame]:
 def place(cut: DataFrame, planned: Plan, before: DataFrame) -> DataFrame:
     """cut with sequence_id and offset instead of part and rank; all other columns stay."""
     kept = [c for c in cut.columns if c not in ("part", "rank")]
-    shared = cut.sparkSession.sparkContext.broadcast(planned)  # bounded by the capacity, not by the corpus
-    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-
-    def task(batches):
-        p = shared.value
-        key = p.length << 40 | p.rank
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            i = np.searchsorted(key, length << 40 | rank, "right") - 1
-            nth = rank - p.rank[i]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(p.seq[i] + nth // p.each[i]), pa.array(p.offset[i] + nth % p.each[i] * length)], names=[*kept, "sequence_id", "offset"])
-
-    return ranked.select(*kept, "rank").mapInArrow(task, f"{fields(cut, kept)}, sequence_id long, offset long")
+    runs: dict[int, list] = {}
+    for length, *run in zip(planned.length.tolist(), planned.rank.tolist(), planned.each.tolist(), planned.seq.tolist(), planned.offset.tolist(), strict=True):
+        runs.setdefault(length, []).append(tuple(run))
+    table = cut.sparkSession.createDataFrame(list(runs.items()), "length long, _runs array<struct<rank:long,each:long,seq:long,offset:long>>")
+    # a row a length, bounded by the capacity: it may be broadcast
+    ranked = cut.join(before, ["part", "length"]).withColumn("_nth", F.col("rank") + F.col("before")).join(F.broadcast(table), "length")
+    run = F.element_at(F.filter("_runs", lambda x: x["rank"] <= F.col("_nth")), -1)
+    placed = ranked.withColumn("_run", run).withColumn("_nth", F.col("_nth") - F.col("_run.rank"))
+    return placed.select(*kept, (F.col("_run.seq") + F.floor(F.col("_nth") / F.col("_run.each"))).alias("sequence_id"), (F.col("_run.offset") + F.col("_nth") % F.col("_run.each") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
