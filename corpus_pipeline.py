@@ -24,18 +24,25 @@ SHINGLE, WORDS, RADIUS, SIMILARITY = 5, 8, 84, 0.8
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 
 
+def _folded(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as one, so that none clashes with a column that an operator adds."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("others"))
+
+
+def _unfolded(docs: DataFrame, folded: DataFrame) -> DataFrame:
+    return folded.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told (null texts and texts without a letter can't be)."""
     model = language_id.fit_on(docs)
-    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return found.where("lang_pred <> 'und'").select("row.*")
+    return _unfolded(docs, language_id.identify(_folded(docs), model).where("lang_pred <> 'und'"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the model, trained on labelled ones among them, holds toxic."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, TOXIC)
-    return found.where("predicted = 0").select("row.*")
+    return _unfolded(docs, toxicity.score(_folded(docs), model, TOXIC).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
