@@ -155,6 +155,8 @@ def near_links(fps: DataFrame, radius: int, share: float = 0.0, tile: int = TILE
     pairs = stored(each.select(F.struct("band", "size", F.col("c").alias("chunk")).alias("a"), F.struct(F.col("ob").alias("band"), F.col("os").alias("size"), F.col("d").alias("chunk")).alias("b")).where("a <= b"), "tile-pairs")
     left = tiles.join(pairs, F.col("t") == F.col("a")).select("a", "b", F.col("nodes").alias("na"), F.col("fps").alias("fa"), F.col("ns").alias("sa"))
     right = tiles.join(pairs, F.col("t") == F.col("b")).select("a", "b", F.col("nodes").alias("nb"), F.col("fps").alias("fb"), F.col("ns").alias("sb"))
+    tasks = min(10_000, pairs.count() // 4 + 1)  # by work, not by bytes: a pair of small tiles is much comparing
+    left, right = left.repartition(tasks, "a", "b"), right.repartition(tasks, "a", "b")
 
     def task(batches):
         for batch in batches:
