@@ -6,10 +6,10 @@ landmarks by that kernel; a one-versus-rest ridge regression is solved there. A
 its presence vector with (landmarks times coefficients), a matrix of n-grams by languages that is folded once; batches
 of texts are scored by that product.
 
-Defined results: lang_pred is `und` with score 0 if the text is null or has no letter, or if no labelled row exists;
-ties go to the language first in alphabetical order; rows that
-repeat a doc_id and language are one training row (the least of their texts); rows are never dropped; null doc_id passes through; other columns
-pass through unless named like a result.
+Defined results: lang_pred is `und` with score 0 if the text is null or has no letter, or if no labelled row exists; ties
+go to the language first in alphabetical order; rows that repeat a doc_id and language are one training row (the least of
+their texts), even if they fill their share of the sample; rows are never dropped; null doc_id passes through; other
+columns pass through unless named like a result.
 """
 
 from __future__ import annotations

@@ -9,9 +9,9 @@ then keeps, of toxic documents, those the model itself holds toxic.
 Scoring needs no vectors: a window's logit is the mean of per-n-gram numbers (vector times softmax weights), which are
 summed once for each distinct word.
 
-Defined results: null, empty or wordless text scores 0 (to 12 digits); rows are never dropped; null doc_id
-passes through; without labelled rows of both kinds every score is 0; a doc_id labelled both ways counts as toxic, and rows
-that repeat a doc_id are one training row (the least of their texts); other columns pass through unless named like a result.
+Defined results: null, empty or wordless text scores 0 (to 12 digits); rows are never dropped; null doc_id passes
+through; without labelled rows of both kinds every score is 0; a doc_id labelled both ways counts as toxic, and rows that
+repeat a doc_id are one training row (the least of their texts); other columns pass through unless named like a result.
 """
 
 from __future__ import annotations

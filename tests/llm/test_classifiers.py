@@ -56,12 +56,70 @@ def test_language(spark):
 def test_language_equals_kernel_by_hand():
     rng = random.Random(3)
     texts = [text(rng, lang, 20) for lang in SYL for _ in range(6)]
-    sets = [set() for _ in texts]
-    for a, rows, cols, _ in language_id.presence(pa.array(texts, pa.large_string())):
-        for r, c in zip(rows.tolist(), cols.tolist()):
-            sets[a + r].add(c)
+    sets = [set(np.flatnonzero(row).tolist()) for _, has in language_id.presence(pa.array(texts, pa.large_string())) for row in has]
     plain = [{t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in texts]
     assert all(abs(len(s) - len(p)) <= 3 for s, p in zip(sets, plain))  # hashes may meet, rarely
     m = language_id.fit(texts, [lang for lang in SYL for _ in range(6)])
-    best, _ = language_id.predict(m, pa.array(texts, pa.large_string()))
+    best, score = language_id.predict(m, pa.array(texts, pa.large_string()))
     assert [m.langs[i] for i in best] == [lang for lang in SYL for _ in range(6)]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    own = np.repeat(np.arange(3), 6)
+    order = np.random.default_rng(3)
+    names = sorted(SYL)
+    place = np.array([names.index(lang) for lang in SYL for _ in range(6)])
+    marks = np.concatenate([order.permutation(np.flatnonzero(place == k))[: language_id.LANDMARKS] for k in range(3)])
+    k = kernel[:, marks]
+    coef = np.linalg.solve(k.T @ k + 1e-3 * len(own) * k[marks] + 1e-8 * np.eye(len(marks)), k.T @ (place[:, None] == np.arange(3)))
+    assert np.allclose(np.clip((k @ coef).max(axis=1), 0, 1), score, atol=1e-4)
+
+
+def test_language_odd_training(spark):
+    """A doc_id a thousand times, ties between languages, and a very long text."""
+    rng = random.Random(5)
+    rows = [(i, text(rng, lang, 30), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    often = [(7000, text(rng, "en", 12), "en")] * 1000
+    df = spark.createDataFrame([*rows, *often], "doc_id long, text string, lang string").repartition(4)
+    once = spark.createDataFrame([*rows, often[0]], "doc_id long, text string, lang string")
+    a, b = language_id.fit_on(df), language_id.fit_on(once)
+    probe = pa.array([text(rng, lang, 20) for lang in ("en", "de") * 10], pa.large_string())
+    assert a.langs == b.langs and (language_id.predict(a, probe)[0] == language_id.predict(b, probe)[0]).all()
+    both = language_id.fit(["thinon er"] * 8, ["x", "y"] * 4)
+    assert [both.langs[i] for i in language_id.predict(both, pa.array(["thinon"], pa.large_string()))[0]] == ["x"]
+    best, score = language_id.predict(a, pa.array([text(rng, "de", 120_000)], pa.large_string()))
+    assert a.langs[best[0]] == "de" and 0 < score[0] <= 1
+
+
+def test_toxicity_equals_windows_by_hand():
+    """Scores against n-grams, means and windows spelled out word by word."""
+    rng = random.Random(9)
+    rows = [text(rng, "en", rng.randint(1, 60)) for _ in range(60)]
+    m = toxicity.fit([t + (" moron" if i % 3 == 0 else "") for i, t in enumerate(rows)], np.array([int(i % 3 == 0) for i in range(60)]))
+    tests = [*rows[:20], "moron", "a", "x " * 40, rows[0] + " morons " + rows[1], "Ünlu'moron 42"]
+    got = toxicity.scores(m, pa.array(tests, pa.large_string()))
+    import re
+
+    from duskgrid.llm.words import word_ngrams
+
+    for t, s in zip(tests, got, strict=True):
+        words = re.findall(r"[^\W_]+", t.lower())
+        bags = [word_ngrams([w], toxicity.SIZES, m.buckets_log2)[1] for w in words]
+        for w, bag in zip(words, bags, strict=True):
+            assert len(bag) == 1 + sum(max(0, len(w) + 2 - n + 1) for n in toxicity.SIZES)
+        tops = []
+        for i in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            some = np.concatenate(bags[i : i + toxicity.WINDOW])
+            tops.append(m.ngram[some].mean() + m.bias)
+        assert abs(s - 1 / (1 + np.exp(-(max(tops) * m.slope + m.shift)))) < 1e-6
+
+
+def test_toxicity_odd_training(spark):
+    """A doc_id a thousand times and labelled both ways; a very long text."""
+    rows = [(i, "bad moron here" if i % 2 else "a good day") for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)]
+    often = spark.createDataFrame([*rows, *([(9000, "moron again")] * 1000)], "doc_id long, text string").repartition(3)
+    twice = spark.createDataFrame([*labels, (9000, 1), (9000, 0), (9000, 1)], "doc_id long, toxic int")
+    sample = toxicity.training_rows(often, twice, {1: 2000, 0: 3200}, 10_000)
+    assert sample.where("text = 'moron again'").count() == 1 and sample.where("text = 'moron again'").first().toxic == 1
+    m = toxicity.fit_on(often, twice)
+    s = toxicity.scores(m, pa.array(["a good day " * 60_000, "a good day " * 60_000 + "bad moron here"], pa.large_string()))
+    assert s[0] < 0.3 <= s[1]

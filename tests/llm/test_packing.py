@@ -48,6 +48,16 @@ def test_plan_is_tight():
     assert packing.plan(halves, 100).sequences == 7
 
 
+def test_query_is_tight(spark):
+    from duskgrid.llm import queries
+
+    rows = queries.op9_packing(spark, "/root/testdata/sf0.001").collect()
+    found = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    used = len({f[0] for f in found})
+    gapless([(sorted({f[0] for f in found}).index(s), o, x) for s, o, x in found], 4096, used)
+    assert used <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
 def test_pack(spark):
     texts = {1: None, 2: "", 3: "the cat", 4: "dog " * 300, 5: "some words here " * 40, None: "x"}
     df = spark.createDataFrame([(k, t, 9, "c") for k, t in [*texts.items(), (3, "the cat")]], "doc_id long, text string, rank int, offset string").repartition(3)
