@@ -32,6 +32,8 @@ def oracle_sql() -> dict[str, str]:
     for name, (views, _, body, *more) in catalog().items():
         if body:
             lead = with_views(*views) + "".join(f", {m}" for m in more)
+            if body.startswith("RECURSIVE"):  # some CTE refers to itself
+                lead, body = lead.replace("WITH ", "WITH RECURSIVE ", 1), body.removeprefix("RECURSIVE")
             out[name] = expand(f"{lead}\n{body}")
     return out
 
