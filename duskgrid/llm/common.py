@@ -51,12 +51,12 @@ def deleted(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession, path: str) -> Iterator[None]:
-    """Deletes what is stored inside, path excepted, when it ends well: for jobs whose result is written to path by then."""
+def scratch(spark: SparkSession, kept: str) -> Iterator[None]:
+    """Deletes what is stored inside when it ends well, tables named kept excepted."""
     _scratch.append([])
     try:
         yield
-        deleted(spark, (p for p in _scratch[-1] if p != path))
+        deleted(spark, (p for p in _scratch[-1] if not p.rsplit("/", 1)[1].startswith(f"{kept}-")))
     finally:
         _scratch.pop()
 
@@ -86,12 +86,17 @@ def stored(df: DataFrame, name: str, rows: int = 2000, path: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives the system back what has been freed: Arrow's pool and the C heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        give(0)
+
+
 def release_memory() -> None:
-    """Gives the system back what training has freed: Arrow's pool and the C heap keep it otherwise."""
+    """trim(), once unreachable objects are gone: after training."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
-        trim(0)
+    trim()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,6 +114,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+    trim()
 
 
 def strings(a: pa.Array) -> list:

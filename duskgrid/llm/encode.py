@@ -57,9 +57,10 @@ class Encoder:
         self.model, self.direct, self.most = self.tokenizer.model, False, CACHE_SEGMENTS
         self.mode = next((m for m in ("drop", "keep") if self._holds(m)), "whole")
         self.direct = self.mode != "whole" and self._direct_holds()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the cache."""
         self.index: dict[str, int] = {"": 0}  # the empty segment has no ids
         self.start, self.size, self.flat = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
         self.hits, self.used = np.zeros(1 << 12, np.int32), 0
@@ -73,7 +74,7 @@ class Encoder:
             kept = kept[np.argsort(-self.hits[kept], kind="stable")[: n // 2]]
         kept = np.concatenate([[0], kept])
         ends, flat = self._gathered(kept)
-        self._forget()
+        self.forget()
         self.index = {words[k]: i for i, k in enumerate(kept.tolist())}
         self.size, self.hits, self.flat, self.used = np.diff(ends), np.ones(len(kept), np.int32), flat, len(flat)
         self.start = ends[:-1]
@@ -108,7 +109,7 @@ class Encoder:
     def _holds(self, mode: str) -> bool:
         """Whether probes with every kind of boundary encode alike whole and in segments."""
         self.mode = mode
-        self._forget()
+        self.forget()
         probes = ["a b", "Don't stop, it's  x", "ab\ncd", " ab", "ab ", "x.\n\ny", "1 234 5.6", "é ñ ü\tß", "they're 'll we", "a b 　c", "foo !bar ?\n(z)", "x1, 2y?! 3... a.b; 'q': (r)."]
         off, ids = self.encode(pa.array(probes, pa.large_string()))
         return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]

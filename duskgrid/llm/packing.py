@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import slices, stored, texts_of
+from duskgrid.llm.common import slices, stored, texts_of, trim
 from duskgrid.llm.encode import encoder
 from duskgrid.llm.words import ragged
 
 PIECES = "part long, rank long, doc_id long, piece int, start long, length long, ids array<int>"
 #: Segments that the encoder may remember here.
-SEGMENTS = 400_000
+SEGMENTS = 300_000
 #: Number of groups, and the shares of the capacity beyond which a length is large; the best plan among them is taken.
 GROUPS, LARGE = 80, (1 / 3, 1 / 8)
 
@@ -201,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def task(batches):
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path, SEGMENTS)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             off, ids = enc.encode(texts_of(b, "text"))
             n = np.diff(off) + 1
             ends = np.cumsum(n)
@@ -221,6 +221,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             seen += np.bincount(length, minlength=capacity + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), part, np.int64)), pa.array(rank), b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), lists], names=["part", "rank", "doc_id", "piece", "start", "length", "ids"])
+        enc.forget()  # the worker outlives the task, and later steps need the memory more
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(rows.mapInArrow(task, PIECES), "pieces", 2500)

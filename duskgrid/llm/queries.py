@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return common.stored(found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"), "op1")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit_on(docs))
-    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return common.stored(found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), "op8")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     path = chat.write_windows(convs, common.new_path(spark, "chat"), public_tokenizers.path("byte_bpe_50k.json"))
-    return chat.digests(spark, path)
+    return common.stored(chat.digests(spark, path), "op10", 500)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences that every document states."""
     found = licenses.licenses(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_matches"))
+    return common.stored(found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_matches")), "op5")
 
 
 def _md5_number(name: Column, first: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import fields, held_out, release_memory, slices, texts_of
+from duskgrid.llm.common import fields, held_out, release_memory, slices, texts_of, trim
 from duskgrid.llm.words import CHUNK, ragged, word_ngrams, words_of
 
 SIZES = (3, 4, 5, 6)
@@ -33,7 +33,7 @@ TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 3200, 10_000
 #: Logit of a text in which there is nothing to read.
 WORDLESS = -40.0
 #: Words whose numbers a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 
 
 @dataclass
@@ -223,8 +223,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def task(batches):
         cache: dict = {}
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             s = scores(shared.value, texts_of(b, "text"), cache)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+        cache.clear()
+        trim()
 
     return docs.select(*kept).mapInArrow(task, f"{fields(docs, kept)}, score double, predicted int")
