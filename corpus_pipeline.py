@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage is a function (spark, docs, sf_dir) to a DataFrame; run() writes every stage's result as Parquet in the
-shared folder and reads it again for the next. All stages but the last return the columns of documents.
+Each stage is a function (spark, docs, sf_dir) to a DataFrame; run() has every stage's result as Parquet in the shared
+folder and reads it from there for the next. The first two stages write theirs themselves, as their last step sends texts
+through Python, in Arrow batches that are bounded there (ROWS) whatever the session says; the others end in joins. All
+stages but the last return the columns of documents.
 
 Defined results: a stage judges rows, never all rows of a doc_id: rows with a null doc_id, and rows that repeat a doc_id
 with other texts, stay or go by their own text. Columns beyond those of documents pass through. Empty tables give empty
@@ -22,6 +24,8 @@ TOXIC = 0.5
 #: of bits on average (cosine 2 * 0.8 / 1.8); 84 bits are 16 %. Nor can one have fewer than 0.8 of the other's shingles.
 SHINGLE, WORDS, RADIUS, SIMILARITY = 5, 8, 84, 0.8
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
+#: Rows of an Arrow batch that holds texts.
+ROWS = 1000
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -36,13 +40,13 @@ def _unfolded(docs: DataFrame, folded: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told (null texts and texts without a letter can't be)."""
     model = language_id.fit_on(docs)
-    return _unfolded(docs, language_id.identify(_folded(docs), model).where("lang_pred <> 'und'"))
+    return common.stored(_unfolded(docs, language_id.identify(_folded(docs), model).where("lang_pred <> 'und'")), "language", ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the model, trained on labelled ones among them, holds toxic."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _unfolded(docs, toxicity.score(_folded(docs), model, TOXIC).where("predicted = 0"))
+    return common.stored(_unfolded(docs, toxicity.score(_folded(docs), model, TOXIC).where("predicted = 0")), "toxicity", ROWS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,15 +74,18 @@ STAGES = [
     ("decontamination", drop_leaks),
     ("packing", pack),
 ]
+#: Stages whose result is written when they return.
+WRITTEN = (identify_language, drop_toxic)
 #: No stage is something that SQL can express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage stores on its way is deleted when its result is written."""
+    """All stages over documents. What else a stage stores on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = common.new_path(spark, name)
-        with common.scratch(spark, path):
-            docs = common.stored(stage(spark, docs, sf_dir), name, path=path)
+        with common.scratch(spark, name):
+            docs = stage(spark, docs, sf_dir)
+            if stage not in WRITTEN:
+                docs = common.stored(docs, name)
     return docs
