@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskgrid.llm import chat, common, decontaminate, language_id, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
+from duskgrid.llm import chat, common, decontaminate, language_id, lexical, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.concat_ws(",", "lists").alias("lists"), F.col("blocked").cast("int").alias("blocked"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -129,5 +134,25 @@ FROM p LEFT JOIN b ON p.page_id = b.page_id
 """
 
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+d AS (SELECT r, doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+k AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS length FROM d),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY 1, 2),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) x WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1) x, k),
+s AS (
+  SELECT item_id, doc_id, p.r, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // length)))) AS BIGINT) AS score
+  FROM asked JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, k GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) x WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op6_url_filter": OP6_SQL, "op13_lexical": OP13_SQL}
