@@ -27,33 +27,39 @@ CACHE_SEGMENTS = 600_000
 #: Sentence marks that may end a word.
 _MARKS = ".,;:!?"
 #: Words that the model can take as they are: letters up to U+024F whose lower case is one letter too.
-_PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{1bf}]+$"
+_LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{1bf}"
+_PLAIN = f"^ ?[{_LATIN}]+$"
+#: What marks may follow and be cut from: such letters, Greek and Cyrillic ones whose normal form is a letter too, ASCII digits.
+_CORE = rf"[{_LATIN}0-9\x{{391}}-\x{{3a1}}\x{{3a3}}-\x{{3a9}}\x{{3ac}}-\x{{3ce}}\x{{400}}-\x{{481}}]$"
 #: A byte's character in byte-level vocabularies: itself where printable, else one from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str, segments: int | None = None) -> "Encoder":
+def encoder(path: str, segments: int | None = None, plain: bool = False) -> "Encoder":
     """The worker's own encoder for a tokenizer file; it outlives a task where Spark keeps the worker.
 
     segments: how many it may remember, CACHE_SEGMENTS if not given; fewer cost time, more cost memory.
+    plain: special tokens spelled out in a text are ordinary text.
     """
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    _loaded[path].most = segments or CACHE_SEGMENTS
-    return _loaded[path]
+    key = path, plain
+    if key not in _loaded:
+        _loaded[key] = Encoder(path, plain)
+    _loaded[key].most = segments or CACHE_SEGMENTS
+    return _loaded[key]
 
 
 class Encoder:
     """encode() turns a large-string array without nulls into (offsets, ids)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.direct, self.most = self.tokenizer.model, False, CACHE_SEGMENTS
         self.mode = next((m for m in ("drop", "keep") if self._holds(m)), "whole")
         self.direct = self.mode != "whole" and self._direct_holds()
@@ -110,7 +116,7 @@ class Encoder:
         """Whether probes with every kind of boundary encode alike whole and in segments."""
         self.mode = mode
         self.forget()
-        probes = ["a b", "Don't stop, it's  x", "ab\ncd", " ab", "ab ", "x.\n\ny", "1 234 5.6", "é ñ ü\tß", "they're 'll we", "a b 　c", "foo !bar ?\n(z)", "x1, 2y?! 3... a.b; 'q': (r)."]
+        probes = ["a b", "Don't stop, it's  x", "ab\ncd", " ab", "ab ", "x.\n\ny", "1 234 5.6", "é ñ ü\tß", "they're 'll we", "a b 　c", "foo !bar ?\n(z)", "x1, 2y?! 3... a.b; 'q': (r).", "İ. क़, ড়! ਸ਼? é: ΐ; й. ŉ, ß!"]
         off, ids = self.encode(pa.array(probes, pa.large_string()))
         return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
 
@@ -174,13 +180,14 @@ class Encoder:
     def _without_marks(self, distinct: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
         """Segments without closing sentence marks; the number of each one's marks, and the distinct marks, none first.
 
-        No token crosses from a letter or digit to a mark, so the two encode on their own.
+        No token crosses from a letter or digit to a mark, so the two encode on their own. Only letters that stay letters in
+        every normal form count: others may end in a combining mark, which a splitter puts together with the marks behind.
         """
         words, mark, marks = strings(distinct), np.zeros(len(distinct), np.int64), {"": 0}
         cores = pc.utf8_rtrim(distinct, _MARKS)
         at = np.flatnonzero(pc.binary_length(cores).to_numpy() != pc.binary_length(distinct).to_numpy())
         cores = cores.take(pa.array(at))
-        ends = pc.match_substring_regex(cores, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)
+        ends = pc.match_substring_regex(cores, _CORE).to_numpy(zero_copy_only=False)
         for i, core in zip(at[ends].tolist(), strings(cores.filter(pa.array(ends))), strict=True):
             mark[i] = marks.setdefault(words[i][len(core) :], len(marks))
             words[i] = core

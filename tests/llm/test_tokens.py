@@ -1,6 +1,7 @@
 """The exact encoder and the token store, against the library on whole texts."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,6 +26,39 @@ def test_encoder_is_exact(name, texts):
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+#: Code points whose normal or lower-case form ends in a combining mark, as far as they are letters.
+MARKED = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LN" and unicodedata.category(unicodedata.normalize("NFC", chr(c)).lower()[-1])[0] == "M"]
+
+
+def exact(e, texts):
+    off, ids = e.encode(pa.array(texts, pa.large_string()))
+    own = [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [t for t, a, b, x in zip(texts, off[:-1], off[1:], own, strict=True) if ids[a:b].tolist() != x] == []
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_encoder_is_exact_before_marks(name):
+    assert {"\u0130", "\u0958", "\u09dc", "\u0a33", "\u0b5c"} < set(MARKED) and len(MARKED) >= 60
+    e = encode.encoder(public_tokenizers.path(name))
+    assert exact(e, [f"{before}{c}{marks}{after}" for c in MARKED for marks in (*".,;:!?", "?!", "...") for before in ("", "GELD") for after in ("", " x")])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_encoder_is_exact_for_every_code_point(name):
+    e = encode.encoder(public_tokenizers.path(name))
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    for i in range(0, len(points), 10_000):
+        assert exact(e, [t for c in points[i : i + 10_000] for t in (f"{c}.", f"ab{c}, c", f"x{c}1!? {c}")])
+        e.forget()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_specials_as_plain_text(name):
+    e = encode.encoder(public_tokenizers.path(name), plain=True)
+    assert e.tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids != encode.encoder(public_tokenizers.path(name)).tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    assert exact(e, ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>. y"])
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_encoder_forgets_and_stays_exact(name, monkeypatch):
     monkeypatch.setattr(encode, "CACHE_SEGMENTS", 50)
