@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskgrid.llm import chat, common, decontaminate, language_id, lexical, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
+from duskgrid.llm import align, chat, common, decontaminate, language_id, lexical, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.concat_ws(",", "lists").alias("lists"), F.col("blocked").cast("int").alias("blocked"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two public tokenizers' tokens meet in every document, and how its links fare in the whole corpus."""
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that rank highest for every benchmark item."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
