@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from duskgrid.llm.common import list_offsets, slices, stored, texts_of
-from duskgrid.llm.words import ragged
+from duskgrid.llm.words import byte_words, ragged
 
 #: Rows and characters of an item block (a longer single item is a block of its own).
 ITEM_ROWS, ITEM_CHARS = 2000, 4_000_000
@@ -46,19 +46,7 @@ _TERM_BYTES = _TERM_BYTES[:128] + bytes(range(128, 256))
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Offsets of each text's terms, their codes, and the distinct terms that the codes mean."""
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = data[off[0] : off[-1]].to_pybytes().translate(_TERM_BYTES) if data is not None and len(off) else b""
-    clean = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(off - off[0])), pa.py_buffer(raw))
-    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean))
-    at = parts.offsets.to_numpy().astype(np.int64)
-    coded = parts.values[at[0] : at[-1]].dictionary_encode()
-    code, at = coded.indices.to_numpy(), at - at[0]
-    blank = pc.index(coded.dictionary, "").as_py()
-    if blank >= 0:  # what a text without terms leaves
-        kept = code != blank
-        at, code = np.concatenate([[0], np.cumsum(kept)])[at], code[kept]
-    return at, code, coded.dictionary
+    return byte_words(texts, _TERM_BYTES)
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:

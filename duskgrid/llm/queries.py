@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskgrid.llm import align, chat, common, decontaminate, language_id, lexical, licenses, nearest, packing, simhash, token_store, toxicity, url_filter
+from duskgrid.llm import align, chat, common, decontaminate, language_id, lexical, licenses, nearest, ngram_lm, packing, simhash, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.concat_ws(",", "lists").alias("lists"), F.col("blocked").cast("int").alias("blocked"))
 
 
+def lm_trains(doc_id: Column) -> Column:
+    """Rows that the language model learns from."""
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)) != 2
+
+
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a bigram model of six sevenths of them."""
+    return ngram_lm.score(table(spark, sf_dir, "documents"), lm_trains(F.col("doc_id")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two public tokenizers' tokens meet in every document, and how its links fare in the whole corpus."""
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

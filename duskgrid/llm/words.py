@@ -29,6 +29,28 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return off - off[0], code, distinct
 
 
+def byte_words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets of each text's words between ASCII white space, their codes, and the distinct words that the codes mean.
+
+    Each byte is first replaced by table[byte], so all further separators are those that it turns into spaces.
+    """
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = data[off[0] : off[-1]].to_pybytes().translate(table) if data is not None and len(off) else b""
+    made = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(off - off[0])), pa.py_buffer(raw))
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(made))
+    at = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.values[at[0] : at[-1]].dictionary_encode()
+    code, at = coded.indices.to_numpy(), at - at[0]
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # what a text without words leaves
+        kept = code != blank
+        at, code = np.concatenate([[0], np.cumsum(kept)])[at], code[kept]
+        distinct = coded.dictionary
+        return at, np.where(code > blank, code - 1, code), pa.concat_arrays([distinct[:blank], distinct[blank + 1 :]])
+    return at, code, coded.dictionary
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions start[i] .. start[i] + size[i], one run after the other."""
     ends = np.cumsum(size)
