@@ -19,10 +19,14 @@ VIEWS = {
         SUM(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS mlr, SUM(value) AS contracted FROM events GROUP BY 1, 2""",
     "v_visits": """SELECT user_id AS entity, CAST(ts AS DATE) AS date, AVG(CASE WHEN event_type IN ('error', 'click') THEN 1.0 ELSE 0.0 END) AS p,
         CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""",
-    "v_pixels": """SELECT cell_id, date, rad, CAST(ln % 2 + 64 * (ln % 4) + CASE WHEN ln % 3 = 0 THEN 256 ELSE 0 END + CASE WHEN ln % 5 = 0 THEN 512 ELSE 0 END
-        + CASE WHEN ln % 7 = 0 THEN 1024 ELSE 0 END + CASE WHEN ln = 1 THEN 12288 ELSE 0 END AS INTEGER) AS qf_cloud,
-        CAST(ln % 3 AS INTEGER) AS mandatory_qf, CAST(CASE WHEN ln = 4 THEN 1 ELSE 0 END AS INTEGER) AS snow
-        FROM (SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS date, AVG(l_extendedprice) / 9973 AS rad, MIN(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2) x""",
+    "v_pixels": """SELECT cell_id, date, rad,
+        CAST(CASE WHEN h % 41 <> 11 THEN h % 2 + CASE WHEN h % 10 < 6 THEN 0 WHEN h % 10 < 8 THEN 64 WHEN h % 10 < 9 THEN 128 ELSE 192 END
+          + CASE WHEN h % 11 = 3 THEN 256 ELSE 0 END + CASE WHEN h % 13 = 5 THEN 512 ELSE 0 END + CASE WHEN h % 17 = 7 THEN 1024 ELSE 0 END
+          + CASE WHEN h % 19 = 2 THEN 4096 ELSE 0 END + CASE WHEN h % 23 = 4 THEN 8192 ELSE 0 END END AS INTEGER) AS qf_cloud,
+        CAST(CASE WHEN h % 29 < 15 THEN 0 WHEN h % 29 < 24 THEN 1 WHEN h % 29 < 28 THEN 2 END AS INTEGER) AS mandatory_qf,
+        CAST(CASE WHEN h % 31 = 6 THEN 1 WHEN h % 37 <> 9 THEN 0 END AS INTEGER) AS snow
+        FROM (SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS date, AVG(l_extendedprice) / 9973 AS rad,
+          (CAST(l_partkey AS BIGINT) * 7919 + DAYOFYEAR(CAST(l_shipdate AS DATE)) * 104729 + YEAR(CAST(l_shipdate AS DATE)) * 6607) % 10007 AS h FROM lineitem GROUP BY 1, 2, 4) x""",
     "v_annual": """SELECT l_partkey AS cell_id, AVG(l_extendedprice) / 9973 AS rad, CAST(l_partkey % 4 AS INTEGER) AS quality FROM lineitem GROUP BY 1, 3""",
     "v_weights": """SELECT DISTINCT l_suppkey AS entity, l_partkey AS cell_id, (1 + (l_suppkey + l_partkey) % 10) / 10.0 AS coverage_fraction,
         CAST(200000 + l_partkey AS DOUBLE) AS cell_area_m2, (l_suppkey + l_partkey) % 10 >= 4 AS is_centre FROM lineitem""",
