@@ -86,6 +86,12 @@ def stored(df: DataFrame, name: str, rows: int = 2000, path: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def trim() -> None:
     """Gives the system back what has been freed: Arrow's pool and the C heap keep it otherwise."""
     pa.default_memory_pool().release_unused()

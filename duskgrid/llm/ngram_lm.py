@@ -14,7 +14,7 @@ successor too, so no shard depends on one word. In Spark's terms:
 
 1. a block is a bounded run of a task's documents: its distinct words with training counts, and its texts as numbers of
    these words, packed;
-2. words are counted and numbered over all blocks, and numbers and counts go back to the blocks, a row a word and block;
+2. words meet by a shuffle, are counted and numbered, and numbers and counts go back to the blocks, a row a word and block;
 3. there each document's base score follows, and the block's distinct bigrams with counts, and the documents that hold them,
    go to their shards;
 4. each shard builds its trie from all blocks' training counts, looks every block's bigrams up in it, and answers with a sum
@@ -37,10 +37,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import deleted, new_path, slices, splitmix, stored, texts_of, trim
+from duskgrid.llm.common import deleted, freed, new_path, slices, splitmix, stored, texts_of, trim
 from duskgrid.llm.elias_fano import EliasFano, packed
 from duskgrid.llm.words import byte_words, ragged
 
@@ -55,6 +55,7 @@ _LOWER = bytes(range(256)).replace(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijkl
 #: The end, as a word that no text holds.
 END = ""
 _BLOCKS = "block long, word string, code int, n long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary"
+_NUMBERS = "block long, code int, part long, place long, c long, fresh boolean, is_end boolean"
 _DEALT = "shard long, block long, grams binary, first int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
 _ANSWERS = "block long, places array<int>, sums array<long>, first int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -120,8 +121,8 @@ class Trie:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0 on, compressed together."""
-    raw = b"".join(np.int64(len(a)).tobytes() + np.int64(a.dtype.itemsize).tobytes() + a.tobytes() for a in arrays)
+    """Arrays of whole numbers, compressed together: of each first all lowest bytes, then all second ones, as these are alike."""
+    raw = b"".join(np.int64(len(a)).tobytes() + np.int64(a.dtype.itemsize).tobytes() + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
     return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -130,7 +131,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
         n, item = np.frombuffer(raw, np.int64, 2, at)
-        out.append(np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[int(item)], int(n), at + 16))
+        planes = np.frombuffer(raw, np.uint8, int(n * item), at + 16).reshape(int(item), int(n))
+        out.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[int(item)]).reshape(int(n)))
         at += 16 + int(n * item)
     return out
 
@@ -188,19 +190,25 @@ def blocks(docs: DataFrame, trains: Column) -> DataFrame:
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """word, id (from 1, without gaps), c: all distinct words of (word, n)."""
+    """_NUMBERS for each row (block, word, code, n): the word's number in its part and its count over all blocks.
+
+    One shuffle, by word, in which a word is a row a block, so none is hot.
+    """
 
     def task(batches):
-        part, done = TaskContext.get().partitionId(), 0
+        part, done, last = TaskContext.get().partitionId(), -1, None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int64)), pa.array(np.arange(done, done + b.num_rows)), *b.columns], names=["part", "place", "word", "c"])
-            done += b.num_rows
+            word = b.column("word")
+            fresh = np.ones(len(word), bool)
+            fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            fresh[0] = word[0].as_py() != last
+            last = word[-1].as_py()
+            place = done + np.cumsum(fresh)
+            done = int(place[-1])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("code"), pa.array(np.full(len(word), part, np.int64)), pa.array(place), b.column("c"), pa.array(fresh), pc.equal(word, END)], names=[f.split(" ")[0] for f in _NUMBERS.split(", ")])
 
-    rows = stored(words.groupBy("word").agg(F.sum("n").alias("c")).select("word", "c").mapInArrow(task, "part long, place long, word string, c long"), "words", 10_000)
-    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
-    starts = dict(zip((p for p, _ in sizes), np.cumsum([1, *(n for _, n in sizes)]).tolist()))
-    before = rows.sparkSession.createDataFrame(list(starts.items()), "part long, start long")
-    return rows.join(F.broadcast(before), "part").select("word", (F.col("start") + F.col("place")).alias("id"), "c")
+    counted = words.withColumn("c", F.sum("n").over(Window.partitionBy("word"))).select("block", "word", "code", "c")
+    return stored(counted.mapInArrow(task, _NUMBERS), "numbers", 10_000)
 
 
 def shard_of(context: np.ndarray, successor: np.ndarray, total: np.ndarray, shards: int) -> np.ndarray:
@@ -221,7 +229,7 @@ def dealt(of_block: DataFrame, numbers: DataFrame, tokens: int, words: int, star
             return _table(_DEALT, 0)
         left = left.sort_by("first")
         number, c = (np.zeros(right.num_rows, np.int64) for _ in range(2))
-        at = right["code"].to_numpy()
+        at = right["of_code"].to_numpy()
         number[at], c[at] = right["id"].to_numpy(), right["c"].to_numpy()
         p = (c + 1) / (tokens + words + 1)
         log, unigram = np.log10(p), quantised(p)
@@ -322,14 +330,17 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
     at = new_path(spark, "blocks")
     rows = stored(blocks(docs, trains), "blocks", 2000, at)
     words = rows.where("word is not null").select("block", "word", "code", "n")
-    vocabulary = numbered(words)
-    n = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    numbers = numbered(words)
+    freed(spark)
+    fresh = numbers.where("fresh")  # a row a word
+    parts = fresh.groupBy("part").agg(F.max("place").alias("last"), F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("known"), F.coalesce(F.sum(F.when(F.col("is_end"), F.col("c"))), F.lit(0)).alias("ends")).orderBy("part").collect()  # a row a partition
     # every training document has one end
-    starts = vocabulary.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    tokens, known, ends = (sum(r[c] for r in parts) for c in ("tokens", "known", "ends"))
+    before = spark.createDataFrame([(r["part"], int(x)) for r, x in zip(parts, np.cumsum([1, *(r["last"] + 1 for r in parts)]))], "part long, start long")
     everything = rows.where("tokens is not null").agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    numbers = words.select("block", "word", "code").join(vocabulary, "word").select("block", "code", "id", "c")
+    ids = numbers.join(F.broadcast(before), "part").select("block", F.col("code").alias("of_code"), (F.col("start") + F.col("place")).alias("id"), "c")
     of_block = rows.where("tokens is not null").select(F.col("block").alias("own_block"), F.col("code").alias("first"), "doc_ids", "held", "sizes", "tokens")
-    sent = dealt(of_block, numbers, n[0], n[1], starts, max(1, -(-everything // SHARD_TOKENS)))
-    out = stored(gathered(answered(sent), n[0]), "scored", 4000)
+    sent = dealt(of_block, ids, tokens, known, ends, max(1, -(-everything // SHARD_TOKENS)))
+    out = stored(gathered(answered(sent), tokens), "scored", 4000)
     deleted(spark, [at])
     return out
