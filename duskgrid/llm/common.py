@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -88,8 +89,10 @@ def stored(df: DataFrame, name: str, rows: int = 2000, path: str | None = None)
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are stored: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python holds
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def trim() -> None:

@@ -49,7 +49,7 @@ MU = 500.0
 #: A step of quantised logarithms.
 STEP = 1 / 2048
 #: Tokens of a block, tokens of a shard, documents in a row of a block, and blocks of a task at most.
-BLOCK_TOKENS, SHARD_TOKENS, CHUNK_DOCS, BLOCKS = 2_000_000, 2_000_000, 2_000, 1 << 24
+BLOCK_TOKENS, SHARD_TOKENS, CHUNK_DOCS, BLOCKS = 4_500_000, 2_000_000, 2_000, 1 << 24
 #: A-Z in lower case, every other byte as it is.
 _LOWER = bytes(range(256)).replace(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end, as a word that no text holds.
@@ -244,28 +244,32 @@ def dealt(of_block: DataFrame, numbers: DataFrame, tokens: int, words: int, star
             codes.append(code)
             held.append(row.column("held").flatten().to_numpy(zero_copy_only=False).astype(bool))
         size, code, held = (np.concatenate(x) for x in (sizes, codes, held))
-        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        before = np.empty(len(code), np.int64)  # 0: the start, n: word n - 1
-        before[1:] = code[:-1] + 1
-        before[np.cumsum(size) - size] = 0
-        key = before << 32 | code
+        del sizes, codes
+        key = np.empty(len(code), np.int64)  # the word before (0: the start, n: word n - 1) and the word
+        key[1:] = code[:-1] + 1
+        key[np.cumsum(size) - size] = 0
+        key = key << 32 | code
         order = np.argsort(key, kind="stable")
         key = key[order]
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        del order, code
         cuts = np.flatnonzero(np.diff(key, prepend=-1))
-        times = np.diff(np.append(cuts, len(key)))
-        trained = np.add.reduceat((~held[doc[order]]).astype(np.int64), cuts)
-        v, w = key[cuts] >> 32, key[cuts] & 0xFFFFFFFF
+        v, w = (key[cuts] >> 32).astype(np.int32), (key[cuts] & 0xFFFFFFFF).astype(np.int32)
+        times = np.diff(np.append(cuts, len(key))).astype(np.int32)
+        del key
+        trained = np.add.reduceat((~held)[doc].astype(np.int32), cuts)
         context, total = np.append(0, number)[v], np.append(starts, c)[v]
-        shard = shard_of(context, number[w], total, shards)
+        del v
+        shard = shard_of(context, number[w], total, shards).astype(np.int32)
         turn = np.lexsort((number[w], context, shard))
-        where = ragged(cuts[turn], times[turn])
-        docs_in, upto = doc[order][where], np.concatenate([[0], np.cumsum(times[turn])])
+        docs_in, upto = doc[ragged(cuts[turn], times[turn])], np.concatenate([[0], np.cumsum(times[turn])])
+        del doc, cuts
         bounds = np.flatnonzero(np.diff(shard[turn], prepend=-1))
         for a, b in zip(bounds, np.append(bounds[1:], len(turn)), strict=True):
             t = turn[a:b]
             first = np.flatnonzero(np.diff(context[t], prepend=-1))
             many = np.diff(np.append(first, len(t))).astype(np.int32)
-            grams = _pack(np.diff(context[t][first], prepend=0), total[t][first], many, number[w[t]], unigram[w[t]], trained[t].astype(np.int32), times[t].astype(np.int32), docs_in[upto[a] : upto[b]])
+            grams = _pack(np.diff(context[t][first], prepend=0), total[t][first], many, number[w[t]], unigram[w[t]], trained[t], times[t], docs_in[upto[a] : upto[b]])
             out.append(_table(_DEALT, 1, shard=[int(shard[t[0]])], block=[block], grams=[grams]))
         return pa.concat_tables(out)
 
