@@ -122,11 +122,11 @@ def zonal_sums(pixels: DataFrame, weights: DataFrame, by: list[str] | None = Non
 
 
 def weighted_median(df: DataFrame, x: str, w: str, keys: list[str]) -> DataFrame:
-    """median: the first x, in order of (x, w), at which the cumulative weight reaches half the total."""
+    """median: the first x, in order of (x, w), at which the cumulative weight reaches half the total (to nine digits)."""
     ok = df.where(finite(x) & finite(w) & (F.col(w) > 0))
     part = Window.partitionBy(*keys)
     run = ok.withColumn("_c", F.sum(w).over(part.orderBy(x, w).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum(w).over(part))
-    return run.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= F.col("_t") / 2, F.col(x))).alias("median"))
+    return run.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= F.col("_t") * (0.5 - 1e-9), F.col(x))).alias("median"))
 
 
 def day_columns(zonal: DataFrame, areas: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from duskgrid.functions import finite, weighted_mean
 from duskgrid.operators.order import running
 from duskgrid.operators.series import grid
+from duskgrid.sources.io import shared_path
 
 #: Rows that a fit needs.
 LEAST_ROWS = 6
@@ -368,51 +369,157 @@ def mean_interval(df: DataFrame, y: str, by: list[str]) -> DataFrame:
     return _clean(df, y).groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("se"), (F.count("*") - 1).alias("df"))
 
 
-def quasi_poisson(df: DataFrame, y: str, x: str, rounds: int = 25) -> dict[str, float]:
-    """Log-link fit by iterated weighted normal equations, one pass over the rows each; dispersion from Pearson's chi2."""
-    rows = _clean(df, y, x).select(F.col(y).alias("y"), F.col(x).alias("x")).persist()
-    n, mean = rows.agg(F.count("*"), F.avg("y")).first()
-    a, b = np.log(mean), 0.0
-    for _ in range(rounds):
-        mu = F.exp(F.lit(float(a)) + F.lit(float(b)) * F.col("x"))
-        z = F.lit(float(a)) + F.lit(float(b)) * F.col("x") + (F.col("y") - mu) / mu
-        w, wx, wxx, wz, wxz, chi = rows.agg(F.sum(mu), F.sum(mu * F.col("x")), F.sum(mu * F.col("x") ** 2), F.sum(mu * z), F.sum(mu * F.col("x") * z), F.sum((F.col("y") - mu) ** 2 / mu)).first()
-        m = np.array([[w, wx], [wx, wxx]])
-        new = np.linalg.solve(m, np.array([wz, wxz]))
-        done = np.abs(new - [a, b]).max() < 1e-10
-        a, b = new
-        if done:
-            break
-    rows.unpersist()
-    dispersion = chi / (n - 2)
-    se = np.sqrt(np.diag(np.linalg.inv(m)) * dispersion)
-    return {"n": n, "intercept": float(a), "slope": float(b), "se": float(se[1]), "dispersion": float(dispersion)}
-
-
-def wald_hac(df: DataFrame, y: str, xs: list[str], tested: list[str], order: str, lags: int) -> dict[str, float]:
-    """Joint test that the tested terms are zero, with the full HAC covariance: statistic, df, p_value."""
-    from duskgrid.functions.tails import chi2_upper
+def quasi_poisson(df: DataFrame, y: str, x: str, by: list[str] | None = None, rounds: int = 25) -> DataFrame:
+    """by, n, intercept, slope, se, dispersion, rounds: log-link fits of all groups together, dispersion from Pearson's chi2.
 
-    rows = _clean(df, y, *xs)
+    Iteratively reweighted least squares: each round joins a table of coefficients to the rows of the groups that still
+    move, and one aggregate gives the next table. Groups that have settled drop out. Groups without a positive mean, with a
+    constant x or of fewer than three rows have no fit. Rows are written once, a table of coefficients each round.
+    """
+    by = by or []
+    spark = df.sparkSession
+    key = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    folder = shared_path(spark, "quasi-poisson")
+    _clean(df, y, x).dropna(subset=by).select(*by, key.alias("_g"), F.col(y).alias("_y"), F.col(x).alias("_x")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    keys = ["_g", *by]
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_y").alias("_m"), F.var_pop("_x").alias("_v")).where("n > 2 and _m > 0 and _v > 1e-14")
+    state = first.select(*keys, "n", F.log("_m").alias("a"), F.lit(0.0).alias("b"), F.lit(False).alias("done"), F.lit(0).alias("rounds"))
+    mu, t = F.exp(F.col("a") + F.col("b") * F.col("_x")), F.col("a") + F.col("b") * F.col("_x")
+    for r in range(rounds):
+        state.write.parquet(f"{folder}/{r}")
+        state = spark.read.parquet(f"{folder}/{r}")
+        if not state.where("not done").limit(1).count():
+            break
+        z = t + (F.col("_y") - mu) / mu
+        sums = rows.join(state.where("not done").select(*keys, "a", "b"), keys).groupBy(*keys).agg(F.sum(mu).alias("w"), F.sum(mu * F.col("_x")).alias("wx"), F.sum(mu * F.col("_x") ** 2).alias("wxx"), F.sum(mu * z).alias("wz"), F.sum(mu * F.col("_x") * z).alias("wxz"))
+        det = F.col("w") * F.col("wxx") - F.col("wx") ** 2
+        fresh = sums.select(*keys, F.try_divide(F.col("wxx") * F.col("wz") - F.col("wx") * F.col("wxz"), det).alias("_a"), F.try_divide(F.col("w") * F.col("wxz") - F.col("wx") * F.col("wz"), det).alias("_b"))
+        met = state.join(fresh, keys, "left")
+        still = F.greatest(F.abs(F.col("_a") - F.col("a")), F.abs(F.col("_b") - F.col("b"))) < 1e-10
+        state = met.select(*keys, "n", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), (F.col("done") | F.coalesce(still, F.lit(True))).alias("done"), (F.col("rounds") + (~F.col("done")).cast("int")).alias("rounds"))
+    last = rows.join(state, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.max("a").alias("intercept"), F.max("b").alias("slope"), F.max("rounds").alias("rounds"), F.sum(mu).alias("w"), F.sum(mu * F.col("_x")).alias("wx"), F.sum(mu * F.col("_x") ** 2).alias("wxx"), F.sum((F.col("_y") - mu) ** 2 / mu).alias("chi"))
+    dispersion = F.col("chi") / (F.col("n") - 2)
+    return last.select(*by, "n", "intercept", "slope", F.sqrt(F.try_divide(F.col("w"), F.col("w") * F.col("wxx") - F.col("wx") ** 2) * dispersion).alias("se"), dispersion.alias("dispersion"), "rounds")
+
+
+def wald_hac(df: DataFrame, y: str, xs: list[str], tested: list[str], order: str, lags: int, by: list[str] | None = None) -> DataFrame:
+    """by, n, statistic, df, p_value: joint test of every group that the tested terms are zero, with the full HAC covariance.
+
+    One job: the fits come from sums by group; a row's scores s and their Bartlett-weighted lags l give s s' + s l' + l s',
+    whose sum is the middle of the covariance. Groups with a singular model have no row. The lags' window holds a group: a
+    series, a row a day.
+    """
+    by = by or []
     names = ["_one", *xs]
-    fit = {r["term"]: r["estimate"] for r in solve(normal_equations(rows, y, xs), xs).collect()}  # a row a term
-    e = F.col(y) - fit["(intercept)"]
-    for c in xs:
-        e = e - F.lit(fit[c]) * F.col(c)
-    rows = rows.withColumn("_one", F.lit(1.0)).withColumn("_e", e)
-    w = Window.partitionBy(F.lit(1)).orderBy(order)
-    scored = rows.withColumns({f"_s{i}": F.col(c) * F.col("_e") for i, c in enumerate(names)})
     k = len(names)
-    out = scored.agg(F.count("*"), *[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first()
-    n, xx = out[0], np.array(out[1:]).reshape(k, k)
-    meat = np.zeros((k, k))
-    for j in range(lags + 1):
-        lagged = scored.withColumns({f"_t{i}": F.lag(f"_s{i}", j).over(w) for i in range(k)}) if j else scored.withColumns({f"_t{i}": F.col(f"_s{i}") for i in range(k)})
-        g = np.array(lagged.agg(*[F.coalesce(F.sum(F.col(f"_s{a}") * F.col(f"_t{b}")), F.lit(0.0)) for a in range(k) for b in range(k)]).first()).reshape(k, k)
-        meat += g if j == 0 else (1 - j / (lags + 1)) * (g + g.T)
-    inv = np.linalg.inv(xx)
-    vcov = inv @ meat @ inv * n / (n - k)
-    at = [names.index(c) for c in tested]
-    b = np.array([fit[c] for c in tested])
-    stat = float(b @ np.linalg.solve(vcov[np.ix_(at, at)], b))
-    return {"statistic": stat, "df": len(tested), "p_value": chi2_upper(stat, len(tested))}
+    rows = _clean(df, y, *xs).dropna(subset=by).withColumn("_one", F.lit(1.0))
+    terms = solve(normal_equations(rows, y, xs, by), xs, by)
+    at = F.map_from_entries(F.collect_list(F.struct("term", "estimate")))
+    fits = terms.groupBy(*by).agg(at.alias("_b"), F.max("n").alias("_n"))  # a row a group
+    rows = rows.join(fits, by) if by else rows.crossJoin(F.broadcast(fits))
+    fitted = F.element_at("_b", F.lit("(intercept)"))
+    for c in xs:
+        fitted = fitted + F.element_at("_b", F.lit(c)) * F.col(c)
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order)
+    rows = rows.withColumn("_e", F.col(y) - fitted).withColumns({f"_s{i}": F.col(c) * F.col("_e") for i, c in enumerate(names)})
+    lag = lambda i: sum((F.lit(1 - j / (lags + 1)) * F.coalesce(F.lag(f"_s{i}", j).over(w), F.lit(0.0)) for j in range(1, lags + 1)), F.lit(0.0))
+    rows = rows.withColumns({f"_l{i}": lag(i) for i in range(k)})
+    s, t = ([F.col(f"_{c}{i}") for i in range(k)] for c in "sl")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.groupBy(*by).agg(F.max("_n").alias("n"), F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("xx"), F.array(*[F.sum(s[i] * s[j] + s[i] * t[j] + s[j] * t[i]) for i, j in pairs]).alias("meat"), F.first("_b").alias("_b"))
+    coef = F.array(F.element_at("_b", F.lit("(intercept)")), *[F.element_at("_b", F.lit(c)) for c in xs])
+    chosen = [names.index(c) for c in tested]
+
+    def task(batches):
+        from duskgrid.functions.tails import chi2_upper
+
+        for b in batches:
+            kept, stats = [], []
+            for r, row in enumerate(b.select(["n", "xx", "meat", "coef"]).to_pylist()):  # k x k a group
+                xx, meat = np.zeros((2, k, k))
+                xx[np.triu_indices(k)], meat[np.triu_indices(k)] = row["xx"], row["meat"]
+                xx, meat = (m + m.T - np.diag(np.diag(m)) for m in (xx, meat))
+                inv = np.linalg.inv(xx)
+                vcov = (inv @ meat @ inv * row["n"] / (row["n"] - k))[np.ix_(chosen, chosen)]
+                beta = np.array(row["coef"])[chosen]
+                if np.linalg.matrix_rank(vcov) == len(chosen):
+                    kept.append(r)
+                    stats.append(float(beta @ np.linalg.solve(vcov, beta)))
+            own = b.take(pa.array(kept, pa.int64()))
+            more = [pa.array(stats, pa.float64()), pa.array([len(chosen)] * len(kept), pa.int64()), pa.array([chi2_upper(v, len(chosen)) for v in stats], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in (*by, "n")), *more], names=[*by, "n", "statistic", "df", "p_value"])
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    return sums.select(*by, "n", "xx", "meat", coef.alias("coef")).mapInArrow(task, f"{fields}n long, statistic double, df long, p_value double")
+
+
+def factor_components(pairs: DataFrame, first: str, second: str, by: list[str] | None = None, rounds: int = 200, folder: str | None = None) -> DataFrame:
+    """by, n_first, n_second, n_components of the graph that joins the levels of two factors that occur together.
+
+    Labels (the least level of first) spread over the pairs, one factor after the other, until none changes; the pairs are
+    written every fourth round.
+    """
+    by = by or []
+    spark = pairs.sparkSession
+    folder = folder or shared_path(spark, "components")
+    at = pairs.select(*by, first, second).distinct().withColumn("_c", F.col(first))
+    for r in range(rounds):
+        one = at.withColumn("_p", F.min("_c").over(Window.partitionBy(*by, second)))
+        at = one.withColumn("_n", F.min("_p").over(Window.partitionBy(*by, first)))
+        if r % 4 == 0:
+            at.write.parquet(f"{folder}/labels-{r}")
+            at = spark.read.parquet(f"{folder}/labels-{r}")
+            moved = at.where(F.col("_n") != F.col("_c")).limit(1).count()
+            at = at.select(*by, first, second, F.col("_n").alias("_c"))
+            if not moved:
+                break
+        else:
+            at = at.select(*by, first, second, F.col("_n").alias("_c"))
+    else:
+        raise RuntimeError(f"the factors' components have not settled after {rounds} rounds")
+    return at.groupBy(*by).agg(F.count_distinct(first).alias("n_first"), F.count_distinct(second).alias("n_second"), F.count_distinct("_c").alias("n_components"))
+
+
+def two_way_effects(df: DataFrame, y: str, x: str, first: str, second: str, by: list[str] | None = None, rounds: int = 400, every: int = 4, tolerance: float = 1e-10) -> DataFrame:
+    """by, n, slope, se, df: the slope with effects of two factors, both of any number of levels.
+
+    Alternating projections: y and x lose the means of one factor, then of the other, until what the last round took away is
+    below tolerance times their spread at the start (root sums of squares, in every group of by). Levels are never collected: means are windows by
+    level, on rows that are first added up to one a pair of levels; the state is written every few rounds. Degrees of
+    freedom: the effects are as many as the levels of both factors less the components of their graph. A level that holds
+    much of the rows is one row a level of the other factor.
+    """
+    by = by or []
+    spark = df.sparkSession
+    folder = shared_path(spark, "two-way")
+    rows = _clean(df, y, x).dropna(subset=[first, second, *by])
+    cells = rows.groupBy(*by, first, second).agg(F.count("*").alias("_w"), F.avg(y).alias("_y"), F.avg(x).alias("_x"), F.regr_sxx(y, x).alias("_ixx"), F.regr_sxy(y, x).alias("_ixy"), F.regr_syy(y, x).alias("_iyy"))
+    cells.write.parquet(f"{folder}/0")
+    size = lambda y, x: [F.sqrt(F.sum(F.col("_w") * c**2)) for c in (y, x)]
+    at = spark.read.parquet(f"{folder}/0")
+    whole = at.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(*by)) for c in ("_y", "_x")} if by else {c: F.col(c) - at.agg(F.avg(c)).first()[0] for c in ("_y", "_x")})
+    start = whole.groupBy(*by).agg(*[c.alias(n) for c, n in zip(size(F.col("_y"), F.col("_x")), ("_ty", "_tx"), strict=True)])  # a row a group
+    for r in range(1, rounds + 1):
+        if r % every == 1 or every == 1:
+            at = at.withColumns({"_py": F.col("_y"), "_px": F.col("_x")})
+        for level in (first, second):
+            own = Window.partitionBy(*by, level)
+            at = at.withColumns({c: F.col(c) - F.sum(F.col("_w") * F.col(c)).over(own) / F.sum("_w").over(own) for c in ("_y", "_x")})
+        if r % every == 0:
+            at.write.parquet(f"{folder}/{r}")
+            at = spark.read.parquet(f"{folder}/{r}")
+            change = at.groupBy(*by).agg(*[c.alias(n) for c, n in zip(size(F.col("_y") - F.col("_py"), F.col("_x") - F.col("_px")), ("_dy", "_dx"), strict=True)])
+            met = change.join(start, by) if by else change.crossJoin(start)  # a row each
+            if not met.where((F.col("_dy") > tolerance * F.col("_ty")) | (F.col("_dx") > tolerance * F.col("_tx"))).limit(1).count():
+                break
+    else:
+        raise RuntimeError(f"the effects have not settled after {rounds} rounds")
+    w = F.col("_w")
+    sums = at.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col("_x") ** 2 + F.coalesce("_ixx", F.lit(0.0))).alias("_sxx"), F.sum(w * F.col("_x") * F.col("_y") + F.coalesce("_ixy", F.lit(0.0))).alias("_sxy"), F.sum(w * F.col("_y") ** 2 + F.coalesce("_iyy", F.lit(0.0))).alias("_syy"))
+    graph = factor_components(at, first, second, by, folder=folder)
+    both = sums.join(graph, by) if by else sums.crossJoin(F.broadcast(graph))
+    left = F.col("n") - (F.col("n_first") + F.col("n_second") - F.col("n_components")) - 1
+    ok = (F.col("_sxx") > 1e-14 * F.col("n")) & (left > 0)
+    rss = F.greatest(F.lit(0.0), F.col("_syy") - F.try_divide(F.col("_sxy") ** 2, F.col("_sxx")))
+    return both.select(*by, "n", F.when(ok, F.try_divide("_sxy", "_sxx")).alias("slope"), F.when(ok, F.sqrt(F.try_divide(rss, left * F.col("_sxx")))).alias("se"), F.when(ok, left).alias("df"))

@@ -1,133 +1,294 @@
-"""Resampling: block bootstraps, permutations, circular shifts, autoregressive errors."""
+"""Resampling: block bootstraps, permutations, circular shifts, autoregressive errors.
+
+by: columns that part the rows into series, thousands in one call. A series has a row a day at most, so it is held as one
+row of ordered arrays. Draws are gathers in these arrays, a chunk of draws of a series at a time, so one long series is
+spread over tasks as many short ones are; only slopes leave a task. What a draw takes follows from MD5, so SQL can draw alike.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.operators.regress import _clean, newey_west
 from duskgrid.operators.states import day_lag
 
+#: Draws of a series that a task makes at a time.
+CHUNK = 250
+#: A prime below 2 ** 31, so that products fit 64 bits, and its use in mean_bootstrap.
+PRIME = 2147483647
+#: Steps of phi in which the likelihood is looked at, each around the best of the one before.
+STEPS = (0.02, 0.001, 0.00005)
+
+
+def mixed(*parts: Column | str) -> Column:
+    """A 32-bit number that follows from parts as if by chance (the first digits of an MD5)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *parts)), 1, 8), 16, 10).cast("long")
+
+
+class Drawn:
+    """mixed(draw, item, seed) of all draws and items asked for so far."""
+
+    def __init__(self, seed: int) -> None:
+        self.seed, self.held = seed, {}
+
+    def __call__(self, first: int, last: int, items: int) -> np.ndarray:
+        have = self.held.get((first, last), np.zeros((last - first, 0), np.int64))
+        if have.shape[1] < items:
+            more = [[int(hashlib.md5(f"{d},{b},{self.seed}".encode()).hexdigest()[:8], 16) for b in range(have.shape[1], items)] for d in range(first, last)]
+            have = self.held[first, last] = np.concatenate([have, np.array(more, np.int64)], axis=1)
+        return have[:, :items]
+
+
+def series(df: DataFrame, y: str, x: str, order: str, by: list[str] | None = None) -> DataFrame:
+    """by, at, y, x: the usable rows of every series as arrays, by order; rows without a key or a place in the order go."""
+    rows = _clean(df, y, x).dropna(subset=[*(by or []), order]).groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(y).alias("y"), F.col(x).alias("x")))).alias("_s"))
+    return rows.where(F.size("_s") > 0).select(*(by or []), F.col("_s.at").alias("at"), F.col("_s.y").alias("y"), F.col("_s.x").alias("x"))
+
+
+def _fields(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def _slopes(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Slope of each row of y on that of x; not a number where x is constant."""
+    y, x = y - y.mean(axis=-1, keepdims=True), x - x.mean(axis=-1, keepdims=True)
+    sxx = (x * x).sum(axis=-1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(sxx > 0, (x * y).sum(axis=-1) / sxx, np.nan)
+
+
+def _drawn(of: DataFrame, by: list[str], draws: int, make: Callable[[], Callable]) -> DataFrame:
+    """by, draw, slope: make() gives a task its function of (y, x, first draw, end)."""
+    spread = of.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(CHUNK)))).repartition(*by, "_first")
+
+    def task(batches):
+        kernel = make()
+        for b in batches:
+            ys, xs = (b.column(b.schema.get_field_index(c)) for c in ("y", "x"))
+            for i, first in enumerate(b.column(b.schema.get_field_index("_first")).to_pylist()):
+                last = min(first + CHUNK, draws)
+                s = kernel(ys[i].values.to_numpy(), xs[i].values.to_numpy(), first, last)
+                keys = [b.column(b.schema.get_field_index(c)).take(pa.array(np.full(last - first, i))) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, last)), pa.array(s, mask=np.isnan(s))], names=[*by, "draw", "slope"])
+
+    return spread.select(*by, "_first", "y", "x").mapInArrow(task, f"{_fields(of, by)}draw long, slope double")
+
+
+def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, by: list[str] | None = None, seed: int = 17) -> DataFrame:
+    """by, draw, slope of circular moving-block draws; block 1 is the iid bootstrap.
+
+    The b-th block of a draw starts at mixed(draw, b, seed) modulo the length of the series.
+    """
+
+    def make():
+        numbers = Drawn(seed)
+
+        def kernel(y: np.ndarray, x: np.ndarray, first: int, last: int) -> np.ndarray:
+            n = len(y)
+            start = numbers(first, last, -(-n // block)) % n
+            at = ((start[:, :, None] + np.arange(block)) % n).reshape(last - first, -1)[:, :n]
+            return _slopes(y[at], x[at])
 
-def mixed(draw: str, item: str, seed: int) -> Column:
-    """A 32-bit number that follows from draw, item and seed as if by chance (the first digits of an MD5)."""
-    return F.conv(F.substring(F.md5(F.concat_ws(",", draw, item, F.lit(seed))), 1, 8), 16, 10).cast("long")
+        return kernel
 
+    return _drawn(series(df, y, x, order, by), by or [], draws, make)
 
-def numbered(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
-    """i (from 0), y, x of a series in order. A series is a row a day: it is what one window may hold."""
-    return _clean(df, y, x).select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).alias("i"), F.col(order).alias("at"), F.col(y).alias("y"), F.col(x).alias("x"))
 
+def block_permutation(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, by: list[str] | None = None, seed: int = 5) -> DataFrame:
+    """by, draw, slope of y on x whose blocks are put in order of mixed(draw, b, seed): a placebo."""
 
-def drawn_blocks(spark, n: int, draws: int, block: int, seed: int = 17) -> DataFrame:
-    """draw, i: n positions of each draw, in circular blocks whose starts are a hash of draw, block and seed modulo n."""
-    blocks = -(-n // block)
-    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    start = F.pmod(mixed("draw", "b", seed), F.lit(n))
-    rows = grid.withColumn("s", start).select("draw", "b", "s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
-    return rows.where(F.col("b") * block + F.col("o") < n).select("draw", F.pmod(F.col("s") + F.col("o"), F.lit(n)).alias("i"))
+    def make():
+        numbers = Drawn(seed)
 
+        def kernel(y: np.ndarray, x: np.ndarray, first: int, last: int) -> np.ndarray:
+            n = len(y)
+            drawn = numbers(first, last, -(-n // block))
+            rank = np.argsort(np.argsort(drawn, axis=1, kind="stable"), axis=1, kind="stable")
+            at = np.argsort(rank[:, np.arange(n) // block], axis=1, kind="stable")
+            return _slopes(np.broadcast_to(y, at.shape), x[at])
 
-def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14) -> DataFrame:
-    """draw, slope of moving-block draws of a daily series; block 1 is the iid bootstrap."""
-    rows = numbered(df, y, x, order)
-    n = rows.count()
-    picks = drawn_blocks(df.sparkSession, n, draws, block)
-    return picks.join(F.broadcast(rows), "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("slope"))
+        return kernel
 
+    return _drawn(series(df, y, x, order, by), by or [], draws, make)
 
-def bootstrap_summary(draws: DataFrame) -> DataFrame:
-    """n, mean, se, percentile interval and two-sided p of bootstrap slopes, (1 + count) / (n + 1) on either side."""
+
+def bootstrap_summary(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, n, mean, se, percentile interval and two-sided p of bootstrap slopes, (1 + count) / (n + 1) on either side."""
     q = F.percentile("slope", F.array(F.lit(0.025), F.lit(0.975)))
-    out = draws.agg(F.count("*").alias("n"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("se"), q.alias("_q"), F.sum((F.col("slope") <= 0).cast("int")).alias("_l"), F.sum((F.col("slope") >= 0).cast("int")).alias("_h"))
-    return out.select("n", "mean", "se", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * (1 + F.least("_l", "_h")) / (F.col("n") + 1)).alias("p_value"))
+    out = draws.groupBy(*(by or [])).agg(F.count("slope").alias("n"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("se"), q.alias("_q"), F.count_if(F.col("slope") <= 0).alias("_l"), F.count_if(F.col("slope") >= 0).alias("_h"))
+    return out.select(*(by or []), "n", "mean", "se", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * (1 + F.least("_l", "_h")) / (F.col("n") + 1)).alias("p_value"))
 
 
-def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: int = 500) -> DataFrame:
-    """by, n, mean, low, high: percentile intervals of group means. How often a draw takes a row is Poisson, by hash of its key."""
-    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.concat_ws(",", *key).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (mixed("draw", "_id", 23) + 0.5) / (1 << 32)
-    k, cut, p = F.lit(0), 0.0, 0.36787944117144233
-    for i in range(8):  # the Poisson(1) distribution function
-        cut += p
-        p /= i + 1
-        k = k + (u > cut).cast("int")
-    each = rows.withColumn("_k", k).groupBy(by, "draw").agg((F.sum(F.col("_k") * F.col("v")) / F.sum("_k")).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    plain = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return plain.join(each.groupBy(by).agg(q.alias("_q")), by).select(by, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
-
-
-def block_permutation(df: DataFrame, y: str, x: str, order: str, draws: int = 2000, block: int = 14, seed: int = 5) -> DataFrame:
-    """draw, slope of y on x whose blocks are put in a random order: a placebo."""
-    rows = numbered(df, y, x, order)
-    n = rows.count()
-    blocks = -(-n // block)
-    cards = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    place = cards.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(mixed("draw", "b", seed), "b")) - 1)
-    xs = rows.select((F.col("i") / block).cast("int").alias("b"), F.col("i").alias("_i"), "x")
-    moved = place.join(F.broadcast(xs), "b").withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("r", "_i")) - 1)
-    return moved.select("draw", "i", "x").join(F.broadcast(rows.select("i", "y")), "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("slope"))
-
-
-def placebo_summary(df: DataFrame, y: str, x: str, draws: DataFrame) -> DataFrame:
-    """n, actual slope, mean, sd and percentile interval of placebo slopes, and the share at least as large, (1 + count) / (n + 1)."""
-    actual = _clean(df, y, x).agg(F.regr_slope(y, x).alias("actual"))
-    rows = draws.crossJoin(F.broadcast(actual))  # one row
+def placebo_summary(df: DataFrame, y: str, x: str, draws: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, n, actual slope, mean, sd and percentile interval of placebo slopes, and the share at least as large, (1 + count) / (n + 1)."""
+    by = by or []
+    actual = _clean(df, y, x).groupBy(*by).agg(F.regr_slope(y, x).alias("actual"))  # a row a series
+    rows = draws.join(actual, by) if by else draws.crossJoin(F.broadcast(actual))
     q = F.percentile("slope", F.array(F.lit(0.025), F.lit(0.975)))
-    out = rows.agg(F.count("*").alias("n"), F.max("actual").alias("actual"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("sd"), q.alias("_q"), F.sum((F.abs("slope") >= F.abs("actual")).cast("int")).alias("_k"))
-    return out.select("n", "actual", "mean", "sd", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), ((1 + F.col("_k")) / (F.col("n") + 1)).alias("p_value"))
+    out = rows.groupBy(*by).agg(F.count("slope").alias("n"), F.max("actual").alias("actual"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("sd"), q.alias("_q"), F.count_if(F.abs("slope") >= F.abs("actual")).alias("_k"))
+    return out.select(*by, "n", "actual", "mean", "sd", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), ((1 + F.col("_k")) / (F.col("n") + 1)).alias("p_value"))
 
 
-def circular_shifts(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
-    """shift, slope of y on x moved around the circle by each of the n - 1 shifts."""
-    rows = numbered(df, y, x, order)
-    n = rows.count()
-    moved = rows.select("i", "y", F.explode(F.sequence(F.lit(1), F.lit(max(1, n - 1)))).alias("shift")).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.lit(n)))
-    return moved.join(F.broadcast(rows.select(F.col("i").alias("j"), "x")), "j").groupBy("shift").agg(F.regr_slope("y", "x").alias("slope"))
+def circular_shifts(df: DataFrame, y: str, x: str, order: str, by: list[str] | None = None) -> DataFrame:
+    """by, shift, slope of y on x moved around the circle by each of a series' n - 1 shifts."""
+    by = by or []
+    of = series(df, y, x, order, by)
+    spread = of.withColumn("_first", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("y") - 1), F.lit(CHUNK)))).repartition(*by, "_first")
 
+    def task(batches):
+        for b in batches:
+            ys, xs = (b.column(b.schema.get_field_index(c)) for c in ("y", "x"))
+            for i, first in enumerate(b.column(b.schema.get_field_index("_first")).to_pylist()):
+                y, x = ys[i].values.to_numpy(), xs[i].values.to_numpy()
+                shifts = np.arange(first, min(first + CHUNK, max(2, len(y))))
+                moved = x[(np.arange(len(y)) + shifts[:, None]) % len(y)]
+                s = _slopes(np.broadcast_to(y, moved.shape), moved)
+                keys = [b.column(b.schema.get_field_index(c)).take(pa.array(np.full(len(s), i))) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(shifts.astype(np.int32)), pa.array(s, mask=np.isnan(s))], names=[*by, "shift", "slope"])
 
-def ar1_grid(df: DataFrame, y: str, x: str, date: str = "date", phis: list[float] | None = None) -> DataFrame:
-    """phi, n, slope, intercept, loglik: generalised least squares with errors correlated as phi to the gap in days.
+    return spread.select(*by, "_first", "y", "x").mapInArrow(task, f"{_fields(of, by)}shift int, slope double")
 
-    Each row less phi^gap times the one before, over its own standard deviation, is an independent row; the profile
-    likelihood of every phi is one aggregate over the transformed rows.
+
+def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: int = 1000, seed: int = 23, held: int = 2000) -> DataFrame:
+    """by, n, mean, low, high: percentile intervals of group means over Poisson draws.
+
+    A row has one number r = mixed(key, seed) modulo PRIME, a draw two, a = 1 + mixed(draw, seed, 1) modulo (PRIME - 1) and
+    b = mixed(draw, seed, 2) modulo PRIME. How often the draw takes the row is the Poisson(1) quantile (12 at most) of
+    u = (h (h + 7) + 11 modulo PRIME + 0.5) / PRIME, h = a r + b modulo PRIME. No row is multiplied: each task adds all draws
+    of a group up in two arrays, for at most so many groups at a time as held, and these meet by group and draw.
     """
-    phis = [i / 50 for i in range(50)] if phis is None else phis
-    w = Window.partitionBy(F.lit(1)).orderBy("d")
-    rows = _clean(df, y, x).select(F.col(date).alias("d"), F.col(y).alias("y"), F.col(x).alias("x"))
-    rows = rows.withColumns({"g": F.datediff("d", F.lag("d").over(w)), "py": F.lag("y").over(w), "px": F.lag("x").over(w)})
-    rows = rows.withColumn("phi", F.explode(F.array(*[F.lit(float(p)) for p in phis])))
-    r = F.when(F.col("g").isNull(), F.lit(0.0)).otherwise(F.pow("phi", F.col("g")))
-    s = F.sqrt(1 - r * r)
-    rows = rows.select("phi", F.log(s).alias("ls"), ((F.col("y") - r * F.coalesce("py", F.lit(0.0))) / s).alias("y"), ((F.col("x") - r * F.coalesce("px", F.lit(0.0))) / s).alias("x"), ((1 - r) / s).alias("c"))
-    a = rows.groupBy("phi").agg(F.count("*").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("c", "c"), ("c", "x"), ("x", "x"), ("c", "y"), ("x", "y"), ("y", "y"))], F.sum("ls").alias("ls"))
-    det = F.col("cc") * F.col("xx") - F.col("cx") ** 2
-    a = a.withColumns({"slope": F.try_divide(F.col("cc") * F.col("xy") - F.col("cx") * F.col("cy"), det), "intercept": F.try_divide(F.col("xx") * F.col("cy") - F.col("cx") * F.col("xy"), det)})
-    rss = F.col("yy") - F.col("slope") * F.col("xy") - F.col("intercept") * F.col("cy")
-    a = a.withColumn("_s2", rss / F.col("n"))
-    return a.select("phi", "n", "slope", "intercept", F.sqrt(F.try_divide(F.col("_s2") * F.col("n") * F.col("cc"), (F.col("n") - 2) * det)).alias("se"), (-F.col("n") / 2 * (F.log(2 * F.lit(3.141592653589793) * F.col("_s2")) + 1) - F.col("ls")).alias("loglik"))
-
-
-def ar1_fit(df: DataFrame, y: str, x: str, date: str = "date") -> DataFrame:
-    """The most likely phi on a grid of fiftieths, refined once around the best, and its fit."""
-    first = ar1_grid(df, y, x, date).orderBy(F.desc("loglik")).first()
-    fine = [p for p in (first["phi"] - 0.02 + i / 1000 for i in range(41)) if 0 <= p < 1]
-    return ar1_grid(df, y, x, date, fine).orderBy(F.desc("loglik"), "phi").limit(1)
-
-
-def first_difference(df: DataFrame, y: str, x: str, lags: int = 7) -> DataFrame:
+    cuts, p = [], 0.36787944117144233
+    for i in range(12):
+        cuts.append((cuts[-1] if cuts else 0.0) + p)
+        p /= i + 1
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.pmod(mixed(*key, F.lit(seed)), F.lit(PRIME)).alias("r"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def task(batches):
+        number = lambda d, k, m: int(hashlib.md5(f"{d},{seed},{k}".encode()).hexdigest()[:8], 16) % m
+        a = np.array([1 + number(d, 1, PRIME - 1) for d in range(draws)])
+        b = np.array([number(d, 2, PRIME) for d in range(draws)])
+        sums: dict = {}
+
+        def out():
+            groups = list(sums)
+            both = np.array([sums[g] for g in groups]).reshape(len(groups), 2, draws)
+            off = pa.array(np.arange(0, len(groups) * draws + 1, draws).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(both[:, k]).ravel())) for k in (0, 1)]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(groups, kinds), *lists], names=["g", "s", "k"])
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, v, r = coded.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            names = coded.dictionary.to_pylist()
+            order = np.argsort(code, kind="stable")
+            code, v, r = code[order], v[order], r[order]
+            for i in range(0, len(r), 2000):
+                h = (r[i : i + 2000, None] * a + b) % PRIME
+                u = ((h * (h + 7) + 11) % PRIME + 0.5) / PRIME
+                k = np.searchsorted(cuts, u.ravel()).reshape(u.shape).astype(float)
+                own = code[i : i + 2000]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                added = np.stack([np.add.reduceat(k * v[i : i + 2000, None], first), np.add.reduceat(k, first)], axis=1)
+                for g, x in zip(own[first].tolist(), added, strict=True):
+                    name = names[g]
+                    if name in sums:
+                        sums[name] += x
+                    else:
+                        if len(sums) >= held:
+                            yield out()
+                        sums[name] = x.copy()
+        if sums:
+            yield out()
+
+    parts = rows.mapInArrow(task, f"g {kind}, s array<double>, k array<double>").select("g", F.posexplode(F.arrays_zip("s", "k")).alias("draw", "z"))
+    each = parts.groupBy("g", "draw").agg((F.sum("z.s") / F.sum("z.k")).alias("m"))
+    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    plain = df.groupBy(F.col(by).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return plain.join(each.groupBy("g").agg(q.alias("_q")), "g").select(F.col("g").alias(by), "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
+def _gls(gap: np.ndarray, y: np.ndarray, x: np.ndarray, phis: np.ndarray) -> np.ndarray:
+    """slope, intercept, se, loglik in columns, for each phi: least squares with errors correlated as phi to the gap in days.
+
+    Each row less phi^gap times the one before, over its own standard deviation, is an independent row.
+    """
+    r = np.zeros((len(phis), len(y)))
+    r[:, 1:] = phis[:, None] ** gap
+    s = np.sqrt(1 - r * r)
+    before = lambda v: np.concatenate([[0.0], v[:-1]])
+    n, ty, tx, c = len(y), (y - r * before(y)) / s, (x - r * before(x)) / s, (1 - r) / s
+    dot = lambda a, b: (a * b).sum(axis=1)
+    cc, cx, xx, cy, xy, yy = dot(c, c), dot(c, tx), dot(tx, tx), dot(c, ty), dot(tx, ty), dot(ty, ty)
+    det = cc * xx - cx**2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope, intercept = (cc * xy - cx * cy) / det, (xx * cy - cx * xy) / det
+        s2 = (yy - slope * xy - intercept * cy) / n
+        fit = -n / 2 * (np.log(2 * np.pi * s2) + 1) - np.log(s).sum(axis=1)
+        return np.stack([slope, intercept, np.sqrt(s2 * n * cc / ((n - 2) * det)), np.nan_to_num(fit, nan=-np.inf)], axis=1)
+
+
+def _likeliest(gap: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
+    """phi by maximum likelihood: the best of ever finer steps, then the top of the parabola through it and its neighbours."""
+    best = max(np.arange(50) * STEPS[0], key=lambda p: _gls(gap, y, x, np.array([p]))[0, 3])
+    for wide, step in zip(STEPS[:-1], STEPS[1:], strict=True):
+        phis = best - wide + step * np.arange(round(2 * wide / step) + 1)
+        phis = phis[(phis >= 0) & (phis < 1)]
+        best = phis[np.argmax(_gls(gap, y, x, phis)[:, 3])]
+    if best - STEPS[-1] < 0 or best + STEPS[-1] >= 1:
+        return float(best)
+    low, mid, high = _gls(gap, y, x, best + STEPS[-1] * np.array([-1, 0, 1]))[:, 3]
+    bend = low - 2 * mid + high
+    return float(best - STEPS[-1] / 2 * (high - low) / bend) if bend < 0 else float(best)
+
+
+def ar1_fit(df: DataFrame, y: str, x: str, date: str = "date", by: list[str] | None = None, least: int = 6) -> DataFrame:
+    """by, phi, n, slope, intercept, se, loglik of every series of at least so many rows with an x that varies; one pass for all."""
+    by = by or []
+    of = series(df, y, x, date, by).withColumn("at", F.transform("at", lambda d: F.unix_date(d)))
+    names = ["phi", "n", "slope", "intercept", "se", "loglik"]
+
+    def task(batches):
+        for b in batches:
+            at, ys, xs = (b.column(b.schema.get_field_index(c)) for c in ("at", "y", "x"))
+            kept, out = [], []
+            for i in range(b.num_rows):
+                d, yv, xv = (c[i].values.to_numpy() for c in (at, ys, xs))
+                if len(yv) < least or np.ptp(xv) == 0 or np.ptp(yv) == 0:
+                    continue
+                gap = np.diff(d).astype(float)
+                phi = _likeliest(gap, yv, xv)
+                slope, intercept, se, loglik = _gls(gap, yv, xv, np.array([phi]))[0]
+                kept.append(i)
+                out.append((phi, len(yv), slope, intercept, se, loglik))
+            cols = [pa.array([r[k] for r in out], pa.int64() if n == "n" else pa.float64()) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(pa.array(kept, pa.int64())) for c in by), *cols], names=[*by, *names])
+
+    return of.repartition(*by).mapInArrow(task, f"{_fields(of, by)}phi double, n long, slope double, intercept double, se double, loglik double") if by else of.mapInArrow(task, "phi double, n long, slope double, intercept double, se double, loglik double")
+
+
+def first_difference(df: DataFrame, y: str, x: str, lags: int = 7, by: list[str] | None = None) -> DataFrame:
     """newey_west of the change of y on the change of x between consecutive days."""
-    return newey_west(day_lag(day_lag(df, y), x), f"diff_{y}", f"diff_{x}", "date", lags)
+    return newey_west(day_lag(day_lag(df, y, by), x, by), f"diff_{y}", f"diff_{x}", "date", lags, by)
 
 
-def lagged_outcome(df: DataFrame, y: str, x: str, lags: int = 7) -> DataFrame:
-    """n, slope, se_hac, t, df of y on x and the y of the calendar day before, with HAC errors.
+def lagged_outcome(df: DataFrame, y: str, x: str, lags: int = 7, by: list[str] | None = None) -> DataFrame:
+    """by, n, slope, se_hac, t, df of y on x and the y of the calendar day before, with HAC errors.
 
     y and x are first freed of the lag (and the mean), which leaves slope, residuals and scores as they are.
     """
-    rows = _clean(day_lag(df, y), y, x, f"lag_{y}")
-    w = Window.partitionBy(F.lit(1))
+    by = by or []
+    rows = _clean(day_lag(df, y, by), y, x, f"lag_{y}")
+    w = Window.partitionBy(*(by or [F.lit(1)]))
     rows = rows.withColumns({f"_{k}": F.col(c) - F.avg(c).over(w) for k, c in (("y", y), ("x", x), ("l", f"lag_{y}"))})
     free = lambda c: F.col(c) - F.try_divide(F.sum(F.col(c) * F.col("_l")).over(w), F.sum(F.col("_l") ** 2).over(w)) * F.col("_l")
-    return newey_west(rows.select("date", free("_y").alias("_fy"), free("_x").alias("_fx")), "_fy", "_fx", "date", lags, terms=3)
+    return newey_west(rows.select(*by, "date", free("_y").alias("_fy"), free("_x").alias("_fx")), "_fy", "_fx", "date", lags, by, terms=3)

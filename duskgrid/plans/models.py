@@ -110,15 +110,6 @@ f1 AS (SELECT {by}, COUNT(*) AS n, COUNT(DISTINCT entity) AS k, SUM(dx * dx) AS
 f2 AS (SELECT f0.{by}, date, SUM(dx * (dy - sxy / sxx * dx)) AS u FROM f0 JOIN f1 ON f1.{by} = f0.{by} GROUP BY 1, 2), f3 AS (SELECT {by}, COUNT(*) AS g, SUM(u * u) AS m FROM f2 GROUP BY 1)"""
 
 
-def ar1_sql(name: str, phis: str) -> str:
-    """Fits of ar for every phi, with errors correlated as phi to the gap in days."""
-    return f"""{name}_r AS (SELECT phi, g, y, x, COALESCE(py, 0) AS py, COALESCE(px, 0) AS px, CASE WHEN g IS NULL THEN 0 ELSE POWER(phi, g) END AS r FROM ar, {phis} k),
-{name}_t AS (SELECT phi, LN(SQRT(1 - r * r)) AS ls, (y - r * py) / SQRT(1 - r * r) AS y, (x - r * px) / SQRT(1 - r * r) AS x, (1 - r) / SQRT(1 - r * r) AS c FROM {name}_r),
-{name}_a AS (SELECT phi, COUNT(*) AS n, SUM(c * c) AS cc, SUM(c * x) AS cx, SUM(x * x) AS xx, SUM(c * y) AS cy, SUM(x * y) AS xy, SUM(y * y) AS yy, SUM(ls) AS ls FROM {name}_t GROUP BY 1),
-{name}_b AS (SELECT *, cc * xx - cx * cx AS det, (cc * xy - cx * cy) / (cc * xx - cx * cx) AS slope, (xx * cy - cx * xy) / (cc * xx - cx * cx) AS intercept FROM {name}_a),
-{name} AS (SELECT phi, n, slope, intercept, SQRT((yy - slope * xy - intercept * cy) / n * n * cc / ((n - 2) * det)) AS se, -n / 2 * (LN(2 * PI() * (yy - slope * xy - intercept * cy) / n) + 1) - ls AS loglik FROM {name}_b)"""
-
-
 def solve3_sql(m: str, v: str) -> list[str]:
     """The solution of a symmetric 3 x 3 system with columns <m>11 .. <m>33 and <v>1 .. <v>3, by Cramer's rule."""
     a = [[f"{m}{min(i, j)}{max(i, j)}" for j in (1, 2, 3)] for i in (1, 2, 3)]
@@ -183,11 +174,10 @@ def catalog():
     dow = lambda v: G.multiple(national(v).withColumn("dow", F.dayofweek("date")), "strict_dark", ["shed_share"], {"dow": [1, 2, 3, 4, 5, 6, 7]}).where("term = 'shed_share'")
     c["reg2_multiple"] = (PEX, lambda v: dow(v).select("n", F.col("estimate").alias("slope")), f", {PX}, {NA}, q AS (SELECT strict_dark - AVG(strict_dark) OVER w AS dy, shed_share - AVG(shed_share) OVER w AS dx FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL WINDOW w AS (PARTITION BY DAYOFWEEK(date))) SELECT N(COUNT(*)) AS n, R(SUM(dx * dy) / SUM(dx * dx)) AS slope FROM q")
     POISSON = "it(i, a, b) AS (SELECT 0, LN(AVG(y)), 0.0::DOUBLE FROM pn WHERE x IS NOT NULL UNION ALL SELECT i + 1, (wxx * wz - wx * wxz) / (w * wxx - wx * wx), (w * wxz - wx * wz) / (w * wxx - wx * wx) FROM (SELECT i, SUM(EXP(a + b * x)) AS w, SUM(EXP(a + b * x) * x) AS wx, SUM(EXP(a + b * x) * x * x) AS wxx, SUM(EXP(a + b * x) * (a + b * x) + y - EXP(a + b * x)) AS wz, SUM(x * (EXP(a + b * x) * (a + b * x) + y - EXP(a + b * x))) AS wxz FROM it, pn WHERE x IS NOT NULL AND i < 25 GROUP BY i) z), ps AS (SELECT a, b, COUNT(*) AS n, SUM(EXP(a + b * x)) AS w, SUM(EXP(a + b * x) * x) AS wx, SUM(EXP(a + b * x) * x * x) AS wxx, SUM(POWER(y - EXP(a + b * x), 2) / EXP(a + b * x)) AS chi FROM pn, (SELECT a, b FROM it WHERE i = 25) f WHERE x IS NOT NULL GROUP BY 1, 2)"
-    c["reg3_quasi_poisson"] = (PEX, lambda v: (lambda r: v("v_entities").sparkSession.createDataFrame([r]))(G.quasi_poisson(N.event_table(pe(v), [1000.0]).join(shed(v), "date"), "n_dark", "shed_share")), f"RECURSIVE, {PX}, pn AS (SELECT COUNT(*) FILTER (WHERE p < 0.05)::DOUBLE AS y, ANY_VALUE(mlr / contracted) AS x FROM pe JOIN v_exposure e ON e.date = pe.date WHERE population >= 1000 GROUP BY pe.date), {POISSON} SELECT N(n) AS n, R(a) AS intercept, R(b) AS slope, R(SQRT(w / (w * wxx - wx * wx) * chi / (n - 2))) AS se, R(chi / (n - 2)) AS dispersion FROM ps")
+    c["reg3_quasi_poisson"] = (PEX, lambda v: G.quasi_poisson(N.event_table(pe(v), [1000.0]).join(shed(v), "date"), "n_dark", "shed_share").drop("rounds"), f"RECURSIVE, {PX}, pn AS (SELECT COUNT(*) FILTER (WHERE p < 0.05)::DOUBLE AS y, ANY_VALUE(mlr / contracted) AS x FROM pe JOIN v_exposure e ON e.date = pe.date WHERE population >= 1000 GROUP BY pe.date), {POISSON} SELECT N(n) AS n, R(a) AS intercept, R(b) AS slope, R(SQRT(w / (w * wxx - wx * wx) * chi / (n - 2))) AS se, R(chi / (n - 2)) AS dispersion FROM ps")
     c["reg4_newey_west"] = (PEX, lambda v: G.newey_west(national(v), "strict_dark", "shed_share", "date", 7).select("n", "slope", "se_hac"), f", {PX}, {NA}, {nw_sql('na', 'strict_dark', 'shed_share', 7, '')} SELECT N(n) AS n, R(slope) AS slope, R(se_hac) AS se_hac FROM nw")
     c["reg5_fixed_effects"] = (PEX, lambda v: G.fixed_effects(exposed(v).join(v("v_entities").select("entity", "population"), "entity"), "p", "x", "entity", "date", "population").drop("t", "df"), f", {PD}, {FE.format(w='population')} SELECT {FEC} FROM f1, f3")
     c["reg6_fe_grid"] = (PEX, lambda v: G.fe_grid(exposed(v).join(v("v_entities").select("entity", "demand"), "entity"), ["p"], "x", [None, "demand"], "entity", "date").select("outcome", "weight", "n", "slope"), f", {PD}" + "".join(f", {FE.format(w=w).replace('f0', a + '0').replace('f1', a + '1').split(', f2')[0]}" for a, w in (("g", "1.0"), ("h", "demand"))) + " SELECT 'p' AS outcome, 'none' AS weight, N(n) AS n, R(sxy / sxx) AS slope FROM g1 UNION ALL SELECT 'p', 'demand', N(n), R(sxy / sxx) FROM h1")
-    c["reg7_two_way"] = (vx, lambda v: G.two_way(exposed(v).withColumn("q", F.quarter("date")), "p", "x", "entity", "q", [1, 2, 3, 4]), None)
     c["reg8_entity_slopes"] = (vx, lambda v: inferred(G.entity_slopes(exposed(v), "p", "x", 7, 60), se="se_hac").select("entity", "n", "slope", "se_hac", "p_value"), f", {PD}, {nw_sql('pd', 'p', 'x', 7, 'entity')} SELECT entity, N(n) AS n, R(slope) AS slope, R(se_hac) AS se_hac, R({p_sql('(slope / NULLIF(se_hac, 0))', '(n - 2)')}) AS p_value FROM nw WHERE n >= 60")
     slopes = lambda v: inferred(G.ols(exposed(v), "p", "x", ["entity"])).join(v("v_entities").select("entity", "demand", "population"), "entity")
     SL = f"{PD}, {fit_sql('pd', 'p', 'x', 'entity')}, sl AS (SELECT fs.entity, sxy / sxx AS slope, sxy / sxx / SQRT(GREATEST(0, syy - sxy * sxy / sxx) / (n - 2) / sxx) AS t, n - 2 AS df, demand, population, region FROM fs JOIN v_entities e ON e.entity = fs.entity)"
@@ -208,7 +198,7 @@ def catalog():
         return row(G.per_predictor(wide, "strict_dark", ["lag1", "same", "lead1"]))
 
     c["reg15_placebo"] = (PEX, placebo, f", {PX}, {NA}, {LL}, {fit_sql('ll', 'strict_dark', 'x', 'predictor')} SELECT predictor, {FIT} FROM fs")
-    c["reg16_wald"] = (PEX, lambda v: (lambda r: v("v_entities").sparkSession.createDataFrame([r]))(G.wald_hac(G.with_dummies(national(v).withColumn("q", F.quarter("date")), "q", [1, 2, 3, 4])[0], "strict_dark", ["shed_share", "q_2", "q_3", "q_4"], ["q_2", "q_3", "q_4"], "date", 7)), f", {PX}, {NA}, w0 AS (SELECT date, strict_dark AS y, shed_share AS x, CAST(QUARTER(date) = 2 AS DOUBLE) AS d1, CAST(QUARTER(date) = 3 AS DOUBLE) AS d2, CAST(QUARTER(date) = 4 AS DOUBLE) AS d3 FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), {wald_sql(7)} SELECT R(s) AS statistic, N(3) AS df, R(1 - SQRT(2 / PI()) * SQRT(s) / 1200 * LIST_SUM(LIST_TRANSFORM(RANGE(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * POWER(i * SQRT(s) / 400, 2) * EXP(-POWER(i * SQRT(s) / 400, 2) / 2)))) AS p_value FROM ws")
+    c["reg16_wald"] = (PEX, lambda v: G.wald_hac(G.with_dummies(national(v).withColumn("q", F.quarter("date")), "q", [1, 2, 3, 4])[0], "strict_dark", ["shed_share", "q_2", "q_3", "q_4"], ["q_2", "q_3", "q_4"], "date", 7).drop("n"), f", {PX}, {NA}, w0 AS (SELECT date, strict_dark AS y, shed_share AS x, CAST(QUARTER(date) = 2 AS DOUBLE) AS d1, CAST(QUARTER(date) = 3 AS DOUBLE) AS d2, CAST(QUARTER(date) = 4 AS DOUBLE) AS d3 FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), {wald_sql(7)} SELECT R(s) AS statistic, N(3) AS df, R(1 - SQRT(2 / PI()) * SQRT(s) / 1200 * LIST_SUM(LIST_TRANSFORM(RANGE(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * POWER(i * SQRT(s) / 400, 2) * EXP(-POWER(i * SQRT(s) / 400, 2) / 2)))) AS p_value FROM ws")
     c["reg17_effects"] = (PEX, lambda v: G.effects(G.ols(national(v), "strict_dark", "shed_share"), mean_mw=5e5, hours=2.0).select("n", "pp", "pp_low", "pp_high", "pp_per_1000_mw", "pp_per_gwh"), f", {PX}, {NA}, {fit_sql('na', 'strict_dark', 'shed_share')}, b AS (SELECT n, sxy / sxx AS b, SQRT(GREATEST(0, syy - sxy * sxy / sxx) / (n - 2) / sxx) AS s FROM fs) SELECT N(n) AS n, R(10 * b) AS pp, R(10 * (b - 1.96 * s)) AS pp_low, R(10 * (b + 1.96 * s)) AS pp_high, R(100 * b * 1000 / 500000) AS pp_per_1000_mw, R(100 * b * 1000 / (500000 * 2.0)) AS pp_per_gwh FROM b")
     c["reg18_mean_interval"] = (PEX, lambda v: inferred(G.mean_interval(S.quantile_groups(national(v), "shed_share", "date", 4), "strict_dark", ["bin"]), "mean"), f", {PX}, {NA}, b AS (SELECT strict_dark, NTILE(4) OVER (ORDER BY shed_share, date) AS bin FROM na WHERE shed_share IS NOT NULL) SELECT I(bin) AS bin, N(COUNT(strict_dark)) AS n, R(AVG(strict_dark)) AS mean, R(STDDEV_SAMP(strict_dark) / SQRT(COUNT(strict_dark))) AS se, N(COUNT(strict_dark) - 1) AS df, {interval_sql('AVG(strict_dark)', '(STDDEV_SAMP(strict_dark) / SQRT(COUNT(strict_dark)))', '(COUNT(strict_dark) - 1)')} FROM b GROUP BY 1")
     prod = lambda v: N.daily_base(pe(v)).select("date", "strict_dark").withColumn("product", F.lit("a")).unionByName(N.daily_base(pe(v).where("coverage >= 0.5")).select("date", "strict_dark").withColumn("product", F.lit("b"))).join(shed(v), "date")
@@ -232,17 +222,10 @@ def catalog():
     c["res1_bootstrap"] = (PEX, lambda v: Z.bootstrap_summary(Z.block_bootstrap(nat(v), "strict_dark", "shed_share", "date", 2000, 14)), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn), dr AS (SELECT d, ((CAST('0x' || SUBSTR(MD5(d || ',' || b || ',17'), 1, 8) AS BIGINT)) % n + o) % n AS i FROM z, (SELECT UNNEST(GENERATE_SERIES(0, 1999)) AS d) q, (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS b) r, (SELECT UNNEST(GENERATE_SERIES(0, 13)) AS o) s WHERE b * 14 + o < n), sl AS (SELECT d, REGR_SLOPE(y, x) AS slope FROM dr JOIN nn ON nn.i = dr.i GROUP BY 1) SELECT N(COUNT(*)) AS n, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS se, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R(LEAST(1, 2 * (1 + LEAST(COUNT(*) FILTER (WHERE slope <= 0), COUNT(*) FILTER (WHERE slope >= 0))) / (COUNT(*) + 1.0))) AS p_value FROM sl")
     c["res2_permutation"] = (PEX, lambda v: Z.placebo_summary(nat(v), "strict_dark", "shed_share", Z.block_permutation(nat(v), "strict_dark", "shed_share", "date")), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), bl AS (SELECT DISTINCT i // 14 AS b FROM nn), pl AS (SELECT d, b, ROW_NUMBER() OVER (PARTITION BY d ORDER BY CAST('0x' || SUBSTR(MD5(d || ',' || b || ',5'), 1, 8) AS BIGINT), b) AS r FROM bl, (SELECT UNNEST(GENERATE_SERIES(0, 1999)) AS d) q), mv AS (SELECT d, x, ROW_NUMBER() OVER (PARTITION BY d ORDER BY r, i) - 1 AS i FROM pl JOIN nn ON nn.i // 14 = pl.b), sl AS (SELECT d, REGR_SLOPE(nn.y, mv.x) AS slope FROM mv JOIN nn ON nn.i = mv.i GROUP BY 1), ac AS (SELECT REGR_SLOPE(y, x) AS actual FROM nn) SELECT N(COUNT(*)) AS n, R(MAX(actual)) AS actual, R(AVG(slope)) AS mean, R(STDDEV_SAMP(slope)) AS sd, R(QUANTILE_CONT(slope, 0.025)) AS low, R(QUANTILE_CONT(slope, 0.975)) AS high, R((1 + COUNT(*) FILTER (WHERE ABS(slope) >= ABS(actual))) / (COUNT(*) + 1.0)) AS p_value FROM sl, ac")
     c["res3_circular_shifts"] = (PEX, lambda v: Z.circular_shifts(nat(v), "strict_dark", "shed_share", "date"), f", {PX}, {NA}, nn AS (SELECT ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL), z AS (SELECT COUNT(*) AS n FROM nn) SELECT I(s) AS shift, R(REGR_SLOPE(a.y, b.x)) AS slope FROM nn a, z, (SELECT UNNEST(GENERATE_SERIES(1, (SELECT n - 1 FROM z))) AS s) k JOIN nn b ON b.i = (a.i + s) % n GROUP BY 1")
-    c["res4_ar1"] = (PEX, lambda v: Z.ar1_fit(nat(v), "strict_dark", "shed_share"), f", {PX}, {NA}, ar AS (SELECT date - LAG(date) OVER o AS g, y, x, LAG(y) OVER o AS py, LAG(x) OVER o AS px FROM (SELECT date, strict_dark AS y, shed_share AS x FROM na WHERE strict_dark IS NOT NULL AND shed_share IS NOT NULL) z WINDOW o AS (ORDER BY date)), {ar1_sql('ga', '(SELECT UNNEST(GENERATE_SERIES(0, 49)) / 50.0::DOUBLE AS phi)')}, pb AS (SELECT phi AS best FROM ga ORDER BY loglik DESC LIMIT 1), {ar1_sql('gb', '(SELECT best - 0.02::DOUBLE + i / 1000.0::DOUBLE AS phi FROM pb, (SELECT UNNEST(GENERATE_SERIES(0, 40)) AS i) q WHERE best - 0.02::DOUBLE + i / 1000.0::DOUBLE >= 0 AND best - 0.02::DOUBLE + i / 1000.0::DOUBLE < 1)')} SELECT R(phi) AS phi, N(n) AS n, R(slope) AS slope, R(intercept) AS intercept, R(se) AS se, R(loglik) AS loglik FROM gb ORDER BY gb.loglik DESC, gb.phi LIMIT 1")
     hac = "N(n) AS n, R(slope) AS slope, R(se_hac) AS se_hac, {p} AS p_value FROM nw"
     c["res5_first_difference"] = (PEX, lambda v: inferred(Z.first_difference(nat(v), "strict_dark", "shed_share"), se="se_hac").select("n", "slope", "se_hac", "p_value"), f", {PX}, {NA}, dd AS (SELECT a.date, a.strict_dark - b.strict_dark AS y, a.shed_share - b.shed_share AS x FROM na a JOIN na b ON b.date = a.date - 1), {nw_sql('dd', 'y', 'x', 7, '')} SELECT {hac.format(p='R(' + p_sql('(slope / NULLIF(se_hac, 0))', '(n - 2)') + ')')}")
     LAGGED = "q0 AS (SELECT a.date, a.strict_dark AS y, a.shed_share AS x, b.strict_dark AS l FROM na a JOIN na b ON b.date = a.date - 1 WHERE a.strict_dark IS NOT NULL AND b.strict_dark IS NOT NULL AND a.shed_share IS NOT NULL), q1 AS (SELECT date, y - AVG(y) OVER () AS y, x - AVG(x) OVER () AS x, l - AVG(l) OVER () AS l FROM q0), q2 AS (SELECT date, y - SUM(y * l) OVER () / SUM(l * l) OVER () * l AS y, x - SUM(x * l) OVER () / SUM(l * l) OVER () * l AS x FROM q1)"
     c["res5_lagged_outcome"] = (PEX, lambda v: inferred(Z.lagged_outcome(nat(v), "strict_dark", "shed_share"), se="se_hac").select("n", "slope", "se_hac", "p_value"), f", {PX}, {NA}, {LAGGED}, {nw_sql('q2', 'y', 'x', 7, '', 3)} SELECT {hac.format(p='R(' + p_sql('(slope / NULLIF(se_hac, 0))', '(n - 3)') + ')')}")
-    poisson, cut, step = [], 0.0, 0.36787944117144233
-    for i in range(8):
-        cut += step
-        step /= i + 1
-        poisson.append(f"CAST(u > {cut!r} AS INTEGER)")
-    c["res6_mean_bootstrap"] = (["v_panel"], lambda v: Z.mean_bootstrap(v("v_panel"), "p", "entity", ["entity", "date"], 200), f", dr AS (SELECT entity, d, p, (CAST('0x' || SUBSTR(MD5(d || ',' || entity || ',' || date || ',23'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM v_panel, (SELECT UNNEST(GENERATE_SERIES(0, 199)) AS d) q), ms AS (SELECT entity, d, SUM(k * p) / SUM(k) AS m FROM (SELECT entity, d, p, {' + '.join(poisson)} AS k FROM dr) z GROUP BY 1, 2), mq AS (SELECT entity, QUANTILE_CONT(m, 0.025) AS low, QUANTILE_CONT(m, 0.975) AS high FROM ms GROUP BY 1), mp AS (SELECT entity, COUNT(p) AS n, AVG(p) AS mean FROM v_panel GROUP BY 1) SELECT mp.entity, N(n) AS n, R(mean) AS mean, R(low) AS low, R(high) AS high FROM mp JOIN mq ON mq.entity = mp.entity")
     MONTHS, DAYS = list(range(1, 13)), list(range(1, 8))
     dated = lambda v: exposed(v).withColumns({"month": F.month("date"), "dow": F.dayofweek("date"), "strict": (F.col("p") < 0.05).cast("double"), "mostly": (F.col("p") < 0.2).cast("double")}).join(v("v_entities").select("entity", "demand"), "entity")
     controls = {"none": {}, "month": {"month": MONTHS}, "dow": {"dow": DAYS}, "month_dow": {"month": MONTHS, "dow": DAYS}}
@@ -283,12 +266,12 @@ def catalog():
 
     def disagreement(v):
         """The national series over entities that both products keep, and over those that only one does."""
-        kept = years(v).select("entity", F.when((F.col("p_year") > 0.56) == (F.col("c_year") > 0.55), "agree").otherwise("disagree").alias("group"))
+        kept = years(v).select("entity", F.when((F.round("p_year", 9) > 0.56) == (F.round("c_year", 9) > 0.55), "agree").otherwise("disagree").alias("group"))
         rows = pe(v).join(kept, "entity")
         parts = [N.daily_base(rows.where(F.col("group") == g)).withColumn("group", F.lit(g)) for g in ("agree", "disagree")]
         return parts[0].unionByName(parts[1]).join(shed(v), "date")
 
-    DIS = "gp AS (SELECT entity, (p_year > 0.56) = (c_year > 0.55) AS ok FROM ye), " + ", ".join(NA.replace("na AS", f"n{k} AS", 1).replace("FROM pe", f"FROM pe WHERE entity IN (SELECT entity FROM gp WHERE {c_})") for k, c_ in (("x", "ok"), ("y", "NOT ok"))) + ", ds AS (SELECT 'agree' AS \"group\", strict_dark, shed_share FROM nx UNION ALL SELECT 'disagree', strict_dark, shed_share FROM ny)"
+    DIS = "gp AS (SELECT entity, (ROUND(p_year, 9) > 0.56) = (ROUND(c_year, 9) > 0.55) AS ok FROM ye), " + ", ".join(NA.replace("na AS", f"n{k} AS", 1).replace("FROM pe", f"FROM pe WHERE entity IN (SELECT entity FROM gp WHERE {c_})") for k, c_ in (("x", "ok"), ("y", "NOT ok"))) + ", ds AS (SELECT 'agree' AS \"group\", strict_dark, shed_share FROM nx UNION ALL SELECT 'disagree', strict_dark, shed_share FROM ny)"
     c["reg19_disagreement"] = (PEX, lambda v: row(G.ols(disagreement(v), "strict_dark", "shed_share", ["group"])), f", {PX}, {YR}, {DIS}, {fit_sql('ds', 'strict_dark', 'shed_share', chr(34) + 'group' + chr(34))} SELECT \"group\", {FIT} FROM fs")
     GR = "gr AS (SELECT *, RANK() OVER (PARTITION BY gate ORDER BY ROUND(shed_share, 9)) + (COUNT(*) OVER (PARTITION BY gate, ROUND(shed_share, 9)) - 1) / 2.0 AS rx, RANK() OVER (PARTITION BY gate ORDER BY ROUND(strict_demand, 9)) + (COUNT(*) OVER (PARTITION BY gate, ROUND(strict_demand, 9)) - 1) / 2.0 AS ry FROM gs WHERE strict_demand IS NOT NULL AND shed_share IS NOT NULL)"
     many = [round(0.05 * i, 2) for i in range(21)]

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskgrid.plans import models, panels, pixels, series
+from duskgrid.plans import inference, models, panels, pixels, series
 from duskgrid.sources.views import expand, rounded, view, with_views
 
-MODULES = [panels, pixels, series, models]
+MODULES = [panels, pixels, series, models, inference]
 
 
 @functools.cache

@@ -117,6 +117,147 @@ def test_two_way_is_exact(spark):
     assert abs(one(regress.two_way(df, "y", "x", "e", "q", [1, 2, 3]))["slope"] - 2) < 0.02
 
 
+def test_two_large_factors_by_alternation(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g, halves in (("a", 1), ("b", 2)):  # the graph of b has two components
+        own = []
+        for e in range(18):
+            for d in rng.choice(30 // halves, 9, replace=False) + (e % halves) * 15:
+                for _ in range(rng.integers(1, 3)):
+                    x = rng.normal() + 0.3 * e - 0.1 * d
+                    own.append((g, f"e{e}", int(d), float(x), float(1.5 * x + e - 0.2 * d + rng.normal())))
+        rows += own
+        x, y = np.array([[r[3], r[4]] for r in own]).T
+        dummies = [[float(r[1] == f"e{e}") for e in range(18)] + [float(r[2] == d) for d in range(30)] for r in own]
+        full = np.column_stack([x, np.array(dummies)])
+        rank = np.linalg.matrix_rank(full)
+        beta, *_ = np.linalg.lstsq(full, y, rcond=None)
+        rest = x - np.array(dummies) @ np.linalg.lstsq(np.array(dummies), x, rcond=None)[0]
+        s2 = ((y - full @ beta) ** 2).sum() / (len(y) - rank)
+        want[g] = (len(y), beta[0], (s2 / (rest**2).sum()) ** 0.5, len(y) - rank)
+    df = spark.createDataFrame([*rows, ("a", None, 1, 1.0, 1.0), ("a", "e1", 1, None, 1.0)], "g string, e string, d int, x double, y double")
+    for r in regress.two_way_effects(df, "y", "x", "e", "d", ["g"]).collect():
+        assert (r.n, r.df) == (want[r.g][0], want[r.g][3]) and abs(r.slope - want[r.g][1]) < 1e-8 and abs(r.se - want[r.g][2]) < 1e-8
+    alone = one(regress.two_way_effects(df.where("g = 'b'"), "y", "x", "e", "d"))
+    assert abs(alone["slope"] - want["b"][1]) < 1e-8
+    flat = one(regress.two_way_effects(df.withColumn("x", F.col("d").cast("double")), "y", "x", "e", "d"))
+    assert flat["slope"] is None and flat["n"] == len(rows) + 1
+
+
+def test_grouped_poisson_and_wald(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, DAY(i), float(x := rng.normal()), float(z := rng.normal()), float(rng.poisson(np.exp(0.4 + 0.3 * k * x)))) for k, g in enumerate("abc") for i in range(80 + 20 * k) for _ in [0]]
+    df = spark.createDataFrame([*rows, ("d", DAY(0), 1.0, 1.0, 0.0), ("d", DAY(1), 2.0, 1.0, 0.0), ("d", DAY(2), 3.0, 0.0, 0.0), (None, DAY(1), 1.0, 1.0, 1.0)], "g string, date date, x double, z double, y double")
+    got = {r.g: r for r in regress.quasi_poisson(df, "y", "x", ["g"]).collect()}
+    assert set(got) == set("abc")
+    wald = {r.g: r for r in regress.wald_hac(df, "y", ["x", "z"], ["x", "z"], "date", 3, ["g"]).collect()}
+    for g in "abc":
+        x, z, y = np.array([r[2:] for r in rows if r[0] == g]).T
+        m = np.column_stack([np.ones(len(x)), x])
+        b = np.array([np.log(y.mean()), 0.0])
+        for _ in range(50):
+            mu = np.exp(m @ b)
+            b = b + np.linalg.solve((m * mu[:, None]).T @ m, m.T @ (y - mu))
+        phi = ((y - mu) ** 2 / mu).sum() / (len(y) - 2)
+        se = np.sqrt(np.linalg.inv((m * mu[:, None]).T @ m)[1, 1] * phi)
+        assert got[g].n == len(y) and np.allclose([got[g].intercept, got[g].slope, got[g].se, got[g].dispersion], [*b, se, phi], atol=1e-8)
+        m = np.column_stack([np.ones(len(x)), x, z])
+        b = np.linalg.lstsq(m, y, rcond=None)[0]
+        s = m * (y - m @ b)[:, None]
+        meat = s.T @ s
+        for j in range(1, 4):
+            c = s[j:].T @ s[:-j]
+            meat += (1 - j / 4) * (c + c.T)
+        inv = np.linalg.inv(m.T @ m)
+        v = (inv @ meat @ inv * len(y) / (len(y) - 3))[1:, 1:]
+        assert abs(wald[g].statistic - b[1:] @ np.linalg.solve(v, b[1:])) < 1e-8 and wald[g].n == len(y)
+    alone = one(regress.quasi_poisson(df.where("g = 'b'"), "y", "x"))
+    assert abs(alone["slope"] - got["b"].slope) < 1e-9 and alone["rounds"] < 15
+
+
+def test_grouped_resampling(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    md5 = lambda *p: int(hashlib.md5(",".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    data = {g: rng.normal(size=(2, n)) for g, n in (("a", 40), ("b", 55), ("c", 9))}
+    rows = [(g, DAY(i), float(y), float(x)) for g, (ys, xs) in data.items() for i, (y, x) in enumerate(zip(ys, xs))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(g, d, float(y), float(x)) for g, d, y, x in rows], "g string, date date, y double, x double")
+    slope = lambda y, x: np.polyfit(x, y, 1)[0]
+    boot = {(r.g, r.draw): r.slope for r in resample.block_bootstrap(df, "y", "x", "date", 300, 7, ["g"]).collect()}
+    perm = {(r.g, r.draw): r.slope for r in resample.block_permutation(df, "y", "x", "date", 300, 7, ["g"]).collect()}
+    turn = {(r.g, r["shift"]): r.slope for r in resample.circular_shifts(df, "y", "x", "date", ["g"]).collect()}
+    assert len(boot) == len(perm) == 900 and len(turn) == 39 + 54 + 8
+    for g, (y, x) in data.items():
+        n, k = len(y), -(-len(y) // 7)
+        for d in (0, 17, 249, 250, 299):
+            at = np.array([(md5(d, b, 17) % n + o) % n for b in range(k) for o in range(7)][:n])
+            assert abs(boot[g, d] - slope(y[at], x[at])) < 1e-9
+            at = [i for b in sorted(range(k), key=lambda b: (md5(d, b, 5), b)) for i in range(7 * b, min(n, 7 * b + 7))]
+            assert abs(perm[g, d] - slope(y, x[at])) < 1e-9
+        assert abs(turn[g, 3] - slope(y, np.roll(x, -3))) < 1e-9
+    s = {r.g: r for r in resample.bootstrap_summary(resample.block_bootstrap(df, "y", "x", "date", 300, 7, ["g"]), ["g"]).collect()}
+    assert abs(s["a"].mean - np.mean([boot["a", d] for d in range(300)])) < 1e-9 and s["a"].n == 300
+    p = {r.g: r for r in resample.placebo_summary(df, "y", "x", resample.block_permutation(df, "y", "x", "date", 300, 7, ["g"]), ["g"]).collect()}
+    assert abs(p["b"].actual - slope(*data["b"])) < 1e-9
+    flat = df.withColumn("x", F.lit(1.0))
+    assert {r.slope for r in resample.block_bootstrap(flat, "y", "x", "date", 3, 7, ["g"]).collect()} == {None}
+
+
+def test_grouped_ar1_is_the_maximum(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, phi in (("a", 0.7), ("b", 0.0), ("c", 0.35)):
+        e = 0.0
+        for i in range(300):
+            e = phi * e + rng.normal()
+            if rng.random() < 0.8:  # gaps
+                x = rng.normal()
+                rows.append((g, DAY(i), 2 * x + e, x))
+    df = spark.createDataFrame([(g, d, float(y), float(x)) for g, d, y, x in rows] + [("z", DAY(1), 1.0, 1.0)], "g string, date date, y double, x double")
+    got = {r.g: r for r in resample.ar1_fit(df, "y", "x", by=["g"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, r in got.items():
+        own = [x for x in rows if x[0] == g]
+        gap, y, x = np.diff([d.toordinal() for _, d, *_ in own]).astype(float), np.array([v[2] for v in own]), np.array([v[3] for v in own])
+        loglik = lambda p: resample._gls(gap, y, x, np.array([p]))[0, 3]  # noqa: E731, B023
+        if r.phi > 1e-4:
+            slope = (loglik(r.phi + 1e-5) - loglik(r.phi - 1e-5)) / 2e-5
+            bend = (loglik(r.phi + 1e-3) - 2 * loglik(r.phi) + loglik(r.phi - 1e-3)) / 1e-6
+            assert abs(slope / bend) < 1e-6
+        p = r.phi
+        cov = p ** np.abs(np.subtract.outer(*[[d.toordinal() for _, d, *_ in own]] * 2)) if p > 0 else np.eye(len(own))
+        m, inv = np.column_stack([x, np.ones(len(x))]), np.linalg.inv(cov)
+        assert np.allclose([r.slope, r.intercept], np.linalg.solve(m.T @ inv @ m, m.T @ inv @ y), atol=1e-8)
+    assert abs(got["a"].phi - 0.7) < 0.12
+
+
+def test_mean_bootstrap_merges_and_agrees_with_resampling(spark):
+    rng = np.random.default_rng(4)
+    rows = [(("a", "b", None)[i % 3], i, float(rng.gamma(2))) for i in range(900)]
+    df = spark.createDataFrame([*rows, ("c", -1, None)], "g string, i int, v double").repartition(5)
+    got = {r.g: r for r in resample.mean_bootstrap(df, "v", "g", ["g", "i"], 600).collect()}
+    few = {r.g: r for r in resample.mean_bootstrap(df.repartition(2), "v", "g", ["g", "i"], 600, held=1).collect()}
+    for g in "ab":
+        v = np.array([r[2] for r in rows if r[0] == g])
+        means = np.array([rng.choice(v, len(v)).mean() for _ in range(3000)])
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert got[g].n == 300 and abs(got[g]["mean"] - v.mean()) < 1e-12
+        assert abs(got[g].low - low) < 0.25 * (high - low) and abs(got[g].high - high) < 0.25 * (high - low)
+        assert abs(few[g].low - got[g].low) < 1e-12 and abs(few[g].high - got[g].high) < 1e-12
+
+
+def test_tails_of_arrays():
+    t, df = np.array([0.0, 0.5, 2.0, 8.0, 50.0] * 40), np.repeat([1, 2, 3, 7, 30, 200, 3000, 100000], 25)
+    p = tails.t_two_sided(t, df)
+    assert np.allclose(p[:3], [1, 2 / np.pi * np.arctan(2), 2 / np.pi * np.arctan(0.5)]) and (np.diff(p.reshape(-1, 5), axis=1) <= 0).all()
+    for v in (1, 2, 5, 60, 12345):
+        assert abs(1 - tails.t_two_sided(tails.t_quantile(0.975, v), v) / 2 - 0.975) < 1e-12
+    assert np.allclose(tails.t_quantile(0.975, np.array([5, 1, 5])), [2.5705818356, 12.7062047362, 2.5705818356])
+
+
 def test_ar1_finds_phi(spark):
     rng = __import__("random").Random(3)
     e, rows = 0.0, []
