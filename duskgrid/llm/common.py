@@ -113,6 +113,13 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == HELD_OUT
 
 
+def spread(text: Column, most: int, spans: int) -> Column:
+    """text, or of one of more than so many characters that many in spans, evenly spread from the first to the last."""
+    each = most // spans
+    place = lambda i: (1 + F.floor((F.length(text) - each) * i / (spans - 1))).cast("int")
+    return F.when(text.isNull() | (F.length(text) <= most), text).otherwise(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(spans - 1)), lambda i: F.substring(text, place(i), F.lit(each)))))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that column holds about most_bytes in each (a single longer row stays whole)."""
     for batch in batches:

@@ -22,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import fields, held_out, release_memory, slices, strings, texts_of
+from duskgrid.llm.common import fields, held_out, release_memory, slices, spread, strings, texts_of
 
 GRAMS, BITS = 4, 16
 #: Training sees, of each language, the first PER_SHARE rows by hash of each of SHARES shares of its labelled rows (448 at
-#: most, so no task needs all rows of a language), texts of at most TRAIN_CHARS, and takes LANDMARKS of them as landmarks.
-SHARES, PER_SHARE, TRAIN_CHARS, LANDMARKS = 64, 7, 6000, 60
+#: most, so no task needs all rows of a language), TRAIN_CHARS of each (of a longer text SPANS stretches, evenly spread), and
+#: takes LANDMARKS of them as landmarks.
+SHARES, PER_SHARE, TRAIN_CHARS, SPANS, LANDMARKS = 64, 7, 6000, 6, 60
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -98,11 +99,11 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_on(docs: DataFrame) -> Model:
     """Trains on a bounded sample of docs (doc_id, text, lang) outside the held-out fold."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
     first = Window.partitionBy("_lang", F.pmod("_h", F.lit(SHARES))).orderBy("_h", "_id")
     few = labelled.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= PER_SHARE).select("_id", "_lang").distinct()
     # SHARES * PER_SHARE ids a language: bounded by the number of languages, so it may be broadcast
-    met = docs.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(few), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    met = docs.where(F.col("text").isNotNull()).withColumn("text", spread(F.col("text"), TRAIN_CHARS, SPANS)).join(F.broadcast(few), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     rows = met.groupBy("_id", "_lang").agg(F.min("text").alias("text")).toArrow()
     pairs = sorted(zip(rows["text"].to_pylist(), rows["_lang"].to_pylist(), strict=True))
     del rows

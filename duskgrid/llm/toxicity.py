@@ -3,8 +3,10 @@
 Every word is the bag of its hashed character n-grams (between boundary marks) and itself, so a misspelling or a new
 form of a word shares most vectors with the known one. Vectors and softmax are trained jointly, in numpy on the driver,
 on a bounded sample of labelled rows. A document is as toxic as its most toxic window, so a few words in a long text
-still count; training therefore treats labels as being about some window of a document: it starts from all windows and
-then keeps, of toxic documents, those the model itself holds toxic.
+still count; training therefore treats labels as being about some window of a document. It starts from the windows of toxic
+documents that hold a word more bound to toxic documents than words are to documents under shuffled labels, and then
+keeps those the model itself holds toxic. Toxic windows are repeated until they are a fair share, and batches are the
+smaller, and passes the more, the fewer rows there are. A document with no such window teaches only through others.
 
 Scoring needs no vectors: a window's logit is the mean of per-n-gram numbers (vector times softmax weights), which are
 summed once for each distinct word.
@@ -23,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskgrid.llm.common import fields, held_out, release_memory, slices, texts_of, trim
+from duskgrid.llm.common import fields, held_out, release_memory, slices, spread, texts_of, trim
 from duskgrid.llm.words import CHUNK, ragged, word_ngrams, words_of
 
 SIZES = (3, 4, 5, 6)
 WINDOW, STRIDE = 8, 4
-#: Labelled rows that training sees at most, of each kind, and the longest text among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 3200, 10_000
+#: Labelled rows that training sees at most, of each kind, and the characters of each: of a longer text SPANS stretches,
+#: evenly spread from its first to its last character.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SPANS = 2000, 3200, 10_000, 10
+#: Training steps wanted of a pass over its windows, passes at least and at most, and clean windows for a toxic one.
+STEPS, LEAST_PASSES, MOST_PASSES, CLEAN_EACH = 500, 3, 12, 8
 #: Logit of a text in which there is nothing to read.
 WORDLESS = -40.0
 #: Words whose numbers a worker remembers.
@@ -69,12 +74,16 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, buckets_log2: int = 1
     weights, bias = rng.normal(0, 1, (dim, 2)), np.zeros(2)
     sums = [np.full_like(vectors, 1e-6), np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)]
 
-    def train(rows: np.ndarray, target: np.ndarray, epochs: int, rate: float) -> None:
-        for _ in range(epochs):
+    def train(toxic_ones: np.ndarray, clean_ones: np.ndarray, rate: float) -> None:
+        again = int(np.clip(len(clean_ones) // (CLEAN_EACH * max(1, len(toxic_ones))), 1, 40))
+        rows = np.concatenate([np.repeat(toxic_ones, again), clean_ones])
+        target = np.concatenate([np.ones(len(toxic_ones) * again, int), np.zeros(len(clean_ones), int)])
+        batch = int(np.clip(len(rows) // 64, 64, 1024))
+        for _ in range(int(np.clip(STEPS * batch // max(1, len(rows)), LEAST_PASSES, MOST_PASSES))):
             order = rng.permutation(len(rows))
-            for a in range(0, len(order), 1024):
-                pick = rows[order[a : a + 1024]]
-                y = target[order[a : a + 1024]]
+            for a in range(0, len(order), batch):
+                pick = rows[order[a : a + batch]]
+                y = target[order[a : a + batch]]
                 w = code[ragged(first[pick], end[pick] - first[pick])]
                 size = goff[w + 1] - goff[w]
                 ids = grams[ragged(goff[w], size)]
@@ -105,22 +114,35 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, buckets_log2: int = 1
         return Model(vectors @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]), buckets_log2)
 
     pos, neg = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    rows = np.concatenate([some(pos, 30_000), some(neg, 30_000)])
-    train(rows, label[rows], 2, 0.15)
+    bound = bound_to(off, code, len(words), toxic, first, end)
+    shuffled = rng.permutation(toxic)
+    chance = np.full(len(toxic), -np.inf)
+    np.maximum.at(chance, doc, bound_to(off, code, len(words), shuffled, first, end))
+    start = pos[bound[pos] > np.quantile(chance[(shuffled == 1) & (np.diff(off) > 0)], 0.9)] if ((shuffled == 1) & (np.diff(off) > 0)).any() else pos
+    train(some(start if len(start) else pos, 20_000), some(neg, 30_000), 0.15)
     for _ in range(2):
-        best, z = highest(numbers(), off, code, words)
-        p = _sigmoid(z)
-        best = _sigmoid(best)
-        sure = pos[(p[pos] >= 0.5) | (p[pos] == best[doc[pos]])]
-        never = pos[p[pos] < 0.1]
+        p = _sigmoid(highest(numbers(), off, code, words)[1])
+        sure, never = pos[p[pos] >= 0.5], pos[p[pos] < 0.1]
         hard = neg[np.argsort(-p[neg], kind="stable")[:15_000]]
-        rows = np.concatenate([some(sure, 20_000), some(never, 10_000), hard, some(neg, 20_000)])
-        train(rows, np.concatenate([np.ones(min(len(sure), 20_000), int), np.zeros(len(rows) - min(len(sure), 20_000), int)]), 3, 0.15)
+        train(some(sure, 20_000), np.concatenate([some(never, 10_000), hard, some(neg, 20_000)]), 0.15)
     model = numbers()
     z = highest(model, off, code, words)[0]
     return calibrated(model, z[z > WORDLESS], toxic[z > WORDLESS])
 
 
+def bound_to(off: np.ndarray, code: np.ndarray, words: int, toxic: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each window the highest z, over its words, of how many toxic documents hold the word beyond the expected number."""
+    doc, word = np.divmod(np.unique(np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(off)) * words + code), max(1, words))
+    n, held = np.bincount(word, minlength=words), np.bincount(word, weights=toxic[doc], minlength=words)
+    share = toxic.mean()
+    z = ((held - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9)))[code]
+    out = np.full(len(first), -np.inf)
+    for i in range(WINDOW):
+        at = np.flatnonzero(first + i < end)
+        out[at] = np.maximum(out[at], z[first[at] + i])
+    return out
+
+
 def coded(texts: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """words_of(texts), a few texts at a time."""
     index: dict[str, int] = {}
@@ -200,7 +222,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: dict[int, int],
     for p in parts[1:]:
         few = few.union(p)
     # at most sum(per_label) rows of two numbers: bounded, so it may be broadcast
-    met = docs.where(F.length("text") <= max_chars).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    met = docs.select("doc_id", spread(F.col("text"), max_chars, SPANS).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
     return met.groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic")
 
 

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from duskgrid.llm import language_id, toxicity
+from pyspark.sql import functions as F
+
+from duskgrid.llm import common, language_id, toxicity
 
 SYL = {"en": ["th", "in", "er", "on", "an", "re", "st"], "de": ["sch", "ung", "ein", "keit", "ü", "ber"], "fr": ["eau", "é", "tion", "ou", "ç", "ment"]}
 
@@ -123,3 +125,36 @@ def test_toxicity_odd_training(spark):
     m = toxicity.fit_on(often, twice)
     s = toxicity.scores(m, pa.array(["a good day " * 60_000, "a good day " * 60_000 + "bad moron here"], pa.large_string()))
     assert s[0] < 0.3 <= s[1]
+
+
+def test_toxicity_learns_from_a_few_hundred_rows(spark):
+    """At sf0.01 9 of the 14 held-out toxic documents hold one of the words that make the others toxic; the rest can't be told."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_on(docs.select("doc_id", "text"), labels)
+    rows = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(common.held_out(F.col("doc_id"))).toPandas()
+    assert (rows.predicted[rows.toxic == 1]).mean() >= 0.6 and (rows.predicted[rows.toxic == 0]).mean() < 0.05
+
+
+def test_classes_that_only_long_texts_show(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(160):
+        lang = list(SYL)[i % len(SYL)]
+        long = lang == list(SYL)[0]
+        words = text(rng, lang, 5000 if long else 40).split()
+        if long and i % 2 == 0:  # toxic texts are all long
+            words = [w if rng.random() < 0.9 else "moron" for w in words]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(long and i % 2 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, g in rows if g == list(SYL)[0]) > toxicity.TRAIN_CHARS
+    found = language_id.identify(df.select("doc_id", "text"), language_id.fit_on(df)).join(df.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (found.lang_pred == found.lang).mean() > 0.97
+    model = toxicity.fit_on(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(df, model).toPandas().set_index("doc_id").predicted
+    assert all(got[i] == t for i, t in labels)
+
+
+def test_spread_keeps_both_ends(spark):
+    df = spark.createDataFrame([("a" * 50 + "b" * 50,), ("short",), (None,)], "t string")
+    assert [r[0] for r in df.select(common.spread(F.col("t"), 40, 4)).collect()] == [" ".join(["a" * 10, "a" * 10, "b" * 10, "b" * 10]), "short", None]
