@@ -10,8 +10,10 @@ probes, with their list. Groups that hold more are divided into blocks by a hash
 no bucket, however full, meets in one task; each block keeps only the best k of each of its queries. Of rows with one and
 the same vector only the k + 1 smallest ids can be among anyone's k nearest, so only they are searched: that loses nothing.
 
-On vectors of 64 dimensions without structure (the hardest case) 20 tables with 192 probes compare a query with 0.23 of
-all rows and find 0.98 of the true 10 nearest, of 2,000 rows as of 10,000; where vectors cluster, buckets hold less.
+How many buckets a query probes follows from the table itself: SAMPLE queries (the first by a hash of their id) are
+answered exactly, by one pass over all rows, and the ranks of their true neighbours' buckets among those they would probe
+tell the fewest probes that find WANTED of these. How many axes a bucket has follows from the number of rows, so that a
+bucket holds a bounded number of them on average.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as query nor as
 candidate; rows with a null vec_id neither; a query meets vectors of its own length only, as there is no distance to
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from duskgrid.llm.common import fields, list_offsets, splitmix, stored
 from duskgrid.llm.words import ragged
 
-TABLES, PROBES, HASHES = 20, 192, 2
+TABLES = 20
+#: Queries of the sample, the share of their neighbours that must be found, probes that are tried, and rows of a bucket.
+SAMPLE, WANTED, TRIED, BUCKET_ROWS = 64, 0.97, (12, 24, 48, 96, 192, 288, 384, 576, 768, 1152, 1536, 2304, 3072, 4608, 6144, 8192), 64
 #: Rows and queries of a group of buckets that meet in one block.
 BLOCK, QUERY_BLOCK = 20_000, 2_000
 
@@ -91,7 +95,7 @@ def usable(rows: DataFrame, vec: str = "embedding") -> DataFrame:
     return kept.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
 
 
-def hashed(rows: DataFrame, tables: int, hashes: int, groups: int) -> DataFrame:
+def hashed(rows: DataFrame, tables: int, hashes: dict[int, int], groups: int) -> DataFrame:
     """t, d, g, b, id, v: each vector once for each table, with its bucket and the group of buckets this lies in."""
 
     def task(batches):
@@ -99,13 +103,13 @@ def hashed(rows: DataFrame, tables: int, hashes: int, groups: int) -> DataFrame:
             for d, at in _by_length(batch):
                 unit = _unit(batch.column("v").take(at))
                 for t in range(tables):
-                    code = buckets(unit, t, hashes, 1)[:, 0]
+                    code = buckets(unit, t, hashes[d], 1)[:, 0]
                     yield _rows(batch, at, t, d, [("g", _group(code, groups)), ("b", code)])
 
     return rows.mapInArrow(task, f"t int, d int, g long, b long, id long, {fields(rows, ['v'])}")
 
 
-def probing(rows: DataFrame, tables: int, hashes: int, probes: int, groups: int) -> DataFrame:
+def probing(rows: DataFrame, tables: int, hashes: dict[int, int], probes: dict[int, int], groups: int) -> DataFrame:
     """t, d, g, bs, id, v: each query once for each group of buckets that it probes, with the list of these."""
 
     def task(batches):
@@ -113,7 +117,7 @@ def probing(rows: DataFrame, tables: int, hashes: int, probes: int, groups: int)
             for d, at in _by_length(batch):
                 unit = _unit(batch.column("v").take(at))
                 for t in range(tables):
-                    code = buckets(unit, t, hashes, probes)
+                    code = buckets(unit, t, hashes[d], probes[d])
                     who, flat = np.repeat(np.arange(len(code)), code.shape[1]), code.ravel()
                     group = _group(flat, groups)
                     order = np.lexsort((flat, group, who))
@@ -131,7 +135,10 @@ def _by_length(batch: pa.RecordBatch):
 
 
 def _unit(v: pa.Array) -> np.ndarray:
-    x = matrix(v)
+    return _units(matrix(v))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small numbers stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -200,16 +207,78 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row where is_query (a condition on vec_id) among all others."""
+def axes(rows: int, d: int) -> int:
+    """Rotations whose axes make a bucket: as many as it takes for BUCKET_ROWS rows in each of the (2 d) ** axes buckets, 2 to 4."""
+    wide = 2 * (1 << max(0, d - 1).bit_length())
+    return int(np.clip(np.ceil(np.log(max(1, rows) / BUCKET_ROWS) / np.log(wide)), 2, 4))
+
+
+def exact(rows: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """query_id, vec_id, score, v: the k nearest of each batch of rows (vec_id, v, d), for queries given by vector length: (ids, vectors)."""
+
+    def task(batches):
+        for batch in batches:
+            for d, at in _by_length(batch):
+                if d not in asked:
+                    continue
+                qid, q = asked[d]
+                v, ids = batch.column("v").take(at), batch.column("vec_id").take(at)
+                found = best_of(q, qid, matrix(v), ids.to_numpy(), k)
+                place = dict(zip(ids.to_pylist(), range(len(ids)), strict=True))
+                own = v.take(pa.array([place[i] for i in found["vec_id"].to_pylist()], pa.int64()))
+                for part in found.append_column("v", own).to_batches():
+                    yield part
+
+    return rows.mapInArrow(task, f"query_id long, vec_id long, score double, {fields(rows, ['v'])}")
+
+
+def probes_wanted(single: DataFrame, queries: DataFrame, k: int, tables: int, hashes: dict[int, int]) -> dict[int, int]:
+    """By vector length the fewest probes of TRIED that find WANTED of the true neighbours of the sample (the most, if none does).
+
+    What comes to the driver is SAMPLE queries of each length and k neighbours of each.
+    """
+    first = Window.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id")
+    asked: dict[int, list] = {}
+    for r in queries.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SAMPLE).collect():
+        asked.setdefault(r["d"], []).append((r["vec_id"], np.array(r["v"], float)))
+    given = {d: (np.array([i for i, _ in x], np.int64), np.stack([v for _, v in x])) for d, x in asked.items()}
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near: dict[int, list] = {}
+    for r in exact(single, given, k).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).collect():
+        near.setdefault(r["query_id"], []).append(np.array(r["v"], float))
+    out = {}
+    for d, (ids, vectors) in given.items():
+        most = min(TRIED[-1], (2 * (1 << max(0, d - 1).bit_length())) ** hashes[d])
+        pairs = [(i, v) for i, q in enumerate(ids.tolist()) for v in near.get(q, [])]
+        if not pairs:
+            out[d] = min(TRIED[0], most)
+            continue
+        who, close = np.array([i for i, _ in pairs]), _units(np.stack([v for _, v in pairs]))
+        rank = np.full(len(pairs), most)
+        for t in range(tables):
+            probed, own = buckets(_units(vectors), t, hashes[d], most), buckets(close, t, hashes[d], 1)[:, 0]
+            hit = probed[who] == own[:, None]
+            rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), most))
+        out[d] = next((p for p in TRIED if p <= most and (rank < p).mean() >= WANTED), most)
+    return out
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row where is_query (a condition on vec_id) among all others.
+
+    probes and hashes (axes of a bucket) follow from the table unless given.
+    """
     base = stored(usable(rows, vec), "vectors")
     queries = base.where(is_query)
     same = Window.partitionBy("v").orderBy("vec_id")
     single = stored(base.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).drop("_r"), "vectors-once")
     total = single.count()
     groups = max(1, -(-total // BLOCK))
-    index = stored(hashed(single, tables, hashes, groups), "buckets", 1000)
-    probed = stored(probing(queries, tables, hashes, probes, groups), "probes", 1000)
+    lengths = {r["d"]: r["n"] for r in single.groupBy("d").agg(F.count("*").alias("n")).collect()}  # a row a length
+    many = {d: hashes or axes(n, d) for d, n in lengths.items()}
+    tried = dict.fromkeys(lengths, probes) if probes else probes_wanted(single, queries, k, tables, many)
+    index = stored(hashed(single, tables, many, groups), "buckets", 1000)
+    probed = stored(probing(queries, tables, many, tried, groups), "probes", 1000)
     keys = ["t", "d", "g"]
     sizes, asked = index.groupBy(*keys).agg(F.count("*").alias("rows")), probed.groupBy(*keys).agg(F.count("*").alias("asked"))
     # a row a group that is asked for
