@@ -325,6 +325,39 @@ def test_date_in_name(spark):
     assert math.isfinite(1.0)
 
 
+@pytest.mark.parametrize("cell", [0.25, 1.0, 7.0])
+def test_cells_equal_rays(spark, cell):
+    """Random, grid-aligned and star-shaped areas, with points on grid lines and corners, against rays over all sides."""
+    rng = np.random.default_rng(int(cell * 8))
+    rings = {}
+    for k in range(12):
+        n = int(rng.integers(3, 9))
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        r = rng.uniform(0.3, 3, n)
+        ring = np.column_stack([r * np.cos(turn), r * np.sin(turn)]) + rng.uniform(-3, 3, 2)
+        rings[f"a{k:02d}"] = [np.round(ring * 4) / 4 if k % 2 else ring]
+    rings["b"] = [np.array([[-2.0, -2], [2, -2], [2, 2], [-2, 2]]), np.array([[-1.0, -1], [-1, 1], [1, 1], [1, -1]])]  # with a hole
+    sides = [(a, *map(float, (*p, *q))) for a, parts in rings.items() for ring in parts for p, q in zip(ring, np.roll(ring, -1, axis=0))]
+    pts = np.concatenate([rng.uniform(-6, 6, (400, 2)), rng.integers(-20, 21, (300, 2)) / 4, np.column_stack([rng.integers(-20, 21, 100) / 4, rng.uniform(-6, 6, 100)])])
+    want = {}
+    for i, (x, y) in enumerate(pts.tolist()):
+        found = [a for a in rings if sum(min(s[2], s[4]) <= y < max(s[2], s[4]) and x < s[1] + (y - s[2]) / (s[4] - s[2]) * (s[3] - s[1]) for s in sides if s[0] == a and s[2] != s[4]) % 2]
+        want[i] = min(found, default=None)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "entity int, x double, y double")
+    edges = spark.createDataFrame(sides, "area string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.entity: r.area for r in spatial.assign_area(df, edges, cell).collect()}
+    assert got == want
+
+
+def test_cells_know_their_own_areas_only(spark):
+    """However many areas there are, a point meets those of its cell."""
+    sq = lambda k: [(f"a{k}", k, 0.0, k + 1.0, 0.0), (f"a{k}", k + 1.0, 0.0, k + 1.0, 1.0), (f"a{k}", k + 1.0, 1.0, k, 1.0), (f"a{k}", k, 1.0, k, 0.0)]
+    edges = spark.createDataFrame([s for k in range(300) for s in sq(float(k))], "area string, x1 double, y1 double, x2 double, y2 double")
+    index = spatial.area_index(edges, 0.25)
+    assert index.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 2
+    assert index.where("sides is null").count() > 0
+
+
 def test_block_bootstrap_agrees_with_random_starts(spark):
     import numpy as np
 
