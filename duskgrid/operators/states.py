@@ -18,12 +18,12 @@ def lit_dark(df: DataFrame, lit_at: float, dark_below: float) -> DataFrame:
     return df.withColumns({"lit_day": flag(F.col("p") >= lit_at), "dark_day": flag(F.col("p") < dark_below), "observed": F.col("p").isNotNull().cast("int")})
 
 
-def rolling_forward(df: DataFrame, n: int, least_obs: int, least_lit: int) -> DataFrame:
+def rolling_forward(df: DataFrame, n: int, least_obs: int, least_lit: int, keys: list[str] | None = None) -> DataFrame:
     """n_lit, n_obs over the n calendar rows from each one on, null where fewer remain, and electrified (null if unsure).
 
-    df must be dense: rows are days.
+    df must be dense: rows are days of the entity, or of other keys.
     """
-    ahead = by_date().rowsBetween(0, n - 1)
+    ahead = (Window.partitionBy(*keys).orderBy("date") if keys else by_date()).rowsBetween(0, n - 1)
     full = F.count(F.lit(1)).over(ahead) == n
     df = df.withColumns({"n_lit": F.when(full, F.sum(F.coalesce("lit_day", F.lit(0))).over(ahead)), "n_obs": F.when(full, F.sum("observed").over(ahead))})
     return df.withColumn("electrified", F.when(F.col("n_obs") >= least_obs, flag(F.col("n_lit") >= least_lit)))

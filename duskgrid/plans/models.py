@@ -298,6 +298,42 @@ def catalog():
     c["spa3_area_totals"] = (pt, lambda v: A.area_totals(v("v_points").withColumn("w", F.col("entity") % 10 + F.lit(0.5)), boxes(v), 0.1, "w"), f"SELECT {BOX} AS area, N(COUNT(*)) AS n, R(SUM(entity % 10 + 0.5)) AS total FROM v_points GROUP BY 1")
     c["src2_pruned"] = (["v_panel"], lambda v: v("v_panel").select("entity", "p").groupBy("entity").agg(F.max("p").alias("p")), "SELECT entity, R(MAX(p)) AS p FROM v_panel GROUP BY 1")
     c["src3_hourly_text"] = (["v_schedule"], lambda v: io.hourly_exposure(v("v_schedule").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("ts"), "minutes"), "ts").groupBy("date", "hour").agg(F.sum("minutes").alias("m")), "SELECT CAST(start AS DATE) AS date, I(HOUR(start)) AS hour, R(SUM(minutes)) AS m FROM v_schedule GROUP BY 1, 2")
+    def hourly_file(v):
+        """Interruptions written as CSV with texts for clocks, some of which can't be read, and amounts, some of which are no numbers."""
+        raw = v("v_schedule").select(F.when(F.col("event_id") % 97 == 0, F.lit("at noon")).otherwise(F.date_format("start", "yyyy-MM-dd HH:mm")).alias("ts"), F.when(F.col("event_id") % 89 == 0, F.lit("n/a")).otherwise(F.col("minutes").cast("string")).alias("minutes"))
+        rows = io.scan_hourly(raw.sparkSession, io.write_table(raw, io.shared_path(raw.sparkSession, "hourly")), "ts", "ts string, minutes double")
+        return rows.groupBy("date", "hour").agg(F.sum("minutes").alias("m"), F.count("*").alias("n"), F.count("refused").alias("n_refused"))
+
+    def entity_file(v):
+        """Settlements written as CSV with WKT points and quoted names, one in nine without a point."""
+        point = F.concat(F.lit("POINT ("), (F.col("demand") / 1000).cast("string"), F.lit(" "), (F.col("entity") / 8).cast("string"), F.lit(")"))
+        raw = v("v_entities").select(F.col("entity").alias("code"), F.concat("area", F.lit(', "'), "region", F.lit('"')).alias("name"), F.when(F.col("entity") % 9 == 0, F.lit("POINT EMPTY")).otherwise(point).alias("wkt"))
+        path = io.shared_path(raw.sparkSession, "settlements")
+        raw.write.option("escape", '"').csv(path, header=True)
+        rows = io.scan_entities(raw.sparkSession, path, "code long, name string, wkt string")
+        return io.load_entities(rows, ["name", "code"], ["code", "name", "x", "y", "refused"], {"name": "label"})
+
+    def exclusion_file(v):
+        """Dates and classes written as a text list with notes, blank lines and dates that can't be read."""
+        day = F.date_format("date", "yyyy-MM-dd")
+        line = F.when(F.dayofmonth("date") == 13, F.concat(day, F.lit("?? obvious"))).when(F.dayofmonth("date") == 14, F.concat(F.lit("# "), day)).when(F.dayofmonth("date") == 15, F.lit("  ")).when(F.col("mlr") > 0, F.concat(day, F.lit(", Obvious"))).otherwise(F.concat(day, F.lit(" maybe")))
+        raw = v("v_exposure").select(line.alias("value"))
+        path = io.shared_path(raw.sparkSession, "exclusions")
+        raw.write.text(path)
+        rows = io.scan_exclusions(raw.sparkSession, path)
+        return rows.groupBy(F.trunc("date", "year").alias("year"), "kind").agg(F.count("*").alias("n"), F.count("refused").alias("n_refused"), F.max("date").alias("last"))
+
+    def scene_files(v):
+        """The panel written as a folder of files a month whose name holds the month's first day."""
+        raw = v("v_panel").withColumn("scene", F.concat(F.when(F.month("date") == 2, F.lit("tile")).otherwise(F.lit("VJ_h20v11_")), F.when(F.month("date") == 2, F.lit("")).otherwise(F.date_format(F.trunc("date", "month"), "yyyy_MM_dd"))))
+        path = io.shared_path(raw.sparkSession, "scenes")
+        raw.select("scene", "entity", "p").write.partitionBy("scene").parquet(path)
+        return io.scan_scenes(raw.sparkSession, path).groupBy("date").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+
+    c["src3_hourly_file"] = (["v_schedule"], hourly_file, "SELECT CASE WHEN event_id % 97 <> 0 THEN CAST(start AS DATE) END AS date, I(CASE WHEN event_id % 97 <> 0 THEN HOUR(start) END) AS hour, R(SUM(CASE WHEN event_id % 89 <> 0 THEN minutes END)) AS m, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE event_id % 97 = 0 OR event_id % 89 = 0)) AS n_refused FROM v_schedule GROUP BY 1, 2")
+    c["src4_entity_file"] = (["v_entities"], entity_file, "SELECT N(ROW_NUMBER() OVER (ORDER BY area || ', \"' || region || '\"', entity)) AS entity, N(entity) AS code, area || ', \"' || region || '\"' AS label, R(CASE WHEN entity % 9 <> 0 THEN demand / 1000 END) AS x, R(CASE WHEN entity % 9 <> 0 THEN entity / 8 END) AS y, CASE WHEN entity % 9 = 0 THEN 'POINT EMPTY' END AS refused FROM v_entities")
+    c["src7_exclusion_file"] = (["v_exposure"], exclusion_file, "SELECT CAST(DATE_TRUNC('year', date) AS DATE) AS year, kind, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE bad)) AS n_refused, MAX(date) AS last FROM (SELECT CASE WHEN DAY(date) <> 13 THEN date END AS date, DAY(date) = 13 AS bad, CASE WHEN DAY(date) = 13 OR mlr > 0 THEN 'obvious' ELSE 'maybe' END AS kind FROM v_exposure WHERE DAY(date) NOT IN (14, 15)) q GROUP BY 1, 2")
+    c["src8_scene_files"] = (["v_panel"], scene_files, "SELECT CASE WHEN MONTH(date) <> 2 AND YEAR(date) >= 2000 THEN CAST(DATE_TRUNC('month', date) AS DATE) END AS date, N(COUNT(*)) AS n, R(SUM(p)) AS p FROM v_panel GROUP BY 1")
     c["src4_load_entities"] = (["v_entities"], lambda v: io.load_entities(v("v_entities").select(F.col("entity").alias("code"), "area", "demand"), ["area", "code"], ["code", "demand"], {"demand": "load"}), "SELECT N(ROW_NUMBER() OVER (ORDER BY area, entity)) AS entity, entity AS code, R(demand) AS load FROM v_entities")
 
     def register(v):

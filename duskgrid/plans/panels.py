@@ -200,6 +200,19 @@ def catalog():
         io.state_cache(spark, folder, STATE, lambda: states(v))
         return R.entity_metrics(io.state_cache(spark, folder, STATE, lambda: states(v), "metrics_only").where("after_doe = 1"), "month")
 
+    def by_month(v):
+        """States kept by month: made without the last month and with another one changed, then brought up to date."""
+        whole = pan(v).select("entity", "date", "p", "coverage")
+        spark = whole.sparkSession
+        path, folder = io.shared_path(spark, "panel"), io.shared_path(spark, "states")
+        month, last = F.date_format("date", "yyyy-MM"), whole.agg(F.date_format(F.max("date"), "yyyy-MM")).first()[0]
+        halved = F.when(month == "1996-05", F.col("p") / 2).otherwise(F.col("p"))
+        io.write_panel(whole.where(month != last).withColumn("p", halved), path)
+        io.monthly_states(spark, path, folder, **STATE)
+        io.write_panel(whole.where(month.isin(last, "1996-05")), path)
+        return io.monthly_states(spark, path, folder, **STATE)[0].select("entity", "date", "n_lit", "n_obs", "electrified", "doe", "after_doe")
+
+    c["snk3_monthly_states"] = (st, by_month, f", {STATES} SELECT entity, date, N(n_lit) AS n_lit, N(n_obs) AS n_obs, I(electrified) AS electrified, doe, I(after_doe) AS after_doe FROM states")
     c["src1_month_range"] = (st, month_range, "SELECT entity, date, STRFTIME(date, '%Y-%m') AS month FROM v_panel WHERE STRFTIME(date, '%Y-%m') BETWEEN '1996-03' AND '1996-07'")
     c["snk1_write_panel"] = (st, rewritten, "SELECT STRFTIME(date, '%Y-%m') AS month, N(COUNT(*)) AS n, R(SUM(p) / CASE WHEN STRFTIME(date, '%Y-%m') = '1996-05' THEN 2 ELSE 1 END) AS p FROM v_panel GROUP BY 1")
     c["snk2_write_table"] = (st, table, "SELECT entity, N(COUNT(*)) AS n, MAX(date) AS last, R(MIN(CASE WHEN p > 0 THEN p END)) AS p FROM v_panel GROUP BY 1")

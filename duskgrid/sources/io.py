@@ -51,6 +51,50 @@ def write_table(df: DataFrame, path: str) -> str:
     return path
 
 
+def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with a header by a declared schema, file (a file's name) and refused: the text of a line that doesn't fit it, else null.
+
+    Fields of a refused line that can be read are there, the others are null.
+    """
+    raw = spark.read.schema(f"{schema}, _refused string").option("columnNameOfCorruptRecord", "_refused").option("mode", "PERMISSIVE").option("escape", '"').csv(path, header=True)
+    return raw.select(*[c for c in raw.columns if c != "_refused"], F.col("_metadata.file_name").alias("file"), F.col("_refused").alias("refused"))
+
+
+def scan_hourly(spark: SparkSession, path: str, ts: str, schema: str) -> DataFrame:
+    """hourly_exposure of CSV files. A line whose clock can't be read is refused too; only refused lines lack date or hour."""
+    raw = scan_csv(spark, path, schema)
+    rows = hourly_exposure(raw.withColumn("_text", F.col(ts)), "_text")
+    bad = F.col("date").isNull() | F.col("hour").isNull() | ~F.col("hour").between(0, 23)
+    return rows.withColumn("refused", F.coalesce("refused", F.when(F.coalesce(bad, F.lit(True)), F.coalesce(ts, F.lit("")))))
+
+
+def scan_entities(spark: SparkSession, path: str, schema: str, wkt: str = "wkt") -> DataFrame:
+    """CSV of settlements with a WKT point, its x and y as numbers; a line without a point that can be read is refused."""
+    raw = scan_csv(spark, path, schema)
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    pattern = rf"^\s*POINT\s*\(\s*{number}\s+{number}\s*\)\s*$"
+    at = [F.regexp_extract(F.coalesce(wkt, F.lit("")), pattern, i).try_cast("double") for i in (1, 2)]
+    rows = raw.withColumns({"x": at[0], "y": at[1]})
+    return rows.withColumn("refused", F.coalesce("refused", F.when(F.col("x").isNull() | F.col("y").isNull(), F.coalesce(wkt, F.lit("")))))
+
+
+def scan_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """date, kind, refused of text files with a date and a class a line; blank lines and lines that begin with # are left out."""
+    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+    parts = F.split(F.trim("value"), r"[\s,;]+")
+    rows = lines.select(F.try_to_timestamp(F.try_element_at(parts, F.lit(1)), F.lit("yyyy-MM-dd")).cast("date").alias("date"), F.lower(F.try_element_at(parts, F.lit(2))).alias("kind"), "value")
+    fine = F.col("date").isNotNull() & F.coalesce(F.col("kind").isin("obvious", "maybe"), F.lit(False))
+    return rows.select("date", "kind", F.when(~fine, F.col("value")).alias("refused"))
+
+
+def scan_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files of scenes at any depth, with scene (the name that tells it) and date, the date in the name; null where there is none."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    place = F.col("_metadata.file_path")
+    name = F.regexp_extract(place, r"([^/]+)/[^/]+$", 1)
+    return rows.withColumns({"scene": name, "date": date_in_name(name)})
+
+
 def hourly_exposure(raw: DataFrame, ts: str) -> DataFrame:
     """date and hour from a local-clock timestamp that is kept as text, so that no zone can shift it.
 
@@ -139,3 +183,85 @@ def state_cache(spark: SparkSession, folder: str, parameters: dict, build, mode:
     if mode == "full" or not there:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def month_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """Of each month of a panel a fingerprint of its files: names, sizes and times of change. Only the file system is asked."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = {}
+    for folder in fs.listStatus(top):
+        name = folder.getPath().getName()
+        if name.startswith("month="):
+            files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder.getPath()) if not f.getPath().getName().startswith(("_", ".")))
+            out[name.removeprefix("month=")] = hashlib.sha256(json.dumps(files).encode()).hexdigest()[:24]
+    return out
+
+
+def monthly_states(spark: SparkSession, panel: str, folder: str, n: int = 30, lit_at: float = 0.4, dark_below: float = 0.05, least_obs: int = 8, least_lit: int = 15) -> tuple[DataFrame, list[str]]:
+    """Daily states of a panel by month (operators.states.daily_states of its dense form), kept in folder month by month.
+
+    A month's rolling sums look n - 1 days ahead, so it is made of its own files and of those of the months that these days
+    reach (the halo). It is made anew when one of these files or a rule has changed, when the panel's first or last day has
+    and lies within its reach, and when the entities have, as each has rows in all months. Of each month also its entities,
+    their first and last days and their first triggers are kept; the first of these over the months is doe, so no earlier
+    month is read again. All months to be made go in one job. What is kept is listed in a manifest that is written last:
+    a run that fails leaves the one before in force. Returns the states and the months that were made.
+    """
+    from pyspark.sql import Window
+
+    from duskgrid.operators import states as S
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(conf)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(top)) if fs.exists(top) else []
+    ready = [x for x in names if x.startswith("manifest-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
+    kept = json.loads(spark.read.option("wholetext", "true").text(f"{folder}/{ready[-1]}").first()[0]) if ready else {"facts": {}, "states": {}}
+    files = month_files(spark, panel)
+    months = sorted(files)
+    if not months:
+        raise MissingMonths(f"no months in {panel}")
+    run = f"{folder}/run-{uuid.uuid4().hex}"
+
+    def read(parts: list[str]) -> DataFrame:
+        return spark.read.option("basePath", panel).parquet(*[f"{panel}/month={m}" for m in parts])
+
+    fresh = [m for m in months if kept["facts"].get(m, [""])[0] != files[m]]
+    if fresh:
+        by_month = F.date_format("date", "yyyy-MM").alias("month")
+        read(fresh).groupBy("entity", by_month).agg(F.min("date").alias("first"), F.max("date").alias("last")).write.partitionBy("month").parquet(f"{run}/facts")
+    facts = {m: [files[m], f"{run}/facts/month={m}"] if m in fresh else kept["facts"][m] for m in months}
+    known = spark.read.parquet(*[path for _, path in facts.values()])
+    start, end = known.agg(F.min("first"), F.max("last")).first()
+    entities = known.select("entity").distinct()
+    crowd = entities.agg(F.count("*"), F.bit_xor(F.xxhash64("entity"))).first()
+    ahead = {r["m"]: r["last"] for r in spark.createDataFrame([(m,) for m in months], "m string").select("m", F.date_add(F.last_day(F.to_date(F.concat("m", F.lit("-01")))), n - 1).alias("last")).collect()}  # a row a month
+    rules = [n, lit_at, dark_below, least_obs, least_lit]
+
+    def mark(m: str) -> str:
+        near = [x for x in months if m <= x <= str(ahead[m])[:7]]
+        told = [rules, [[x, files[x]] for x in near], list(crowd), str(start) if str(start)[:7] == m else "", str(end) if ahead[m] >= end else ""]
+        return hashlib.sha256(json.dumps(told).encode()).hexdigest()[:24]
+
+    marks = {m: mark(m) for m in months}
+    made = [m for m in months if kept["states"].get(m, [""])[0] != marks[m]]
+    if made:
+        near = [x for x in months if any(m <= x <= str(ahead[m])[:7] for m in made)]
+        spans = spark.createDataFrame([(m, ahead[m]) for m in made], "month string, last date")
+        begin = F.greatest(F.to_date(F.concat("month", F.lit("-01"))), F.lit(start))
+        days = spans.select("month", F.explode(F.sequence(begin, F.least("last", F.lit(end)))).alias("date"))
+        grid = entities.crossJoin(F.broadcast(days))  # a month and its halo a month: bounded by the calendar
+        dense = grid.join(read(near).select("entity", "date", "p", "coverage"), ["entity", "date"], "left")
+        own = S.rolling_forward(S.lit_dark(dense, lit_at, dark_below), n, least_obs, least_lit, ["entity", "month"]).where(F.date_format("date", "yyyy-MM") == F.col("month"))
+        first = F.min(F.when(F.col("electrified") == 1, F.col("date"))).over(Window.partitionBy("entity", "month"))
+        own.withColumn("first_in_month", first).write.partitionBy("month").parquet(f"{run}/states")
+    states = {m: [marks[m], f"{run}/states/month={m}"] if m in made else kept["states"][m] for m in months}
+    if made or fresh or set(kept["states"]) != set(months):
+        following = int(ready[-1].rsplit("-", 1)[1]) + 1 if ready else 1
+        spark.createDataFrame([(json.dumps({"facts": facts, "states": states}),)], "value string").coalesce(1).write.text(f"{folder}/manifest-{following:08d}")
+    parts = spark.read.parquet(*[path for _, path in states.values()])
+    does = parts.groupBy("entity").agg(F.min("first_in_month").alias("doe"))
+    out = parts.drop("first_in_month").join(does, "entity")
+    return out.withColumn("after_doe", F.when(F.col("date") >= F.col("doe"), 1).otherwise(0)), made

@@ -441,3 +441,66 @@ def test_bootstrap_error_is_that_of_random_draws(spark):
         i = (rng.integers(n, size=n // 14)[:, None] + np.arange(14)).ravel() % n
         slopes.append(np.polyfit(x[i], y[i], 1)[0])
     assert 0.9 < s.se / np.std(slopes) < 1.1 and s.p_value == 2 / 1001
+
+
+def panel_rows(spark, months, scale=1.0, entities=4):
+    rows = [(e, d, None if (e + i) % 5 == 0 else scale * ((i * (e + 3)) % 7) / 6, 1.0) for e in range(entities) for i in range(400) if (d := DAY(i)).strftime("%Y-%m") in months and (e * 7 + i) % 6]
+    return spark.createDataFrame(rows, "entity long, date date, p double, coverage double")
+
+
+def test_states_by_month_follow_their_files(spark, tmp_path):
+    import os
+
+    path, folder, rule = f"file://{tmp_path}/panel", f"file://{tmp_path}/states", {"n": 10, "least_obs": 4, "least_lit": 2}
+    all_months = [f"2023-{m:02d}" for m in range(1, 9)]
+
+    def same():
+        got, made = io.monthly_states(spark, path, folder, **rule)
+        cols = ["entity", "date", "n_lit", "n_obs", "electrified", "doe", "after_doe"]
+        whole = states.daily_states(panel.dense(spark.read.parquet(path).select("entity", "date", "p", "coverage")), **rule)
+        rows = lambda df: sorted(map(tuple, df.select(*cols).collect()), key=str)
+        assert rows(got) == rows(whole)
+        return made
+
+    io.write_panel(panel_rows(spark, all_months[:6]), path)
+    assert same() == all_months[:6]
+    assert same() == []
+    io.write_panel(panel_rows(spark, all_months[6:7]), path)
+    assert same() == ["2023-06", "2023-07"]  # June's last days look into July
+    io.write_panel(panel_rows(spark, ["2023-03"], 0.1), path)
+    assert same() == ["2023-02", "2023-03"]
+    # files of months out of reach are not read: here they hold rubbish of the same size and time
+    saved = {}
+    for m in all_months[:5]:
+        for name in os.listdir(tmp_path / "panel" / f"month={m}"):
+            f = tmp_path / "panel" / f"month={m}" / name
+            at = f.stat()
+            saved[f] = f.read_bytes(), at
+            f.write_bytes(b"x" * at.st_size)
+            os.utime(f, ns=(at.st_atime_ns, at.st_mtime_ns))
+    io.write_panel(panel_rows(spark, all_months[7:8]), path)
+    got, made = io.monthly_states(spark, path, folder, **rule)
+    assert made == ["2023-07", "2023-08"] and got.count() > 0
+    for f, (data, at) in saved.items():
+        f.write_bytes(data)
+        os.utime(f, ns=(at.st_atime_ns, at.st_mtime_ns))
+    assert same() == []
+    io.write_panel(panel_rows(spark, ["2023-08"], entities=6), path)  # new entities have rows in every month
+    assert same() == all_months
+    rule["least_lit"] = 3
+    assert same() == all_months
+
+
+def test_file_scans_tell_what_they_refuse(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.csv").write_text("ts,mw\n2023-01-01 05:10,1.5\n2023-01-01 25:10,2\nnoon,3\n2023-01-02 00:00,x\n,4\n")
+    rows = {r.mw: r for r in io.scan_hourly(spark, f"file://{tmp_path}/h", "ts", "ts string, mw double").collect()}
+    assert (rows[1.5].date, rows[1.5].hour, rows[1.5].refused, rows[1.5].file) == (D(2023, 1, 1), 5, None, "a.csv")
+    assert rows[2.0].refused == "2023-01-01 25:10" and rows[3.0].refused == "noon" and rows[None].refused == "2023-01-02 00:00,x" and rows[4.0].refused == ""
+    (tmp_path / "s.csv").write_text('code,wkt,name\n1,"POINT (1.5 -2e1)","a, ""b"""\n2,LINESTRING (0 0),c\nx,POINT(1 2),d\n')
+    got = io.scan_entities(spark, f"file://{tmp_path}/s.csv", "code long, wkt string, name string").orderBy("name").collect()
+    assert [(r.code, r.x, r.y, r.name, r.refused) for r in got] == [(1, 1.5, -20.0, 'a, "b"', None), (2, None, None, "c", "LINESTRING (0 0)"), (None, 1.0, 2.0, "d", "x,POINT(1 2),d")]
+    (tmp_path / "x.txt").write_text("# note\n\n2023-01-05; Obvious\n2023-02-30 maybe\n2023-01-06 perhaps\n2023-01-07\n")
+    got = io.scan_exclusions(spark, f"file://{tmp_path}/x.txt").collect()
+    assert sorted(((str(r.date), r.kind, r.refused) for r in got), key=str) == [("2023-01-05", "obvious", None), ("2023-01-06", "perhaps", "2023-01-06 perhaps"), ("2023-01-07", None, "2023-01-07"), ("None", "maybe", "2023-02-30 maybe")]
+    assert [r.refused is None for r in sorted(got, key=lambda r: str(r.kind))].count(True) == 1
