@@ -65,7 +65,7 @@ def catalog():
     c["zon9_month_rollup"] = (["v_panel"], lambda v: X.month_rollup(v("v_panel")), "SELECT entity, CAST(DATE_TRUNC('month', date) AS DATE) AS month, N(COUNT(*)) AS n_days, R(AVG(p)) AS mean_p, R(STDDEV_SAMP(p)) AS sd_p, R(AVG(CAST(p < 0.2 AS INTEGER))) AS drop_frac, R(AVG(coverage)) AS mean_coverage FROM v_panel GROUP BY 1, 2")
     c["bas1_quantiles"] = (px, lambda v: baseline(v).select("cell_id", "q_lower", "q_upper", "iqr", "n_valid_days"), f", {BASE} SELECT cell_id, R(q_lower) AS q_lower, R(q_upper) AS q_upper, R(iqr) AS iqr, N(n_valid_days) AS n_valid_days FROM bl")
     c["bas2_modes"] = (px, lambda v: baseline(v, mode="absolute", upper="quantile", absolute=1.0).select("cell_id", "lower_threshold", "upper_threshold").union(baseline(v, upper="none").select("cell_id", "lower_threshold", "upper_threshold")), f", {BASE} SELECT cell_id, R(1.0) AS lower_threshold, R(q_upper) AS upper_threshold FROM bl UNION ALL SELECT cell_id, R(lower_threshold), NULL FROM bl")
-    c["bas3_baseline_ok"] = (px, lambda v: baseline(v).select("cell_id", "baseline_ok"), f", {BASE} SELECT cell_id, I(n_valid_days >= 8 AND upper_threshold > lower_threshold) AS baseline_ok FROM bl")
+    c["bas3_baseline_ok"] = (px, lambda v: X.pixel_baseline(v("v_pixels"), 0.25, 0.75, 30, k=0.2).select("cell_id", "baseline_ok"), f", {BASE} SELECT cell_id, I(n_valid_days >= 30 AND upper_threshold > lower_threshold) AS baseline_ok FROM bl")
     c["bas4_daily_state"] = (px, lambda v: state(v).select("cell_id", "date", "observed", "dark", "bright_excluded", "rad_observed"), f", {BASE}, {STATE} SELECT cell_id, date, I(observed) AS observed, I(dark) AS dark, I(bright_excluded) AS bright_excluded, R(rad_observed) AS rad_observed FROM st")
     c["bas5_daily_signal"] = (px, lambda v: X.daily_signal(state(v)), f", {BASE}, {STATE} SELECT date, N(SUM(observed)) AS n_observed, N(SUM(dark)) AS n_dark, N(SUM(bright_excluded)) AS n_bright, R(CASE WHEN SUM(observed) > 0 THEN SUM(dark) / SUM(observed) END) AS dark_share, R(SUM(bright_excluded) / (SUM(observed) + SUM(bright_excluded))) AS bright_share FROM st GROUP BY 1")
     return c

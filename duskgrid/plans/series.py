@@ -157,8 +157,8 @@ def catalog():
     rob = lambda v: N.robust_z(quality(v).withColumn("month", F.trunc("date", "month")), "valid_share", ["month"])
     c["qa2_robust_z"] = (pa, lambda v: rob(v).select("date", F.col("z_valid_share").alias("z")), f", {MASKED}, {DAYQ}, {ROB} SELECT date, R(z) AS z FROM rz")
     c["qa3_composite"] = (pa, lambda v: N.composite(rob(v), ["z_valid_share", "excess_lit"]).select("date", "score", "tier"), f", {MASKED}, {DAYQ}, {ROB}, sc AS (SELECT date, CASE WHEN z IS NULL AND excess_lit IS NULL THEN NULL ELSE GREATEST(ABS(z), ABS(excess_lit)) END AS score FROM rz), q AS (SELECT QUANTILE_CONT(score, 0.9) AS a, QUANTILE_CONT(score, 0.95) AS b FROM sc) SELECT date, R(score) AS score, CASE WHEN score >= b THEN 'suspect' WHEN score >= a THEN 'review' ELSE 'ok' END AS tier FROM sc, q")
-    c["qa4_reasons"] = (pa, lambda v: N.reasons(quality(v), {"few_valid": F.col("valid_share") < 0.02, "excess_lit": F.col("excess_lit") > 0.5}).select("date", "reasons"), f", {MASKED}, {DAYQ} SELECT date, COALESCE(NULLIF(CONCAT_WS(';', CASE WHEN valid_share < 0.02 THEN 'few_valid' END, CASE WHEN excess_lit > 0.5 THEN 'excess_lit' END), ''), 'none') AS reasons FROM qd")
-    c["qa5_retained"] = ([*pa, "v_exposure"], lambda v: N.retained(quality(v), {"all": F.lit(True), "seen": F.col("valid_share") > 0}, v("v_exposure").where("mlr > 0")), f", {MASKED}, {DAYQ}, s AS (SELECT 'all' AS scenario, date FROM qd UNION ALL SELECT 'seen', date FROM qd WHERE valid_share > 0), g AS (SELECT scenario, DATE_TRUNC('month', s.date) AS mo, COUNT(*) AS n, COUNT(x.date) AS m FROM s LEFT JOIN v_exposure x ON x.date = s.date AND mlr > 0 GROUP BY 1, 2) SELECT scenario, N(SUM(n)) AS n_days, N(SUM(m)) AS n_matched, N(MIN(n)) AS min_month, I(MIN(n) < 10) AS warn FROM g GROUP BY 1")
+    c["qa4_reasons"] = (pa, lambda v: N.reasons(quality(v), {"few_valid": F.col("valid_share") < 0.3, "excess_lit": F.col("excess_lit") > 0.2}).select("date", "reasons"), f", {MASKED}, {DAYQ} SELECT date, COALESCE(NULLIF(CONCAT_WS(';', CASE WHEN valid_share < 0.3 THEN 'few_valid' END, CASE WHEN excess_lit > 0.2 THEN 'excess_lit' END), ''), 'none') AS reasons FROM qd")
+    c["qa5_retained"] = ([*pa, "v_exposure"], lambda v: N.retained(quality(v), {"all": F.lit(True), "seen": F.col("valid_share") > 0.45}, v("v_exposure").where("mlr > 0")), f", {MASKED}, {DAYQ}, s AS (SELECT 'all' AS scenario, date FROM qd UNION ALL SELECT 'seen', date FROM qd WHERE valid_share > 0.45), g AS (SELECT scenario, DATE_TRUNC('month', s.date) AS mo, COUNT(*) AS n, COUNT(x.date) AS m FROM s LEFT JOIN v_exposure x ON x.date = s.date AND mlr > 0 GROUP BY 1, 2) SELECT scenario, N(SUM(n)) AS n_days, N(SUM(m)) AS n_matched, N(MIN(n)) AS min_month, I(MIN(n) < 10) AS warn FROM g GROUP BY 1")
     c["qa6_missing_dates"] = (["v_exposure"], lambda v: N.missing_dates(v("v_exposure").where("mlr > 0")), ", k AS (SELECT date FROM v_exposure WHERE mlr > 0) SELECT CAST(d AS DATE) AS date FROM (SELECT UNNEST(GENERATE_SERIES((SELECT MIN(date) FROM k), (SELECT MAX(date) FROM k), INTERVAL 1 DAY)) AS d) x WHERE CAST(d AS DATE) NOT IN (SELECT date FROM k)")
     c["qa7_tukey"] = (["v_exposure"], lambda v: N.tukey_flags(v("v_exposure").withColumn("month", F.trunc("date", "month")), "mlr", [0.0, 0.5, 1.5], ["month"]), ", q AS (SELECT DATE_TRUNC('month', date) AS mo, QUANTILE_CONT(mlr, 0.25) AS a, QUANTILE_CONT(mlr, 0.75) AS b FROM v_exposure GROUP BY 1) SELECT R(k) AS k, date, I(mlr > b + k * (b - a)) AS remove FROM v_exposure JOIN q ON mo = DATE_TRUNC('month', date), (SELECT UNNEST([0.0, 0.5, 1.5]) AS k) z")
     c["qa8_methods"] = (

@@ -27,7 +27,7 @@ VIEWS = {
         CAST(CASE WHEN h % 31 = 6 THEN 1 WHEN h % 37 <> 9 THEN 0 END AS INTEGER) AS snow
         FROM (SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS date, AVG(l_extendedprice) / 9973 AS rad,
           (CAST(l_partkey AS BIGINT) * 7919 + DAYOFYEAR(CAST(l_shipdate AS DATE)) * 104729 + YEAR(CAST(l_shipdate AS DATE)) * 6607) % 10007 AS h FROM lineitem GROUP BY 1, 2, 4) x""",
-    "v_annual": """SELECT l_partkey AS cell_id, AVG(l_extendedprice) / 9973 AS rad, CAST(l_partkey % 4 AS INTEGER) AS quality FROM lineitem GROUP BY 1, 3""",
+    "v_annual": """SELECT l_partkey AS cell_id, AVG(l_extendedprice) * (2 + l_partkey % 7) / 5 / 9973 AS rad, CAST(l_partkey % 4 AS INTEGER) AS quality FROM lineitem GROUP BY l_partkey""",
     "v_weights": """SELECT DISTINCT l_suppkey AS entity, l_partkey AS cell_id, (1 + (l_suppkey + l_partkey) % 10) / 10.0 AS coverage_fraction,
         CAST(200000 + l_partkey AS DOUBLE) AS cell_area_m2, (l_suppkey + l_partkey) % 10 >= 4 AS is_centre FROM lineitem""",
     "v_schedule": """SELECT event_id, event_type AS circuit, ts AS start, value AS minutes FROM events""",

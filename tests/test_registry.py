@@ -75,3 +75,16 @@ def test_whole_tables(spark):
     assert sorted(r.shift for r in run("res3_circular_shifts").collect()) == list(range(1, n)) and n > 366
     kept = run("cal9_compare_keeps").agg({"n": "sum"}).first()[0]
     assert kept == view(spark, SF, "v_panel").join(view(spark, SF, "v_entities"), "entity").select("entity").distinct().count()
+
+
+#: Columns that are the same in every row by what they mean: bits that a value table counts, both scenarios' warning.
+ALIKE = {"qa5_retained": {"warn"}}
+PATH = [n for n in registry.queries() if n.startswith(("pix", "zon", "bas", "qa1", "qa2", "qa3", "qa4", "qa5"))]
+
+
+@pytest.mark.parametrize("name", PATH)
+def test_no_column_is_constant(spark, name):
+    """The way from pixels to daily quality runs over data in which every flag has both outcomes."""
+    rows = registry.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(rows) > 1
+    assert {c for c in rows.columns if rows[c].nunique(dropna=True) < 2} - ALIKE.get(name, set()) == set()
