@@ -15,6 +15,7 @@ repeated rows and null doc_ids are kept; an empty table gives an empty result; o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -180,21 +181,32 @@ if not all(any(w in s.lower() for w in WORDS) for s in SENTENCES.values()):
     raise AssertionError("a sentence holds none of WORDS")
 
 
+def paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of what lies between runs of white space with two line feeds or more; each such run is read once."""
+    start = 0
+    for m in re.finditer(r"\s+", text):
+        if m[0].count("\n") > 1:
+            if m.start() > start:
+                yield start, text[start : m.start()]
+            start = m.end()
+    if start < len(text):
+        yield start, text[start:]
+
+
 def sentences(text: str) -> list[tuple[int, str]]:
     """Start and normal form of every sentence, of lines and of paragraphs; a sentence found both ways is there once."""
     found = {}
-    for parts in (re.finditer(r"[^\n]+", text), re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", text)):
-        for m in parts:
-            at = m.start()
-            cuts = [0, *(e.end() for e in _ENDS.finditer(m[0])), len(m[0])]
+    for parts in (((m.start(), m[0]) for m in re.finditer(r"[^\n]+", text)), paragraphs(text)):
+        for at, part in parts:
+            cuts = [0, *(e.end() for e in _ENDS.finditer(part)), len(part)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                body = m[0][a:b]
+                body = part[a:b]
                 if form := normal(body):
                     found.setdefault((at + a + len(body) - len(body.lstrip()), form), None)
             # a sentence may hold a full stop or a colon: runs of up to three pieces are sentences too
             for width in (2, 3):
                 for i in range(len(cuts) - width):
-                    body = m[0][cuts[i] : cuts[i + width]]
+                    body = part[cuts[i] : cuts[i + width]]
                     if (form := normal(body)) in KNOWN:
                         found.setdefault((at + cuts[i] + len(body) - len(body.lstrip()), form), None)
     return sorted(found)

@@ -1,6 +1,7 @@
 """Licence rules and dated URL lists on hand-made cases."""
 
 import random
+import re
 import time
 from datetime import datetime
 
@@ -97,3 +98,16 @@ def test_dated_lists(spark):
     got = {r.page_id: r.lists for r in U.evaluate(df, entries).collect()}
     assert got == {1: [], 2: ["a"], 3: ["a"], 4: [], 5: ["a", "b"], 6: [], 7: [], 8: [], 9: [], 10: ["a"], 11: [], None: []}
     assert U.evaluate(df.limit(0), entries).count() == 0 and U.evaluate(df, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_blank_lines_are_read_once():
+    """A million line feeds take as long as a million letters, and part paragraphs as the plain rule says."""
+    rng = random.Random(9)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b.", " ", "\n", "\n\n", "\t", "\r", " \n "]) for _ in range(rng.randint(0, 30)))
+        plain = [(m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", t) if m[0].strip()]
+        assert [(a + len(p) - len(p.lstrip()), p.strip()) for a, p in L.paragraphs(t) if p.strip()] == plain
+    began = time.time()
+    text = "license" + "\n" * 1_000_000 + "Licensed under the MIT License." + " \n" * 500_000
+    L.scan(text)
+    assert time.time() - began < 20
