@@ -504,3 +504,27 @@ def test_file_scans_tell_what_they_refuse(spark, tmp_path):
     got = io.scan_exclusions(spark, f"file://{tmp_path}/x.txt").collect()
     assert sorted(((str(r.date), r.kind, r.refused) for r in got), key=str) == [("2023-01-05", "obvious", None), ("2023-01-06", "perhaps", "2023-01-06 perhaps"), ("2023-01-07", None, "2023-01-07"), ("None", "maybe", "2023-02-30 maybe")]
     assert [r.refused is None for r in sorted(got, key=lambda r: str(r.kind))].count(True) == 1
+
+
+def test_copartitioned_pixels_join_without_a_shuffle(spark, tmp_path):
+    import functools
+
+    from duskgrid.plans import pixels as plan
+    from duskgrid.sources.views import view
+
+    states_, weights = plan.copartitioned(functools.partial(view, spark, "/root/testdata/sf0.001"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = states_.join(weights, "cell_id")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and text.count("Join") >= 2
+        text = pixels.zonal_states(states_, weights)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1  # by entity and date
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = spark.createDataFrame([(i % 7, float(i)) for i in range(40)], "k int, v double")
+    path = io.write_bucketed(rows, f"file://{tmp_path}/b", "k", 3)
+    spark.sql(f"DROP TABLE {io._bucketed_name(path)}")  # as in a new session
+    again = io.read_bucketed(spark, path, "k", 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+    assert "Exchange" not in again.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
