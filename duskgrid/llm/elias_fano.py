@@ -74,15 +74,13 @@ class EliasFano:
             word = np.searchsorted(zeros, k, "right") - 1
             left = k - zeros[word]
         inside = self.high[word] if one else ~self.high[word]
-        place, byte = word * 64, np.zeros(len(k), np.int64)
-        found = np.zeros(len(k), bool)
-        for i in range(8):
-            b = (inside >> np.uint64(8 * i)).astype(np.uint8)
-            here = ~found & (left < _ONES[b])
-            byte[here] = 8 * i + _PLACE[b[here], left[here]]
-            found |= here
-            left = np.where(found, left, left - _ONES[b])
-        return place + byte
+        each = _ONES[inside.astype("<u8").view(np.uint8).reshape(-1, 8)]
+        upto = np.cumsum(each, axis=1, dtype=np.uint8)  # 64 at most
+        byte = np.minimum((upto <= left[:, None]).sum(axis=1), 7)
+        rows = np.arange(len(k))
+        left = left - np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
+        b = (inside >> (8 * byte).astype(np.uint64)).astype(np.uint8)
+        return word * 64 + 8 * byte + _PLACE[b, np.minimum(left, 7)]
 
     def _lower(self, i: np.ndarray) -> np.ndarray:
         if not self.width:

@@ -101,7 +101,8 @@ class Trie:
         out = unigram.astype(np.int64)
         if not self.contexts.n or not len(context):
             return out
-        own, inverse = np.unique(context, return_inverse=True)
+        first = np.flatnonzero(np.diff(context, prepend=-1))  # runs of a context, one each where they are in order
+        own, inverse = context[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
         at = self.contexts.successor(own)
         held = np.flatnonzero(at < self.contexts.n)
         held = held[self.contexts.access(at[held]) == own[held]]
@@ -271,6 +272,8 @@ def dealt(of_block: DataFrame, numbers: DataFrame, tokens: int, words: int, star
             many = np.diff(np.append(first, len(t))).astype(np.int32)
             grams = _pack(np.diff(context[t][first], prepend=0), total[t][first], many, number[w[t]], unigram[w[t]], trained[t], times[t], docs_in[upto[a] : upto[b]])
             out.append(_table(_DEALT, 1, shard=[int(shard[t[0]])], block=[block], grams=[grams]))
+        del docs_in, turn, context, total, shard, w, times, trained
+        trim()
         return pa.concat_tables(out)
 
     return of_block.groupBy("own_block").cogroup(numbers.groupBy("block")).applyInArrow(lambda a, b: met(a, b), _DEALT)
@@ -291,12 +294,13 @@ def answered(sent: DataFrame) -> DataFrame:
             blocks_, places, sums = mine["block"].to_pylist(), [], []
             for context, _, w, unigram, _, times, docs in parts:
                 steps = np.repeat(trie.lookup(context, w, unigram), times)
-                order = np.argsort(docs, kind="stable")
-                d = docs[order]
-                first = np.flatnonzero(np.diff(d, prepend=-1))
-                places.append(d[first].tolist())
-                sums.append(np.add.reduceat(steps[order], first).tolist())
-            out.append(_table(_ANSWERS, len(parts), block=blocks_, places=places, sums=sums))
+                total = np.bincount(docs, weights=steps)  # whole numbers, exact below 2 ** 53
+                held = np.flatnonzero(np.bincount(docs))
+                places.append(held.tolist())
+                sums.append(total[held].astype(np.int64).tolist())
+            del trie, parts, steps
+            out.append(_table(_ANSWERS, len(places), block=blocks_, places=places, sums=sums))
+            trim()
         return pa.concat_tables([_table(_ANSWERS, t.num_rows, **{n: t[n] for n in t.column_names}) for t in out])
 
     return sent.groupBy("shard").applyInArrow(lambda t: asked(t), _ANSWERS)
