@@ -2,7 +2,8 @@
 
 A number's bucket is a function of the number alone that never falls as the number rises. Counts and sums by bucket make
 a small table (some thousands of rows, whatever the input), whose running sums place every bucket; inside a bucket the
-rows are ordered by a window of their own. Values that repeat very often share a bucket, whose window may spill.
+rows are ordered by a window of their own. quantiles() orders distinct values with their counts, so values that repeat are no
+burden; in running() values that repeat very often share a bucket, whose window may spill.
 """
 
 from __future__ import annotations
@@ -43,21 +44,23 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[s
 def quantiles(df: DataFrame, value: Column, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """by and, for every name of probs, the exact quantile (linear interpolation) of the finite values.
 
-    Of the rows only those in the buckets that hold a wanted rank are ordered.
+    Of the values only those in the buckets that hold a wanted rank are ordered, each once with its count.
     """
     by = by or []
-    rows = df.select(*by, value.cast("double").alias("_v")).where(finite("_v")).withColumn("_b", bucket(F.col("_v")))
-    small = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    # a value is one row from here on, with its count, however often it repeats
+    rows = df.select(*by, value.cast("double").alias("_v")).where(finite("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_k")).withColumn("_b", bucket(F.col("_v")))
+    small = rows.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))
     part = Window.partitionBy(*(by or [F.lit(1)]))
     placed = small.select(*by, "_b", (F.sum("_n").over(part.orderBy("_b")) - F.col("_n")).alias("_from"), (F.sum("_n").over(part.orderBy("_b")) - 1).alias("_to"), F.sum("_n").over(part).alias("_total"))
     at = {n: (F.col("_total") - 1) * F.lit(float(p)) for n, p in probs.items()}
     wanted = F.array_distinct(F.array(*[f(h).cast("long") for h in at.values() for f in (F.floor, F.ceil)]))
     placed = placed.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_from")) & (r <= F.col("_to")))).where(F.size("_ranks") > 0)
-    met = rows.join(placed, [*by, "_b"])
-    ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_v")) - 1 + F.col("_from")).where(F.array_contains("_ranks", F.col("_r").cast("long")))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v")) + F.col("_from")
+    ranked = rows.join(placed, [*by, "_b"]).withColumn("_end", upto).where(F.exists("_ranks", lambda r: (r >= F.col("_end") - F.col("_k")) & (r < F.col("_end"))))
+    holds = lambda h: (h >= F.col("_end") - F.col("_k")) & (h < F.col("_end"))
     aggs = []
     for n, h in at.items():
-        low, high = (F.max(F.when(F.col("_r") == f(h).cast("long"), F.col("_v"))) for f in (F.floor, F.ceil))
+        low, high = (F.max(F.when(holds(f(h).cast("long")), F.col("_v"))) for f in (F.floor, F.ceil))
         share = F.max(h - F.floor(h))
         aggs.append((low + share * (high - low)).alias(n))
     return ranked.groupBy(*by).agg(*aggs)

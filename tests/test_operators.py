@@ -528,3 +528,16 @@ def test_copartitioned_pixels_join_without_a_shuffle(spark, tmp_path):
     again = io.read_bucketed(spark, path, "k", 3)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
     assert "Exchange" not in again.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_of_values_that_repeat(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.zeros(4000), np.round(rng.normal(size=600), 1), [1e9, -1e9]])
+    g = rng.integers(0, 3, len(v))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "g int, v double")
+    probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.93, "e": 0.987, "f": 1.0}
+    for r in order.quantiles(df, F.col("v"), probs, ["g"]).collect():
+        assert np.allclose([r[n] for n in probs], np.quantile(v[g == r.g], list(probs.values())))
+    assert np.allclose(list(one(order.quantiles(df, F.col("v"), probs)).values()), np.quantile(v, list(probs.values())))
+    text = order.quantiles(df, F.col("v"), probs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in text
