@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from duskgrid.llm import decontaminate as D
 
@@ -130,3 +131,64 @@ def test_same_as_aligning_all_pairs(spark):
             if (score := D.align(words, weight, split(text))[0]) >= D.THRESHOLD:
                 want[d, i] = round(score, 6)
     assert {(r.doc_id, r.item_id): round(r.score, 6) for r in D.leaks(df, bench).collect()} == want
+
+
+def phrases():
+    """Two items with a phrase of the language in the middle, and documents that use it in ever new surroundings."""
+    items = [[f"a{i}" for i in range(12)] + ["once", "upon", "a", "time", "in", "the", "west"] + [f"b{i}" for i in range(12)], [f"c{i}" for i in range(24)]]
+    everyday = [(1000 + d, f"x{d} once upon a time in the west y{d}") for d in range(200)]
+    return items, everyday
+
+
+def seeds_of(spark, docs, items, rare):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    grams = D._grams(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"), ["item_id"]).drop("around")
+    counted = D._count_in_memory(df, grams.select("item_id", "kind", "h"))
+    counts = counted.groupBy("kind", "h").agg(F.approx_count_distinct("around").alias("around"), F.sum("n").alias("n")).cache()
+    return grams, counts, D.rare_seeds(grams, counts, rare).join(grams.where("kind = 0"), ["item_id", "h"]).collect()
+
+
+def test_phrases_are_no_seeds_and_copies_do_not_make_any_common(spark):
+    items, everyday = phrases()
+    copies = [(d, " ".join(items[d % 2])) for d in range(300)] + [(500 + d, " ".join(w if i % 5 else "q" for i, w in enumerate(items[1]))) for d in range(60)]
+    _, counts, seeds = seeds_of(spark, everyday + copies, items, 20)
+    at = {(r.item_id, r["at"]) for r in seeds}
+    assert not at & {(0, p) for p in range(13, 16)}  # wholly inside the phrase, with rare ones in their stretch
+    assert {(1, p) for p in range(22)} <= at and {(0, p) for p in (0, 1, 9, 11, 20, 26)} <= at
+    assert counts.where("kind = 0 and around > 20").count() == 5  # once upon a, ... in the west
+
+
+def test_a_stretch_of_common_ngrams_keeps_them(spark):
+    items, everyday = phrases()
+    _, _, seeds = seeds_of(spark, everyday, [items[0][12:19], items[1]], 20)
+    assert {(r.item_id, r["at"]) for r in seeds} == {(0, p) for p in range(5)}  # item 1 occurs nowhere
+
+
+def test_rare_seeds_find_edited_copies_beside_phrases_both_ways(spark):
+    items, everyday = phrases()
+    edited = lambda d, x: " ".join(f"e{d}" if i % 6 == d % 6 else w for i, w in enumerate(x))
+    planted = [(d, f"before it {edited(d, items[d % 2])} and behind") for d in range(40)] + [(60, " ".join(items[0])), (61, " ".join(items[0]))]
+    df = spark.createDataFrame(everyday + planted, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, d % 2) for d in range(40)} | {(60, 0), (61, 0)}
+    got = [sorted((r.doc_id, r.item_id, round(r.score, 9), r.first, r.passage) for r in D.leaks(df, bench, in_memory=n, rare=k).collect()) for n, k in ((D.SEEDS_IN_MEMORY, 20), (0, 20), (D.SEEDS_IN_MEMORY, 10**9))]
+    assert {(d, i) for d, i, *_ in got[0]} == want
+    assert got[0] == got[1] and {r[:3] for r in got[0]} == {r[:3] for r in got[2]}
+
+
+def test_hits_in_turns_give_the_same_passages(spark):
+    docs, items, _ = corpus()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    grams = D._grams(spark.createDataFrame(list(items.items()), "item_id long, text string"), ["item_id"])
+    seeds = grams.where("kind = 0").select("item_id", "h").distinct().withColumn("size", F.lit(20).cast("long")).cache()
+    whole, turns = (sorted(map(str, D._search_in_memory(df, seeds, most).collect())) for most in (D.HITS, 50))
+    assert whole and whole == turns
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    items, _ = phrases()
+    long = " ".join(f"w{i % 997}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, f"{long} {' '.join(items[0])} {long}", 5, "u", 7), (2, long, 6, "v", 8)], "doc_id long, text string, item_id int, h string, size long")
+    bench = spark.createDataFrame([(3, " ".join(items[0]), 9, "z")], "item_id long, text string, doc_id int, own string")
+    (r,) = D.leaks(docs, bench).collect()
+    assert (r.doc_id, r.item_id, r.first, r["last"]) == (1, 3, 400_000, 400_000 + len(items[0]))
