@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -12,14 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def own_folder(application: str) -> str:
+    """A folder of this application's own, where all is one process: Spark lets no running session set spark.checkpoint.dir."""
+    return "file://" + tempfile.mkdtemp(prefix="duskgrid-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="duskgrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = own_folder(spark.sparkContext.applicationId)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

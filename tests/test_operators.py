@@ -541,3 +541,20 @@ def test_quantiles_of_values_that_repeat(spark):
     assert np.allclose(list(one(order.quantiles(df, F.col("v"), probs)).values()), np.quantile(v, list(probs.values())))
     text = order.quantiles(df, F.col("v"), probs)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in text
+
+
+def test_shared_folder_where_none_is_named():
+    class Session:  # a session that, like Spark's, can't be given the setting any more
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            applicationId, master = "app-1", "local[2]"
+
+    from duskgrid.sources import io
+
+    a, b = io.shared_path(Session, "x"), io.shared_path(Session, "x")
+    assert a.startswith("file:///") and a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        io.shared_path(Session, "x")
