@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 import time
 import uuid
 import zlib
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskgrid.sources.io import own_folder
+
 #: Remainder of crc32(doc_id as text) by FOLDS that is held out from every training step.
 FOLDS, HELD_OUT = 4, 2
 
@@ -31,8 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="duskgrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = own_folder(spark.sparkContext.applicationId)
     return f"{where.rstrip('/')}/duskgrid-{spark.sparkContext.applicationId}"
 
 
