@@ -558,3 +558,46 @@ def test_shared_folder_where_none_is_named():
     Session.sparkContext.master = "spark://host:7077"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         io.shared_path(Session, "x")
+
+
+def test_backward_fill_reads_its_frame_once(spark):
+    rows = [("a", DAY(i), {1: 5.0, 3: 7.0}.get(i)) for i in range(5)] + [("b", DAY(i), None) for i in range(3)]
+    out = panel.fill_static(spark.createDataFrame(rows, "entity string, date date, x double"), ["x"])
+    assert [r.x for r in out.orderBy("entity", "date").collect()] == [5.0, 5.0, 5.0, 7.0, 7.0, None, None, None]
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().executedPlan().toString()  # anew for each row
+
+
+def test_zone_sums_deal_cells_not_pixels(spark):
+    rng = np.random.default_rng(8)
+    cells = [(c, DAY(d), [1.5, 4.0, None, float("nan")][rng.integers(4)], int(rng.integers(2)), [0, 1, None][rng.integers(3)]) for c in [*range(12), None] for d in range(6)]
+    weights = [(int(e), c, (1 + (int(e) + c) % 10) / 10, 100.0 + c, (int(e) + c) % 3 == 0) for c in range(1, 14) for e in rng.choice(5, 3, replace=False)]
+    px = spark.createDataFrame(cells, "cell_id int, date date, rad double, valid int, lit int")
+    wt = spark.createDataFrame(weights, "entity int, cell_id int, coverage_fraction double, cell_area_m2 double, is_centre boolean")
+    sums, centre, told = pixels.zonal_sums(px, wt), pixels.centre_counts(px, wt), pixels.pixel_accounting(px, wt)
+    pairs = {}
+    for c, d, rad, valid, lit in cells:
+        for e, c2, w, area, inside in weights:
+            if c == c2:
+                ok = valid == 1 and rad is not None and not math.isnan(rad)
+                pairs.setdefault((e, d), []).append((w, area, inside, ok, ok and lit == 1, ok and lit == 0, rad if ok else 0.0))
+    every = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (sums, centre, told):
+            text = df.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(entity" in text and not [x for x in text.splitlines() if "hashpartitioning(entity" in x and "date" in x.split("hashpartitioning(")[1].split(")")[0]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", every)
+    for df in (sums, centre, told):
+        assert df.count() == len(pairs)
+    total = lambda p, f: pytest.approx(sum(f(*x) for x in p), abs=1e-9)
+    for r in sums.collect():
+        p = pairs[r.entity, r.date]
+        assert r.n_valid == total(p, lambda w, a, i, ok, *_: w * ok) and r.n_lit == total(p, lambda w, a, i, ok, lit, *_: w * lit)
+        assert r.n_total_overlap == total(p, lambda w, *_: w) and r.rad_sum == total(p, lambda w, a, i, ok, lit, dark, rad: w * rad) and r.valid_area_m2 == total(p, lambda w, a, i, ok, *_: w * a * ok)
+    for r in centre.collect():
+        p = pairs[r.entity, r.date]
+        assert (r.n_valid_count, r.n_lit_count, r.n_valid_overlap, r.n_overlap) == (sum(x[3] and x[2] for x in p), sum(x[4] and x[2] for x in p), sum(x[3] for x in p), len(p))
+    for r in told.collect():
+        p = pairs[r.entity, r.date]
+        assert r.lit_cells == total(p, lambda w, a, i, ok, lit, *_: w * lit) and r.dark_area == total(p, lambda w, a, i, ok, lit, dark, rad: w * a * dark) and r.missing_cells == total(p, lambda w, a, i, ok, *_: w * (not ok))
