@@ -22,6 +22,8 @@ from duskgrid.operators.states import day_lag
 CHUNK = 250
 #: A prime below 2 ** 31, so that products fit 64 bits, and its use in mean_bootstrap.
 PRIME = 2147483647
+#: Rows of a group that mean_bootstrap gathers in one task, and bits of a number below which it looks a draw up in a table.
+GATHERED, FOLD = 100_000, 11
 #: Steps of phi in which the likelihood is looked at, each around the best of the one before.
 STEPS = (0.02, 0.001, 0.00005)
 
@@ -160,20 +162,29 @@ def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: in
 
     A row has one number r = mixed(key, seed) modulo PRIME, a draw two, a = 1 + mixed(draw, seed, 1) modulo (PRIME - 1) and
     b = mixed(draw, seed, 2) modulo PRIME. How often the draw takes the row is the Poisson(1) quantile (12 at most) of
-    u = (h (h + 7) + 11 modulo PRIME + 0.5) / PRIME, h = a r + b modulo PRIME. No row is multiplied: each task adds all draws
-    of a group up in two arrays, for at most so many groups at a time as held, and these meet by group and draw.
+    u = (h (h + 7) + 11 modulo PRIME + 0.5) / PRIME, h = a r + b modulo PRIME. No row is multiplied: rows are dealt by group (by
+    group and r, so many of GATHERED rows at most about, where it is larger), a task adds all draws of a group up in two arrays,
+    for at most so many groups at a time as held, and arrays meet by group. So a group makes an array for each GATHERED rows.
     """
     cuts, p = [], 0.36787944117144233
     for i in range(12):
         cuts.append((cuts[-1] if cuts else 0.0) + p)
         p /= i + 1
-    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.pmod(mixed(*key, F.lit(seed)), F.lit(PRIME)).alias("r"))
+    # the number h (h + 7) + 11 modulo PRIME from which on u is above each cut
+    least = [next(m for m in range(int(c * PRIME) - 2, PRIME) if (m + 0.5) / PRIME > c) for c in cuts]
+    plain = df.groupBy(F.col(by).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    large = F.broadcast(plain.where((F.col("n") > GATHERED) & F.col("g").isNotNull()).select("g", F.ceil(F.col("n") / GATHERED).alias("_parts")))  # a row each GATHERED rows
+    rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.pmod(mixed(*key, F.lit(seed)), F.lit(PRIME)).alias("r"))
+    rows = rows.join(large, "g", "left").withColumn("_part", F.pmod("r", F.coalesce("_parts", F.lit(1))))
+    rows = rows.repartition("g", "_part").sortWithinPartitions("g", "_part").select("g", "v", "r")
     kind = df.schema[by].dataType.simpleString()
 
     def task(batches):
         number = lambda d, k, m: int(hashlib.md5(f"{d},{seed},{k}".encode()).hexdigest()[:8], 16) % m
         a = np.array([1 + number(d, 1, PRIME - 1) for d in range(draws)])
         b = np.array([number(d, 2, PRIME) for d in range(draws)])
+        low = np.searchsorted(least, np.arange((PRIME >> FOLD) + 1) << FOLD, side="right").astype(np.int8)  # Poisson numbers of ranges of m
+        low[np.array(least) >> FOLD] = -1  # a cut lies in the range
         sums: dict = {}
 
         def out():
@@ -192,13 +203,15 @@ def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: in
             names = coded.dictionary.to_pylist()
             order = np.argsort(code, kind="stable")
             code, v, r = code[order], v[order], r[order]
-            for i in range(0, len(r), 2000):
-                h = (r[i : i + 2000, None] * a + b) % PRIME
-                u = ((h * (h + 7) + 11) % PRIME + 0.5) / PRIME
-                k = np.searchsorted(cuts, u.ravel()).reshape(u.shape).astype(float)
-                own = code[i : i + 2000]
+            for i in range(0, len(r), 200):
+                h = (r[i : i + 200, None] * a + b) % PRIME
+                m = (h * (h + 7) + 11) % PRIME
+                k = low[m >> FOLD]
+                near = np.flatnonzero(k < 0)
+                k.ravel()[near] = np.searchsorted(least, m.ravel()[near], side="right")
+                k, own, x = k.astype(float), code[i : i + 200], v[i : i + 200]
                 first = np.flatnonzero(np.diff(own, prepend=-1))
-                added = np.stack([np.add.reduceat(k * v[i : i + 2000, None], first), np.add.reduceat(k, first)], axis=1)
+                added = [np.stack([x[f:e] @ k[f:e], k[f:e].sum(axis=0)]) for f, e in zip(first, [*first[1:], len(own)], strict=True)]
                 for g, x in zip(own[first].tolist(), added, strict=True):
                     name = names[g]
                     if name in sums:
@@ -210,10 +223,9 @@ def mean_bootstrap(df: DataFrame, value: str, by: str, key: list[str], draws: in
         if sums:
             yield out()
 
-    parts = rows.mapInArrow(task, f"g {kind}, s array<double>, k array<double>").select("g", F.posexplode(F.arrays_zip("s", "k")).alias("draw", "z"))
+    parts = rows.mapInArrow(task, f"g {kind}, s array<double>, k array<double>").repartition("g").select("g", F.posexplode(F.arrays_zip("s", "k")).alias("draw", "z"))
     each = parts.groupBy("g", "draw").agg((F.sum("z.s") / F.sum("z.k")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    plain = df.groupBy(F.col(by).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     return plain.join(each.groupBy("g").agg(q.alias("_q")), "g").select(F.col("g").alias(by), "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 

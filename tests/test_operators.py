@@ -608,3 +608,14 @@ def test_no_bins_without_a_bin_of_none(spark):
     df = spark.createDataFrame(rows, "date date, x double, y double")
     assert series.relative_bins(df, "x", "y", "date", 4).count() == 0
     assert series.relative_bins(df.union(spark.createDataFrame([(DAY(30), 0.0, 0.4)], df.schema)), "x", "y", "date", 4).count() == 5
+
+
+def test_mean_bootstrap_gathers_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i % 3, i, float(rng.gamma(2))) for i in range(3000)], "g int, i int, v double").repartition(7)
+    whole = {r.g: r for r in resample.mean_bootstrap(df, "v", "g", ["g", "i"], 100).collect()}
+    frame = resample.mean_bootstrap(df, "v", "g", ["g", "i"], 100)
+    assert frame._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)[1].count("hashpartitioning(g") >= 1  # not an array a group and task
+    monkeypatch.setattr(resample, "GATHERED", 300)
+    parted = {r.g: r for r in resample.mean_bootstrap(df, "v", "g", ["g", "i"], 100).collect()}
+    assert all(abs(parted[g].low - whole[g].low) < 1e-12 and abs(parted[g].high - whole[g].high) < 1e-12 for g in range(3))
