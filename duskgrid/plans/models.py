@@ -62,6 +62,11 @@ def years(v):
     return v("v_panel").groupBy("entity").agg(F.avg("p").alias("p_year"), F.avg("coverage").alias("c_year")).join(v("v_entities"), "entity")
 
 
+def above(column, cut):
+    """1 where a mean is above the cut, to twelve places: a mean at the cut does not hang on the order of its sum."""
+    return (F.round(column, 12) > cut).cast("int")
+
+
 def sweep(v):
     return C.threshold_sweep(years(v), CUTS, 0.6)
 
@@ -167,7 +172,7 @@ def catalog():
     AD = f"{YR}, a0 AS (SELECT tau, delta, area, COALESCE(SUM(population) FILTER (WHERE p_year >= ROUND(tau + delta, 10)), 0) / SUM(population) AS share FROM ye, (SELECT UNNEST({taus}) AS tau) t, (SELECT UNNEST({deltas}) AS delta) d GROUP BY 1, 2, 3), a1 AS (SELECT *, POWER(share - 0.6, 2) + 0.5 * delta * delta AS loss FROM a0), ad AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tau, area ORDER BY ROUND(loss, 12), ABS(delta), delta) AS r FROM a1) z WHERE r = 1)"
     c["cal8_area_deltas"] = (ve, lambda v: C.area_deltas(years(v), tgt(v).drop("population"), taus, deltas, 0.5), f", {AD} SELECT R(tau) AS tau, area, R(delta) AS delta, R(share) AS share, R(loss) AS loss FROM ad")
     c["cal8_best_tau"] = (ve, lambda v: C.best_tau(C.area_deltas(years(v), tgt(v).drop("population"), taus, deltas, 0.5), tgt(v).select("area", "population"), 0.6, 10.0), f", {AD}, b AS (SELECT tau, SUM(loss) AS al, SUM(share * w) / SUM(w) AS nat FROM ad JOIN (SELECT area AS a, SUM(population) AS w FROM v_entities GROUP BY 1) q ON q.a = ad.area GROUP BY 1) SELECT R(tau) AS tau, R(al) AS area_loss, R(nat) AS national, R(al + 10 * POWER(nat - 0.6, 2)) AS loss FROM b ORDER BY al + 10 * POWER(nat - 0.6, 2), b.tau LIMIT 1")
-    c["cal9_compare_keeps"] = (ve, lambda v: C.compare_keeps(years(v).withColumn("electrified_best", (F.col("p_year") > 0.56).cast("int")), years(v).withColumn("p_year", F.col("c_year")).withColumn("electrified_best", (F.col("p_year") > 0.55).cast("int")), v("v_entities").select("entity", "area")).groupBy("area", "status").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")), f", {YR} SELECT area, CASE WHEN p_year > 0.56 AND c_year > 0.55 THEN 'both' WHEN p_year > 0.56 THEN 'a_only' WHEN c_year > 0.55 THEN 'b_only' ELSE 'neither' END AS status, N(COUNT(*)) AS n, R(AVG(p_year - c_year)) AS mean_diff FROM ye GROUP BY 1, 2")
+    c["cal9_compare_keeps"] = (ve, lambda v: C.compare_keeps(years(v).withColumn("electrified_best", above("p_year", 0.56)), years(v).withColumn("p_year", F.col("c_year")).withColumn("electrified_best", above("p_year", 0.55)), v("v_entities").select("entity", "area")).groupBy("area", "status").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")), f", {YR} SELECT area, CASE WHEN p_year > 0.56 AND c_year > 0.55 THEN 'both' WHEN p_year > 0.56 THEN 'a_only' WHEN c_year > 0.55 THEN 'b_only' ELSE 'neither' END AS status, N(COUNT(*)) AS n, R(AVG(p_year - c_year)) AS mean_diff FROM ye GROUP BY 1, 2")
     vx = ["v_panel", "v_exposure"]
     c["reg1_ols"] = (PEX, lambda v: row(G.ols(national(v), "strict_dark", "shed_share")), f", {PX}, {NA}, {fit_sql('na', 'strict_dark', 'shed_share')} SELECT {FIT} FROM fs")
     c["reg1_ols_by_entity"] = (vx, lambda v: row(G.ols(exposed(v), "p", "x", ["entity"])), f", {PD}, {fit_sql('pd', 'p', 'x', 'entity')} SELECT entity, {FIT} FROM fs")

@@ -610,6 +610,24 @@ def test_no_bins_without_a_bin_of_none(spark):
     assert series.relative_bins(df.union(spark.createDataFrame([(DAY(30), 0.0, 0.4)], df.schema)), "x", "y", "date", 4).count() == 5
 
 
+def test_shares_at_a_cut_do_not_hang_on_the_order_of_sums(spark):
+    import itertools
+
+    from duskgrid.plans import registry
+
+    orders = list(itertools.permutations([0.1, 0.2, 0.3, 0.4, 0.5]))
+    annual = spark.createDataFrame([(i, 5.0, 0) for i in range(5)] + [(9, 5.0, 1)], "cell_id int, rad double, quality int")
+    weights = [(e, i, w, 1.0) for e, o in enumerate(orders) for i, w in enumerate(o)] + [(e, 9, 1.5, 1.0) for e in range(len(orders))]
+    out = pixels.annual_stats(pixels.drop_poor(annual), spark.createDataFrame(weights, "entity int, cell_id int, coverage_fraction double, cell_area_m2 double"), 3.0, 0.5)
+    assert {(r.valid_weight, r.coverage_share, r.support_ok) for r in out.collect()} == {(1.5, 0.5, 1)}
+    lists = [(e, DAY(i), 0.9, c) for e, o in enumerate(itertools.permutations([0.68, 0.94, 0.2, 0.34, 0.24, 0.9])) for i, c in enumerate(o)]
+    views = {
+        "v_panel": spark.createDataFrame(lists, "entity int, date date, p double, coverage double").coalesce(1),
+        "v_entities": spark.createDataFrame([(e, "x") for e in range(720)], "entity int, area string"),
+    }
+    assert [r.status for r in registry.catalog()["cal9_compare_keeps"][1](views.__getitem__).collect()] == ["a_only"]
+
+
 def test_mean_bootstrap_gathers_groups(spark, monkeypatch):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i % 3, i, float(rng.gamma(2))) for i in range(3000)], "g int, i int, v double").repartition(7)
