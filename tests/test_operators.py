@@ -637,3 +637,16 @@ def test_mean_bootstrap_gathers_groups(spark, monkeypatch):
     monkeypatch.setattr(resample, "GATHERED", 300)
     parted = {r.g: r for r in resample.mean_bootstrap(df, "v", "g", ["g", "i"], 100).collect()}
     assert all(abs(parted[g].low - whole[g].low) < 1e-12 and abs(parted[g].high - whole[g].high) < 1e-12 for g in range(3))
+
+
+def test_dense_shuffles_the_panel_only(spark):
+    rows = [("a", DAY(2), 0.1), ("a", DAY(2), 0.2), ("a", DAY(5), None), ("b", DAY(0), 0.3), ("b", DAY(7), 0.4), ("b", None, 0.5), ("c", None, 0.6), ("d", DAY(3), 0.7), ("d", None, 0.1), ("d", None, 0.2), (None, DAY(4), 0.8), (None, DAY(4), 0.9)]
+    df = spark.createDataFrame(rows, "entity string, date date, p double")
+    calendar = spark.createDataFrame([(DAY(i),) for i in range(8)], "date date")
+    plain = df.select("entity").distinct().crossJoin(calendar).join(df, ["entity", "date"], "left").select("entity", "date", "p")
+    out = panel.dense(df)
+    key = lambda r: (str(r[0]), r[1], str(r[2]))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key) and out.columns == plain.columns
+    assert panel.dense(df.where("date is null")).count() == 0
+    st = states.daily_states(panel.dense(df.withColumn("coverage", F.lit(1.0))))
+    assert st._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
