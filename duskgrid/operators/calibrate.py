@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import count_if
@@ -55,6 +55,18 @@ def doe_sweep(states: DataFrame, grid_: list[tuple[int, int]], areas: DataFrame
     return long.groupBy("least_obs", "least_lit").agg(F.count("doe").alias("n_entities"), F.min("doe").alias("first_doe"), F.max("doe").alias("last_doe"), F.try_divide(F.coalesce(F.sum(F.when(F.col("doe").isNotNull(), F.col("population"))), F.lit(0.0)), F.sum("population")).alias("share"))
 
 
+def lit_sweep(dense: DataFrame, lits: list[float], grid_: list[tuple[int, int]], n: int) -> DataFrame:
+    """doe_sweep under each lit threshold (lit_at), all in one pass over a dense panel; counts are of n calendar rows."""
+    ahead = Window.partitionBy("entity").orderBy("date").rowsBetween(0, n - 1)
+    full = F.count(F.lit(1)).over(ahead) == n
+    rows = dense.select("entity", "date", F.when(full, F.sum(F.col("p").isNotNull().cast("int")).over(ahead)).alias("n_obs"), *[F.when(full, F.sum(F.coalesce((F.col("p") >= t).cast("int"), F.lit(0))).over(ahead)).alias(f"n_lit_{i}") for i, t in enumerate(lits)])
+    arms = [(i, o, lit) for i in range(len(lits)) for o, lit in grid_ if lit <= o]
+    firsts = rows.groupBy("entity").agg(*[F.min(F.when((F.col("n_obs") >= o) & (F.col(f"n_lit_{i}") >= lit), F.col("date"))).alias(f"_{k}") for k, (i, o, lit) in enumerate(arms)])
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("least_obs"), F.lit(lit).alias("least_lit"), F.lit(float(lits[i])).alias("lit_at"), F.col(f"_{k}").alias("doe")) for k, (i, o, lit) in enumerate(arms)])).alias("s")
+    out = firsts.select(each).select("s.*").groupBy("least_obs", "least_lit", "lit_at")
+    return out.agg(F.count("doe").alias("n_entities"), F.min("doe").alias("first_doe"), F.max("doe").alias("last_doe"), (F.count("doe") / F.count("*")).alias("share"))
+
+
 def doe_scenarios(named: dict[str, DataFrame], areas: DataFrame) -> DataFrame:
     """scenario, area: entities and population with and without a date, of several state tables."""
     parts = [s.select("entity", "doe").distinct().join(areas, "entity").groupBy("area").agg(F.count("*").alias("n"), F.count("doe").alias("n_doe"), F.sum("population").alias("population"), F.sum(F.when(F.col("doe").isNotNull(), F.col("population"))).alias("doe_population")).withColumn("scenario", F.lit(k)) for k, s in named.items()]

@@ -288,13 +288,7 @@ def catalog():
     c["gat6_gate_metrics"] = (PEX, gate_metrics, f"{G6.replace(str(gates), str(many))}, {GR} SELECT R(gate) AS gate, N(COUNT(*)) AS n, R(CORR(shed_share, strict_demand)) AS pearson, R(CORR(rx, ry)) AS spearman, R(CASE WHEN COUNT(*) FILTER (WHERE shed_share > 0) > 0 AND COUNT(*) FILTER (WHERE shed_share <= 0) > 0 THEN (SUM(ry) FILTER (WHERE shed_share > 0) - COUNT(*) FILTER (WHERE shed_share > 0) * (COUNT(*) FILTER (WHERE shed_share > 0) + 1) / 2.0) / (COUNT(*) FILTER (WHERE shed_share > 0) * COUNT(*) FILTER (WHERE shed_share <= 0)) END) AS auc FROM gr GROUP BY 1")
     lits = (0.3, 0.4, 0.5)
 
-    def lit_sweep(v):
-        out = None
-        for lit in lits:
-            again = S.daily_states(P.dense(v("v_panel").select("entity", "date", "p", "coverage")), lit_at=lit, n=10, least_obs=4, least_lit=3)
-            one = C.doe_sweep(again, combos).withColumn("lit_at", F.lit(lit))
-            out = one if out is None else out.unionByName(one)
-        return out
+    lit_sweep = lambda v: C.lit_sweep(P.dense(v("v_panel").select("entity", "date", "p")), list(lits), combos, 10)
 
     c["cal5_lit_thresholds"] = (["v_panel"], lit_sweep, f", {STATES.split(', ld AS')[0]}" + "".join(f", {lit_sql(i, lit)}" for i, lit in enumerate(lits)) + f", k(o, l) AS (VALUES {ck}) " + " UNION ALL ".join(f"SELECT R({lit}) AS lit_at, I(o) AS least_obs, I(l) AS least_lit, N(COUNT(doe)) AS n_entities, MIN(doe) AS first_doe, MAX(doe) AS last_doe, R(COUNT(doe) / COUNT(*)) AS share FROM (SELECT o, l, entity, MIN(date) FILTER (WHERE n_obs >= o AND n_lit >= l) AS doe FROM rl{i}, k GROUP BY 1, 2, 3) z{i} GROUP BY 2, 3" for i, lit in enumerate(lits)))
     pt = ["v_points"]
@@ -332,7 +326,7 @@ def catalog():
         """The panel written as a folder of files a month whose name holds the month's first day."""
         raw = v("v_panel").withColumn("scene", F.concat(F.when(F.month("date") == 2, F.lit("tile")).otherwise(F.lit("VJ_h20v11_")), F.when(F.month("date") == 2, F.lit("")).otherwise(F.date_format(F.trunc("date", "month"), "yyyy_MM_dd"))))
         path = io.shared_path(raw.sparkSession, "scenes")
-        raw.select("scene", "entity", "p").write.partitionBy("scene").parquet(path)
+        io.write_scenes(raw.select("scene", "entity", "p"), path)
         return io.scan_scenes(raw.sparkSession, path).groupBy("date").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
 
     c["src3_hourly_file"] = (["v_schedule"], hourly_file, "SELECT CASE WHEN event_id % 97 <> 0 THEN CAST(start AS DATE) END AS date, I(CASE WHEN event_id % 97 <> 0 THEN HOUR(start) END) AS hour, R(SUM(CASE WHEN event_id % 89 <> 0 THEN minutes END)) AS m, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE event_id % 97 = 0 OR event_id % 89 = 0)) AS n_refused FROM v_schedule GROUP BY 1, 2")

@@ -113,6 +113,14 @@ def scan_exclusions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("date", "kind", F.when(~fine, F.col("value")).alias("refused"))
 
 
+def write_scenes(df: DataFrame, path: str, scene: str = "scene", rows: int = 5_000_000) -> str:
+    """Writes df as a folder a scene, a file about each so many of its rows: files follow the rows, not tasks times scenes."""
+    parts = df.groupBy(scene).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    dealt = df.join(F.broadcast(parts), scene, "left").repartition(scene, F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1)))).drop("_parts")  # a row a scene
+    dealt.write.partitionBy(scene).parquet(path)
+    return path
+
+
 def scan_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files of scenes at any depth, with scene (the name that tells it) and date, the date in the name; null where there is none."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(path)

@@ -650,3 +650,16 @@ def test_dense_shuffles_the_panel_only(spark):
     assert panel.dense(df.where("date is null")).count() == 0
     st = states.daily_states(panel.dense(df.withColumn("coverage", F.lit(1.0))))
     assert st._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_lit_sweep_is_one_pass(spark):
+    from duskgrid.operators import calibrate
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(e, DAY(d), float(rng.random())) for e in range(6) for d in range(40) if rng.random() < 0.6], "entity int, date date, p double")
+    grid = [(2, 2), (4, 3), (3, 5)]
+    out = calibrate.lit_sweep(panel.dense(df), [0.4, 0.6], grid, 8)
+    plain = [calibrate.doe_sweep(states.daily_states(panel.dense(df.withColumn("coverage", F.lit(1.0))), lit_at=t, n=8), grid).withColumn("lit_at", F.lit(t)) for t in (0.4, 0.6)]
+    columns = ["lit_at", "least_obs", "least_lit", "n_entities", "first_doe", "last_doe", "share"]
+    assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, plain[0].unionByName(plain[1]).select(columns).collect()))
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(entity") == 1
