@@ -94,8 +94,19 @@ def block_bootstrap(df: DataFrame, y: str, x: str, order: str, draws: int = 2000
         def kernel(y: np.ndarray, x: np.ndarray, first: int, last: int) -> np.ndarray:
             n = len(y)
             start = numbers(first, last, -(-n // block)) % n
-            at = ((start[:, :, None] + np.arange(block)) % n).reshape(last - first, -1)[:, :n]
-            return _slopes(y[at], x[at])
+            # a draw's sums are those of its blocks, which are made once for each start
+            y, x = y - y.mean(), x - x.mean()
+            each = np.stack([y, x, x * x, x * y])
+            run = np.cumsum(np.concatenate([np.zeros((4, 1)), each, each[:, np.arange(block) % n]], axis=1), axis=1)
+            held, short = run[:, block : n + block] - run[:, :n], n - (start.shape[1] - 1) * block
+            sy, sx, sxx, sxy = held[:, start[:, :-1]].sum(axis=2) + (run[:, short : n + short] - run[:, :n])[:, start[:, -1]]
+            vary = sxx - sx * sx / n
+            slope = np.divide(sxy - sx * sy / n, vary, out=np.full(len(start), np.nan), where=vary > 0)
+            near = np.flatnonzero(vary <= 1e-6 * n * np.max(np.abs(x), initial=0.0) ** 2)  # hardly any variation: from the rows themselves
+            if len(near):
+                at = ((start[near, :, None] + np.arange(block)) % n).reshape(len(near), -1)[:, :n]
+                slope[near] = _slopes(y[at], x[at])
+            return slope
 
         return kernel
 

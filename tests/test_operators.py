@@ -663,3 +663,23 @@ def test_lit_sweep_is_one_pass(spark):
     columns = ["lit_at", "least_obs", "least_lit", "n_entities", "first_doe", "last_doe", "share"]
     assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, plain[0].unionByName(plain[1]).select(columns).collect()))
     assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(entity") == 1
+
+
+def test_scene_files_follow_the_rows(spark, tmp_path):
+    df = spark.range(200).repartition(8).selectExpr("concat('s', id % 3) AS scene", "id")
+    io.write_scenes(df, f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").rglob("*.parquet"))) == 3
+    io.write_scenes(df, f"file://{tmp_path}/b", rows=20)
+    assert 3 <= len(list((tmp_path / "b").rglob("*.parquet"))) <= 12 and spark.read.parquet(f"file://{tmp_path}/b").count() == 200
+
+
+def test_bootstrap_sums_of_blocks_equal_the_rows(spark):
+    rng = np.random.default_rng(2)
+    for n, block in ((40, 7), (14, 14), (9, 14), (30, 1)):
+        y, x = rng.random(n), np.where(np.arange(n) < n - 3, 5.0, rng.random(n) * 9)
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "i int, y double, x double")
+        got = {r.draw: r.slope for r in resample.block_bootstrap(df, "y", "x", "i", 60, block).collect()}
+        start = resample.Drawn(17)(0, 60, -(-n // block)) % n
+        at = ((start[:, :, None] + np.arange(block)) % n).reshape(60, -1)[:, :n]
+        want = resample._slopes(y[at], x[at])
+        assert all((got[d] is None) == bool(np.isnan(s)) and (got[d] is None or abs(got[d] - s) < 1e-9) for d, s in enumerate(want))
