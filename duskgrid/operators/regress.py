@@ -485,8 +485,8 @@ def two_way_effects(df: DataFrame, y: str, x: str, first: str, second: str, by:
     """by, n, slope, se, df: the slope with effects of two factors, both of any number of levels.
 
     Alternating projections: y and x lose the means of one factor, then of the other, until what the last round took away is
-    below tolerance times their spread at the start (root sums of squares, in every group of by). Levels are never collected: means are windows by
-    level, on rows that are first added up to one a pair of levels; the state is written every few rounds. Degrees of
+    below tolerance times their spread at the start (root sums of squares, in every group of by). Levels are never collected: rows
+    are first added up to one a pair of levels and written once; a round writes the effects alone, a row a level. Degrees of
     freedom: the effects are as many as the levels of both factors less the components of their graph. A level that holds
     much of the rows is one row a level of the other factor.
     """
@@ -497,24 +497,45 @@ def two_way_effects(df: DataFrame, y: str, x: str, first: str, second: str, by:
     cells = rows.groupBy(*by, first, second).agg(F.count("*").alias("_w"), F.avg(y).alias("_y"), F.avg(x).alias("_x"), F.regr_sxx(y, x).alias("_ixx"), F.regr_sxy(y, x).alias("_ixy"), F.regr_syy(y, x).alias("_iyy"))
     cells.write.parquet(f"{folder}/0")
     size = lambda y, x: [F.sqrt(F.sum(F.col("_w") * c**2)) for c in (y, x)]
-    at = spark.read.parquet(f"{folder}/0")
-    whole = at.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(*by)) for c in ("_y", "_x")} if by else {c: F.col(c) - at.agg(F.avg(c)).first()[0] for c in ("_y", "_x")})
-    start = whole.groupBy(*by).agg(*[c.alias(n) for c, n in zip(size(F.col("_y"), F.col("_x")), ("_ty", "_tx"), strict=True)])  # a row a group
+    cells = spark.read.parquet(f"{folder}/0")
+    whole = cells.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(*by)) for c in ("_y", "_x")} if by else {c: F.col(c) - cells.agg(F.avg(c)).first()[0] for c in ("_y", "_x")})
+    start = whole.groupBy(*by).agg(F.sqrt(F.sum(F.col("_w") * F.col("_y") ** 2)).alias("_ty"), F.sqrt(F.sum(F.col("_w") * F.col("_x") ** 2)).alias("_tx"))  # a row a group
+    # cells stay as they are: rounds move the levels' effects, which are as many as levels and meet the cells by joins
+    kinds = {"_a": first, "_b": second}
+    effects: dict[str, DataFrame] = {}
+
+    def freed(kinds_: dict) -> dict:
+        return {c: F.col(c) - sum((F.coalesce(f"{k}{c}", F.lit(0.0)) for k in kinds_), F.lit(0.0)) for c in ("_y", "_x")}
+
+    def met(of: DataFrame, which: dict[str, DataFrame]) -> DataFrame:
+        for k, e in which.items():
+            of = of.join(e, [*by, kinds[k[:2]]], "left")
+        return of
+
+    def fitted(k: str, other: str) -> DataFrame:
+        """The means by one factor of what the other's effects leave."""
+        rest = {other: effects[other]} if other in effects else {}
+        rows = met(cells, rest).withColumns(freed(rest))
+        return rows.groupBy(*by, kinds[k]).agg(*[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"{k}{c}") for c in ("_y", "_x")])
+
+    before: dict[str, DataFrame] = {}
     for r in range(1, rounds + 1):
         if r % every == 1 or every == 1:
-            at = at.withColumns({"_py": F.col("_y"), "_px": F.col("_x")})
-        for level in (first, second):
-            own = Window.partitionBy(*by, level)
-            at = at.withColumns({c: F.col(c) - F.sum(F.col("_w") * F.col(c)).over(own) / F.sum("_w").over(own) for c in ("_y", "_x")})
+            before = dict(effects)
+        for k, other in (("_a", "_b"), ("_b", "_a")):
+            fitted(k, other).write.parquet(f"{folder}/{r}{k}")
+            effects[k] = spark.read.parquet(f"{folder}/{r}{k}")
         if r % every == 0:
-            at.write.parquet(f"{folder}/{r}")
-            at = spark.read.parquet(f"{folder}/{r}")
-            change = at.groupBy(*by).agg(*[c.alias(n) for c, n in zip(size(F.col("_y") - F.col("_py"), F.col("_x") - F.col("_px")), ("_dy", "_dx"), strict=True)])
-            met = change.join(start, by) if by else change.crossJoin(start)  # a row each
-            if not met.where((F.col("_dy") > tolerance * F.col("_ty")) | (F.col("_dx") > tolerance * F.col("_tx"))).limit(1).count():
+            old = {f"{k}0": e.withColumnsRenamed({f"{k}{c}": f"{k}0{c}" for c in ("_y", "_x")}) for k, e in before.items()}
+            moved = met(cells, effects | old)
+            gone = {c: sum((F.col(f"{k}{c}") for k in kinds), F.lit(0.0)) - sum((F.col(f"{k}{c}") for k in old), F.lit(0.0)) for c in ("_y", "_x")}
+            change = moved.groupBy(*by).agg(F.sqrt(F.sum(F.col("_w") * gone["_y"] ** 2)).alias("_dy"), F.sqrt(F.sum(F.col("_w") * gone["_x"] ** 2)).alias("_dx"))
+            both = change.join(start, by) if by else change.crossJoin(start)  # a row each
+            if not both.where((F.col("_dy") > tolerance * F.col("_ty")) | (F.col("_dx") > tolerance * F.col("_tx"))).limit(1).count():
                 break
     else:
         raise RuntimeError(f"the effects have not settled after {rounds} rounds")
+    at = met(cells, effects).withColumns(freed(kinds))
     w = F.col("_w")
     sums = at.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col("_x") ** 2 + F.coalesce("_ixx", F.lit(0.0))).alias("_sxx"), F.sum(w * F.col("_x") * F.col("_y") + F.coalesce("_ixy", F.lit(0.0))).alias("_sxy"), F.sum(w * F.col("_y") ** 2 + F.coalesce("_iyy", F.lit(0.0))).alias("_syy"))
     graph = factor_components(at, first, second, by, folder=folder)

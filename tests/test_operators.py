@@ -683,3 +683,12 @@ def test_bootstrap_sums_of_blocks_equal_the_rows(spark):
         at = ((start[:, :, None] + np.arange(block)) % n).reshape(60, -1)[:, :n]
         want = resample._slopes(y[at], x[at])
         assert all((got[d] is None) == bool(np.isnan(s)) and (got[d] is None or abs(got[d] - s) < 1e-9) for d, s in enumerate(want))
+
+
+def test_effects_of_two_factors_write_levels_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(regress, "shared_path", lambda s, name: f"file://{tmp_path}/{name}")
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(a), int(b), float(rng.random()), float(rng.random())) for a in range(20) for b in rng.choice(15, 9, replace=False)], "a int, b int, y double, x double")
+    assert regress.two_way_effects(df, "y", "x", "a", "b").first().n == 180
+    rows = {f.name: spark.read.parquet(f"file://{f}").count() for f in (tmp_path / "two-way").iterdir() if f.name[0].isdigit()}
+    assert rows.pop("0") == 180 and rows and max(rows.values()) <= 20
