@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import finite, weighted_mean
 from duskgrid.operators.order import running
+from duskgrid.operators.panel import dealt
 from duskgrid.operators.series import grid
 from duskgrid.sources.io import shared_path
 
@@ -140,6 +141,11 @@ def _clustered(rows: DataFrame, entity: str, cluster: str, by: list[str]) -> Dat
     w, dx, dy = F.col("_w"), F.col("_dx"), F.col("_dy")
     first = (F.row_number().over(Window.partitionBy(*by, entity).orderBy(cluster)) == 1).cast("long")  # one row an entity counts it
     sums = rows.withColumn("_e", first).groupBy(*by, cluster).agg(F.count("*").alias("_n"), F.sum("_e").alias("_k"), F.max("_lost").alias("_lost"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dy * dy).alias("_yy"))
+    return _of_clusters(sums, by)
+
+
+def _of_clusters(sums: DataFrame, by: list[str]) -> DataFrame:
+    """fixed_effects from a row a cluster: its rows _n, entities first met there _k, _lost, and sums _xx, _xy, _yy."""
     whole = Window.partitionBy(*(by or [F.lit(1)]))  # a row a cluster
     at = sums.withColumns({"_sxx": F.sum("_xx").over(whole), "_sxy": F.sum("_xy").over(whole)}).withColumn("_u", F.col("_xy") - F.try_divide("_sxy", "_sxx") * F.col("_xx"))
     out = at.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum("_k") + F.max("_lost")).alias("_k"), F.max("_sxx").alias("_sxx"), F.max("_sxy").alias("_sxy"), F.sum("_yy").alias("_syy"), F.count("*").alias("n_clusters"), F.sum(F.col("_u") ** 2).alias("_m"))
@@ -150,46 +156,221 @@ def _clustered(rows: DataFrame, entity: str, cluster: str, by: list[str]) -> Dat
 
 
 def fixed_effects_controlled(df: DataFrame, outcomes: list[str], x: str, entity: str, cluster: str, controls: dict[str, list], weight: str | None = None) -> DataFrame:
-    """outcome and fixed_effects of each outcome, with further factors (name: levels, few and known) as dummies.
+    """outcome and fixed_effects of each outcome, with further factors (name: levels, few and known) as dummies."""
+    return fe_control_grid(df, outcomes, x, [weight], {"": controls}, entity, cluster).drop("weight", "spec")
 
-    Everything is freed of the entities' means, then outcome and x of the dummies by their normal equations, which are as
-    many numbers as there are pairs of dummies; slope, residuals and scores are those of the whole model.
+
+def fe_control_grid(df: DataFrame, outcomes: list[str], x: str, weights: list[str | None], specs: dict[str, dict[str, list]], entity: str, cluster: str) -> DataFrame:
+    """fixed_effects with controls for every outcome, weight and control specification, stacked, in two passes for all.
+
+    The first pass sums products of dummies, x and outcome freed of the entities' means. Their normal equations give what
+    the dummies take from x and outcome: a number a level. The second pass takes these numbers off, then the entities'
+    means, and sums by cluster; slope, residuals and scores are those of the whole model. Rows with a null factor take no
+    part where it is a control. Tasks stream rows in order of entity; they hold means of entities and sums of clusters.
     """
-    rows = df.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
-    names: list[str] = []
-    for factor, levels in controls.items():
-        rows, more = with_dummies(rows, factor, levels)
-        names += more
-    rows = _clean(rows.unpivot([entity, cluster, x, "_w", *names], outcomes, "outcome", "_y"), "_y", x, "_w").where("_w > 0")
-    own = Window.partitionBy("outcome", entity)
-    w = F.col("_w")
-    rows = rows.withColumns({c: F.col(c) - F.sum(w * F.col(c)).over(own) / F.sum(w).over(own) for c in ("_y", x, *names)})
-    cols = [*names, x, "_y"]
-    k = len(names)
-    sums = [F.coalesce(F.sum(w * F.col(cols[i]) * F.col(cols[j])), F.lit(0.0)) for i in range(len(cols)) for j in range(i, len(cols))]
-    dx, dy, lost = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(0)
-    for r in rows.groupBy("outcome").agg(F.array(*sums).alias("sums")).collect():  # a row an outcome
-        m = np.zeros((len(cols), len(cols)))
-        m[np.triu_indices(len(cols))] = r["sums"]
-        m = m + m.T - np.diag(np.diag(m))
+    factors: dict[tuple, int] = {}
+    for spec in specs.values():
+        for f, levels in spec.items():
+            factors.setdefault((f, tuple(levels)), len(factors))
+    number = lambda c: F.when(finite(c), F.col(c).cast("double"))
+    rows = df.where(finite(x)).select(
+        F.col(entity).alias("_entity"), F.col(cluster).alias("_cluster"), F.col(x).cast("double").alias("_x"), *[number(y).alias(f"_y{i}") for i, y in enumerate(outcomes)],
+        *[F.when(finite(w) & (F.col(w) > 0), F.col(w).cast("double")).alias(f"_w{i}") if w else F.lit(1.0).alias(f"_w{i}") for i, w in enumerate(weights)],
+        *[_place(F.col(f), levels).alias(f"_f{i}") for (f, levels), i in factors.items()],
+    )
+    rows = dealt(rows, "_entity").withColumn("_new", F.row_number().over(Window.partitionBy("_entity").orderBy("_cluster")) == 1)
+    sizes = [len(levels) - 1 for _, levels in factors]
+    arms = [(i, j, [factors[f, tuple(levels)] for f, levels in spec.items()]) for i in range(len(outcomes)) for j in range(len(weights)) for spec in specs.values()]
+    labels = [(y, w or "none", label) for y in outcomes for w in weights for label in specs]
+    lost, taken = [0] * len(arms), [[np.zeros((2, n + 1)) for n in sizes] for _ in arms]
+    for a, (n_entities, m) in _within_products(rows, sizes, arms).items():
+        k = len(m) - 2
         beta, _, rank, _ = np.linalg.lstsq(m[:k, :k], m[:k, k:], rcond=1e-10) if k else (np.zeros((0, 2)), None, 0, None)
-        at = F.col("outcome") == r["outcome"]
-        free = lambda c, b: F.col(c) - sum((F.lit(float(v)) * F.col(n) for n, v in zip(names, b, strict=True)), F.lit(0.0))
-        dx, dy, lost = F.when(at, free(x, beta[:, 0])).otherwise(dx), F.when(at, free("_y", beta[:, 1])).otherwise(dy), F.when(at, int(rank)).otherwise(lost)
-    rows = rows.select("outcome", entity, cluster, "_w", dx.alias("_dx"), dy.alias("_dy"), lost.alias("_lost"))
-    return _clustered(rows, entity, cluster, ["outcome"])
+        lost[a], at = int(n_entities) + int(rank), 0
+        for f in arms[a][2]:
+            taken[a][f][:, 1:] = beta[at : at + sizes[f]].T
+            at += sizes[f]
+    at = _cluster_sums(rows, taken, arms)
+    named = F.get(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("outcome", "weight", "spec"), names, strict=True)], F.lit(n).alias("_lost")) for names, n in zip(labels, lost, strict=True)]), F.col("arm"))
+    out = _of_clusters(at.withColumns({"_l": named, "_k": F.lit(0)}).select("*", "_l.*"), ["outcome", "weight", "spec"])
+    return out.select("outcome", *[c for c in out.columns if c not in ("outcome", "weight", "spec")], "weight", "spec")
 
 
-def fe_control_grid(df: DataFrame, outcomes: list[str], x: str, weights: list[str | None], specs: dict[str, dict[str, list]], entity: str, cluster: str) -> DataFrame:
-    """fixed_effects_controlled for every outcome, weight and control specification, stacked."""
-    out = None
-    for w in weights:
-        for label, controls in specs.items():
-            one = fixed_effects_controlled(df, outcomes, x, entity, cluster, controls, w).withColumns({"weight": F.lit(w or "none"), "spec": F.lit(label)})
-            out = one if out is None else out.unionByName(one)
+def _place(factor: Column, levels: list) -> Column:
+    """0 at the first level (and any not listed), 1, 2 ... at the others, -1 where there is none."""
+    out = F.when(factor.isNull(), -1)
+    for i, v in enumerate(levels[1:], 1):
+        out = out.when(factor == v, i)
+    return out.otherwise(0)
+
+
+def _numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The batch's columns of numbers, null as NaN."""
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) if c[:2] == "_f" else batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in batch.schema.names if c[:2] in ("_x", "_y", "_w", "_f")}
+
+
+def _takes_part(v: dict[str, np.ndarray], i: int, j: int, fs: list[int]) -> np.ndarray:
+    on = ~np.isnan(v[f"_y{i}"]) & ~np.isnan(v[f"_w{j}"])
+    for f in fs:
+        on &= v[f"_f{f}"] >= 0
+    return on
+
+
+def _within_products(rows: DataFrame, sizes: list[int], arms: list[tuple[int, int, list[int]]]) -> dict[int, tuple[float, np.ndarray]]:
+    """Of each arm (outcome, weight, factors): its entities, and products of dummies, x and outcome freed of entities' means.
+
+    rows are in order of entity, _new at the first of each. A batch is freed of its entities' means at once; what of an
+    entity lay in the batches before is merged by weight and means. The driver gets a matrix an arm.
+    """
+    first = np.cumsum([0, *sizes])
+    n_outcomes = 1 + max(i for i, _, _ in arms)
+    columns = [[c for f in fs for c in range(first[f], first[f + 1])] + [first[-1], first[-1] + 1 + i] for i, _, fs in arms]
+
+    def of_batch(v, on, w, ids):
+        """The entities among the rows, their weights and means, and the products freed of these means."""
+        starts = np.r_[True, ids[1:] != ids[:-1]]
+        g, n = np.cumsum(starts) - 1, int(starts.sum())
+        weight = np.bincount(g, w, n)
+        values = [v["_x"][on], *[np.nan_to_num(v[f"_y{i}"][on]) for i in range(n_outcomes)]]
+        middle = [np.bincount(g, w * c, n) / weight for c in values]
+        values = [c - m[g] for c, m in zip(values, middle, strict=True)]
+        place = [np.maximum(v[f"_f{f}"][on], 0).astype(np.int64) for f in range(len(sizes))]
+        shares = [np.bincount(g * (k + 1) + p, w, n * (k + 1)).reshape(n, k + 1)[:, 1:] / weight[:, None] for k, p in zip(sizes, place, strict=True)]
+        means = np.column_stack([*shares, *middle])
+        out = np.zeros((means.shape[1], means.shape[1]))
+        for f, (k, p) in enumerate(zip(sizes, place, strict=True)):
+            own = slice(first[f], first[f + 1])
+            out[own, own] = np.diag(np.bincount(p, w, k + 1)[1:])
+            for h in range(f):
+                both = np.bincount(p * (sizes[h] + 1) + place[h], w, (k + 1) * (sizes[h] + 1)).reshape(k + 1, -1)[1:, 1:]
+                out[own, first[h] : first[h + 1]], out[first[h] : first[h + 1], own] = both, both.T
+            for c, value in enumerate(values, first[-1]):
+                out[own, c] = out[c, own] = np.bincount(p, w * value, k + 1)[1:]
+        d = means[:, : first[-1]]
+        out[: first[-1], : first[-1]] -= d.T @ (weight[:, None] * d)
+        z = np.array(values)
+        out[first[-1] :, first[-1] :] = (z * w) @ z.T
+        return ids[starts], weight, means, out
+
+    def task(batches):
+        total = [np.zeros((len(c), len(c))) for c in columns]
+        entities, tail = [0] * len(arms), [None] * len(arms)  # of the last entity so far: weight, means
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, group, done = _numbers(b), np.cumsum(b.column("_new").to_numpy(zero_copy_only=False)), {}  # group 0 goes on from the batch before
+            for a, (i, j, fs) in enumerate(arms):
+                on = _takes_part(v, i, j, fs)
+                key = (j, on.tobytes())
+                if key not in done:  # arms of the same rows and weights share the work
+                    done[key] = of_batch(v, on, v[f"_w{j}"][on], group[on]) if on.any() else None
+                last = tail[a] if group[-1] == 0 else None
+                if done[key]:
+                    ids, weight, means, products = done[key]
+                    means = means[:, columns[a]]
+                    total[a] += products[np.ix_(columns[a], columns[a])]
+                    ends = {0: (weight[0], means[0])} | {len(ids) - 1: (weight[-1], means[-1])}
+                    if ids[0] == 0 and tail[a]:
+                        (w0, m0), (w1, m1) = tail[a], ends[0]
+                        total[a] += w0 * w1 / (w0 + w1) * np.outer(m1 - m0, m1 - m0)
+                        ends[0] = w0 + w1, (w0 * m0 + w1 * m1) / (w0 + w1)
+                        entities[a] -= 1
+                    entities[a] += len(ids)
+                    if ids[-1] == group[-1]:
+                        last = ends[len(ids) - 1]
+                tail[a] = last
+        at = [a for a in range(len(arms)) if entities[a]]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([[float(entities[a]), *total[a].ravel()] for a in at], pa.list_(pa.float64()))], names=["arm", "m"])
+
+    parts = rows.mapInArrow(task, "arm int, m array<double>").select("arm", F.posexplode("m").alias("i", "v")).groupBy("arm", "i").agg(F.sum("v").alias("v"))
+    out = {}
+    for r in parts.groupBy("arm").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("m")).collect():  # a row an arm
+        m = np.array([v for _, v in r["m"]])
+        out[r["arm"]] = m[0], m[1:].reshape(len(columns[r["arm"]]), -1)
     return out
 
 
+def _cluster_sums(rows: DataFrame, taken: list[list[np.ndarray]], arms: list[tuple[int, int, list[int]]]) -> DataFrame:
+    """_cluster, arm, _n, _xx, _xy, _yy of x and outcome less what is taken off them a level, freed of the entities' means.
+
+    A first step over rows (in order of entity) puts behind each entity a row of its means, a sort within the part puts
+    it in front, and a second step sums by cluster.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    most = 50_000  # clusters that a task sums at once
+
+    def freed(v, a):
+        """Rows of an arm, their weights, x and outcome without the controls."""
+        i, j, fs = arms[a]
+        on = _takes_part(v, i, j, fs)
+        out = [v["_x"][on], v[f"_y{i}"][on]]
+        for f in fs:
+            place = v[f"_f{f}"][on].astype(np.int64)
+            out = [c - t[place] for c, t in zip(out, taken[a][f], strict=True)]
+        return on, v[f"_w{j}"][on], out
+
+    def with_means(batches):
+        at, sums, names = 0, np.zeros((len(arms), 3)), None  # the entity under way
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.schema
+            group = np.cumsum(b.column("_new").to_numpy(zero_copy_only=False))
+            v, n = _numbers(b), int(group[-1]) + 1
+            each = np.zeros((n, len(arms), 3))
+            for a in range(len(arms)):
+                on, w, (x, y) = freed(v, a)
+                for c, value in enumerate((w, w * x, w * y)):
+                    each[:, a, c] = np.bincount(group[on], value, n)
+            each[0] += sums
+            ended, sums = each[:-1], each[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group + at, pa.int64()), pa.nulls(b.num_rows, pa.list_(pa.float64()))], names=[*names.names, "_g", "_m"])
+            yield closed(ended, at, names)
+            at += n - 1
+        if names is not None:
+            yield closed(sums[None], at, names)
+
+    def closed(sums, at, names):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = (sums[:, :, 1:] / sums[:, :, :1]).reshape(len(sums), 2 * len(arms))
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(sums), f.type) for f in names], pa.array(np.arange(len(sums)) + at, pa.int64()), pa.array(list(means), pa.list_(pa.float64()))], names=[*names.names, "_g", "_m"])
+
+    def by_cluster(batches):
+        index, sums, mean, kind = {}, np.zeros((0, len(arms), 4)), np.full((1, 2 * len(arms)), np.nan), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            head = np.asarray(b.column("_m").is_valid())
+            kind = b.schema.field("_cluster").type
+            means = np.vstack([mean, np.array(b.column("_m").drop_null().to_pylist()).reshape(-1, 2 * len(arms))])
+            mean = means[-1:]
+            e, b = np.cumsum(head)[~head], b.filter(pa.array(~head))
+            if not b.num_rows:
+                continue
+            v, seen = _numbers(b), b.column("_cluster").dictionary_encode(null_encoding="encode")
+            code = np.array([index.setdefault(c, len(index)) for c in seen.dictionary.to_pylist()])[seen.indices.to_numpy()]
+            n = len(index)
+            sums = np.concatenate([sums, np.zeros((n - len(sums), len(arms), 4))])
+            for a in range(len(arms)):
+                on, w, (x, y) = freed(v, a)
+                x, y, g = x - means[e[on], 2 * a], y - means[e[on], 2 * a + 1], code[on]
+                for c, value in enumerate((np.ones(len(g)), w * x * x, w * x * y, w * y * y)):
+                    sums[:, a, c] += np.bincount(g, value, n)
+            if n > most:
+                yield table(index, sums, kind)
+                index, sums = {}, np.zeros((0, len(arms), 4))
+        if index:
+            yield table(index, sums, kind)
+
+    def table(index, sums, kind):
+        c, a = np.nonzero(sums[:, :, 0])
+        return pa.RecordBatch.from_arrays([pa.array(list(index), kind).take(pa.array(c)), pa.array(a, pa.int32()), pa.array(sums[c, a, 0].astype(np.int64)), *[pa.array(sums[c, a, k]) for k in (1, 2, 3)]], names=["_cluster", "arm", "_n", "_xx", "_xy", "_yy"])
+
+    both = rows.mapInArrow(with_means, f"{schema}, _g long, _m array<double>").sortWithinPartitions("_g", F.col("_m").isNull())
+    parts = both.mapInArrow(by_cluster, f"`_cluster` {rows.schema['_cluster'].dataType.simpleString()}, arm int, _n long, _xx double, _xy double, _yy double")
+    return parts.groupBy("_cluster", "arm").agg(*[F.sum(c).alias(c) for c in ("_n", "_xx", "_xy", "_yy")])
+
+
 def factor_grid(df: DataFrame, y: str, exposures: list[str], specs: dict[str, tuple[str | None, dict[str, list]]]) -> DataFrame:
     """exposure, spec, n, slope, se, t, df, r2: classical OLS for each exposure and specification.
 

@@ -692,3 +692,32 @@ def test_effects_of_two_factors_write_levels_only(spark, tmp_path, monkeypatch):
     assert regress.two_way_effects(df, "y", "x", "a", "b").first().n == 180
     rows = {f.name: spark.read.parquet(f"file://{f}").count() for f in (tmp_path / "two-way").iterdir() if f.name[0].isdigit()}
     assert rows.pop("0") == 180 and rows and max(rows.values()) <= 20
+
+
+def test_fe_controls_in_two_passes(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"e{e}" if e else None, DAY(d), float(rng.random()), float(rng.random()) if d % 11 else None, float(rng.random() < 0.4), 0.5 + float(rng.random()) if d % 7 else -1.0, d % 3 if d % 13 else None, "ab"[int(rng.random() < 0.5)]) for e in range(5) for d in range(40) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "b string, d date, x double, y double, z double, w double, m int, c string")
+    specs = {"none": {}, "m": {"m": [0, 1, 2]}, "mc": {"m": [0, 1, 2], "c": ["a", "b"]}}
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(small, "7")  # entities go over several batches
+    try:
+        out = regress.fe_control_grid(df, ["y", "z"], "x", [None, "w"], specs, "b", "d")
+        got = {(r.outcome, r.weight, r.spec): r for r in out.collect()}
+    finally:
+        spark.conf.unset(small)
+    assert len(got) == 12
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(_entity") == 1
+    for (outcome, weight, spec), r in got.items():
+        y, w = {"y": 3, "z": 4}[outcome], 5 if weight == "w" else None
+        kept = [t for t in rows if t[y] is not None and (w is None or t[w] > 0) and (spec == "none" or t[6] is not None)]  # no level, no part
+        hot = lambda i, of: np.array([[t[i] == v for v in sorted({t[i] for t in of}, key=str)] for t in of], float)
+        k = np.sqrt([t[w] if w else 1.0 for t in kept])[:, None]
+        parts = [np.array([[t[2]] for t in kept]), hot(0, kept), *([hot(6, kept)] if "m" in spec else []), *([hot(7, kept)] if "c" in spec else [])]
+        z, v = np.hstack(parts) * k, np.array([t[y] for t in kept]) * k[:, 0]
+        beta, _, rank, _ = np.linalg.lstsq(z, v, rcond=None)
+        days = sorted({t[1] for t in kept})
+        score = np.array([(z * (v - z @ beta)[:, None])[[t[1] == d for t in kept]].sum(axis=0) for d in days])
+        bread, g, n = np.linalg.pinv(z.T @ z), len(days), len(kept)
+        se = np.sqrt((bread @ score.T @ score @ bread)[0, 0] * g / (g - 1) * (n - 1) / (n - rank))
+        assert (r.n, r.n_clusters) == (n, g) and abs(r.slope - beta[0]) < 1e-9 and abs(r.se_cluster - se) < 1e-9, (outcome, weight, spec)
