@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskgrid.functions import finite, flag, sample_sd
 from duskgrid.operators.order import running
+from duskgrid.operators.panel import dealt
 
 
 def by_date():
@@ -39,6 +40,43 @@ def daily_states(dense: DataFrame, lit_at: float = 0.4, dark_below: float = 0.05
     return first_trigger(rolling_forward(lit_dark(dense, lit_at, dark_below), n, least_obs, least_lit))
 
 
+def _calendar_ends(rows: DataFrame) -> DataFrame:
+    """_a, _b: the first and the last date of a dealt panel, one row. All columns are named, so that its shuffle serves again."""
+    whole = F.when(F.col("date").isNotNull(), F.struct("date", *[c for c in rows.columns if c != "date"]))
+    return F.broadcast(rows.agg(F.min(whole)["date"].alias("_a"), F.max(whole)["date"].alias("_b")).where("_a is not null"))
+
+
+def _trailing(panel: DataFrame, lit_at: float, n: int, least_obs: int, least_lit: int) -> DataFrame:
+    """The panel, dealt by entity, with counts n_obs and n_lit of the n days up to each row, and _start.
+
+    _start is the window of n days of the calendar that ends with the row (or the calendar's first, which may end later)
+    where it passes, else null. Both counts only fall as days leave a window, so a window that passes when none before did
+    ends with a row or is the first one; of that, its last row has the whole counts.
+    """
+    rows = dealt(panel, "entity")
+    upto = Window.partitionBy("entity").orderBy(F.unix_date("date")).rangeBetween(1 - n, 0)
+    rows = rows.withColumns({"n_obs": F.count("p").over(upto), "n_lit": F.coalesce(F.sum((F.col("p") >= lit_at).cast("int")).over(upto), F.lit(0))}).crossJoin(_calendar_ends(rows))
+    start = F.greatest(F.date_sub("date", n - 1), F.col("_a"))
+    passes = F.col("entity").isNotNull() & (F.date_add(start, n - 1) <= F.col("_b")) & (F.col("n_obs") >= least_obs) & (F.col("n_lit") >= least_lit)
+    return rows.withColumn("_start", F.when(F.col("date").isNotNull() & passes, start)).drop("_a", "_b")
+
+
+def first_triggers(panel: DataFrame, lit_at: float = 0.4, n: int = 30, least_obs: int = 8, least_lit: int = 15) -> DataFrame:
+    """entity, doe, n_obs, n_lit: of each entity the doe of its daily_states and the counts there, null without one.
+
+    Only the panel's own rows are read, no calendar is made. An entity has at most a row a date.
+    """
+    best = F.min(F.when(F.col("_start").isNotNull(), F.struct("_start", -F.col("n_obs"), -F.col("n_lit")).cast("struct<doe: date, o: long, l: long>")))
+    return _trailing(panel, lit_at, n, least_obs, least_lit).groupBy("entity").agg(best.alias("_s")).select("entity", "_s.doe", (-F.col("_s.o")).alias("n_obs"), (-F.col("_s.l")).alias("n_lit"))
+
+
+def observed_after(panel: DataFrame, lit_at: float = 0.4, dark_below: float = 0.05, n: int = 30, least_obs: int = 8, least_lit: int = 15) -> DataFrame:
+    """The rows of daily_states that have a p, from each entity's doe on, without counts; the panel's own rows alone are read."""
+    rows = _trailing(panel, lit_at, n, least_obs, least_lit).withColumn("doe", F.min("_start").over(Window.partitionBy("entity")))
+    kept = rows.where(F.col("p").isNotNull() & (F.col("date") >= F.col("doe")))
+    return lit_dark(kept.select(*panel.columns, "doe"), lit_at, dark_below).withColumn("after_doe", F.lit(1))
+
+
 def switches(df: DataFrame, period: str) -> DataFrame:
     """switch: 1 where the lit state differs from the observed day before within entity and period, null on the first."""
     before = F.lag("lit_day").over(Window.partitionBy("entity", period).orderBy("date"))

@@ -44,14 +44,23 @@ _M = "entity, period_start, N(obs_days) AS obs_days, N(lit_days) AS lit_days, N(
 _A = "area, period_start, N(n_entities) AS n_entities, R(kept_population) AS kept_population, R(uptime) AS uptime, R(dark_share) AS dark_share, R(mean_p) AS mean_p, R(sd_p) AS sd_p, R(cv_p) AS cv_p, R(switch_rate) AS switch_rate, R(uptime_sd) AS uptime_sd, R(area_population) AS area_population, R(coverage_share) AS coverage_share"
 
 
+def seen(v):
+    return v("v_panel").select("entity", "date", "p", "coverage")
+
+
 def states(v):
-    return S.daily_states(P.dense(v("v_panel").select("entity", "date", "p", "coverage")), **STATE)
+    return S.daily_states(P.dense(seen(v)), **STATE)
 
 
 def after(v):
     return states(v).where("after_doe = 1")
 
 
+def triggers(v, **rule):
+    """A row an entity: its doe in states and the counts there."""
+    return S.first_triggers(seen(v).select("entity", "date", "p"), **STATE | rule)
+
+
 def area_month(v, least=0.0):
     return R.area_metrics(R.entity_metrics(after(v), "month"), v("v_entities").select("entity", "area", "population"), least)
 
@@ -141,7 +150,7 @@ def catalog():
     )
     c["win14_scaled"] = (["v_exposure"], lambda v: S.scaled(v("v_exposure"), "mlr").select("date", "z", "top"), "SELECT date, R((mlr - AVG(mlr) OVER ()) / STDDEV_SAMP(mlr) OVER ()) AS z, R(mlr / MAX(mlr) OVER ()) AS top FROM v_exposure")
     c["win15_diverse_top"] = (["v_panel"], lambda v: S.diverse_top(pan(v), "mean_rad", 12).select("entity", "date", "mean_rad"), ", a AS (SELECT entity, date, mean_rad, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY mean_rad DESC, date) AS r FROM v_panel) SELECT entity, date, R(mean_rad) AS mean_rad FROM a WHERE r = 1 ORDER BY a.mean_rad DESC, entity LIMIT 12")
-    c["win16_trigger_margins"] = (st, lambda v: S.trigger_margins(states(v), 4, 3, 0), f", {STATES} SELECT entity, doe, N(n_obs - 4) AS obs_margin, N(n_lit - 3) AS lit_margin, I(n_obs - 4 <= 0) AS obs_near, I(n_lit - 3 <= 0) AS lit_near FROM states WHERE date = doe")
+    c["win16_trigger_margins"] = (st, lambda v: S.trigger_margins(triggers(v).withColumn("date", F.col("doe")), 4, 3, 0), f", {STATES} SELECT entity, doe, N(n_obs - 4) AS obs_margin, N(n_lit - 3) AS lit_margin, I(n_obs - 4 <= 0) AS obs_near, I(n_lit - 3 <= 0) AS lit_near FROM states WHERE date = doe")
     c["rel1_entity_metrics"] = (st, lambda v: R.entity_metrics(after(v), "month"), f", {MONTH} SELECT {_M} FROM m")
     c["rel2_all_periods"] = (st, lambda v: R.all_periods(after(v)), f", {STATES}" + "".join(f", {_metrics(p, n).replace('m AS', f'm_{p} AS', 1)}" for p, n in R.SUPPORT.items()) + " SELECT " + _M + ", period FROM (" + " UNION ALL ".join(f"SELECT *, '{p}' AS period FROM m_{p}" for p in R.SUPPORT) + ") z")
     c["rel3_state_day_counts"] = (

@@ -721,3 +721,21 @@ def test_fe_controls_in_two_passes(spark):
         bread, g, n = np.linalg.pinv(z.T @ z), len(days), len(kept)
         se = np.sqrt((bread @ score.T @ score @ bread)[0, 0] * g / (g - 1) * (n - 1) / (n - rank))
         assert (r.n, r.n_clusters) == (n, g) and abs(r.slope - beta[0]) < 1e-9 and abs(r.se_cluster - se) < 1e-9, (outcome, weight, spec)
+
+
+def test_triggers_without_a_calendar(spark):
+    rng = np.random.default_rng(12)
+    rows = [(e, DAY(d), float(rng.random()) if rng.random() < 0.9 else None, 1.0) for e in range(40) for d in range(int(rng.integers(0, 20)), 45) if rng.random() < 0.35]
+    rows += [(90, DAY(d), 0.9, 1.0) for d in range(4)] + [(91, DAY(d), 0.9, 1.0) for d in range(41, 45)] + [(92, DAY(20), None, 1.0), (93, None, 0.9, 1.0), (94, DAY(0), 0.9, 1.0), (94, DAY(9), float("nan"), 1.0), (94, DAY(8), 0.9, 1.0)] + [(None, DAY(i), 0.9, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "entity int, date date, p double, coverage double")
+    for rule in ({"n": 10, "least_obs": 4, "least_lit": 3}, {"n": 10, "least_obs": 2, "least_lit": 3}, {"n": 60, "least_obs": 1, "least_lit": 1}):
+        plain = states.daily_states(panel.dense(df), **rule).cache()
+        margins = {(r.entity, r.doe, r.n_obs, r.n_lit) for r in plain.where("date = doe").collect()}
+        out = states.first_triggers(df, **rule)
+        assert {tuple(r) for r in out.where("doe is not null").collect()} == margins
+        assert sorted(map(str, plain.select("entity", "doe").distinct().collect())) == sorted(map(str, out.select("entity", "doe").collect()))
+        columns = ["entity", "date", "p", "coverage", "doe", "lit_day", "dark_day", "observed", "after_doe"]
+        after = states.observed_after(df, **rule).select(columns).collect()
+        assert sorted(map(str, after)) == sorted(map(str, plain.where("after_doe = 1 and p is not null").select(columns).collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan  # no day is made that has no row
