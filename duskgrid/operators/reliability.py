@@ -81,7 +81,9 @@ def drop_reasons(area: DataFrame, least_share: float) -> DataFrame:
 def electrified_share(entities: DataFrame) -> DataFrame:
     """By area, and for the nation (area null): entities and population with electrified = 1, and shares."""
     aggs = [F.count("*").alias("n"), count_if(F.col("electrified") == 1).alias("n_electrified"), F.sum("population").alias("population"), F.sum(F.when(F.col("electrified") == 1, F.col("population"))).alias("electrified_population")]
-    both = entities.groupBy("area").agg(*aggs).unionByName(entities.agg(*aggs).withColumn("area", F.lit(None).cast("string")))
+    areas = entities.groupBy("area").agg(*aggs)
+    nation = areas.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_electrified")], *[F.sum(c).alias(c) for c in ("population", "electrified_population")])  # of the areas' sums, not of the rows again
+    both = areas.unionByName(nation.withColumn("area", F.lit(None).cast("string")))
     return both.withColumn("population_share", divide(F.coalesce("electrified_population", F.lit(0.0)), "population"))
 
 

@@ -166,7 +166,7 @@ def catalog():
         f", {MONTH}{AREA} SELECT a.area, b.period_start, CASE WHEN n_entities IS NULL THEN 'no_entities' WHEN coverage_share < 0.5 THEN 'low_coverage' ELSE 'kept' END AS reason, R(COALESCE(coverage_share, 0)) AS coverage_share FROM (SELECT DISTINCT area FROM area) a CROSS JOIN (SELECT DISTINCT period_start FROM area WHERE period_start IS NOT NULL) b LEFT JOIN area x ON x.area = a.area AND x.period_start = b.period_start",
     )
     c["rel7_electrified_share"] = (["v_entities"], lambda v: R.electrified_share(ent(v).withColumn("electrified", (F.col("demand") > 5000).cast("int"))), ", e AS (SELECT *, demand > 5000 AS x FROM v_entities) SELECT area, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE x)) AS n_electrified, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE x)) AS electrified_population, R(CASE WHEN SUM(population) > 0 THEN COALESCE(SUM(population) FILTER (WHERE x), 0) / SUM(population) END) AS population_share FROM e GROUP BY GROUPING SETS ((area), ())")
-    c["rel8_doe_status"] = (both, lambda v: R.doe_status(S.daily_states(P.dense(v("v_panel").select("entity", "date", "p", "coverage")), **STATE | {"least_lit": 6}), ent(v)), f", {STATES.replace('n_lit >= 3', 'n_lit >= 6')}, e AS (SELECT v.*, d.doe IS NOT NULL AS x FROM (SELECT DISTINCT entity, doe FROM states) d JOIN v_entities v ON v.entity = d.entity) SELECT area, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE x)) AS n_electrified, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE x)) AS electrified_population, R(CASE WHEN SUM(population) > 0 THEN COALESCE(SUM(population) FILTER (WHERE x), 0) / SUM(population) END) AS population_share FROM e GROUP BY GROUPING SETS ((area), ())")
+    c["rel8_doe_status"] = (both, lambda v: R.doe_status(triggers(v, least_lit=6), ent(v)), f", {STATES.replace('n_lit >= 3', 'n_lit >= 6')}, e AS (SELECT v.*, d.doe IS NOT NULL AS x FROM (SELECT DISTINCT entity, doe FROM states) d JOIN v_entities v ON v.entity = d.entity) SELECT area, N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE x)) AS n_electrified, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE x)) AS electrified_population, R(CASE WHEN SUM(population) > 0 THEN COALESCE(SUM(population) FILTER (WHERE x), 0) / SUM(population) END) AS population_share FROM e GROUP BY GROUPING SETS ((area), ())")
     q = lambda x: f"N(COUNT(*)) AS n, N(COUNT(*) FILTER (WHERE {x} BETWEEN 0 AND 2)) AS n_near, R(QUANTILE_CONT({x}, 0.1)) AS p10, R(QUANTILE_CONT({x}, 0.5)) AS p50, R(QUANTILE_CONT({x}, 0.9)) AS p90, R(AVG({x})) AS mean"
     c["rel9_support_margin"] = (st, lambda v: R.margin_summary(R.entity_metrics(after(v), "month").withColumn("margin", F.col("obs_days") - 10), "margin", 2, ["period_start"]), f", {MONTH} SELECT period_start, {q('(obs_days - 10)')} FROM m GROUP BY 1")
     c["rel10_coverage_margin"] = (both, lambda v: R.margin_summary(area_month(v).withColumn("margin", F.col("coverage_share") - 0.3), "margin", 2, ["area"]), f", {MONTH}{AREA} SELECT area, {q('(coverage_share - 0.3)')} FROM area GROUP BY 1")
