@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskgrid.functions import count_if
@@ -73,6 +73,13 @@ def doe_scenarios(named: dict[str, DataFrame], areas: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def doe_variants(does: DataFrame, named: dict[str, Column], areas: DataFrame) -> DataFrame:
+    """doe_scenarios of one table (a row an entity) under several rules of its date, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), c.alias("doe")) for k, c in named.items()])).alias("_s")
+    rows = does.join(areas, "entity").select("area", "population", each).select("area", "population", "_s.*")
+    return rows.groupBy("scenario", "area").agg(F.count("*").alias("n"), F.count("doe").alias("n_doe"), F.sum("population").alias("population"), F.sum(F.when(F.col("doe").isNotNull(), F.col("population"))).alias("doe_population"))
+
+
 def area_deltas(entities: DataFrame, targets: DataFrame, taus: list[float], deltas: list[float], lam: float, value: str = "p_year") -> DataFrame:
     """tau, area, delta, share, loss: for each global tau the best shift of each area's threshold.
 

@@ -13,7 +13,7 @@ from duskgrid.operators import spatial as A
 from duskgrid.functions.tails import inferred
 from duskgrid.operators import panel as P
 from duskgrid.operators import states as S
-from duskgrid.plans.panels import STATES, states
+from duskgrid.plans.panels import STATES, states, triggers
 from duskgrid.plans.series import NA, OD, PE, PEX, PX, ZP, day, events, national, pe, shed
 from duskgrid.sources import io
 
@@ -166,7 +166,7 @@ def catalog():
     ds = f", {STATES}, k(o, l) AS (VALUES {ck}), d AS (SELECT o, l, s.entity, MIN(date) FILTER (WHERE n_obs >= o AND n_lit >= l) AS doe FROM states s, k GROUP BY 1, 2, 3)"
     c["cal5_doe_sweep"] = (["v_panel"], lambda v: C.doe_sweep(states(v), combos), f"{ds} SELECT I(o) AS least_obs, I(l) AS least_lit, N(COUNT(doe)) AS n_entities, MIN(doe) AS first_doe, MAX(doe) AS last_doe, R(COUNT(doe) / COUNT(*)) AS share FROM d GROUP BY 1, 2")
     c["cal6_doe_population"] = (ve, lambda v: C.doe_sweep(states(v), combos, v("v_entities")).select("least_obs", "least_lit", "share", F.abs(F.col("share") - 0.9).alias("abs_error")), f"{ds} SELECT I(o) AS least_obs, I(l) AS least_lit, R(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population)) AS share, R(ABS(COALESCE(SUM(population) FILTER (WHERE doe IS NOT NULL), 0) / SUM(population) - 0.9)) AS abs_error FROM d JOIN v_entities e ON e.entity = d.entity GROUP BY 1, 2")
-    c["cal7_doe_scenarios"] = (ve, lambda v: C.doe_scenarios({"all": states(v), "late": states(v).withColumn("doe", F.when(F.col("doe") > "1995-02-01", F.col("doe")))}, v("v_entities")), f", {STATES}, u AS (SELECT DISTINCT 'all' AS scenario, entity, doe FROM states UNION SELECT 'late', entity, CASE WHEN doe > DATE '1995-02-01' THEN doe END FROM states) SELECT scenario, area, N(COUNT(*)) AS n, N(COUNT(doe)) AS n_doe, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE doe IS NOT NULL)) AS doe_population FROM u JOIN v_entities e ON e.entity = u.entity GROUP BY 1, 2")
+    c["cal7_doe_scenarios"] = (ve, lambda v: C.doe_variants(triggers(v), {"all": F.col("doe"), "late": F.when(F.col("doe") > "1995-02-01", F.col("doe"))}, v("v_entities")), f", {STATES}, u AS (SELECT DISTINCT 'all' AS scenario, entity, doe FROM states UNION SELECT 'late', entity, CASE WHEN doe > DATE '1995-02-01' THEN doe END FROM states) SELECT scenario, area, N(COUNT(*)) AS n, N(COUNT(doe)) AS n_doe, R(SUM(population)) AS population, R(SUM(population) FILTER (WHERE doe IS NOT NULL)) AS doe_population FROM u JOIN v_entities e ON e.entity = u.entity GROUP BY 1, 2")
     taus, deltas = [0.55, 0.56, 0.57], [-0.02, -0.01, 0.0, 0.01, 0.02]
     tgt = lambda v: v("v_entities").groupBy("area").agg(F.sum("population").alias("population")).select("area", F.lit(0.6).alias("target"), F.lit(1.0).alias("weight"), "population")
     AD = f"{YR}, a0 AS (SELECT tau, delta, area, COALESCE(SUM(population) FILTER (WHERE p_year >= ROUND(tau + delta, 10)), 0) / SUM(population) AS share FROM ye, (SELECT UNNEST({taus}) AS tau) t, (SELECT UNNEST({deltas}) AS delta) d GROUP BY 1, 2, 3), a1 AS (SELECT *, POWER(share - 0.6, 2) + 0.5 * delta * delta AS loss FROM a0), ad AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tau, area ORDER BY ROUND(loss, 12), ABS(delta), delta) AS r FROM a1) z WHERE r = 1)"
