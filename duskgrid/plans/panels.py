@@ -53,7 +53,8 @@ def states(v):
 
 
 def after(v):
-    return states(v).where("after_doe = 1")
+    """The observed days of states from the doe on, which is all that metrics take."""
+    return S.observed_after(seen(v), **STATE)
 
 
 def triggers(v, **rule):
@@ -67,9 +68,8 @@ def area_month(v, least=0.0):
 
 def entity_flags(v):
     """Entities with flags: seen at all, with a doe, supported in some quarter."""
-    st = states(v)
-    doe = st.groupBy("entity").agg(F.max(F.col("doe").isNotNull().cast("int")).alias("doe_known"))
-    sup = R.entity_metrics(st.where("after_doe = 1"), "quarter").groupBy("entity").agg(F.max("support_ok").alias("supported"))
+    doe = triggers(v).select("entity", F.col("doe").isNotNull().cast("int").alias("doe_known"))
+    sup = R.entity_metrics(after(v), "quarter").groupBy("entity").agg(F.max("support_ok").alias("supported"))
     seen = v("v_panel").select("entity").distinct().withColumn("observed", F.lit(1))
     return v("v_entities").join(seen, "entity", "left").join(doe, "entity", "left").join(sup, "entity", "left")
 
