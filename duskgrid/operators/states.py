@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskgrid.functions import finite, flag, sample_sd
 from duskgrid.operators.order import running
-from duskgrid.operators.panel import dealt
+from duskgrid.operators.panel import by_day, dealt, dense, on_own_day, over_days, placed
 
 
 def by_date():
@@ -41,24 +41,64 @@ def daily_states(dense: DataFrame, lit_at: float = 0.4, dark_below: float = 0.05
 
 
 def _calendar_ends(rows: DataFrame) -> DataFrame:
-    """_a, _b: the first and the last date of a dealt panel, one row. All columns are named, so that its shuffle serves again."""
+    """_a, _b: the first and the last date of a dealt panel, in days since 1970, one row. All columns are named, so that its shuffle serves again."""
     whole = F.when(F.col("date").isNotNull(), F.struct("date", *[c for c in rows.columns if c != "date"]))
-    return F.broadcast(rows.agg(F.min(whole)["date"].alias("_a"), F.max(whole)["date"].alias("_b")).where("_a is not null"))
+    return F.broadcast(rows.agg(F.unix_date(F.min(whole)["date"]).alias("_a"), F.unix_date(F.max(whole)["date"]).alias("_b")).where("_a is not null"))
 
 
-def _trailing(panel: DataFrame, lit_at: float, n: int, least_obs: int, least_lit: int) -> DataFrame:
-    """The panel, dealt by entity, with counts n_obs and n_lit of the n days up to each row, and _start.
+def _counts_upto(lit_at: float, n: int) -> dict:
+    """n_obs, n_lit of the n days up to each row of a panel."""
+    upto = by_day().rangeBetween(1 - n, 0)
+    return {"n_obs": F.count("p").over(upto), "n_lit": F.coalesce(F.sum((F.col("p") >= lit_at).cast("int")).over(upto), F.lit(0))}
+
+
+def _start(n: int, least_obs: int, least_lit: int):
+    """The first day of the window of n days of the calendar (_a to _b) that ends with the row (or of the calendar's first window,
+    which may end later) where it passes by n_obs and n_lit up to the row, else null.
 
-    _start is the window of n days of the calendar that ends with the row (or the calendar's first, which may end later)
-    where it passes, else null. Both counts only fall as days leave a window, so a window that passes when none before did
-    ends with a row or is the first one; of that, its last row has the whole counts.
+    Both counts only fall as days leave a window, so a window that passes when none before did ends with a row or is the
+    first one; of that, its last row has the whole counts.
     """
+    start = F.greatest(F.col("_on") - (n - 1), F.col("_a"))
+    passes = F.col("entity").isNotNull() & (start + (n - 1) <= F.col("_b")) & (F.col("n_obs") >= least_obs) & (F.col("n_lit") >= least_lit)
+    return F.date_from_unix_date(F.when(F.col("_on").isNotNull() & passes, start))
+
+
+def _trailing(panel: DataFrame, lit_at: float, n: int, least_obs: int, least_lit: int) -> DataFrame:
+    """The panel, dealt by entity, with counts n_obs and n_lit of the n days up to each row, and _start."""
     rows = dealt(panel, "entity")
-    upto = Window.partitionBy("entity").orderBy(F.unix_date("date")).rangeBetween(1 - n, 0)
-    rows = rows.withColumns({"n_obs": F.count("p").over(upto), "n_lit": F.coalesce(F.sum((F.col("p") >= lit_at).cast("int")).over(upto), F.lit(0))}).crossJoin(_calendar_ends(rows))
-    start = F.greatest(F.date_sub("date", n - 1), F.col("_a"))
-    passes = F.col("entity").isNotNull() & (F.date_add(start, n - 1) <= F.col("_b")) & (F.col("n_obs") >= least_obs) & (F.col("n_lit") >= least_lit)
-    return rows.withColumn("_start", F.when(F.col("date").isNotNull() & passes, start)).drop("_a", "_b")
+    ends = _calendar_ends(rows)
+    rows = rows.withColumn("_on", F.unix_date("date")).withColumns(_counts_upto(lit_at, n)).crossJoin(ends)
+    return rows.withColumn("_start", _start(n, least_obs, least_lit)).drop("_on", "_a", "_b")
+
+
+def _low_bits(n):
+    """A long of which the n lowest bits are set; n is 1 to 63."""
+    return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n)
+
+
+def panel_states(panel: DataFrame, lit_at: float = 0.4, dark_below: float = 0.05, n: int = 30, least_obs: int = 8, least_lit: int = 15) -> DataFrame:
+    """daily_states of the dense panel; windows run over the panel's own rows, and days are made last and not sorted.
+
+    Each row has the n days from its own on as bits of a long; the window of a day before it holds the lower ones of them.
+    An entity has at most a row a date. Windows of more than 63 days are those of daily_states.
+    """
+    if n > 63:
+        return daily_states(dense(panel), lit_at, dark_below, n, least_obs, least_lit)
+    place, ahead = F.pmod(F.col("_on"), F.lit(64)), by_day().rangeBetween(0, n - 1)
+    bit = lambda condition: F.when(F.col("entity").isNotNull() & condition, F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    rows = placed(panel).withColumns({"_seen": F.bit_or(bit(F.col("p").isNotNull())).over(ahead), "_lit": F.bit_or(bit(F.col("p") >= lit_at)).over(ahead), **_counts_upto(lit_at, n)})
+    rows = rows.withColumn("_start", _start(n, least_obs, least_lit)).withColumn("doe", F.min("_start").over(Window.partitionBy("entity")))
+    days = over_days(rows.select(*panel.columns, "_seen", "_lit", "doe", "_on", "_a", "_b"))
+    wait = F.col("_on") - F.col("_day")  # days until the row
+    inside = F.when(wait.between(0, n - 1), _low_bits(n - wait)).otherwise(F.lit(0).cast("long"))
+    # bits lie by date, modulo 64; they are turned to the row's own day
+    count = lambda c: F.coalesce(F.bit_count(F.call_function("shiftrightunsigned", F.col(c), place).bitwiseOR(F.call_function("shiftleft", F.col(c), 64 - place)).bitwiseAND(inside)), F.lit(0)).cast("long")
+    full = F.col("_day") + (n - 1) <= F.col("_b")
+    values = [on_own_day(c).alias(c) for c in panel.columns if c not in ("entity", "date")]
+    days = days.select("entity", F.date_from_unix_date("_day").alias("date"), *values, "doe", F.when(full, count("_lit")).alias("n_lit"), F.when(full, count("_seen")).alias("n_obs"))
+    days = lit_dark(days, lit_at, dark_below).withColumn("electrified", F.when(F.col("n_obs") >= least_obs, flag(F.col("n_lit") >= least_lit)))
+    return days.select(*panel.columns, "lit_day", "dark_day", "observed", "n_lit", "n_obs", "electrified", "doe", F.when(F.col("date") >= F.col("doe"), 1).otherwise(0).alias("after_doe"))
 
 
 def first_triggers(panel: DataFrame, lit_at: float = 0.4, n: int = 30, least_obs: int = 8, least_lit: int = 15) -> DataFrame:

@@ -49,7 +49,7 @@ def seen(v):
 
 
 def states(v):
-    return S.daily_states(P.dense(seen(v)), **STATE)
+    return S.panel_states(seen(v), **STATE)
 
 
 def after(v):

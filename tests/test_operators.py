@@ -739,3 +739,18 @@ def test_triggers_without_a_calendar(spark):
         assert sorted(map(str, after)) == sorted(map(str, plain.where("after_doe = 1 and p is not null").select(columns).collect()))
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan  # no day is made that has no row
+
+
+def test_states_of_days_without_their_windows(spark):
+    rng = np.random.default_rng(13)
+    rows = [(e, DAY(d), float(rng.random()) if rng.random() < 0.9 else None, float(rng.random())) for e in range(40) for d in range(int(rng.integers(0, 60)), 150) if rng.random() < 0.35]
+    rows += [(90, DAY(d), 0.9, 1.0) for d in range(4)] + [(91, DAY(d), 0.9, 1.0) for d in range(141, 150)] + [(92, DAY(20), None, 1.0), (93, None, 0.9, 1.0), (94, DAY(0), 0.9, 1.0), (94, DAY(9), float("nan"), 1.0), (94, DAY(8), 0.9, 1.0), (94, None, 0.9, 1.0)] + [(None, DAY(i), 0.9, 1.0) for i in range(9)]
+    rows += [(95, DAY(d), 0.9, 1.0) for d in range(150)]
+    df = spark.createDataFrame(rows, "entity int, date date, p double, coverage double")
+    for rule in ({"n": 10, "least_obs": 4, "least_lit": 3}, {"n": 1, "least_obs": 0, "least_lit": 1}, {"n": 63, "least_obs": 20, "least_lit": 15}, {"n": 64, "least_obs": 20, "least_lit": 15}, {}):
+        plain, out = states.daily_states(panel.dense(df), **rule), states.panel_states(df, **rule)
+        assert sorted(out.dtypes) == sorted(plain.dtypes)
+        assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    plan = states.panel_states(df, n=10).select("entity", "date", "electrified")._jdf.queryExecution().executedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert not any(w in line for line in plan[:made] for w in ("Window", "Sort", "Exchange"))  # days are neither sorted nor windowed
