@@ -754,3 +754,35 @@ def test_states_of_days_without_their_windows(spark):
     plan = states.panel_states(df, n=10).select("entity", "date", "electrified")._jdf.queryExecution().executedPlan().toString().split("\n")
     made = next(i for i, line in enumerate(plan) if "Generate" in line)
     assert not any(w in line for line in plan[:made] for w in ("Window", "Sort", "Exchange"))  # days are neither sorted nor windowed
+
+
+def test_pairs_of_pixels_and_entities_are_not_shuffled(spark, monkeypatch):
+    from duskgrid.operators import overlay
+
+    for most in ("HELD", "PAIRS", "GIVEN"):
+        monkeypatch.setattr(overlay, most, 5)  # many parts of a block, and of a product
+    rng = np.random.default_rng(21)
+    pick = lambda *x: x[rng.integers(len(x))]
+    px = [(pick(*range(9), None), pick(DAY(0), DAY(1), DAY(2), None), pick("a", "b", None), pick(1.5, -4.0, None, 0.0)) for _ in range(150)]
+    wt = [(pick("x", "y", "z", None), pick(*range(10), None), pick(0.5, 0.25, None, float("nan")), pick(1.0, 3.0)) for _ in range(60)] + [("n", c, None, 2.0) for c in range(9)]
+    pixels_ = spark.createDataFrame(px, "cell_id int, date date, kind string, r double")
+    weights = spark.createDataFrame(wt, "entity string, cell_id long, w double, a double")
+    size = {e: sum(t[3] for t in wt if t[0] == e) for e in ("x", "y", "z", "n")} | {None: None}
+    for by in ([], ["date"], ["kind", "date"]):
+        out = overlay.sums(pixels_, weights, by, {"_w": F.col("w"), "_a": F.col("a")}, {"_r": F.col("r")}, {"s": ("_w", "_r"), "t": ("_w", None), "u": ("_a", "_r")}, {"size": pixels.entity_sum("a")})
+        groups = {}
+        for c, d, k, r in px:
+            for e, c2, w, a in wt:
+                if c is not None and c == c2:
+                    groups.setdefault((e, *[{"date": d, "kind": k}[b] for b in by]), []).append((0.0 if r is None else None if w is None else w * r, w, 0.0 if r is None else a * r))
+        total = lambda x: sum(v) if (v := [y for y in x if y is not None]) else None
+        plain = {k: (size[k[0]], *map(total, zip(*v, strict=True))) for k, v in groups.items()}
+        got = {tuple(r[: 1 + len(by)]): tuple(r[1 + len(by) :]) for r in out.collect()}
+        assert got.keys() == plain.keys() and out.count() == len(plain)
+        for k, v in plain.items():
+            assert all(a is b or (math.isnan(a) and math.isnan(b)) or abs(a - b) < 1e-9 for a, b in zip(got[k], v, strict=True)), (k, got[k], v)
+    assert any(v[1] is None for v in plain.values()) and any(v[2] is None for v in plain.values())
+    sums = pixels.zonal_sums(pixels_.selectExpr("cell_id", "date", "r AS rad", "1 AS valid", "1 AS lit"), weights.selectExpr("entity", "cell_id", "w AS coverage_fraction", "a AS cell_area_m2"))
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    made = plan.index("CartesianProduct")
+    assert "Exchange" not in plan[:made] and "Join" not in plan  # pairs are made where their sums are, and not moved before
