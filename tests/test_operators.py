@@ -786,3 +786,23 @@ def test_pairs_of_pixels_and_entities_are_not_shuffled(spark, monkeypatch):
     plan = sums._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     made = plan.index("CartesianProduct")
     assert "Exchange" not in plan[:made] and "Join" not in plan  # pairs are made where their sums are, and not moved before
+
+
+def test_own_state_shuffles_pixels_once(spark):
+    rng = np.random.default_rng(22)
+    rows = [(c, DAY(d), [float(rng.gamma(2)), None, float("nan"), 1.0][rng.choice(4, p=[0.7, 0.1, 0.1, 0.1])]) for c in [*range(9), None] for d in range(int(rng.integers(2, 30)))]
+    px = spark.createDataFrame([*rows, *rows[:20]], "cell_id int, date date, rad double")
+    plain = pixels.baseline_state(px, pixels.pixel_baseline(px, 0.25, 0.75, 8, k=0.2))
+    own = pixels.own_state(px, 0.25, 0.75, 8, k=0.2)
+    columns = ["cell_id", "date", "rad", "observed", "dark", "bright_excluded", "rad_observed"]
+    assert sorted(map(str, own.select(columns).collect())) == sorted(map(str, plain.select(columns).collect())) and own.count() > 0
+    every = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from duskgrid.plans import registry
+
+        views = {"v_pixels": px, "v_weights": spark.createDataFrame([(1, 2, 0.5, 9.0)], "entity int, cell_id int, coverage_fraction double, cell_area_m2 double")}
+        plan = registry.catalog()["zon7_zonal_states"][1](views.__getitem__)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("hashpartitioning(cell_id") == 1 and plan.count("hashpartitioning(") == 2  # pixels by cell, weights by entity
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", every)
