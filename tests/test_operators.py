@@ -806,3 +806,21 @@ def test_own_state_shuffles_pixels_once(spark):
         assert plan.count("hashpartitioning(cell_id") == 1 and plan.count("hashpartitioning(") == 2  # pixels by cell, weights by entity
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", every)
+
+
+def test_stored_buckets_are_the_blocks_of_zone_sums(spark):
+    import functools
+
+    from duskgrid.operators import overlay
+    from duskgrid.plans import pixels as plan
+    from duskgrid.sources.views import view
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        states_, weights = plan.copartitioned(functools.partial(view, spark, "/root/testdata/sf0.001"))
+        text = states_.join(weights, "cell_id")._jdf.queryExecution().executedPlan().toString()
+        assert overlay.blocks(spark) == 12 and text.count("Bucketed: true") + text.count("SelectedBucketsCount: 12 out of 12") >= 2
+        assert not {"qf_cloud", "is_centre"} & {*states_.columns, *weights.columns}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
