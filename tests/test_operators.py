@@ -816,7 +816,7 @@ def test_stored_buckets_are_the_blocks_of_zone_sums(spark):
     from duskgrid.sources.views import view
 
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
     try:
         states_, weights = plan.copartitioned(functools.partial(view, spark, "/root/testdata/sf0.001"))
         text = states_.join(weights, "cell_id")._jdf.queryExecution().executedPlan().toString()
